@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontamination, packing
+from . import decontamination, jaccard, packing
 from .common import table
 
 
@@ -22,5 +22,9 @@ def op5_benchmark_decontamination(spark, sf_dir):
     return decontamination.digest(decontamination.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))).drop("items", "spans")
 
 
-QUERIES = {f.__name__: f for f in (op4_best_fit_packing, op5_benchmark_decontamination)}
+def op10_ngram_jaccard_join(spark, sf_dir):
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op4_best_fit_packing, op5_benchmark_decontamination, op10_ngram_jaccard_join)}
 ORACLE_SQL: dict[str, str] = {}
