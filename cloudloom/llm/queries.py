@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard, packing
-from .common import table
+from . import decontamination, jaccard, language, packing, quality
+from .common import crc_mod, table
 
 
 def tokenizer(name: str) -> str:
@@ -14,6 +14,30 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def language_training_rows(docs):
+    """key, text and lang of the rows that language identification may learn from."""
+    return docs.where(crc_mod("doc_id", 5) != 0).select(F.col("doc_id").cast("string").alias("key"), "text", "lang")
+
+
+def op2_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = language.predict(docs, language.fit(language_training_rows(docs)))
+    return found.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def quality_training_rows(docs, labels):
+    """key, text and quality of the rows that the quality classifier may learn from; one label for each doc_id."""
+    marks = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    rows = docs.where((crc_mod("doc_id", 4) != 2) & F.col("doc_id").isNotNull()).select("doc_id", "text")
+    return rows.join(marks, "doc_id").select(F.col("doc_id").cast("string").alias("key"), "text", "quality")
+
+
+def op9_quality_classifier(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = quality.score(docs, quality.fit(quality_training_rows(docs, table(spark, sf_dir, "labels"))))
+    return found.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
 def op4_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), 4096)
 
@@ -26,5 +50,5 @@ def op10_ngram_jaccard_join(spark, sf_dir):
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_best_fit_packing, op5_benchmark_decontamination, op10_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op2_language_id, op4_best_fit_packing, op5_benchmark_decontamination, op9_quality_classifier, op10_ngram_jaccard_join)}
 ORACLE_SQL: dict[str, str] = {}
