@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard, language, packing, quality
+from . import decontamination, jaccard, language, lm, packing, quality
 from .common import crc_mod, table
 
 
@@ -25,6 +25,12 @@ def op2_language_id(spark, sf_dir):
     return found.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op7_lm_scoring(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = lm.score(docs, docs.where(crc_mod("doc_id", 7) != 2), tokenizer("byte_bpe_50k.json"))
+    return found.withColumn("held_out", crc_mod("doc_id", 7) == 2)
+
+
 def quality_training_rows(docs, labels):
     """key, text and quality of the rows that the quality classifier may learn from; one label for each doc_id."""
     marks = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -50,5 +56,5 @@ def op10_ngram_jaccard_join(spark, sf_dir):
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op4_best_fit_packing, op5_benchmark_decontamination, op9_quality_classifier, op10_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op2_language_id, op4_best_fit_packing, op5_benchmark_decontamination, op7_lm_scoring, op9_quality_classifier, op10_ngram_jaccard_join)}
 ORACLE_SQL: dict[str, str] = {}
