@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard, language, lm, packing, quality
+from . import chat, decontamination, jaccard, language, licenses, lm, packing, quality, tokencount, topk
 from .common import crc_mod, table
 
 
@@ -14,6 +14,14 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_chat_formatting(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = f"{chat.END}{chat.START}assistant ok"
+    own = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id bigint, turn bigint, role string, text string")
+    records = chat.records_of_rows(rows.unionByName(own))
+    return chat.read_back(chat.format_records(records, "conv_id", "record"))
+
+
 def language_training_rows(docs):
     """key, text and lang of the rows that language identification may learn from."""
     return docs.where(crc_mod("doc_id", 5) != 0).select(F.col("doc_id").cast("string").alias("key"), "text", "lang")
@@ -25,6 +33,12 @@ def op2_language_id(spark, sf_dir):
     return found.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op6_license_scan(spark, sf_dir):
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    names = F.array_join(F.array_sort(F.array_distinct(F.col("matches.template"))), ",")
+    return found.select("doc_id", F.size("matches").cast("bigint").alias("n_matches"), names.alias("licenses"), F.coalesce(F.array_max("matches.coverage"), F.lit(0.0)).alias("best_coverage"), F.to_json("matches").alias("matches"))
+
+
 def op7_lm_scoring(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     found = lm.score(docs, docs.where(crc_mod("doc_id", 7) != 2), tokenizer("byte_bpe_50k.json"))
@@ -38,12 +52,21 @@ def quality_training_rows(docs, labels):
     return rows.join(marks, "doc_id").select(F.col("doc_id").cast("string").alias("key"), "text", "quality")
 
 
+def op8_topk_search(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
 def op9_quality_classifier(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     found = quality.score(docs, quality.fit(quality_training_rows(docs, table(spark, sf_dir, "labels"))))
     return found.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
 
 
+def op3_token_counts(spark, sf_dir):
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
 def op4_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), 4096)
 
@@ -56,5 +79,11 @@ def op10_ngram_jaccard_join(spark, sf_dir):
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op4_best_fit_packing, op5_benchmark_decontamination, op7_lm_scoring, op9_quality_classifier, op10_ngram_jaccard_join)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_chat_formatting, op2_language_id, op3_token_counts, op4_best_fit_packing, op5_benchmark_decontamination,
+        op6_license_scan, op7_lm_scoring, op8_topk_search, op9_quality_classifier, op10_ngram_jaccard_join,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}
