@@ -76,7 +76,7 @@ def fit(labelled: DataFrame, centroids: int = 4, sample: int = 6000, reject_quan
                 x = vectors(raws[at : at + 256])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 256), pa.array([r.astype("<f2").tobytes() for r in x], pa.binary())], ["lang", "x"])
 
-    got = drawn.select("lang", text_bytes()).mapInArrow(features, "lang string, x binary").toPandas()
+    got = drawn.select("lang", text_bytes()).mapInArrow(features, "lang string, x binary").toArrow().to_pandas()
     lang = got["lang"].to_numpy()
     x = np.frombuffer(b"".join(got["x"]), "<f2").reshape(-1, DIMENSIONS).astype(np.float32)
     order = np.lexsort((x.sum(axis=1), lang.astype(str)))  # alike for any partitioning

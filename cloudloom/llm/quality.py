@@ -120,7 +120,7 @@ def fit(labelled: DataFrame, threshold: float = 0.7, sample: int = 8000) -> dict
             cols = [b.column(0), b.column(2), pa.array([i.astype("<i4").tobytes() for i, _ in got], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in got], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, ["key", "quality", "ids", "x"])
 
-    got = drawn.select("key", text_bytes(), F.col("quality").cast("int")).mapInArrow(features, "key string, quality int, ids binary, x binary").toPandas()
+    got = drawn.select("key", text_bytes(), F.col("quality").cast("int")).mapInArrow(features, "key string, quality int, ids binary, x binary").toArrow().to_pandas()
     got = got.sort_values(["key", "ids"], kind="stable")
     data = [(np.frombuffer(i, "<i4").astype(np.int64), np.frombuffer(v, "<f4").astype(float)) for i, v in zip(got["ids"], got["x"])]
     y = got["quality"].to_numpy(float)
