@@ -1 +1 @@
-""""""
+"""Column functions and shared helpers."""

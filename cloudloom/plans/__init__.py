@@ -1 +1 @@
-""""""
+"""Registered queries and composed pipelines."""

@@ -1 +1 @@
-""""""
+"""Where points, frames and records come from."""
