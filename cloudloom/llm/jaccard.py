@@ -6,10 +6,11 @@ inverted lists of those shingles, the short ones when frequent shingles come las
 the long lists are never gathered but probed by binary search for the candidates alone.
 
 1. One pass over the texts: size and set digest of each row (equal sets form one node), and frequent shingles.
-2. Short lists: the first shingles of each node are dealt by shingle; within a list every node is paired with the list's
-   smallest node. Lists whose nodes have turned out connected need nothing more, so a group of k near copies costs
-   about k pairs and not k squared.
-3. T-occurrence verification of the pairs; then the pairs of nodes that share a list and are not connected yet.
+2. Short lists: the first shingles of each node are dealt by shingle; shingles with the same nodes become one list with a
+   weight. In each list every node is paired with the one that shares most, which is searched for in blocks of them.
+   Lists whose nodes have turned out connected need nothing more, so a group of k near copies costs about k pairs and
+   not k squared.
+3. All other pairs of nodes that share lists enough to reach the overlap and are not connected yet are verified.
 4. Connected components of the exact links.
 """
 
@@ -58,7 +59,7 @@ class Shingler:
         n = max(1, len(h) - self.size + 1)
         out = np.full(n, len(h) if len(h) < self.size else self.size, np.uint64)
         for k in range(min(self.size, len(h))):
-            out += mix64(h[k : k + n] + _ODD[k % 5]) * _ODD[(k + 1) % 5]
+            out += h[k : k + n] * (_ODD[k % 5] + np.uint64(2 * (k // 5)))
         return np.unique(mix64(out))
 
 
@@ -130,7 +131,7 @@ def _describe(docs: DataFrame, size: int) -> DataFrame:
 
         def frequent():
             keys, n = np.unique(np.concatenate(pending), return_counts=True)
-            return keys[n >= 4], n[n >= 4]
+            return keys[n >= 2], n[n >= 2]
 
         def rows(kind, doc_ids, nodes, ns):
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(ns), kind, np.int32)), doc_ids, pa.array(nodes, pa.int64()), pa.array(ns, pa.int64())], ["kind", "doc_id", "node", "n"])
@@ -172,15 +173,16 @@ def _first_shingles(reps: DataFrame, frequent, size: int, percent: int, buckets:
                     if not len(t):
                         continue
                     n = len(t)
+                    p = prefix_length(n, percent)
+                    first = t
                     if len(keys):
                         k = np.minimum(np.searchsorted(keys, t), len(keys) - 1)
-                        common = np.where(keys[k] == t, times[k], 0)
-                        t2 = t[np.lexsort((t, common))]
-                    else:
-                        t2 = t
-                    p = prefix_length(n, percent)
+                        common = keys[k] == t
+                        first = t[~common]
+                        if len(first) < p:
+                            first = np.concatenate([first, t[common][np.argsort(times[k[common]], kind="stable")]])
                     e = np.empty(p, _ENTRY)
-                    e["token"], e["node"], e["n"], e["rank"] = t2[:p], node_of(t), n, np.arange(p)
+                    e["token"], e["node"], e["n"], e["rank"] = first[:p], node_of(t), n, np.arange(p)
                     parts.append(e)
                 if not parts:
                     continue
@@ -199,7 +201,8 @@ _ENTRY = np.dtype([("token", "<u8"), ("node", "<i8"), ("n", "<i4"), ("rank", "<i
 
 
 def _short_lists(blobs: DataFrame, buckets: int, percent: int) -> DataFrame:
-    """Entries of lists of two or more nodes, each with the smallest node of its list (lead, lead_n, lead_rank)."""
+    """Lists of two or more nodes: list (a digest of its nodes), node, n, rank (the node's highest of the list's
+    shingles) and weight (the number of shingles with these nodes)."""
 
     def run(batches):
         held: dict[int, list[bytes]] = {}
@@ -208,29 +211,37 @@ def _short_lists(blobs: DataFrame, buckets: int, percent: int) -> DataFrame:
                 held.setdefault(k, []).append(e)
         while held:
             e = np.frombuffer(b"".join(held.popitem()[1]), _ENTRY)
-            keys, which, n = np.unique(e["token"], return_inverse=True, return_counts=True)
+            _, which, n = np.unique(e["token"], return_inverse=True, return_counts=True)
             e = e[n[which] > 1]
             e = e[np.lexsort((e["node"], e["n"], e["token"]))]
+            # an entry whose neighbours by size are too small and too large for it has no partner in the list
+            near = (e["token"][1:] == e["token"][:-1]) & (100 * e["n"][:-1].astype(np.int64) >= percent * e["n"][1:].astype(np.int64))
+            e = e[np.concatenate([near, [False]]) | np.concatenate([[False], near])] if len(e) else e
             if not len(e):
                 continue
-            new = np.concatenate([[True], e["token"][1:] != e["token"][:-1]])
-            lead = e[np.flatnonzero(new)[np.cumsum(new) - 1]]
-            for at in range(0, len(e), 100_000):
-                x, y = e[at : at + 100_000], lead[at : at + 100_000]
-                cols = [x["token"].view("<i8"), x["node"], x["n"], x["rank"], y["node"], y["n"], y["rank"]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], _LIST)
-
-    dealt = blobs.repartition(buckets, "bucket")
-    return dealt.mapInArrow(run, "token bigint, node bigint, n int, rank int, lead bigint, lead_n int, lead_rank int")
-
-
-_LIST = ["token", "node", "n", "rank", "lead", "lead_n", "lead_rank"]
-
-
-def _possible(n, rank, m, other, percent: int):
-    """Whether two sets that share a shingle at these ranks can reach the overlap, if it's the first that they share."""
+            first = np.flatnonzero(np.concatenate([[True], e["token"][1:] != e["token"][:-1]]))
+            size = np.diff(np.append(first, len(e)))
+            digest = mix64(np.bitwise_xor.reduceat(mix64(e["node"].view("<u8") if e["node"].flags.c_contiguous else e["node"].astype("<i8").view("<u8")), first) + size.astype(np.uint64))
+            digest = np.repeat(digest.view(np.int64), size)
+            order = np.lexsort((e["rank"], e["node"], digest))
+            e, digest = e[order], digest[order]
+            first = np.flatnonzero(np.concatenate([[True], (digest[1:] != digest[:-1]) | (e["node"][1:] != e["node"][:-1])]))
+            last = np.append(first[1:], len(e)) - 1
+            cols = [digest[first], e["node"][first], e["n"][first], e["rank"][last], (last - first + 1).astype(np.int64)]
+            for at in range(0, len(first), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c[at : at + 100_000])) for c in cols], ["list", "node", "n", "rank", "weight"])
+
+    lists = blobs.repartition(buckets, "bucket").mapInArrow(run, "list bigint, node bigint, n int, rank int, weight bigint")
+    return lists.groupBy("list", "node").agg(F.max("n").alias("n"), F.max("rank").alias("rank"), F.sum("weight").alias("weight"))
+
+
+def _possible(n, last, m, other, shared, percent: int):
+    """Whether sets of sizes n and m can reach the overlap that share exactly ``shared`` of their first shingles, the
+    last of them at the ranks last and other: any further one lies beyond the first shingles of one of the sets."""
     need = F.ceil(percent * (n + m) / F.lit(100.0 + percent) - 1e-9)
-    return F.least(n - rank, m - other) >= need
+    beyond = lambda size: F.ceil(percent * size / F.lit(100.0) - 1e-9) - 1
+    more = F.greatest(F.least(beyond(n), m - 1 - other), F.least(n - 1 - last, beyond(m)))
+    return shared + more >= need
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int, block: int = 256) -> DataFrame:
@@ -246,8 +257,17 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int, block: int = 256) -
         now, query, ids, own = None, None, [], []
 
         def links():
-            hits = divide_skip(query, BlockIndex(own), percent) if own and query is not None else []
-            return [(now[0], ids[k]) for k, _ in hits]
+            """The query's links in the block; members that it doesn't reach are searched for in turn."""
+            if not own or query is None:
+                return []
+            index = BlockIndex(own)
+            hit = {k for k, _ in divide_skip(query, index, percent)}
+            found = [(now[0], ids[k]) for k in hit]
+            if len(own) > 1:
+                for k in range(len(own)):
+                    if k not in hit:
+                        found += [(ids[k], ids[j]) for j, _ in divide_skip(own[k], index, percent) if j != k]
+            return found
 
         out: list[tuple[int, int]] = []
         for b in batches:
@@ -292,7 +312,8 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.where("b > a").join(least, "a").select(F.col("low").alias("a"), "b").where("a <> b")
         # every edge now runs from a smaller a to a larger b; the small star ties b's smaller neighbours to the smallest
         low = large.groupBy("b").agg(F.min("a").alias("low"))
-        small = large.join(low, "b").select("low", F.explode(F.array("a", "b")).alias("b")).where("low <> b")
+        small = large.join(low, "b")
+        small = small.select("low", "a").union(small.select("low", "b")).toDF("low", "b").where("low <> b")
         edges = materialise(small.select(F.col("low").alias("a"), "b").distinct())
         after = mark(edges)
         if after == before:
@@ -326,10 +347,10 @@ def _all_links(docs: DataFrame, described: DataFrame, nodes: DataFrame, size: in
     """Links that connect all nodes whose sets reach the similarity; links within a component may be left out."""
     spark = docs.sparkSession
     top = described.where("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "node").limit(FREQUENT)
-    top = top.toPandas()  # at most FREQUENT rows
-    keys = top["node"].to_numpy(np.int64).view(np.uint64)
+    top = top.toArrow()  # at most FREQUENT rows
+    keys = top["node"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    frequent = spark.sparkContext.broadcast((keys[order], top["n"].to_numpy(np.int64)[order]))
+    frequent = spark.sparkContext.broadcast((keys[order], top["n"].to_numpy()[order]))
     total = described.where("kind = 0").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     buckets = max(16, int(total[1] * (100 - percent) / 100) // 400_000)
 
@@ -338,27 +359,37 @@ def _all_links(docs: DataFrame, described: DataFrame, nodes: DataFrame, size: in
     extra = materialise(described.where("kind = 0 and n > 0").select("doc_id", "node").join(nodes.select("node", F.col("doc_id").alias("first")), "node").where("doc_id <> first").select("doc_id").distinct().join(first, "doc_id", "left_anti"))
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_bytes())
     reps = keep_matching(source, extra, "doc_id", extra.count(), "left_anti")
-    lists = materialise(_short_lists(_first_shingles(reps, frequent, size, percent, buckets), buckets, percent).where("node <> lead or rank >= 0"))
-
-    wanted = lists.select("node").distinct()
-    ids = materialise(nodes.join(wanted, "node").select("node", "doc_id"))
-    n_ids = ids.count()
-    sets = materialise(_sets(keep_matching(source, ids.select("doc_id").distinct(), "doc_id", n_ids), size).join(ids.select("node"), "node", "left_semi").dropDuplicates(["node"]))
-
-    fits = _possible(F.col("n"), F.col("rank"), F.col("lead_n"), F.col("lead_rank"), percent)
-    star = lists.where("node <> lead").where(fits).select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    links = materialise(_verify(star, sets, percent))
+    lists = materialise(_short_lists(_first_shingles(reps, frequent, size, percent, buckets), buckets, percent))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = materialise(pairs)
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        ids = materialise(nodes.join(wanted, "node").select("node", "doc_id"))
+        texts = keep_matching(source, ids.select("doc_id").distinct(), "doc_id", ids.count())
+        sets = materialise(_sets(texts, size).join(ids.select("node"), "node", "left_semi"))
+        return materialise(_verify(pairs, sets.dropDuplicates(["node"]) if sets.count() > ids.count() else sets, percent))
+
+    # the node that shares most with others is each list's lead: enough to connect groups of copies
+    shares = lists.join(lists.groupBy("list").agg(F.count("*").alias("nodes")), "list").groupBy("node").agg(F.sum(F.col("weight") * F.col("nodes")).alias("shares"))
+    ranked = lists.join(shares, "node")
+    leads = ranked.groupBy("list").agg(F.max(F.struct("shares", "node", "n")).alias("lead")).select("list", F.col("lead.node").alias("a"), F.col("lead.n").alias("m"))
+    star = lists.join(leads, "list").where("node <> a").groupBy("a", F.col("node").alias("b")).agg(F.sum("weight").alias("shared"), F.max("n").alias("n"), F.max("m").alias("m"))
+    sizes = (100 * F.col("m") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("m"))
+    links = verified(star.where(sizes & (F.col("shared") >= 0.03 * F.col("n"))).select("a", "b"))
     comps = materialise(connected_components(links))
 
-    # what shares a list and isn't connected yet
-    tagged = lists.join(comps, "node", "left").select("token", "node", "n", "rank", F.coalesce("component", "node").alias("group"))
-    mixed = tagged.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("token")
-    open_lists = materialise(tagged.join(mixed, "token", "left_semi"))
+    # every other pair that shares a list and isn't connected yet: counted in the short lists, then bounded by the long ones
+    tagged = lists.join(comps, "node", "left").select("list", "node", "n", "rank", "weight", F.coalesce("component", "node").alias("group"))
+    mixed = tagged.groupBy("list").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("list")
+    open_lists = materialise(tagged.join(mixed, "list", "left_semi"))
     x, y = open_lists.alias("x"), open_lists.alias("y")
-    fits = _possible(F.col("x.n"), F.col("x.rank"), F.col("y.n"), F.col("y.rank"), percent)
-    rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.group") != F.col("y.group")) & fits)
-    rest = rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    return links.unionByName(_verify(rest.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), sets, percent))
+    sizes = (100 * F.col("x.n") >= percent * F.col("y.n")) & (100 * F.col("y.n") >= percent * F.col("x.n"))
+    rest = x.join(y, (F.col("x.list") == F.col("y.list")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.group") != F.col("y.group")) & sizes)
+    rest = rest.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(
+        F.sum("x.weight").alias("shared"), F.max("x.rank").alias("i"), F.max("y.rank").alias("j"), F.max("x.n").alias("n"), F.max("y.n").alias("m")
+    )
+    rest = rest.where(_possible(F.col("n"), F.col("i"), F.col("m"), F.col("j"), F.col("shared"), percent)).select("a", "b")
+    return links.unionByName(verified(rest))
 
 
 def _sets(source: DataFrame, size: int) -> DataFrame:
