@@ -109,13 +109,14 @@ class Scanner:
         found = []
         for name, own in diagonals.items():
             template, groups = self.words[name], []
+            band = min(self.band, max(1, len(template) // 4))  # so that short templates close together stay apart
             for d in sorted(own):
-                if groups and d - groups[-1] <= self.band:
+                if groups and d - groups[-1] <= band:
                     continue
                 groups.append(d)
             last_end = -1
             for d in groups:
-                matches, first, last = align(template, words, d, self.band)
+                matches, first, last = align(template, words, d, band)
                 if matches >= self.coverage * len(template) and first > last_end:
                     found.append((name, matches, matches / len(template), first, last))
                     last_end = last
@@ -133,8 +134,8 @@ _MATCH = pa.list_(pa.struct([("template", pa.string()), ("matched", pa.int64()),
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, band: int = 6, coverage: float = 0.8) -> DataFrame:
     """doc_id and matches (template, matched words, coverage, start, end) of every whole text.
 
-    A match needs ``coverage`` of the template's words in order, within ``band`` words of the diagonal that a shared
-    fingerprint sets. Occurrences of one template don't overlap. Null and empty texts match nothing; repeated rows and
+    A match needs ``coverage`` of the template's words in order, within ``band`` words (a quarter of a short template) of
+    the diagonal that a shared fingerprint sets. Occurrences of one template don't overlap. Null and empty texts match nothing; repeated rows and
     null ids are scanned like others; columns besides doc_id and text are not read. Templates of fewer than three words
     never match. The templates travel with the tasks, so they should stay within a few MB.
     """
