@@ -70,9 +70,9 @@ def _(spark, d):
     return rounded(ce.select("cloud_id", losses.weighted_total({"loss": 0.7, "one": 0.3}).alias("loss")), "loss")
 
 
-@query("t2_w7_smoothed", "SELECT run, name, iter, round(avg(value) OVER w, 4) AS mean, round(median(value) OVER w, 4) AS median FROM metrics WINDOW w AS (PARTITION BY run, name ORDER BY iter ROWS 19 PRECEDING)")
+@query("t2_w7_smoothed", "SELECT run, name, iter, round(avg(value) OVER w, 8) AS mean, round(median(value) OVER w, 8) AS median FROM metrics WINDOW w AS (PARTITION BY run, name ORDER BY iter ROWS 19 PRECEDING)")
 def _(spark, d):
-    return rounded(stream.smoothed(metrics(spark, d), 20).select("run", "name", "iter", "mean", "median"), "mean", "median", digits=4)
+    return rounded(stream.smoothed(metrics(spark, d), 20).select("run", "name", "iter", "mean", "median"), "mean", "median", digits=8)
 
 
 @query("t3_w8_best_so_far", "SELECT run, name, iter, greatest(value, max(value) OVER w) AS best, coalesce(value > max(value) OVER w, true) AS new_best FROM metrics WINDOW w AS (PARTITION BY run, name ORDER BY iter ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
@@ -88,13 +88,13 @@ def _(spark, d):
     return stream.running_confusion(counts.unionByName(counts))
 
 
-@query("e33_running_mean", "SELECT run, name, iter, round(sum(value*(iter+1)) OVER w / sum(iter+1) OVER w, 4) AS mean FROM metrics WINDOW w AS (PARTITION BY run, name ORDER BY iter ROWS UNBOUNDED PRECEDING)")
+@query("e33_running_mean", "SELECT run, name, iter, round(sum(value*(iter+1)) OVER w / sum(iter+1) OVER w, 7) AS mean FROM metrics WINDOW w AS (PARTITION BY run, name ORDER BY iter ROWS UNBOUNDED PRECEDING)")
 def _(spark, d):
     from pyspark.sql import Window
 
     w = Window.partitionBy("run", "name").orderBy("iter").rowsBetween(Window.unboundedPreceding, 0)
     n = F.col("iter") + 1
-    return rounded(metrics(spark, d).select("run", "name", "iter", (F.sum(F.col("value") * n).over(w) / F.sum(n).over(w)).alias("mean")), "mean", digits=4)
+    return rounded(metrics(spark, d).select("run", "name", "iter", (F.sum(F.col("value") * n).over(w) / F.sum(n).over(w)).alias("mean")), "mean", digits=7)
 
 
 @query("x1_x2_pipeline", "SELECT cloud_id, point_id, round(least(greatest((x - min(x) OVER w) / 2, 1), 20), 6) AS x FROM pts WHERE label NOT IN (4) WINDOW w AS (PARTITION BY cloud_id)")
