@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloudloom.functions.random import draw
-from cloudloom.operators.cloud import CLOUD
+from cloudloom.operators.cloud import per_cloud
 from cloudloom.operators.scalar import rotate
 
 
@@ -24,7 +24,7 @@ def flip(df: DataFrame, p: float, seed: int) -> DataFrame:
 
 def rotate_clouds(df: DataFrame, axis: str, angle: Column) -> DataFrame:
     """Turn each cloud about an axis through the centre of its box."""
-    centred = {f"_{a}": (F.min(a).over(CLOUD) + F.max(a).over(CLOUD)) / 2 for a in "xyz"}
+    centred = {f"_{a}": (F.min(a).over(per_cloud()) + F.max(a).over(per_cloud())) / 2 for a in "xyz"}
     out = df.withColumns(centred)
     return out.withColumns(rotate(axis, angle, {a: F.col(f"_{a}") for a in "xyz"})).drop(*centred)
 

@@ -12,30 +12,33 @@ from pyspark.sql import functions as F
 
 from cloudloom.functions.random import draw
 
-CLOUD = Window.partitionBy("cloud_id")
+
+def per_cloud():
+    """The window over a whole cloud."""
+    return Window.partitionBy("cloud_id")
 
 
 def ranked(*order) -> Column:
-    return F.row_number().over(CLOUD.orderBy(*order))
+    return F.row_number().over(per_cloud().orderBy(*order))
 
 
 def centre_shift(df: DataFrame, apply_z: bool = True) -> DataFrame:
     """A1: x and y from the box's centre; z from its bottom, if asked for."""
-    moved = {a: F.col(a) - (F.min(a).over(CLOUD) + F.max(a).over(CLOUD)) / 2 for a in "xy"}
+    moved = {a: F.col(a) - (F.min(a).over(per_cloud()) + F.max(a).over(per_cloud())) / 2 for a in "xy"}
     if apply_z:
-        moved["z"] = F.col("z") - F.min("z").over(CLOUD)
+        moved["z"] = F.col("z") - F.min("z").over(per_cloud())
     return df.withColumns(moved)
 
 
 def positive_shift(df: DataFrame) -> DataFrame:
     """A2: the box's corner to the origin."""
-    return df.withColumns({a: F.col(a) - F.min(a).over(CLOUD) for a in "xyz"})
+    return df.withColumns({a: F.col(a) - F.min(a).over(per_cloud()) for a in "xyz"})
 
 
 def unit_sphere(df: DataFrame) -> DataFrame:
     """A3: from the centroid, over the largest distance; a cloud of one place becomes zeros."""
-    near = df.withColumns({a: F.col(a) - F.avg(a).over(CLOUD) for a in "xyz"})
-    radius = F.max(F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2)).over(CLOUD)
+    near = df.withColumns({a: F.col(a) - F.avg(a).over(per_cloud()) for a in "xyz"})
+    radius = F.max(F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2)).over(per_cloud())
     return near.withColumn("_radius", radius).withColumns({a: F.coalesce(F.try_divide(F.col(a), "_radius"), F.lit(0.0)) for a in "xyz"}).drop("_radius")
 
 
@@ -57,7 +60,7 @@ def auto_contrast(df: DataFrame, channels: Sequence[str], blend: float) -> DataF
     """A5: stretch each channel to 0..255 over its cloud, blended with the old value; a flat channel stays."""
     out = {}
     for c in channels:
-        low, high = F.min(c).over(CLOUD), F.max(c).over(CLOUD)
+        low, high = F.min(c).over(per_cloud()), F.max(c).over(per_cloud())
         stretched = F.coalesce(F.try_divide((F.col(c) - low) * 255, high - low), F.col(c))
         out[c] = (1 - blend) * F.col(c) + blend * stretched
     return df.withColumns(out)
@@ -65,7 +68,7 @@ def auto_contrast(df: DataFrame, channels: Sequence[str], blend: float) -> DataF
 
 def intensity_variation(df: DataFrame, shift: float, scale: float, gamma: float, value: str = "intensity") -> DataFrame:
     """Shift, scale about the cloud's least value, and gamma on the range 0..1 of the cloud."""
-    low, high = F.min(value).over(CLOUD), F.max(value).over(CLOUD)
+    low, high = F.min(value).over(per_cloud()), F.max(value).over(per_cloud())
     moved = (F.col(value) - low) * scale + low + shift
     span = (high - low) * scale
     share = F.coalesce(F.try_divide(moved - low - shift, span), F.lit(0.0))
@@ -79,7 +82,7 @@ def parse_instances(df: DataFrame, ignored: Sequence[int]) -> DataFrame:
     """
     kept = F.when(F.col("label").isin(*ignored) | (F.col("instance") < 0), None).otherwise(F.col("instance"))
     out = df.withColumn("_kept", kept)
-    dense = F.dense_rank().over(CLOUD.orderBy(F.col("_kept").asc_nulls_last())) - 1
+    dense = F.dense_rank().over(per_cloud().orderBy(F.col("_kept").asc_nulls_last())) - 1
     own = Window.partitionBy("cloud_id", "_kept")
     out = out.withColumn("instance", F.when(F.col("_kept").isNull(), -1).otherwise(dense))
     return out.withColumns({f"c{a}": F.when(F.col("_kept").isNotNull(), F.avg(a).over(own)) for a in "xyz"}).drop("_kept")
@@ -108,10 +111,10 @@ def patch(df: DataFrame, size: Sequence[float], seed: int) -> DataFrame:
 
     x and y are half-open, z is closed; an axis on which the cloud is no longer than the patch isn't cut.
     """
-    w = CLOUD.orderBy(draw(seed, "cloud_id", "point_id"), "point_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    w = per_cloud().orderBy(draw(seed, "cloud_id", "point_id"), "point_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     out, tests = df, []
     for k, a in enumerate("xyz"):
-        low, high = F.min(a).over(CLOUD), F.max(a).over(CLOUD)
+        low, high = F.min(a).over(per_cloud()), F.max(a).over(per_cloud())
         start = F.greatest(low, F.least(F.first(a).over(w) - size[k] / 2, high - size[k]))
         out = out.withColumns({f"_{a}": start, f"_all{a}": (high - low) <= size[k]})
         inside = (F.col(a) >= F.col(f"_{a}")) & ((F.col(a) < F.col(f"_{a}") + size[k]) if a != "z" else (F.col(a) <= F.col(f"_{a}") + size[k]))
@@ -138,25 +141,25 @@ def rib_pairs_to_drop(depth: int, begin: str, n_pairs: int = 12) -> list[int]:
 def drop_ribs(df: DataFrame, depth: int, begin: str = "first", min_points: int = 0, label: str = "rib") -> DataFrame:
     """Drop whole pairs of ribs from one end, unless fewer than min_points would stay."""
     gone = F.col(label).isin(*rib_pairs_to_drop(depth, begin))
-    left = F.count_if(~gone).over(CLOUD)
+    left = F.count_if(~gone).over(per_cloud())
     return df.withColumn("_left", left).where(~gone | (F.col("_left") < min_points)).drop("_left")
 
 
 def truncate_at_rib(df: DataFrame, anchor: int, axis: str = "z", keep: str = "below", min_points: int = 0, label: str = "rib") -> DataFrame:
     """Cut at the middle of an anchor pair along an axis; a cloud without it loses the ribs beyond it instead."""
     pair = F.col(label).isin(anchor, anchor + 12)
-    middle = F.avg(F.when(pair, F.col(axis))).over(CLOUD)
+    middle = F.avg(F.when(pair, F.col(axis))).over(per_cloud())
     number = F.when(F.col(label) > 12, F.col(label) - 12).otherwise(F.col(label))
     out = df.withColumn("_middle", middle)
     inside = F.when(F.col("_middle").isNull(), (F.col(label) == 0) | (number <= anchor if keep == "below" else number >= anchor))
     inside = inside.otherwise(F.col(axis) <= F.col("_middle") if keep == "below" else F.col(axis) >= F.col("_middle"))
-    out = out.withColumn("_in", inside).withColumn("_n", F.count_if("_in").over(CLOUD))
+    out = out.withColumn("_in", inside).withColumn("_n", F.count_if("_in").over(per_cloud()))
     return out.where(F.col("_in") | (F.col("_n") < min_points)).select(df.columns)
 
 
 def dropout(df: DataFrame, ratio: float, seed: int, protected: Column | None = None) -> DataFrame:
     """Keep floor(n (1 - ratio)) points of each cloud by draw, and the protected ones."""
-    out = df.withColumn("_rank", ranked(draw(seed, "cloud_id", "point_id"), "point_id")).withColumn("_n", F.count("*").over(CLOUD))
+    out = df.withColumn("_rank", ranked(draw(seed, "cloud_id", "point_id"), "point_id")).withColumn("_n", F.count("*").over(per_cloud()))
     keep = F.col("_rank") <= F.floor(F.col("_n") * (1 - ratio))
     return out.where(keep if protected is None else keep | protected).select(df.columns)
 
@@ -168,7 +171,7 @@ def limit_points(df: DataFrame, most: int, seed: int) -> DataFrame:
 
 def sample_points(df: DataFrame, n: int, seed: int) -> DataFrame:
     """Exactly n rows of each cloud: by draw without replacement, after that with replacement. ``slot`` numbers them."""
-    order = df.withColumn("_rank", ranked(draw(seed, "cloud_id", "point_id"), "point_id")).withColumn("_n", F.count("*").over(CLOUD))
+    order = df.withColumn("_rank", ranked(draw(seed, "cloud_id", "point_id"), "point_id")).withColumn("_n", F.count("*").over(per_cloud()))
     first = order.where(F.col("_rank") <= n).withColumn("slot", F.col("_rank"))
     sizes = order.groupBy("cloud_id").agg(F.count("*").alias("_n")).where(F.col("_n") < n)
     more = sizes.select("cloud_id", "_n", F.explode(F.sequence(F.col("_n") + 1, F.lit(n))).alias("slot"))

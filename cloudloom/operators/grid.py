@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloudloom.functions.random import draw
-from cloudloom.operators.cloud import CLOUD
+from cloudloom.operators.cloud import per_cloud
 from cloudloom.operators.scalar import morton
 
 CELL = ["cloud_id", "cx", "cy", "cz"]
@@ -18,7 +18,7 @@ def cells(df: DataFrame, size: float, relative: bool = True) -> DataFrame:
     """Cell indices floor(coordinate / size), counted from the cloud's lowest cell."""
     raw = {f"c{a}": F.floor(F.col(a) / size) for a in "xyz"}
     out = df.withColumns(raw)
-    return out.withColumns({c: F.col(c) - F.min(c).over(CLOUD) for c in raw}) if relative else out
+    return out.withColumns({c: F.col(c) - F.min(c).over(per_cloud()) for c in raw}) if relative else out
 
 
 def representatives(celled: DataFrame, seed: int | None = None, protected: Column | None = None) -> DataFrame:
@@ -31,7 +31,7 @@ def representatives(celled: DataFrame, seed: int | None = None, protected: Colum
 
 def displacement(celled: DataFrame, size: float) -> DataFrame:
     """How far a point lies from its cell's middle, in cells."""
-    low = {a: F.min(F.floor(F.col(a) / size)).over(CLOUD) for a in "xyz"}
+    low = {a: F.min(F.floor(F.col(a) / size)).over(per_cloud()) for a in "xyz"}
     return celled.withColumns({f"d{a}": F.col(a) / size - (F.col(f"c{a}") + low[a]) - 0.5 for a in "xyz"})
 
 
@@ -44,22 +44,22 @@ def fragments(celled: DataFrame) -> DataFrame:
     """As many fragments as the fullest cell has points; each holds one point of every cell, taken in turn."""
     w = Window.partitionBy(*CELL)
     ranked = celled.withColumns({"_r": F.row_number().over(w.orderBy("point_id")) - 1, "_n": F.count("*").over(w)})
-    ranked = ranked.withColumn("_m", F.max("_n").over(CLOUD))
+    ranked = ranked.withColumn("_m", F.max("_n").over(per_cloud()))
     return ranked.withColumn("fragment", F.explode(F.sequence(F.col("_r").cast("int"), (F.col("_m") - 1).cast("int"), F.col("_n").cast("int")))).drop("_r", "_n", "_m")
 
 
 def tiles(df: DataFrame, length: float, stride: float, least: int, compat: bool = False) -> DataFrame:
     """Overlapping tiles in x and y that start every ``stride`` and are ``length`` long; those of fewer than
     ``least`` points go, the others are numbered densely. compat: the y grid ends where the x extent does."""
-    out = df.withColumns({f"_{a}": F.col(a) - F.min(a).over(CLOUD) for a in "xy"})
-    out = out.withColumns({"_wx": F.max("_x").over(CLOUD), "_wy": F.max("_x" if compat else "_y").over(CLOUD)})
+    out = df.withColumns({f"_{a}": F.col(a) - F.min(a).over(per_cloud()) for a in "xy"})
+    out = out.withColumns({"_wx": F.max("_x").over(per_cloud()), "_wy": F.max("_x" if compat else "_y").over(per_cloud())})
     for a in "xy":
         first = F.greatest(F.floor((F.col(f"_{a}") - length) / stride) + 1, F.lit(0))
         last = F.least(F.floor(F.col(f"_{a}") / stride), F.floor(F.col(f"_w{a}") / stride))
         out = out.where(first <= last).withColumn(f"t{a}", F.explode(F.sequence(first, last)))
     tile = ["cloud_id", "tx", "ty"]
     kept = out.withColumn("_n", F.count("*").over(Window.partitionBy(*tile))).where(F.col("_n") >= least)
-    number = F.dense_rank().over(CLOUD.orderBy("tx", "ty")) - 1
+    number = F.dense_rank().over(per_cloud().orderBy("tx", "ty")) - 1
     return kept.withColumn("chunk", number).select(*df.columns, "chunk")
 
 
@@ -126,7 +126,7 @@ def octree_levels(df: DataFrame, depth: int, columns: Sequence[str] = ("cx", "cy
 def serialise(df: DataFrame, columns: Sequence[str] = ("cx", "cy", "cz"), bits: int = 10) -> DataFrame:
     """Z-order code and rank of each point along the curve of its cloud, ties by id."""
     coded = df.withColumn("code", morton(*[F.col(c) for c in columns], bits=bits))
-    return coded.withColumn("ord", F.row_number().over(CLOUD.orderBy("code", "point_id")) - 1)
+    return coded.withColumn("ord", F.row_number().over(per_cloud().orderBy("code", "point_id")) - 1)
 
 
 def serial_pool(serialised: DataFrame, depth: int) -> DataFrame:
@@ -137,7 +137,7 @@ def serial_pool(serialised: DataFrame, depth: int) -> DataFrame:
 def patches(serialised: DataFrame, size: int) -> DataFrame:
     """Patches of ``size`` along the curve. The last one of a cloud borrows from the one before it, so that all are
     full where the cloud has more than a patch; borrowed rows are marked."""
-    n = serialised.withColumn("_n", F.count("*").over(CLOUD))
+    n = serialised.withColumn("_n", F.count("*").over(per_cloud()))
     own = n.withColumns({"patch": F.floor(F.col("ord") / size), "borrowed": F.lit(False)})
     last = F.floor((F.col("_n") - 1) / size)
     more = n.where((F.col("_n") > size) & (F.col("_n") % size > 0) & (F.col("ord") >= F.col("_n") - size) & (F.col("ord") < last * size))
@@ -147,7 +147,7 @@ def patches(serialised: DataFrame, size: int) -> DataFrame:
 def windows(df: DataFrame, size: float, shifted: bool = False) -> DataFrame:
     """Window of each point on a grid, moved by half a window if asked for, and its rank there."""
     start = size / 2 if shifted else 0.0
-    out = df.withColumns({f"w{a}": F.floor((F.col(a) - F.min(a).over(CLOUD) + start) / size) for a in "xyz"})
+    out = df.withColumns({f"w{a}": F.floor((F.col(a) - F.min(a).over(per_cloud()) + start) / size) for a in "xyz"})
     return out.withColumn("ord", F.row_number().over(Window.partitionBy("cloud_id", "wx", "wy", "wz").orderBy("point_id")) - 1)
 
 
