@@ -123,3 +123,15 @@ def test_streams_equal_batch(spark, tmp_path):
     q = m.incremental_build(spark.readStream.schema(df.schema).parquet(src), lambda d: d.where("value > 1"), str(tmp_path / "out"), str(tmp_path / "cp2"))
     q.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_hilbert_steps_to_a_neighbour():
+    from cloudloom.operators.curves import hilbert_codes
+
+    for bits in (1, 2, 3):
+        n = 1 << bits
+        grid3 = np.array(list(itertools.product(range(n), repeat=3)))
+        code = hilbert_codes(grid3, bits)
+        assert sorted(code) == list(range(n**3))
+        walk = grid3[np.argsort(code)]
+        assert (np.abs(np.diff(walk, axis=0)).sum(axis=1) == 1).all()
