@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from . import chat, decontamination, jaccard, language, licenses, lm, packing, quality, tokencount, topk
 from .common import crc_mod, table
+from .oracles import ORACLE_SQL  # noqa: F401
 
 
 def tokenizer(name: str) -> str:
@@ -86,4 +87,4 @@ QUERIES = {
         op6_license_scan, op7_lm_scoring, op8_topk_search, op9_quality_classifier, op10_ngram_jaccard_join,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+
