@@ -10,7 +10,8 @@ the long lists are never gathered but probed by binary search for the candidates
    weight. In each list every node is paired with the one that shares most, which is searched for in blocks of them.
    Lists whose nodes have turned out connected need nothing more, so a group of k near copies costs about k pairs and
    not k squared.
-3. All other pairs of nodes that share lists enough to reach the overlap and are not connected yet are verified.
+3. What shares a list and isn't connected yet: in short lists, pairs that share enough lists to reach the overlap are
+   verified; in lists of many nodes, those outside the list's largest component are searched for in blocks of the others.
 4. Connected components of the exact links.
 """
 
@@ -30,6 +31,8 @@ from .common import BROADCAST_ROWS, Memo, keep_matching, materialise, mix64, sta
 
 #: Frequent shingles kept for the order of shingles; more of them would shorten lists, none of them changes a result.
 FREQUENT = 500_000
+#: Longer lists are searched by blocks of nodes instead of pair by pair, and a block's size.
+LONG, BLOCK = 32, 256
 #: Shingles of so many texts are counted together in a task.
 CHUNK = 4_000_000
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
@@ -244,7 +247,7 @@ def _possible(n, last, m, other, shared, percent: int):
     return shared + more >= need
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int, block: int = 256) -> DataFrame:
+def _verify(pairs: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
     """Links among pairs (a, b): for each a, its partners in blocks, each block searched with a as the query."""
     size = pairs.groupBy("a").agg(F.count("*").alias("partners"))
     parts = F.ceil(F.col("partners") / block).cast("int")
@@ -361,13 +364,17 @@ def _all_links(docs: DataFrame, described: DataFrame, nodes: DataFrame, size: in
     reps = keep_matching(source, extra, "doc_id", extra.count(), "left_anti")
     lists = materialise(_short_lists(_first_shingles(reps, frequent, size, percent, buckets), buckets, percent))
 
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """The whole sets of the given nodes; texts and sets are filtered by broadcast ids where those are few."""
+        ids = materialise(nodes.join(wanted.distinct(), "node").select("node", "doc_id"))
+        n = ids.count()
+        sets = _sets(keep_matching(source, ids.select("doc_id").distinct(), "doc_id", n), size)
+        sets = materialise(keep_matching(sets, ids.select("node"), "node", n))
+        return sets.dropDuplicates(["node"]) if sets.count() > n else sets
+
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = materialise(pairs)
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        ids = materialise(nodes.join(wanted, "node").select("node", "doc_id"))
-        texts = keep_matching(source, ids.select("doc_id").distinct(), "doc_id", ids.count())
-        sets = materialise(_sets(texts, size).join(ids.select("node"), "node", "left_semi"))
-        return materialise(_verify(pairs, sets.dropDuplicates(["node"]) if sets.count() > ids.count() else sets, percent))
+        return materialise(_verify(pairs, sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b"))), percent))
 
     # the node that shares most with others is each list's lead: enough to connect groups of copies
     shares = lists.join(lists.groupBy("list").agg(F.count("*").alias("nodes")), "list").groupBy("node").agg(F.sum(F.col("weight") * F.col("nodes")).alias("shares"))
@@ -382,14 +389,66 @@ def _all_links(docs: DataFrame, described: DataFrame, nodes: DataFrame, size: in
     tagged = lists.join(comps, "node", "left").select("list", "node", "n", "rank", "weight", F.coalesce("component", "node").alias("group"))
     mixed = tagged.groupBy("list").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("list")
     open_lists = materialise(tagged.join(mixed, "list", "left_semi"))
-    x, y = open_lists.alias("x"), open_lists.alias("y")
+    length = open_lists.groupBy("list").agg(F.count("*").alias("nodes"))
+    short_lists = open_lists.join(length.where(F.col("nodes") <= LONG).select("list"), "list", "left_semi")
+    x, y = short_lists.alias("x"), short_lists.alias("y")
     sizes = (100 * F.col("x.n") >= percent * F.col("y.n")) & (100 * F.col("y.n") >= percent * F.col("x.n"))
     rest = x.join(y, (F.col("x.list") == F.col("y.list")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.group") != F.col("y.group")) & sizes)
     rest = rest.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(
         F.sum("x.weight").alias("shared"), F.max("x.rank").alias("i"), F.max("y.rank").alias("j"), F.max("x.n").alias("n"), F.max("y.n").alias("m")
     )
+    # a pair that also shares a long list may be bounded too low here; the blocks below find it
     rest = rest.where(_possible(F.col("n"), F.col("i"), F.col("m"), F.col("j"), F.col("shared"), percent)).select("a", "b")
-    return links.unionByName(verified(rest))
+    links = links.unionByName(verified(rest))
+
+    members = materialise(open_lists.join(length.where(F.col("nodes") > LONG), "list").select("list", "node", "n", "group", "nodes"))
+    if members.isEmpty():
+        return links
+    asks, blocks = _block_search(members, percent)
+    asks, blocks = materialise(asks), materialise(blocks)
+    return links.unionByName(_search_blocks(asks, blocks, sets_of(members.select("node")), percent))
+
+
+def _block_search(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Which nodes are searched for in which blocks: asks (node, home, band, chunk) and blocks (node, home, band, chunk).
+
+    A node's home is the longest of its long lists, so the nodes of a list lie in few blocks; bands of sizes, each a
+    quarter apart or more, keep out what can't be similar, and chunks bound a block.
+    """
+    group = members.groupBy("list", "group").agg(F.count("*").alias("k")).groupBy("list").agg(F.max(F.struct("k", "group")).alias("g")).select("list", F.col("g.group").alias("largest"))
+    band = F.floor(F.ln("n") / F.ln(F.lit(100.0 / percent)))
+    home = members.groupBy("node").agg(F.max(F.struct("nodes", "list")).alias("h"), F.max("n").alias("n"))
+    blocks = home.select("node", F.col("h.list").alias("home"), band.alias("band"), F.pmod(F.xxhash64("node"), F.greatest(F.ceil(F.col("h.nodes") / BLOCK), F.lit(1))).alias("chunk"))
+    held = members.select("list", "node").join(blocks, "node").select("list", "home", "band", "chunk").distinct()
+    queries = members.join(group, "list").where("group <> largest").select("list", "node", band.alias("own"))
+    asks = queries.join(held, "list").where(F.abs(F.col("own") - F.col("band")) <= 1).select("node", "home", "band", "chunk").distinct()
+    return asks, blocks
+
+
+def _search_blocks(asks: DataFrame, blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of the asking nodes with the nodes of the blocks; each block's index is built once."""
+    key = ["home", "band", "chunk"]
+    rows = blocks.join(asks.select(*key).distinct(), key, "left_semi").withColumn("kind", F.lit(0)).unionByName(asks.withColumn("kind", F.lit(1)))
+    rows = rows.join(sets, "node").select(*key, "kind", "node", "tokens")
+
+    def run(batches):
+        now, ids, own, index = None, [], [], None
+        for b in batches:
+            out = []
+            for home, band, chunk, kind, node, tokens in zip(*(c.to_pylist() for c in b.columns)):
+                if (home, band, chunk) != now:
+                    now, ids, own, index = (home, band, chunk), [], [], None
+                t = np.frombuffer(tokens, "<u8")
+                if kind == 0:
+                    ids.append(node)
+                    own.append(t)
+                    continue
+                if index is None:
+                    index = BlockIndex(own)
+                out += [(node, ids[k]) for k, _ in divide_skip(t, index, percent) if ids[k] != node]
+            yield _pairs_batch(out)
+
+    return rows.repartition(*key).sortWithinPartitions(*key, "kind").mapInArrow(run, "a bigint, b bigint")
 
 
 def _sets(source: DataFrame, size: int) -> DataFrame:
