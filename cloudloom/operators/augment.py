@@ -63,3 +63,31 @@ def choose_one(df: DataFrame, candidates, seed: int) -> DataFrame:
 def colour_drop(df: DataFrame, p: float, factor: float, seed: int, channels=("r", "g", "b")) -> DataFrame:
     """A cloud's colours times a factor, with probability p."""
     return df.withColumns({c: F.col(c) * F.when(draw(seed, "cloud_id") < p, factor).otherwise(1.0) for c in channels})
+
+
+def colour_shift(df: DataFrame, p: float, ratio: float, seed: int, channels=("r", "g", "b")) -> DataFrame:
+    """With probability p a cloud's channels move by up to ratio * 255, clipped to 0..255."""
+    move = lambda k: (draw(seed + 1 + k, "cloud_id") - 0.5) * 2 * 255 * ratio
+    shifted = {c: F.when(draw(seed, "cloud_id") < p, F.least(F.greatest(F.col(c) + move(k), F.lit(0.0)), F.lit(255.0))).otherwise(F.col(c)) for k, c in enumerate(channels)}
+    return df.withColumns(shifted)
+
+
+def colour_jitter(df: DataFrame, brightness: float, contrast: float, saturation: float, channels=("r", "g", "b")) -> DataFrame:
+    """Brightness, then contrast (blended with the cloud's mean grey), then saturation (with the point's own grey)."""
+    clip = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(255.0))
+    grey = lambda d: sum((F.col(c) * w for c, w in zip(channels, (0.2989, 0.587, 0.114))), F.lit(0.0))
+    out = df.withColumns({c: clip(F.col(c) * brightness) for c in channels})
+    out = out.withColumn("_mean", F.avg(grey(out)).over(per_cloud()))
+    out = out.withColumns({c: clip(F.col(c) * contrast + F.col("_mean") * (1 - contrast)) for c in channels})
+    out = out.withColumn("_grey", grey(out))
+    return out.withColumns({c: clip(F.col(c) * saturation + F.col("_grey") * (1 - saturation)) for c in channels}).drop("_mean", "_grey")
+
+
+def drop_ribs_randomly(df: DataFrame, most: int, seed: int, min_points: int = 0, label: str = "rib") -> DataFrame:
+    """Drop a drawn number of rib pairs (up to most, and up to the pairs present) from a drawn end of each cloud."""
+    number = F.when(F.col(label) > 12, F.col(label) - 12).when(F.col(label) > 0, F.col(label))
+    out = df.withColumn("_no", number).withColumn("_present", F.size(F.collect_set("_no").over(per_cloud())))
+    depth = F.least(F.floor(draw(seed, "cloud_id") * (most + 1)), F.col("_present"))
+    gone = F.coalesce(F.when(draw(seed + 1, "cloud_id") < 0.5, F.col("_no") <= depth).otherwise(F.col("_no") > 12 - depth), F.lit(False))
+    out = out.withColumn("_gone", gone).withColumn("_left", F.count_if(~F.col("_gone")).over(per_cloud()))
+    return out.where(~F.col("_gone") | (F.col("_left") < min_points)).select(df.columns)

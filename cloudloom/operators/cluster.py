@@ -221,3 +221,14 @@ def average_precision(guesses: DataFrame, truth: DataFrame, overlaps: DataFrame,
     ap = steps.groupBy("threshold", "class").agg(F.sum("_step").alias("ap"))
     classes = guesses.select("class").union(truth.select("class")).distinct().select("class", thr)
     return classes.join(total, "class", "left").join(ap, ["threshold", "class"], "left").select("threshold", "class", F.when(F.col("_truth") > 0, F.coalesce("ap", F.lit(0.0))).alias("ap"))
+
+
+def select_instances(scores: DataFrame, masks: DataFrame, top: int, least_score: float, least_points: int) -> DataFrame:
+    """The best (query, class) scores of a cloud, times the mean of their mask's probabilities over one half; weak and
+    small ones go; by falling score. scores: cloud_id, query, class, score; masks: cloud_id, query, point_id, p."""
+    w = Window.partitionBy("cloud_id").orderBy(F.desc("score"), "query", "class")
+    best = scores.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= top).drop("_r")
+    inside = masks.where("p > 0.5").groupBy("cloud_id", "query").agg(F.avg("p").alias("_m"), F.count("*").alias("points"))
+    out = best.join(inside, ["cloud_id", "query"]).withColumn("score", F.col("score") * F.col("_m"))
+    out = out.where((F.col("score") >= least_score) & (F.col("points") >= least_points)).drop("_m")
+    return out.withColumn("rank", F.row_number().over(w))

@@ -173,3 +173,38 @@ def vertex_majority(faces: DataFrame, label: str) -> DataFrame:
     """A10: the commonest label of a vertex's faces, ties to the smaller, then less 1."""
     c = faces.select("cloud_id", F.explode(F.array("v0", "v1", "v2")).alias("vertex_id"), label).groupBy("cloud_id", "vertex_id", label).agg(F.count("*").alias("_n"))
     return c.groupBy("cloud_id", "vertex_id").agg((F.max(F.struct("_n", (-F.col(label)).alias("_l"))).getField("_l") * -1 - 1).alias("label"))
+
+
+def box_edges(boxes: DataFrame) -> DataFrame:
+    """The integer points on the twelve edges of boxes (id, x0, y0, z0, x1, y1, z1), each once."""
+    parts = []
+    for k, a in enumerate("xyz"):
+        b, c = [d for d in "xyz" if d != a]
+        ends = F.explode(F.array(*[F.struct(F.col(f"{b}{i}").alias("b"), F.col(f"{c}{j}").alias("c")) for i in (0, 1) for j in (0, 1)]))
+        run = boxes.withColumn("_e", ends).withColumn("_t", F.explode(F.sequence(f"{a}0", f"{a}1")))
+        parts.append(run.select("id", *[{a: F.col("_t"), b: F.col("_e.b"), c: F.col("_e.c")}[d].alias(d) for d in "xyz"]))
+    return parts[0].union(parts[1]).union(parts[2]).distinct()
+
+
+def surface_sample_sizes(normals: DataFrame, density: float) -> DataFrame:
+    """How many points to draw from each mesh: area / density^2, rounded down."""
+    return normals.groupBy("cloud_id").agg(F.sum("area").alias("area")).withColumn("samples", F.floor(F.col("area") / (density * density)))
+
+
+def barycentric(samples: DataFrame, corners: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Attributes at samples (cloud_id, sample_id, face_id, u, v) from those of the face's three corners (k = 0, 1, 2)."""
+    weight = F.when(F.col("k") == 0, 1 - F.col("u") - F.col("v")).when(F.col("k") == 1, F.col("u")).otherwise(F.col("v"))
+    hit = samples.join(corners, ["cloud_id", "face_id"])
+    return hit.groupBy("cloud_id", "sample_id").agg(*[F.sum(weight * F.col(c)).alias(c) for c in columns])
+
+
+def vertex_label_slots(labels: DataFrame, slots: int = 3) -> DataFrame:
+    """Of (cloud_id, vertex_id, ord, label, instance) each vertex's first labels in annotation order; the one of the
+    smallest instance, counted by the slots that it won, goes first."""
+    v = Window.partitionBy("cloud_id", "vertex_id")
+    kept = labels.withColumn("_s", F.row_number().over(v.orderBy("ord"))).where(F.col("_s") <= slots)
+    sized = kept.withColumn("_size", F.count("*").over(Window.partitionBy("cloud_id", "instance")))
+    main = sized.withColumn("_main", F.row_number().over(v.orderBy("_size", "_s")) == 1)
+    at = F.max(F.when(F.col("_main"), F.col("_s"))).over(v)
+    moved = main.withColumn("slot", F.when(F.col("_main"), 1).when(F.col("_s") == 1, at).otherwise(F.col("_s")))
+    return moved.select("cloud_id", "vertex_id", F.col("slot").cast("int").alias("slot"), "label", "instance")

@@ -67,3 +67,27 @@ def surface_distances(truth: DataFrame, pred: DataFrame, spacing: Sequence[float
     a, b = coords(truth), coords(pred)
     both = knn(a, b, 1).unionByName(knn(b, a, 1)).select("cloud_id", F.sqrt("d2").alias("d"))
     return both.groupBy("cloud_id").agg(F.max("d").alias("hd"), F.percentile("d", 0.95).alias("hd95"), F.avg("d").alias("assd"))
+
+
+def cross_masks(views: DataFrame, cell: Sequence[str], rate: float, seed: int) -> DataFrame:
+    """Patches of a grid that two views share, masked in one or the other: disjoint sets, each a share ``rate`` (at
+    most a half) of the cloud's patches; the points of view 0 are masked by set 1, those of view 1 by set 2."""
+    cells = views.select("cloud_id", *cell).distinct()
+    cloud = Window.partitionBy("cloud_id")
+    n = F.floor(F.count("*").over(cloud) * rate)
+    cells = cells.withColumns({"_r": F.row_number().over(cloud.orderBy(draw(seed, "cloud_id", *cell[:2]), *cell)), "_n": n})
+    tag = F.when(F.col("_r") <= F.col("_n"), 1).when(F.col("_r") <= 2 * F.col("_n"), 2).otherwise(0)
+    return views.join(cells.withColumn("_tag", tag).drop("_r", "_n"), ["cloud_id", *cell]).withColumn("masked", F.col("_tag") == F.col("view") + 1).drop("_tag")
+
+
+def window_pairs(points: DataFrame, size: float, sampled: Column) -> DataFrame:
+    """All pairs of a window, and pairs of a point with sampled points of the window of twice the size that aren't
+    in its small window."""
+    key = [F.floor(F.col(a) / size).alias(f"w{a}") for a in "xyz"] + [F.floor(F.col(a) / (2 * size)).alias(f"d{a}") for a in "xyz"]
+    p = points.withColumn("_sampled", sampled).select("cloud_id", "point_id", "_sampled", *key)
+    small, large = ["cloud_id", "wx", "wy", "wz"], ["cloud_id", "dx", "dy", "dz"]
+    q = p.select(*small, F.col("point_id").alias("key"))
+    dense = p.join(q, small).select("cloud_id", "point_id", "key")
+    s = p.where("_sampled").select(*large, F.col("point_id").alias("key"), *[F.col(f"w{a}").alias(f"_w{a}") for a in "xyz"])
+    apart = (F.col("wx") != F.col("_wx")) | (F.col("wy") != F.col("_wy")) | (F.col("wz") != F.col("_wz"))
+    return dense.unionByName(p.join(s, large).where(apart).select("cloud_id", "point_id", "key"))
