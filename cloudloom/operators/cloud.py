@@ -71,7 +71,7 @@ def intensity_variation(df: DataFrame, shift: float, scale: float, gamma: float,
     low, high = F.min(value).over(per_cloud()), F.max(value).over(per_cloud())
     moved = (F.col(value) - low) * scale + low + shift
     span = (high - low) * scale
-    share = F.coalesce(F.try_divide(moved - low - shift, span), F.lit(0.0))
+    share = F.greatest(F.coalesce(F.try_divide(moved - low - shift, span), F.lit(0.0)), F.lit(0.0))  # rounding may go below
     return df.withColumn(value, F.pow(share, F.lit(gamma)) * span + low + shift)
 
 
