@@ -65,9 +65,9 @@ def _(spark, d):
     return rounded(grid.to_points(cells, top).select("cloud_id", "point_id", (F.col("intensity") + F.col("top")).alias("fused")), "fused")
 
 
-@query("g4_segment_mean", "SELECT cloud_id, rib, round(avg(intensity), 8) AS intensity, round(avg(x), 6) AS x, count(*) AS n FROM pts GROUP BY 1, 2")
+@query("g4_segment_mean", "SELECT cloud_id, rib, round(avg(floor(intensity)), 8) AS intensity, round(avg(x), 6) AS x, count(*) AS n FROM pts GROUP BY 1, 2")
 def _(spark, d):
-    return rounded(rounded(grid.segment_mean(points(spark, d), "rib", ["intensity", "x"]), "x"), "intensity", digits=8)
+    return rounded(rounded(grid.segment_mean(points(spark, d).withColumn("intensity", F.floor("intensity")), "rib", ["intensity", "x"]), "x"), "intensity", digits=8)
 
 
 @query("g5_segment_instances", """WITH s AS (SELECT *, count(*) OVER (PARTITION BY cloud_id, x::int) AS sz FROM pts), p AS (SELECT cloud_id, x::int AS seg, instance, count(*) / max(sz) AS share FROM s WHERE instance >= 0 GROUP BY ALL), k AS (SELECT cloud_id, instance, max(label)::int AS class FROM pts WHERE instance >= 0 GROUP BY ALL)
