@@ -141,8 +141,7 @@ def _describe(docs: DataFrame, size: int) -> DataFrame:
 
         for b in batches:
             nodes, ns = [], []
-            for raw in b.column(1).to_pylist():
-                t = shingle(raw)
+            for t in (shingle(r) for at in range(0, b.num_rows, 500) for r in b.column(1).slice(at, 500).to_pylist()):
                 node = node_of(t)
                 nodes.append(node)
                 ns.append(len(t))
@@ -169,10 +168,9 @@ def _first_shingles(reps: DataFrame, frequent, size: int, percent: int, buckets:
         shingle = Shingler(size)
         keys, times = frequent.value
         for b in batches:
-            doc = [shingle(raw) for raw in b.column(1).to_pylist()]
-            for at in range(0, len(doc), 1000):
+            for at in range(0, b.num_rows, 500):
                 parts = []
-                for t in doc[at : at + 1000]:
+                for t in map(shingle, b.column(1).slice(at, 500).to_pylist()):
                     if not len(t):
                         continue
                     n = len(t)
@@ -457,9 +455,8 @@ def _sets(source: DataFrame, size: int) -> DataFrame:
     def run(batches):
         shingle = Shingler(size)
         for b in batches:
-            raws = b.column("text").to_pylist()
-            for at in range(0, len(raws), 500):
-                sets = [shingle(r) for r in raws[at : at + 500]]
+            for at in range(0, b.num_rows, 500):
+                sets = [shingle(r) for r in b.column("text").slice(at, 500).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array([node_of(t) for t in sets], pa.int64()), pa.array([t.tobytes() for t in sets], pa.binary())], ["node", "tokens"])
 
     return source.mapInArrow(run, "node bigint, tokens binary")
