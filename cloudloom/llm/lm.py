@@ -233,7 +233,8 @@ class Scorer:
         seq = np.concatenate([x for w in words for x in (w, ends)])  # a document's words, then its end
         p += np.where(seq >= 0, self.fixed[seq] if len(self.fixed) else 0.0, 0.0)
         weight, hit = copying(seq, np.repeat(np.arange(len(words)), lengths))
-        p = np.log(np.where(hit, weight, 0.0) + (1 - weight) * np.exp(np.maximum(p, -600)))
+        p += np.log1p(-weight)
+        p[hit] = np.logaddexp(np.log(weight[hit]), p[hit])
         return np.add.reduceat(p, starts) / math.log(10)
 
 

@@ -22,3 +22,25 @@ def test_op7_frequent_first_subwords_have_classes_of_their_own():
     assert len(own) == len(set(own.tolist())) == 255
     for f in (lm.fit, lm.score):
         assert inspect.signature(f).parameters["words"].default >= 1 << 20
+
+
+def test_op7_long_words_cost_all_their_subwords():
+    from cloudloom.llm import attention, queries
+
+    lex, path = lexicon(400), queries.tokenizer("byte_bpe_50k.json")
+    lex.vocabulary = lm._tokenizer(path).get_vocab_size()
+    size = lex.vocabulary + 2
+    wide = {k: np.zeros(size, np.int64) for k in ("first_index", "first_class", "later_index", "later_class")}
+    wide |= {k: np.full(size, -1.0) for k in ("first_share", "later_share", "escape")}
+    wide["escape"] = np.full(size, 0.5)
+    lex.__dict__.update(wide)
+    scorer = lm.Scorer({
+        "lexicon": lex, "path": path, "stream": attention.initial(lm.STREAM_INPUTS, np.ones(lm.STREAM_CLASSES), lm.CONTEXT, lm.STRIDE),
+        "spelling": attention.initial(lm.SPELL_INPUTS, np.ones(lm.SPELL_CLASSES), lm.SPELL_CONTEXT, lm.SPELL_STRIDE),
+    })
+    rng = np.random.default_rng(1)
+    blob = "".join(chr(97 + k) for k in rng.integers(0, 26, 20_000)).encode()
+    one, half = scorer.score(scorer.word_ids([[blob], [blob[:10_000]]]))
+    assert one < 1.8 * half < -10_000
+    alone, twice = scorer.score(scorer.word_ids([[b"x", blob], [b"x", blob, b"x", blob]]))
+    assert twice - alone > alone / 2  # the copying head still names the second one
