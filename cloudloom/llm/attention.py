@@ -108,10 +108,12 @@ def gradients(m: dict, ids: np.ndarray, targets: np.ndarray, weight: np.ndarray,
     """Mean loss over the weighted places, and its gradient."""
     q, k, v, p, a = _attend(m, ids, context)
     q_ids = ids[:, context:]
-    n_windows, stride = q_ids.shape
+    stride = q_ids.shape[1]
     x, xq = m["E"][ids], m["E"][q_ids]
     flat = lambda t: t.reshape(-1, t.shape[-1])
-    z = np.tanh(flat(xq) @ m["A"] + flat(a) @ m["B"] + m["c"])
+    held = np.flatnonzero(weight)  # places without weight have no loss
+    targets, weight, xq_held = targets[held], weight[held], flat(xq)[held]
+    z = np.tanh(xq_held @ m["A"] + flat(a)[held] @ m["B"] + m["c"])
     logits = z @ m["W"] + m["b"]
     logits -= logits.max(axis=1, keepdims=True)
     np.exp(logits, out=logits)
@@ -124,9 +126,10 @@ def gradients(m: dict, ids: np.ndarray, targets: np.ndarray, weight: np.ndarray,
     d *= (weight / total)[:, None].astype(F32)
     g = {"W": z.T @ d, "b": d.sum(axis=0)}
     dh = (d @ m["W"].T) * (1 - z * z)
-    g["A"], g["B"], g["c"] = flat(xq).T @ dh, flat(a).T @ dh, dh.sum(axis=0)
-    da = (dh @ m["B"].T).reshape(a.shape)
-    dxq = dh @ m["A"].T
+    g["A"], g["B"], g["c"] = xq_held.T @ dh, flat(a)[held].T @ dh, dh.sum(axis=0)
+    da, dxq = np.zeros_like(a), np.zeros_like(flat(xq))
+    flat(da)[held] = dh @ m["B"].T
+    dxq[held] = dh @ m["A"].T
     dp = da @ v.transpose(0, 2, 1)
     dv = p.transpose(0, 2, 1) @ da
     ds = p * (dp - (dp * p).sum(axis=2, keepdims=True))
@@ -142,22 +145,26 @@ def gradients(m: dict, ids: np.ndarray, targets: np.ndarray, weight: np.ndarray,
     return loss, g
 
 
-def train(m: dict, ids: np.ndarray, targets: np.ndarray, weight: np.ndarray, context: int, epochs: int, rate: float, batch: int = 32, seed: int = 3) -> tuple[dict, float]:
-    """Adam over shuffled windows; targets and weight are [n, stride]. Returns the parameters and the last epoch's loss."""
-    m = {k: v.copy() for k, v in m.items()}
-    one, two = ({k: np.zeros_like(v) for k, v in m.items()} for _ in range(2))
-    rng, step, losses = np.random.default_rng(seed), 0, [0.0]
-    steps = max(1, epochs * -(-len(ids) // batch))
-    for _ in range(epochs):
-        order, losses = rng.permutation(len(ids)), []
-        for at in range(0, len(order), batch):
-            pick = np.sort(order[at : at + batch])
-            loss, g = gradients(m, ids[pick], targets[pick].ravel(), weight[pick].ravel(), context)
+class Trainer:
+    """Adam on windows that come in parts, so that a task never holds more than a part of what it learns from."""
+
+    def __init__(self, m: dict, context: int, rate: float, batch: int = 32, seed: int = 3):
+        self.m = {k: v.copy() for k, v in m.items()}
+        self.one, self.two = ({k: np.zeros_like(v) for k, v in m.items()} for _ in range(2))
+        self.context, self.rate, self.batch, self.rng, self.step = context, rate, batch, np.random.default_rng(seed), 0
+
+    def learn(self, ids: np.ndarray, targets: np.ndarray, weight: np.ndarray, done: float) -> list[float]:
+        """One pass over windows; targets and weight are [n * stride]. The rate falls to a tenth as ``done`` rises to 1."""
+        losses, order = [], self.rng.permutation(len(ids))
+        targets, weight = targets.reshape(len(ids), -1), weight.reshape(len(ids), -1)
+        for at in range(0, len(order), self.batch):
+            pick = np.sort(order[at : at + self.batch])
+            loss, g = gradients(self.m, ids[pick], targets[pick].ravel(), weight[pick].ravel(), self.context)
             losses.append(loss)
-            step += 1
-            lr = rate * (1 - 0.9 * step / steps) * (1 - 0.999**step) ** 0.5 / (1 - 0.9**step)
+            self.step += 1
+            lr = self.rate * (1 - 0.9 * min(1.0, done)) * (1 - 0.999**self.step) ** 0.5 / (1 - 0.9**self.step)
             for k, d in g.items():
-                one[k] += F32(0.1) * (d - one[k])
-                two[k] += F32(0.001) * (d * d - two[k])
-                m[k] -= F32(lr) * one[k] / (np.sqrt(two[k]) + F32(1e-8))
-    return m, float(np.mean(losses)) if losses else 0.0
+                self.one[k] += F32(0.1) * (d - self.one[k])
+                self.two[k] += F32(0.001) * (d * d - self.two[k])
+                self.m[k] -= F32(lr) * self.one[k] / (np.sqrt(self.two[k]) + F32(1e-8))
+        return losses

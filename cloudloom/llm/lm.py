@@ -9,9 +9,9 @@ P(text) is the product, over its words and one end, of
 
 mixed with a copying head that attends to the word after the latest earlier occurrence of the word before; its weight
 at a place is its success at the 16 places before. Both models are causal self-attention models (attention.py); the
-stream model reads a document's first subword ids in overlapping windows, the spelling model the ids of one word. All counts come from all training documents; the two
-networks are trained on windows of a sample of them whose size grows with the corpus, by tasks that start from the same
-parameters and whose results are averaged.
+stream model reads a document's first subword ids in overlapping windows, the spelling model the ids of one word. All
+counts come from all training documents; the two networks are trained on all windows of all of them, by tasks that start
+from the same parameters and whose results are averaged.
 """
 
 from __future__ import annotations
@@ -279,30 +279,54 @@ def _unpack(raw: bytes, like: dict) -> dict:
     return out
 
 
-def _train_round(docs: DataFrame, model: dict, tasks: int, epochs: int, rate: float) -> dict:
-    """Each task trains on its share of docs from the same parameters; the results are averaged by their positions."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+class _Learner:
+    """Both networks of a task: documents come in parts, a word is spelled once."""
 
-    def run(batches):
-        m = sent.value
-        raws = [r for b in batches for r in b.column(0).to_pylist()]  # a task's share of the sample, about DOCS_A_TASK texts
-        if not raws:
-            return
-        lex = m["lexicon"]
+    def __init__(self, model: dict, rate: float, expected: float, limit: int = 300_000):
+        self.lex, self.path, self.expected, self.limit = model["lexicon"], model["path"], max(1.0, expected), limit
+        self.stream = attention.Trainer(model["stream"], CONTEXT, rate)
+        self.spelling = attention.Trainer(model["spelling"], SPELL_CONTEXT, rate, batch=128)
+        self.first: dict[bytes, int] = {}
+        self.n = 0
+
+    def learn(self, raws: list[bytes]) -> None:
         split = [r.lower().split() for r in raws]
-        spelled = dict(zip(ws := sorted({w for s in split for w in s}), spell(m["path"], ws)))
-        first = {w: s[0] for w, s in spelled.items()}
-        ids, target, weight, *_ = stream_windows(m["lexicon"], [np.array([first[w] for w in s], np.int64) for s in split])
-        stream, _ = attention.train(m["stream"], ids, target.reshape(-1, STRIDE), weight.reshape(-1, STRIDE), CONTEXT, epochs, rate)
-        keys = np.array([stable_hash(w) for w in spelled], np.uint64)
-        at = lex.look_up(keys)
-        rare = [s for s, k in zip(spelled.values(), at) if k < 0 or lex.counts[k] <= 2]  # like the words that have to be spelled
-        spelling = m["spelling"]
+        if len(self.first) > self.limit:
+            self.first.clear()
+        new = sorted({w for s in split for w in s if w not in self.first})
+        spelled = spell(self.path, new)
+        self.first.update((w, s[0]) for w, s in zip(new, spelled))
+        done = self.n / self.expected
+        ids, target, weight, *_ = stream_windows(self.lex, [np.array([self.first[w] for w in s], np.int64) for s in split])
+        self.stream.learn(ids, target, weight, done)
+        at = self.lex.look_up(np.array([stable_hash(w) for w in new], np.uint64))
+        rare = [s for s, k in zip(spelled, at) if k < 0 or self.lex.counts[k] <= 2]  # like the words that have to be spelled
         if rare:
-            ids, target, weight, *_ = spelling_windows(m["lexicon"], rare)
-            spelling, _ = attention.train(m["spelling"], ids, target.reshape(-1, SPELL_STRIDE), weight.reshape(-1, SPELL_STRIDE), SPELL_CONTEXT, epochs, rate, batch=128)
-        n = float(sum(map(len, split)) + len(split))
-        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([_pack(stream)], pa.binary()), pa.array([_pack(spelling)], pa.binary())], ["n", "stream", "spelling"])
+            ids, target, weight, *_ = spelling_windows(self.lex, rare)
+            self.spelling.learn(ids, target, weight, done)
+        self.n += sum(map(len, split)) + len(split)
+
+
+def _train_round(docs: DataFrame, model: dict, tasks: int, epochs: int, rate: float, expected: float) -> dict:
+    """Each task trains on its share of docs (text, deal) from the same parameters; the results are averaged by their
+    positions. ``expected``: about how many positions a task learns from. Only several epochs hold a task's texts."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        learner = _Learner(sent.value, rate, expected * epochs)
+        held: list[list[bytes]] = []
+        for b in batches:
+            for at in range(0, b.num_rows, PART):
+                part = b.column(0).slice(at, PART).to_pylist()
+                learner.learn(part)
+                if epochs > 1:
+                    held.append(part)
+        for _ in range(epochs - 1):
+            learner.first.clear()
+            for part in held:
+                learner.learn(part)
+        if learner.n:
+            yield pa.RecordBatch.from_arrays([pa.array([float(learner.n)]), *(pa.array([_pack(t.m)], pa.binary()) for t in (learner.stream, learner.spelling))], ["n", "stream", "spelling"])
 
     def average(batches):
         total, sums = 0.0, [0.0, 0.0]
@@ -314,7 +338,7 @@ def _train_round(docs: DataFrame, model: dict, tasks: int, epochs: int, rate: fl
             yield pa.RecordBatch.from_arrays([pa.array([total]), *(pa.array([(s / total).astype("<f4").tobytes()], pa.binary()) for s in sums)], ["n", "stream", "spelling"])
 
     schema = "n double, stream binary, spelling binary"
-    trained = docs.repartition(tasks, F.xxhash64("text")).mapInArrow(run, schema)
+    trained = docs.repartition(tasks, "deal").sortWithinPartitions("deal").mapInArrow(run, schema)
     if tasks > 32:  # in two steps, so that the driver gets at most 32 models
         trained = trained.repartition(32).mapInArrow(average, schema)
     got = trained.collect()
@@ -325,13 +349,16 @@ def _train_round(docs: DataFrame, model: dict, tasks: int, epochs: int, rate: fl
     return model | {"stream": mean("stream"), "spelling": mean("spelling")}
 
 
-DOCS_A_TASK = 1500
+#: Positions (words and ends) of the common start, about; of a task of the round over all; documents of a part.
+START, TASK, PART = 500_000, 2_000_000, 128
 
 
-def fit(train: DataFrame, path: str, words: int = 1 << 20, share: int = 32) -> tuple[dict, DataFrame, int, int]:
+def fit(train: DataFrame, path: str, words: int = 1 << 20) -> tuple[dict, DataFrame, int, int]:
     """The model, the exact counts of all training words (key, n), and the number of tokens and of distinct tokens.
 
-    The networks learn from one in ``share`` documents, and from 2 * DOCS_A_TASK where that is fewer.
+    The networks learn from every training row. One task first makes the parameters that all tasks start from, of about
+    START positions; then all rows, these too, are dealt by a hash of the row, so that copies of a text are learned from
+    as often as they stand there and lie in many tasks.
     """
     vocabulary = _tokenizer(path).get_vocab_size()
     tallies = materialise(count_words(train, path, vocabulary).groupBy("kind", "key", "first").agg(F.sum("n").alias("n")))
@@ -345,14 +372,10 @@ def fit(train: DataFrame, path: str, words: int = 1 << 20, share: int = 32) -> t
         "lexicon": lex, "path": path, "stream": attention.initial(STREAM_INPUTS, lex.first_counts, CONTEXT, STRIDE),
         "spelling": attention.initial(SPELL_INPUTS, lex.later_counts, SPELL_CONTEXT, SPELL_STRIDE, seed=6),
     }
-    n_docs = int(firsts.loc[firsts["first"] == vocabulary, "n"].sum())
-    texts = train.select(text_bytes())
-    part = lambda salt, n: texts.where(F.pmod(F.xxhash64("text", F.lit(salt)), F.lit(1_000_000)) < min(1_000_000, n * 1_000_000 // max(1, n_docs)))
-    small = n_docs < 4 * DOCS_A_TASK
-    model = _train_round(part(1, DOCS_A_TASK), model, 1, epochs=8 if small else 3, rate=0.01)
-    if not small:
-        size = max(2 * DOCS_A_TASK, n_docs // share)
-        model = _train_round(part(2, size), model, -(-size // DOCS_A_TASK), epochs=1, rate=0.003)
+    texts = train.select(text_bytes(), F.xxhash64(F.monotonically_increasing_id()).alias("deal"))
+    begin = texts.where(F.pmod(F.xxhash64("deal"), F.lit(1_000_000)) < min(1_000_000, START * 1_000_000 // max(1, n_tokens)))
+    model = _train_round(begin, model, 1, epochs=4, rate=0.01, expected=min(START, n_tokens))
+    model = _train_round(texts, model, max(1, -(-n_tokens // TASK)), epochs=1, rate=0.003, expected=min(TASK, n_tokens))
     return model, counts.select("key", "n"), int(n_tokens), int(distinct)
 
 

@@ -44,3 +44,35 @@ def test_op7_long_words_cost_all_their_subwords():
     assert one < 1.8 * half < -10_000
     alone, twice = scorer.score(scorer.word_ids([[b"x", blob], [b"x", blob, b"x", blob]]))
     assert twice - alone > alone / 2  # the copying head still names the second one
+
+
+def test_op7_learns_from_every_row(spark, monkeypatch):
+    from cloudloom.llm import queries
+
+    path, rounds = queries.tokenizer("byte_bpe_50k.json"), []
+    monkeypatch.setattr(lm, "START", 400)
+    monkeypatch.setattr(lm, "TASK", 1500)
+    plain = lm._train_round
+
+    def spy(docs, *args, **kwargs):
+        rows = docs.repartition(args[1], *[c for c in ("deal",) if c in docs.columns]).selectExpr("spark_partition_id() p", "cast(text as string) text").collect()
+        rounds.append([(r.p, r.text) for r in rows])
+        return plain(docs, *args, **kwargs)
+
+    monkeypatch.setattr(lm, "_train_round", spy)
+    texts = ["the same text again"] * 300 + [f"stone bridge at noon {k}" for k in range(700)]
+    lm.fit(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id int, text string"), path)
+    assert sorted(t for _, t in rounds[-1]) == sorted(texts)
+    assert len({p for p, t in rounds[-1] if t == texts[0]}) > 1  # copies lie in many tasks
+    assert len(rounds[0]) < 300
+
+
+def test_op7_learning_depends_on_the_text_of_every_row(spark):
+    from cloudloom.llm import queries
+
+    path = queries.tokenizer("byte_bpe_50k.json")
+    texts = [f"rain falls over the stone bridge number {k}" for k in range(40)]
+    fitted = lambda rows: lm.fit(spark.createDataFrame([(t,) for t in rows], "text string"), path)[0]["stream"]["Wq"]
+    whole = fitted(texts)
+    assert np.array_equal(whole, fitted(texts))
+    assert not np.array_equal(whole, fitted([*texts[:-1], " ".join(reversed(texts[-1].split()))]))
