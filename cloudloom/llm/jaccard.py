@@ -165,14 +165,15 @@ def _first_shingles(reps: DataFrame, frequent, size: int, percent: int, buckets:
     """The first shingles of each node in the common order, dealt by shingle: blobs of (shingle, node, size, rank)."""
 
     def run(batches):
-        shingle = Shingler(size)
+        shingle, seen = Shingler(size), set()
         keys, times = frequent.value
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 parts = []
                 for t in map(shingle, b.column(1).slice(at, 500).to_pylist()):
-                    if not len(t):
+                    if not len(t) or (node := node_of(t)) in seen:  # copies without an id come here too
                         continue
+                    seen.add(node)
                     n = len(t)
                     p = prefix_length(n, percent)
                     first = t
@@ -183,7 +184,7 @@ def _first_shingles(reps: DataFrame, frequent, size: int, percent: int, buckets:
                         if len(first) < p:
                             first = np.concatenate([first, t[common][np.argsort(times[k[common]], kind="stable")]])
                     e = np.empty(p, _ENTRY)
-                    e["token"], e["node"], e["n"], e["rank"] = first[:p], node_of(t), n, np.arange(p)
+                    e["token"], e["node"], e["n"], e["rank"] = first[:p], node, n, np.arange(p)
                     parts.append(e)
                 if not parts:
                     continue
@@ -211,7 +212,7 @@ def _short_lists(blobs: DataFrame, buckets: int, percent: int) -> DataFrame:
             for k, e in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 held.setdefault(k, []).append(e)
         while held:
-            e = np.frombuffer(b"".join(held.popitem()[1]), _ENTRY)
+            e = np.unique(np.frombuffer(b"".join(held.popitem()[1]), _ENTRY))  # a node may come from several tasks
             _, which, n = np.unique(e["token"], return_inverse=True, return_counts=True)
             e = e[n[which] > 1]
             e = e[np.lexsort((e["node"], e["n"], e["token"]))]
@@ -366,8 +367,10 @@ def _all_links(docs: DataFrame, described: DataFrame, nodes: DataFrame, size: in
         """The whole sets of the given nodes; texts and sets are filtered by broadcast ids where those are few."""
         ids = materialise(nodes.join(wanted.distinct(), "node").select("node", "doc_id"))
         n = ids.count()
-        sets = _sets(keep_matching(source, ids.select("doc_id").distinct(), "doc_id", n), size)
-        sets = materialise(keep_matching(sets, ids.select("node"), "node", n))
+        texts = keep_matching(source, ids.select("doc_id").distinct(), "doc_id", n)
+        if not ids.where("doc_id is null").isEmpty():  # nodes of rows without an id are found by their digest alone
+            texts = texts.unionByName(source.where("doc_id is null"))
+        sets = materialise(keep_matching(_sets(texts, size), ids.select("node"), "node", n))
         return sets.dropDuplicates(["node"]) if sets.count() > n else sets
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -450,13 +453,15 @@ def _search_blocks(asks: DataFrame, blocks: DataFrame, sets: DataFrame, percent:
 
 
 def _sets(source: DataFrame, size: int) -> DataFrame:
-    """The whole sorted set of each text."""
+    """The whole sorted set of each text, copies once in a task."""
 
     def run(batches):
-        shingle = Shingler(size)
+        shingle, seen = Shingler(size), set()
         for b in batches:
             for at in range(0, b.num_rows, 500):
-                sets = [shingle(r) for r in b.column("text").slice(at, 500).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array([node_of(t) for t in sets], pa.int64()), pa.array([t.tobytes() for t in sets], pa.binary())], ["node", "tokens"])
+                sets = {node_of(t): t for t in map(shingle, b.column("text").slice(at, 500).to_pylist())}
+                new = [k for k in sets if k not in seen]
+                seen.update(new)
+                yield pa.RecordBatch.from_arrays([pa.array(new, pa.int64()), pa.array([sets[k].tobytes() for k in new], pa.binary())], ["node", "tokens"])
 
     return source.mapInArrow(run, "node bigint, tokens binary")

@@ -76,3 +76,52 @@ def test_op7_learning_depends_on_the_text_of_every_row(spark):
     whole = fitted(texts)
     assert np.array_equal(whole, fitted(texts))
     assert not np.array_equal(whole, fitted([*texts[:-1], " ".join(reversed(texts[-1].split()))]))
+
+
+def test_op10_near_copies_without_an_id(spark):
+    from collections import Counter
+
+    from cloudloom.llm import jaccard
+    from tests.llm.test_llm import brute_components
+
+    base = [f"w{k}" for k in range(60)]
+    texts = [" ".join(base[:k] + ["other"] + base[k + 1 :]) for k in (0, 30)]
+    ends = [" ".join(base[4:]), " ".join(base), " ".join(base + [f"v{k}" for k in range(14)])]  # the second bridges the others
+    lone = [" ".join(f"n{j}" for j in range(40)), " ".join(f"n{j}" for j in range(1, 40))]
+    rows = [(7, ends[0] + " a b c d"), (None, ends[1]), (9, ends[2]), (None, texts[0]), (None, texts[1]), (None, texts[1]), (None, lone[0]), (None, lone[1])]
+    rows += [(100 + k, f"single {k} with words of its own {k * k} here") for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df).collect())
+    plain = {k: i for k, (i, _) in enumerate(rows)}
+    far = 1 << 40  # ids for the rows without one, larger than all others, for the comparison by brute force
+    want = Counter((plain[k] if i is None else i, n, None if c is not None and c >= far else c) for k, (i, n, c) in enumerate(_in_order(brute_components, rows, far)))
+    assert got == want
+    by = {r.doc_id: r.component_id for r in jaccard.jaccard_components(df).where("doc_id in (7, 9)").collect()}
+    apart = {r.doc_id: r.component_id for r in jaccard.jaccard_components(df.where("doc_id is not null")).where("doc_id in (7, 9)").collect()}
+    assert by[7] == by[9] and apart[7] != apart[9]
+
+
+def _in_order(brute, rows, far):
+    """(id, n, component) of each row, in their order."""
+    own = [(far + k if i is None else i, t) for k, (i, t) in enumerate(rows)]
+    found = {i: (n, c) for i, n, c in brute(own)}
+    return [(rows[k][0], *found[i]) for k, (i, _) in enumerate(own)]
+
+
+def test_pipeline_decides_row_by_row(spark, tmp_path):
+    import corpus_pipeline
+    from tests.conftest import SMALL
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    good = corpus_pipeline.language_id(spark, docs, SMALL).orderBy("doc_id").limit(2).collect()
+    extra = [r.asDict() | change for r, change in ((good[0], {"doc_id": None}), (good[1], {"text": "12345"}))]
+    path = str(tmp_path / "docs")
+    docs.unionByName(spark.createDataFrame(extra, docs.schema)).write.parquet(path)
+    mixed = spark.read.parquet(path)
+    out = corpus_pipeline.language_id(spark, mixed, SMALL)
+    assert [r.text for r in out.where("doc_id is null").collect()] == [good[0].text]
+    assert [r.text for r in out.where(f"doc_id = {good[1].doc_id}").collect()] == [good[1].text]
+    two = str(tmp_path / "two")
+    spark.createDataFrame([(None, "one two three four five six"), (None, "one two three four five six"), (5, "a b c d e f g"), (4, "a b c d e f g"), (None, "a b c d e f g")], "doc_id bigint, text string").write.parquet(two)
+    left = corpus_pipeline.near_duplicates(spark, spark.read.parquet(two), SMALL)
+    assert sorted((str(r.doc_id), r.text) for r in left.collect()) == [("4", "a b c d e f g"), ("None", "one two three four five six")]
