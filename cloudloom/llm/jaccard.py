@@ -321,6 +321,8 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         if after == before:
             break
         before = after
+    else:
+        raise RuntimeError(f"connected_components: not settled after {max_rounds} rounds")
     return edges.groupBy("b").agg(F.min("a").alias("component")).select(F.col("b").alias("node"), "component")
 
 

@@ -34,8 +34,8 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 40) -> Data
         changed = not new.where("_old <> root").isEmpty()
         state = new.drop("_old")
         if not changed:
-            break
-    return state
+            return state
+    raise RuntimeError(f"components: not settled after {max_rounds} rounds")
 
 
 def label_components(points: DataFrame, radius: float, least: int, label: str = "label") -> DataFrame:

@@ -95,27 +95,31 @@ def _guess_cell(sizes: DataFrame, k: int) -> float:
     return float(sizes.agg(F.median(F.pow(volume * k / F.col("_n"), F.lit(1 / 3)))).first()[0])
 
 
-def knn_grid(queries: DataFrame, points: DataFrame, k: int, cell: float, rounds: int = 12) -> DataFrame:
+def knn_grid(queries: DataFrame, points: DataFrame, k: int, cell: float, rounds: int = 64) -> DataFrame:
     """J1 for large clouds: search 27 cells; a query whose kth neighbour is no farther than the searched block reaches is
-    proven, the rest search cells of twice the size, until the block covers the cloud."""
+    proven, the rest search cells of twice the size, until the block covers the query's own cloud. Raises if queries
+    are left after so many rounds."""
     from cloudloom.functions.tables import materialise
 
+    placed = " and ".join(f"{a} is not null" for a in AXES)  # a row without a place has no distances
+    points, queries = points.where(placed), queries.where(placed)
     total = points.groupBy("cloud_id").agg(F.count("*").alias("_n"))
-    extent = points.agg(*[(F.max(a) - F.min(a)) for a in AXES]).first()
-    left, found, size = queries, None, cell
+    both = points.select("cloud_id", *AXES).unionByName(queries.select("cloud_id", *AXES))
+    reach = both.groupBy("cloud_id").agg(F.greatest(*[F.max(a) - F.min(a) for a in AXES]).alias("_reach"))
+    total = materialise(total.join(reach, "cloud_id"))
+    left, found, size = queries.join(total.select("cloud_id"), "cloud_id", "left_semi"), None, cell
     for _ in range(rounds):
         edges = materialise(ranked(radius_edges_block(left, points, size), k))
         proof = edges.groupBy("cloud_id", "src").agg(F.count("*").alias("_hits"), F.max("d2").alias("_far")).join(total, "cloud_id")
-        covers = size >= max(extent[0] or 0, extent[1] or 0, extent[2] or 0)
-        done = (F.col("_hits") >= F.least(F.lit(k), F.col("_n"))) & ((F.col("_far") <= size * size) | F.lit(covers))
+        done = (F.col("_hits") >= F.least(F.lit(k), F.col("_n"))) & ((F.col("_far") <= size * size) | (F.col("_reach") <= size))
         proven = proof.where(done).select("cloud_id", "src")
         part = edges.join(proven, ["cloud_id", "src"], "left_semi")
         found = part if found is None else found.unionByName(part)
         left = materialise(left.join(proven.withColumnRenamed("src", "point_id"), ["cloud_id", "point_id"], "left_anti"))
-        if covers or left.isEmpty():
-            break
+        if left.isEmpty():
+            return found
         size *= 2
-    return found
+    raise RuntimeError(f"knn_grid: queries are left after {rounds} rounds from cells of {cell}")
 
 
 def radius_edges_block(queries: DataFrame, points: DataFrame, size: float) -> DataFrame:
