@@ -7,6 +7,8 @@ import uuid
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,3 +78,29 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(29))
     x = x * np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(32))
+
+
+def parts_of_batch(batch: pa.RecordBatch, column: int, most: int = 4_000_000):
+    """Slices of a batch whose texts have at most so many bytes together; a longer text is a slice of its own."""
+    texts = batch.column(column)
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def split_words(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """The words between ASCII white space of a string column: for each its place among the distinct words, these, and
+    where each text's words begin (and the last one's end)."""
+    lists = pc.ascii_split_whitespace(texts)
+    flat = lists.flatten()
+    bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))])
+    filled = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
+    if not filled.all():  # white space at a text's ends leaves empty words there
+        flat = flat.filter(pa.array(filled))
+        bounds = np.concatenate([[0], np.cumsum(filled)])[bounds]
+    coded = flat.dictionary_encode()
+    return coded.indices.to_numpy(), coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist(), bounds

@@ -162,7 +162,38 @@ def test_op4_bins_are_near_the_bound():
             for x, n in pattern.items():
                 used[x] += n * times
         assert used == h
-        assert sum(t for _, t in bins) <= 1.01 * packing.lower_bound(h, capacity) + 1
+        plain = sum(t for _, t in packing.best_fit(h, capacity))
+        assert sum(t for _, t in bins) <= min(plain, 1.01 * packing.lower_bound(h, capacity) + 1)
+    h = Counter(rng.randint(1100, 1600) for _ in range(3000))  # three fit a bin at most
+    assert sum(t for _, t in packing.complete_bins(h, 4096)) == 1000
+
+
+def test_op4_fillings_are_the_undominated_ones():
+    from itertools import combinations
+
+    rng = random.Random(3)
+    for _ in range(60):
+        own = Counter(rng.randint(3, 30) for _ in range(9))
+        room = rng.randint(10, 50)
+        counts = np.zeros(61, np.int64)
+        counts[list(own)] = list(own.values())
+        got = [tuple(sorted(f)) for f in packing.fillings(counts, room, packing._Budget(10**6))]
+        every = {tuple(sorted(c)) for n in range(10) for c in combinations(own.elements(), n) if sum(c) <= room}
+        assert len(got) == len(set(got)) and set(got) <= every
+        best = max(map(sum, every))
+        if room < 3 * max((x for x in own if x <= room), default=0):
+            assert max(map(sum, got)) == best  # a filling of the least waste is always among them
+        assert own[room] == 0 or got == [(room,)]
+
+
+def test_op4_chunks_are_encoded_as_in_whole_texts():
+    import pyarrow as pa
+
+    enc = packing.ChunkEncoder(queries.tokenizer("word_bpe_49k.json"))
+    odd = ["It's a dog's. (word) \"x\" a.b.c don't,we'll,'re.'s", "İ, İstanbul. x", "<|endoftext|> a", "Å. é. é, ́,á", "", "  ", "\x1c a\x1db", "１２ x１. ab12,c3", "ΣΑΣ. Ǆ, ﬁ. ß.", "日本語。テスト, x", "a'.s 'tis ,'s x.'s", "Å, Ⅷ. ª.", "x" * 5000 + ","]
+    ids, bounds = enc.encode(pa.array([t.encode() for t in odd], pa.binary()))
+    for k, t in enumerate(odd):
+        assert ids[bounds[k] : bounds[k + 1]].tolist() == enc.tok.encode(t, add_special_tokens=False).ids
     assert packing.complete_bins({}, 10) == [] and sum(t for _, t in packing.complete_bins({6: 3, 4: 3}, 10)) == 3
 
 
