@@ -145,16 +145,49 @@ def drop_ribs(df: DataFrame, depth: int, begin: str = "first", min_points: int =
     return df.withColumn("_left", left).where(~gone | (F.col("_left") < min_points)).drop("_left")
 
 
-def truncate_at_rib(df: DataFrame, anchor: int, axis: str = "z", keep: str = "below", min_points: int = 0, label: str = "rib") -> DataFrame:
-    """Cut at the middle of an anchor pair along an axis; a cloud without it loses the ribs beyond it instead."""
-    pair = F.col(label).isin(anchor, anchor + 12)
-    middle = F.avg(F.when(pair, F.col(axis))).over(per_cloud())
-    number = F.when(F.col(label) > 12, F.col(label) - 12).otherwise(F.col(label))
-    out = df.withColumn("_middle", middle)
-    inside = F.when(F.col("_middle").isNull(), (F.col(label) == 0) | (number <= anchor if keep == "below" else number >= anchor))
-    inside = inside.otherwise(F.col(axis) <= F.col("_middle") if keep == "below" else F.col(axis) >= F.col("_middle"))
+def _beyond(df: DataFrame, begin: Column, position: Column, anchored: Column, axis: str, fallback: Column, min_points: int) -> DataFrame:
+    """Keep what lies strictly beyond the cut of the anchored points, by the mean ('m') or the border ('b') of their places; begin
+    's' loses the upper part, 'i' the lower one. Without anchored points ``fallback`` decides; a cloud that would keep fewer than
+    min_points stays whole."""
+    place = F.when(anchored, F.col(axis))
+    upper = begin == "s"
+    cut = F.when(position == "m", F.avg(place).over(per_cloud())).when(upper, F.min(place).over(per_cloud())).otherwise(F.max(place).over(per_cloud()))
+    out = df.withColumn("_cut", cut)
+    inside = F.when(F.col("_cut").isNull(), fallback).when(upper, F.col(axis) < F.col("_cut")).otherwise(F.col(axis) > F.col("_cut"))
     out = out.withColumn("_in", inside).withColumn("_n", F.count_if("_in").over(per_cloud()))
-    return out.where(F.col("_in") | (F.col("_n") < min_points)).select(df.columns)
+    return out.where(F.col("_in") | (F.col("_n") < min_points))
+
+
+def pair_number(label: Column) -> Column:
+    """1 to 12: the place of a rib from the top on its side."""
+    return F.when(label > 12, label - 12).otherwise(label)
+
+
+def truncate_at_rib(df: DataFrame, depth: int, begin: str = "i", position: str = "m", axis: str = "z", min_points: int = 0, label: str = "rib") -> DataFrame:
+    """Cut off ``depth`` pairs of ribs from the top (begin 's') or the bottom ('i') of an axis that grows upwards.
+
+    The anchor is the last pair to go: the cut runs through its middle ('m') or along its far border ('b'), and only points
+    strictly beyond it stay. A cloud without the anchor keeps the ribs of the pairs beyond it, and the background.
+    """
+    anchor = depth if begin == "s" else 13 - depth
+    number = pair_number(F.col(label))
+    stays = (F.col(label) == 0) | (number > anchor if begin == "s" else number < anchor)
+    return _beyond(df, F.lit(begin), F.lit(position), number == anchor, axis, stays, min_points).select(df.columns)
+
+
+def random_truncate(df: DataFrame, max_depth: int, seed: int, begin: str = "", position: str = "", p: float = 0.5, axis: str = "z", min_points: int = 0, label: str = "rib") -> DataFrame:
+    """With probability p a cloud of two pairs or more is cut at one rib, drawn among those present of the outer pairs; their
+    number is drawn from 1 up to max_depth and one less than the cloud's pairs. End and position are drawn where not given."""
+    d = lambda k: draw(seed + k, "cloud_id")
+    pick = lambda given, k, a, b: F.lit(given) if given else F.when(d(k) < 0.5, a).otherwise(b)
+    out = df.withColumn("_set", F.array_sort(F.collect_set(label).over(per_cloud())))  # at most as many as there are classes
+    pairs = F.floor(F.size("_set") / 2)
+    most = F.least(pairs - 1, F.lit(min(max_depth, 11)))
+    out = out.withColumns({"_depth": F.floor(d(1) * most) + 1, "_begin": pick(begin, 2, "s", "i"), "_ok": (d(0) < p) & (pairs >= 2)})
+    outer = lambda x: (x > 0) & F.when(F.col("_begin") == "s", pair_number(x) <= F.col("_depth")).otherwise(pair_number(x) > 12 - F.col("_depth"))
+    out = out.withColumn("_outer", F.filter("_set", outer))
+    out = out.withColumn("_anchor", F.when(F.col("_ok") & (F.size("_outer") > 0), F.get("_outer", F.floor(d(3) * F.size("_outer")).cast("int"))))
+    return _beyond(out, F.col("_begin"), pick(position, 4, "m", "b"), F.col(label) == F.col("_anchor"), axis, F.lit(True), min_points).select(df.columns)
 
 
 def dropout(df: DataFrame, ratio: float, seed: int, protected: Column | None = None) -> DataFrame:

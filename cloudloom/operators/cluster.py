@@ -121,20 +121,26 @@ def best_assignment(points: DataFrame, cluster: str, label: str) -> DataFrame:
     return assignment(overlap, cluster, label, "cost")
 
 
-def anatomical_labels(instances: DataFrame, side: str, height: str, rounds: int = 8, per_side: int = 12) -> DataFrame:
-    """Two sides by 1-D 2-means on the centroids (from the least and the greatest), each sorted from the top: 1.. on
-    the low side, 13.. on the high one; more than 12 on a side are dropped."""
+def anatomical_labels(instances: DataFrame, side: str, height: str, right_is_higher: bool = False, superior_is_higher: bool = False, rounds: int = 8, per_side: int = 12) -> DataFrame:
+    """Two sides by 1-D 2-means on the centroids (from the least and the greatest), each sorted from the top: 1 to 12 on
+    the left side, 13 to 24 on the right one; more than 12 on a side are dropped.
+
+    A round that leaves a side empty parts at the median instead. The orientation says whether the right side has the higher
+    values of ``side``, and the order of ``height``: rising with superior_is_higher, else falling. Ties go by instance, in the
+    order of the heights.
+    """
     cloud = Window.partitionBy("cloud_id")
-    out = instances.withColumns({"_a": F.min(side).over(cloud), "_b": F.max(side).over(cloud)})
-    high = F.abs(F.col(side) - F.col("_b")) < F.abs(F.col(side) - F.col("_a"))
+    out = instances.withColumns({"_a": F.min(side).over(cloud), "_b": F.max(side).over(cloud), "_med": F.median(side).over(cloud), "_n": F.count("*").over(cloud)})
     for _ in range(rounds):
-        out = out.withColumn("_h", high).withColumns({
-            "_a": F.coalesce(F.avg(F.when(~F.col("_h"), F.col(side))).over(cloud), F.col("_a")), "_b": F.coalesce(F.avg(F.when(F.col("_h"), F.col(side))).over(cloud), F.col("_b")),
-        })
-    out = out.withColumn("_h", high)
-    rank = F.row_number().over(Window.partitionBy("cloud_id", "_h").orderBy(F.desc(height), "instance"))
-    out = out.withColumn("_k", rank).where(F.col("_k") <= per_side)
-    return out.select("cloud_id", "instance", (F.col("_k") + F.when(F.col("_h"), per_side).otherwise(0)).alias("rib"))
+        near = F.coalesce(F.abs(F.col(side) - F.col("_a")) <= F.abs(F.col(side) - F.col("_b")), F.lit(False))
+        out = out.withColumn("_m", near).withColumn("_k", F.count_if("_m").over(cloud))
+        out = out.withColumn("_m", F.when((F.col("_k") == 0) | (F.col("_k") == F.col("_n")), F.col(side) <= F.col("_med")).otherwise(F.col("_m")))
+        out = out.withColumns({"_a": F.avg(F.when(F.col("_m"), F.col(side))).over(cloud), "_b": F.avg(F.when(~F.col("_m"), F.col(side))).over(cloud)})
+    higher = F.coalesce(F.col("_b") > F.col("_a"), F.lit(True))  # a side without instances counts as the higher one
+    out = out.withColumn("_right", F.when(higher == F.lit(right_is_higher), ~F.col("_m")).otherwise(F.col("_m")))
+    order = [F.asc(height), F.asc("instance")] if superior_is_higher else [F.desc(height), F.desc("instance")]
+    out = out.withColumn("_k", F.row_number().over(Window.partitionBy("cloud_id", "_right").orderBy(*order))).where(F.col("_k") <= per_side)
+    return out.select("cloud_id", "instance", (F.col("_k") + F.when(F.col("_right"), per_side).otherwise(0)).cast("int").alias("rib"))
 
 
 def farthest_points(points: DataFrame, n: int) -> DataFrame:
@@ -204,21 +210,58 @@ def associate(points: DataFrame, pred: str, truth: str) -> DataFrame:
     return out.withColumn("iou", F.col("inter") / (F.col("size") + F.col("gt_size") - F.col("inter")))
 
 
-def average_precision(guesses: DataFrame, truth: DataFrame, overlaps: DataFrame, thresholds: Sequence[float]) -> DataFrame:
-    """Average precision of each class and overlap threshold. A truth is won by the best-scored instance of its class
-    that overlaps enough; other instances are false. guesses: cloud_id, inst, class, score; truth: cloud_id, gt, class;
-    overlaps: cloud_id, inst, gt, iou. A class without truth gives null, one without guesses 0."""
-    thr = F.explode(F.array(*[F.lit(t) for t in thresholds])).alias("threshold")
-    hits = overlaps.join(guesses, ["cloud_id", "inst"]).join(truth.withColumnRenamed("class", "_t"), ["cloud_id", "gt"]).where("class = _t").select("*", thr).where("iou > threshold")
-    per_truth = hits.withColumn("_a", F.row_number().over(Window.partitionBy("threshold", "cloud_id", "gt").orderBy(F.desc("score"), "inst"))).where("_a = 1")
-    won = per_truth.select("threshold", "cloud_id", "inst").distinct().withColumn("tp", F.lit(1))
-    every = guesses.select("*", thr).join(won, ["threshold", "cloud_id", "inst"], "left").na.fill(0, ["tp"])
-    run = Window.partitionBy("threshold", "class").orderBy(F.desc("score")).rangeBetween(Window.unboundedPreceding, 0)
-    curve = every.withColumns({"_tp": F.sum("tp").over(run), "_n": F.count("*").over(run)}).groupBy("threshold", "class", "score").agg(F.max("_tp").alias("_tp"), F.max("_n").alias("_n"))
-    total = truth.groupBy("class").agg(F.count("*").alias("_truth"))
-    before = Window.partitionBy("threshold", "class").orderBy(F.desc("score"))
-    steps = curve.join(total, "class").withColumn("_step", (F.col("_tp") - F.coalesce(F.lag("_tp").over(before), F.lit(0))) / F.col("_truth") * F.col("_tp") / F.col("_n"))
-    ap = steps.groupBy("threshold", "class").agg(F.sum("_step").alias("ap"))
+def average_precision(guesses: DataFrame, truth: DataFrame, overlaps: DataFrame, thresholds: Sequence[float], least: int = 0) -> DataFrame:
+    """Average precision of each class and overlap threshold.
+
+    guesses: cloud_id, inst, class, score, size, void (points that lie on ignored ground); truth: cloud_id, gt, class, size;
+    overlaps: cloud_id, inst, gt, inter. Truths of fewer than ``least`` points don't count but excuse what lies on them.
+
+    In each cloud and class the truths, by id, take the guesses, by id, that overlap by more than the threshold and aren't
+    taken: the first wins; a further one leaves the better score with the truth and the worse as a false guess. A guess that
+    overlaps no truth enough is false too, unless more than the threshold's share of it is void or on small truths. The curve
+    has a point for each score, then precision 1 at recall 0; a point's weight is half the distance of its neighbours'
+    recalls. Without truths of a class the result is null, without guesses 0.
+    """
+    thr = F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold")
+    gt = truth.select("cloud_id", "gt", F.col("class").alias("_t"), F.col("size").alias("_gs"))
+    pairs = overlaps.join(guesses, ["cloud_id", "inst"]).join(gt, ["cloud_id", "gt"]).where("class = _t")
+    pairs = pairs.withColumn("iou", F.col("inter") / (F.col("size") + F.col("_gs") - F.col("inter")))
+    big, hit = F.col("_gs") >= least, F.col("iou") > F.col("threshold")
+    at = pairs.select("*", thr)
+
+    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
+        taken, rows = set(), []
+        for _, own in pdf.sort_values(["gt", "inst"]).groupby("gt", sort=True):
+            best = None
+            for inst, score in zip(own["inst"], own["score"]):
+                if inst in taken:
+                    continue
+                if best is None:
+                    best = score
+                    taken.add(inst)
+                else:
+                    rows.append((0, min(best, score)))
+                    best = max(best, score)
+            if best is not None:
+                rows.append((1, best))
+        out = pd.DataFrame(rows, columns=["hit", "score"])
+        return out.assign(threshold=pdf["threshold"].iloc[0], **{"class": pdf["class"].iloc[0]})[["threshold", "class", "hit", "score"]]
+
+    # a group is the close pairs of one class of one cloud: a guess overlaps few truths by more than the least threshold
+    matched = at.where(big & hit).select("cloud_id", "class", "threshold", "gt", "inst", "score").groupBy("cloud_id", "class", "threshold").applyInPandas(greedy, "threshold double, class int, hit int, score double")
+    excused = at.groupBy("cloud_id", "inst", "threshold").agg(F.max(hit.cast("int")).alias("_hit"), F.sum(F.when(~big, F.col("inter")).otherwise(0)).alias("_small"))
+    false = guesses.select("*", thr).join(excused, ["cloud_id", "inst", "threshold"], "left").na.fill(0, ["_hit", "_small"])
+    false = false.where((F.col("_hit") == 0) & ((F.col("void") + F.col("_small")) / F.col("size") <= F.col("threshold")))
+    examples = matched.unionByName(false.select("threshold", F.col("class").cast("int").alias("class"), F.lit(0).alias("hit"), "score"))
+    total = truth.where(F.col("size") >= least).groupBy("class").agg(F.count("*").alias("_truth"))
+    # found truths and misses make up the recall's denominator: it is the same at every point
+    per_score = examples.groupBy("threshold", "class", "score").agg(F.sum("hit").alias("_h"), F.count("*").alias("_c"))
+    kind = Window.partitionBy("threshold", "class").orderBy("score")
+    above = kind.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    curve = per_score.join(total, "class").select("threshold", "class", "score", (F.sum("_h").over(above) / F.sum("_c").over(above)).alias("_p"), (F.sum("_h").over(above) / F.col("_truth")).alias("_r"))
+    before, after = F.coalesce(F.lag("_r").over(kind), F.col("_r")), F.lead("_r").over(kind)
+    width = (before - F.coalesce(after, F.lit(0.0))) / 2
+    ap = curve.withColumn("_s", F.col("_p") * width + F.when(after.isNull(), F.col("_r") / 2).otherwise(0.0)).groupBy("threshold", "class").agg(F.sum("_s").alias("ap"))
     classes = guesses.select("class").union(truth.select("class")).distinct().select("class", thr)
     return classes.join(total, "class", "left").join(ap, ["threshold", "class"], "left").select("threshold", "class", F.when(F.col("_truth") > 0, F.coalesce("ap", F.lit(0.0))).alias("ap"))
 

@@ -29,6 +29,11 @@ def representatives(celled: DataFrame, seed: int | None = None, protected: Colum
     return ranked.where(keep if protected is None else keep | protected).drop("_rank")
 
 
+def of_first_in_cell(column: str) -> Column:
+    """The value of each cell's first point by id, on all points of the cell, without a join."""
+    return F.first(column).over(Window.partitionBy(*CELL).orderBy("point_id"))
+
+
 def displacement(celled: DataFrame, size: float) -> DataFrame:
     """How far a point lies from its cell's middle, in cells."""
     low = {a: F.min(F.floor(F.col(a) / size)).over(per_cloud()) for a in "xyz"}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cloudloom.functions.random import draw_sql
 from cloudloom.operators import evaluate as ev
 from cloudloom.operators import grid
 from cloudloom.plans.catalog import query
@@ -61,10 +62,11 @@ def _(spark, d):
     return rounded(ev.class_metrics(ev.rates(cm(spark, d), 5)).groupBy("cloud_id").agg(F.avg("iou").alias("miou")), "miou")
 
 
-@query("e9_na_rules", f"""WITH {RATES} SELECT cloud_id, class, round(CASE WHEN tp+fp+fn > 0 THEN tp/(tp+fp+fn) END, 6) AS iou, round(CASE WHEN tp+fp+fn > 0 THEN 2*tp/(2*tp+fp+fn) END, 6) AS dice, round(tp/nullif(tp+fn,0), 6) AS recall,
- round(tp/nullif(tp+fp,0), 6) AS precision, round(coalesce(tn/nullif(tn+fp,0), 1), 6) AS specificity, (tp+fp+fn = 0)::int AS both_empty, (tp+fn = 0 AND fp > 0)::int AS truth_empty, (tp+fn > 0 AND tp+fp = 0)::int AS pred_empty FROM r""")
+@query("e9_na_rules", f"""WITH {RATES}, k AS (SELECT *, tp+fp+fn = 0 AS none FROM r) SELECT cloud_id, class, round(tp/nullif(tp+fp+fn,0), 6) AS iou, round(2*tp/nullif(2*tp+fp+fn,0), 6) AS dice, round(tp/nullif(tp+fn,0), 6) AS recall,
+ round(tp/nullif(tp+fp,0), 6) AS precision, CASE WHEN NOT none THEN round(CASE WHEN tn+fp > 0 THEN tn/(tn+fp) WHEN fn = 0 THEN 1 ELSE 0 END, 6) END AS specificity, CASE WHEN NOT none THEN round((tp+tn)/(tp+fp+fn+tn), 6) END AS accuracy,
+ none::int AS both_empty, (tp+fn = 0 AND fp > 0)::int AS truth_empty, (tp+fn > 0 AND tp+fp = 0)::int AS pred_empty FROM k""")
 def _(spark, d):
-    return rounded(ev.cloud_class_metrics(ev.rates(cm(spark, d), 5)), "iou", "dice", "recall", "precision", "specificity")
+    return rounded(ev.cloud_class_metrics(ev.rates(cm(spark, d), 5)), "iou", "dice", "recall", "precision", "specificity", "accuracy")
 
 
 @query("e10_reduced", f"""WITH {RATES}, m AS (SELECT cloud_id, class, tp/nullif(tp+fp+fn,0) AS v FROM r)
@@ -73,60 +75,86 @@ def _(spark, d):
     return rounded(ev.reduced(ev.cloud_class_metrics(ev.rates(cm(spark, d), 5)), "iou"), "class_mean", "cloud_mean")
 
 
-@query("e12_error_rates", f"""WITH {RIB_CM} SELECT cloud_id, round(sum(CASE WHEN label<>0 AND pred=0 THEN n ELSE 0 END)/nullif(sum(CASE WHEN label<>0 THEN n ELSE 0 END),0), 6) AS fnr,
- round(sum(CASE WHEN label=0 AND pred<>0 THEN n ELSE 0 END)/nullif(sum(CASE WHEN label=0 THEN n ELSE 0 END),0), 6) AS fpr, round(sum(CASE WHEN label<>0 AND pred<>0 AND label<>pred THEN n ELSE 0 END)/nullif(sum(CASE WHEN label<>0 THEN n ELSE 0 END),0), 6) AS wpr,
- round(sum(CASE WHEN label=pred THEN n ELSE 0 END)/sum(n), 6) AS correct, round(sum(CASE WHEN label<>0 AND pred<>0 AND label<>pred THEN n ELSE 0 END)/nullif(sum(CASE WHEN label<>0 AND pred<>0 THEN n ELSE 0 END),0), 6) AS wrong_given_found,
- round(sum(CASE WHEN label<>0 THEN n ELSE 0 END)/sum(n), 6) AS fg_ratio FROM cm GROUP BY 1""")
+#: Sums over a confusion table, as SQL: foreground and background on both sides, and what goes wrong there.
+KINDS = """SELECT * FROM (SELECT cloud_id, sum(n) t, sum(n) FILTER (label <> 0) fg, sum(n) FILTER (label = 0) bg, sum(n) FILTER (pred <> 0) pfg, sum(n) FILTER (label <> 0 AND pred <> 0) fgs, coalesce(sum(n) FILTER (label <> 0 AND pred = 0), 0) fneg, coalesce(sum(n) FILTER (label = 0 AND pred <> 0), 0) fpos,
+ coalesce(sum(n) FILTER (label <> 0 AND pred <> 0 AND label <> pred), 0) wp, coalesce(sum(n) FILTER (label <> pred), 0) wrong, coalesce(sum(n) FILTER (label <> 0 AND pred <> 0 AND abs(label - pred) = 1 AND NOT (least(label, pred) = 12 AND greatest(label, pred) = 13)), 0) nr,
+ coalesce(sum(n) FILTER (label <> 0 AND pred <> 0 AND (abs(label - pred) > 1 OR (least(label, pred) = 12 AND greatest(label, pred) = 13))), 0) fr FROM cm GROUP BY 1)"""
+
+
+@query("e12_error_rates", f"""WITH {RIB_CM}, k AS ({KINDS}) SELECT cloud_id, round(fneg/nullif(fg,0), 6) AS fnr, round(fpos/nullif(bg,0), 6) AS fpr, round(wp/nullif(fgs,0), 6) AS wpr, round((t-wrong)/t, 6) AS cr, round(wrong/t, 6) AS wr,
+ round(fneg/nullif(wrong,0), 6) AS fnr_conditional, round(fpos/nullif(wrong,0), 6) AS fpr_conditional, round(wp/nullif(wrong,0), 6) AS wpr_conditional, round(coalesce(pfg,0)/nullif(fg,0), 6) AS fg_ratio FROM k""")
+def _(spark, d):
+    return rounded(ev.error_rates(rib_cm(spark, d)), "fnr", "fpr", "wpr", "cr", "wr", "fnr_conditional", "fpr_conditional", "wpr_conditional", "fg_ratio")
+
+
+@query("e13_rib_shift", f"WITH {RIB_CM}, k AS ({KINDS}) SELECT cloud_id, round(nr/nullif(fgs,0), 6) AS near_rate, round(fr/nullif(fgs,0), 6) AS far_rate, round(nr/nullif(wp,0), 6) AS near_conditional, round(fr/nullif(wp,0), 6) AS far_conditional FROM k")
 def _(spark, d):
-    return rounded(ev.error_rates(rib_cm(spark, d)), "fnr", "fpr", "wpr", "correct", "wrong_given_found", "fg_ratio")
+    return rounded(ev.rib_shift_rates(rib_cm(spark, d)), "near_rate", "far_rate", "near_conditional", "far_conditional")
+
 
+CONSENSUS = RIB_CM + ", co AS (SELECT cloud_id, label, n, abs(label - pred) AS shift FROM cm WHERE label <> 0 AND pred <> 0 AND NOT (least(label, pred) = 12 AND greatest(label, pred) = 13))"
 
-@query("e13_rib_shift", f"""WITH {RIB_CM} SELECT cloud_id, round(sum(CASE WHEN label<>0 AND pred<>0 AND abs(label-pred)=1 AND NOT (least(label,pred)=12 AND greatest(label,pred)=13) THEN n ELSE 0 END)/nullif(sum(CASE WHEN label<>0 THEN n ELSE 0 END),0), 6) AS near_rate,
- round(sum(CASE WHEN label<>0 AND pred<>0 AND (abs(label-pred)>1 OR (least(label,pred)=12 AND greatest(label,pred)=13)) THEN n ELSE 0 END)/nullif(sum(CASE WHEN label<>0 THEN n ELSE 0 END),0), 6) AS far_rate FROM cm GROUP BY 1""")
+
+@query("e14_class_shift", f"""WITH {CONSENSUS} SELECT l::int AS label, coalesce(sum(n), 0)::bigint AS n, round(coalesce(sum(n) FILTER (shift = 1), 0)/sum(n), 6) AS near_rate, round(coalesce(sum(n) FILTER (shift > 1), 0)/sum(n), 6) AS far_rate FROM range(1, 25) r(l) LEFT JOIN co ON label = l GROUP BY 1""")
 def _(spark, d):
-    return rounded(ev.rib_shift_rates(rib_cm(spark, d)), "near_rate", "far_rate")
+    return rounded(ev.class_shift_rates(rib_cm(spark, d)), "near_rate", "far_rate")
 
 
-@query("e14_class_shift", f"""WITH {RIB_CM} SELECT label, round(sum(CASE WHEN pred<>0 AND abs(label-pred)=1 AND NOT (least(label,pred)=12 AND greatest(label,pred)=13) THEN n ELSE 0 END)/sum(n), 6) AS shift_rate, CASE WHEN label<=12 THEN 'left' ELSE 'right' END AS side FROM cm WHERE label BETWEEN 1 AND 24 GROUP BY 1""")
+@query("e14_shift_summary", f"""WITH {CONSENSUS}, c AS (SELECT cloud_id, sum(n)::bigint AS n_consensus, sum(n) FILTER (label <= 12) l, sum(n) FILTER (label > 12) r, coalesce(sum(n) FILTER (shift = 1), 0) ns, coalesce(sum(n) FILTER (shift = 1 AND label <= 12), 0) nl, coalesce(sum(n) FILTER (shift = 1 AND label > 12), 0) nr,
+ coalesce(sum(n) FILTER (shift > 1), 0) fs, coalesce(sum(n) FILTER (shift > 1 AND label <= 12), 0) fl, coalesce(sum(n) FILTER (shift > 1 AND label > 12), 0) frr FROM co GROUP BY 1), k AS ({KINDS})
+ SELECT k.cloud_id, coalesce(n_consensus, 0)::bigint AS n_consensus, round(coalesce(bg, 0)/t, 6) AS bg_ratio, round(ns/nullif(n_consensus,0), 6) AS near, round(nl/nullif(l,0), 6) AS near_left, round(nr/nullif(r,0), 6) AS near_right, round(fs/nullif(n_consensus,0), 6) AS far, round(fl/nullif(l,0), 6) AS far_left, round(frr/nullif(r,0), 6) AS far_right,
+ round(fneg/nullif(fg,0), 6) AS fnr, round(fpos/nullif(bg,0), 6) AS fpr FROM (SELECT cloud_id, t, fg, bg, fneg, fpos FROM k) k LEFT JOIN c ON c.cloud_id = k.cloud_id""")
 def _(spark, d):
-    return rounded(ev.class_shift_rates(rib_cm(spark, d)), "shift_rate")
+    return rounded(ev.shift_summary(rib_cm(spark, d), ["cloud_id"]), "bg_ratio", "near", "near_left", "near_right", "far", "far_left", "far_right", "fnr", "fpr")
+
+
+INTEGRITY = RIB_CM + """, s AS (SELECT *, row_number() OVER (PARTITION BY cloud_id, label ORDER BY n DESC, pred) rk, sum(n) OVER (PARTITION BY cloud_id, label) t, count(*) OVER (PARTITION BY cloud_id, label) f FROM cm WHERE label<>0 AND pred<>0),
+ it AS (SELECT a.cloud_id, a.label, coalesce(t, 0)::bigint AS recognised, pred AS dominant, n AS most, n/t AS share, coalesce(f, 0) AS fragments FROM (SELECT DISTINCT cloud_id, label FROM cm WHERE label <> 0) a LEFT JOIN s ON s.cloud_id = a.cloud_id AND s.label = a.label AND rk = 1)"""
 
 
-@query("e15_integrity", f"""WITH {RIB_CM}, s AS (SELECT *, row_number() OVER (PARTITION BY cloud_id, label ORDER BY n DESC, pred) rk, sum(n) OVER (PARTITION BY cloud_id, label) t, count(*) OVER (PARTITION BY cloud_id, label) f FROM cm WHERE label<>0 AND pred<>0)
- SELECT cloud_id, label, pred AS dominant, round(n/t, 6) AS share, f AS fragments FROM s WHERE rk = 1""")
+@query("e15_integrity", f"WITH {INTEGRITY} SELECT cloud_id, label, recognised, dominant, round(share, 6) AS share, fragments FROM it")
 def _(spark, d):
     return rounded(ev.integrity(rib_cm(spark, d)).drop("distribution"), "share")
 
 
+@query("e15_integrity_summary", f"WITH {INTEGRITY} SELECT cloud_id, round(avg(share), 6) AS mean_integrity, round(sum(most)/nullif(sum(recognised),0), 6) AS weighted_mean_integrity, round(sum(most)/nullif(sum(recognised),0), 6) AS global_integrity FROM it GROUP BY 1")
+def _(spark, d):
+    return rounded(ev.integrity_summary(ev.integrity(rib_cm(spark, d))), "mean_integrity", "weighted_mean_integrity", "global_integrity")
+
+
 PURITY = RIB_CM + """, w AS (SELECT *, sum(CASE WHEN pred<>0 THEN n ELSE 0 END) OVER (PARTITION BY cloud_id, label) fd FROM cm WHERE label<>0),
- p AS (SELECT cloud_id, label, sum(n) size, max(fd) found, sum(CASE WHEN label=pred THEN n ELSE 0 END) AS rt, sum(CASE WHEN pred<>0 AND n >= 0.05*fd THEN 1 ELSE 0 END) fr FROM w GROUP BY 1, 2),
+ p AS (SELECT cloud_id, label, sum(n) size, max(fd) found, max(n) FILTER (pred<>0) AS most, sum(CASE WHEN label=pred THEN n ELSE 0 END) AS rt, sum(CASE WHEN pred<>0 AND n >= 0.05*fd THEN 1 ELSE 0 END) fr FROM w GROUP BY 1, 2),
  e AS (SELECT DISTINCT cloud_id, l::int AS label FROM cm, range(1, 25) r(l)),
- pu AS (SELECT e.cloud_id, e.label, CASE WHEN size IS NULL THEN 'absent' WHEN found = 0 THEN 'unrecognised' ELSE 'scored' END AS state, rt/nullif(found,0) AS purity, rt/nullif(size,0) AS recall, found/nullif(size,0) AS coverage,
- CASE WHEN found > 0 THEN fr END::bigint AS fragments FROM e LEFT JOIN p ON e.cloud_id = p.cloud_id AND e.label = p.label)"""
+ pu AS (SELECT e.cloud_id, e.label, CASE WHEN size IS NULL THEN 'absent' WHEN found = 0 THEN 'unrecognised' ELSE 'scored' END AS state, most/nullif(found,0) AS purity, rt/nullif(found,0) AS recall, found/nullif(size,0) AS coverage,
+ CASE WHEN found > 0 THEN fr END::bigint AS fragments, rt/nullif(size,0) AS label_recall FROM e LEFT JOIN p ON e.cloud_id = p.cloud_id AND e.label = p.label)"""
 
 
-@query("e16_foreground_purity", f"WITH {PURITY} SELECT cloud_id, label, state, round(purity, 6) AS purity, round(recall, 6) AS recall, round(coverage, 6) AS coverage, fragments FROM pu")
+@query("e16_foreground_purity", f"WITH {PURITY} SELECT cloud_id, label, state, round(purity, 6) AS purity, round(recall, 6) AS recall, round(coverage, 6) AS coverage, fragments, round(label_recall, 6) AS label_recall FROM pu")
 def _(spark, d):
-    return rounded(ev.foreground_purity(rib_cm(spark, d)), "purity", "recall", "coverage")
+    return rounded(ev.foreground_purity(rib_cm(spark, d)), "purity", "recall", "coverage", "label_recall")
 
 
 @query("e17_purity_summary", f"""WITH {PURITY} SELECT count(*) FILTER (state='scored') AS scored, count(*) FILTER (state='absent') AS absent, count(*) FILTER (state='unrecognised') AS unrecognised, round(avg(purity), 6) AS mean, round(min(purity), 6) AS least, round(median(purity), 6) AS median, round(max(purity), 6) AS most,
- count(*) FILTER (purity < 0.85) AS tail, count(DISTINCT cloud_id) FILTER (purity < 0.85) AS tail_clouds, round(avg(CASE WHEN state='scored' THEN (fragments > 1)::int END), 6) AS fragmented FROM pu""")
+ round(avg(fragments), 6) AS fragments_mean, round(avg((fragments > 1)::int), 6) AS fragments_gt1, round(avg((fragments = 0)::int), 6) AS fragments_eq0, round(avg((purity < 0.95)::int), 6) AS lt95, count(DISTINCT cloud_id) FILTER (purity < 0.95) AS lt95_clouds, round(avg(coverage), 6) AS coverage,
+ count(*) FILTER (purity < 0.9) AS tail, round(median(purity) FILTER (purity < 0.9), 6) AS tail_median, round(max(purity) FILTER (purity < 0.9), 6) AS tail_max, round(min(purity) FILTER (purity < 0.9), 6) AS tail_min FROM pu""")
 def _(spark, d):
-    return rounded(ev.purity_summary(ev.foreground_purity(rib_cm(spark, d)), 0.85), "mean", "least", "median", "most", "fragmented")
+    found = ev.purity_summary(ev.foreground_purity(rib_cm(spark, d)))
+    return rounded(found, "mean", "least", "median", "most", "fragments_mean", "fragments_gt1", "fragments_eq0", "lt95", "coverage", "tail_median", "tail_max", "tail_min")
 
 
-@query("e18_label_accuracy", f"""WITH {PURITY}, k AS (SELECT cloud_id, CASE WHEN label>12 THEN label-12 ELSE label END AS nr, CASE WHEN state<>'absent' THEN (coalesce(recall,0) > 0.85)::int END AS ok FROM pu)
+@query("e18_label_accuracy", f"""WITH {PURITY}, k AS (SELECT cloud_id, CASE WHEN label>12 THEN label-12 ELSE label END AS nr, CASE WHEN state<>'absent' THEN (label_recall > 0.85)::int END AS ok FROM pu)
  SELECT cloud_id, round(avg(ok), 6) AS all_acc, round(avg(CASE WHEN nr=1 THEN ok END), 6) AS first_acc, round(avg(CASE WHEN nr BETWEEN 2 AND 11 THEN ok END), 6) AS middle_acc, round(avg(CASE WHEN nr=12 THEN ok END), 6) AS last_acc FROM k GROUP BY 1""")
 def _(spark, d):
     return rounded(ev.label_accuracy(ev.foreground_purity(rib_cm(spark, d)), 0.85), "all_acc", "first_acc", "middle_acc", "last_acc")
 
 
-@query("e19_cloud_record", f"""WITH {RATES} SELECT cloud_id, round(avg(tp/nullif(tp+fp+fn,0)) FILTER (class > 0), 6) AS iou_fg, round(avg(2*tp/nullif(2*tp+fp+fn,0)) FILTER (class > 0), 6) AS dice_fg, sum(tp)::bigint AS right_points, sum(tp+fn)::bigint AS points FROM r GROUP BY 1""")
+@query("e19_cloud_record", f"""WITH {INTEGRITY}, k AS ({KINDS}), m AS (SELECT cloud_id, sum(most)/nullif(sum(recognised),0) AS gi FROM it GROUP BY 1), c AS (SELECT cloud_id, label AS class, sum(n) AS truth FROM cm GROUP BY 1, 2), g AS (SELECT cloud_id, pred AS class, sum(n) AS guess, coalesce(sum(n) FILTER (label = pred), 0) AS tp FROM cm GROUP BY 1, 2),
+ o AS (SELECT coalesce(c.cloud_id, g.cloud_id) AS cloud_id, round(avg(coalesce(tp, 0)/(coalesce(truth, 0)+coalesce(guess, 0)-coalesce(tp, 0))), 6) AS iou FROM c FULL JOIN g ON c.cloud_id = g.cloud_id AND c.class = g.class GROUP BY 1)
+ SELECT k.cloud_id, t::bigint AS n_points, iou, round(fneg/nullif(fg,0), 6) AS fnr, round(wrong/t, 6) AS wr, round(nr/nullif(fgs,0), 6) AS near_rate, round(gi, 6) AS global_integrity FROM k LEFT JOIN m ON m.cloud_id = k.cloud_id JOIN o ON o.cloud_id = k.cloud_id""")
 def _(spark, d):
-    m = ev.class_metrics(ev.rates(cm(spark, d), 5))
-    fg = F.col("class") > 0
-    return rounded(m.groupBy("cloud_id").agg(F.avg(F.when(fg, F.col("iou"))).alias("iou_fg"), F.avg(F.when(fg, F.col("dice"))).alias("dice_fg"), F.sum("tp").alias("right_points"), F.sum(F.col("tp") + F.col("fn")).alias("points")), "iou_fg", "dice_fg")
+    found = ev.cloud_record(rib_cm(spark, d), 25)
+    mean = F.aggregate(F.filter("iou_cw", lambda v: v.isNotNull()), F.lit(0.0), lambda acc, v: acc + v) / F.size(F.filter("iou_cw", lambda v: v.isNotNull()))
+    return rounded(found.select("cloud_id", "n_points", mean.alias("iou"), "fnr", "wr", "near_rate", "global_integrity"), "iou", "fnr", "wr", "near_rate", "global_integrity")
 
 
 @query("e20_e21_distribution", f"""WITH {RATES}, v AS (SELECT class, tp/nullif(tp+fp+fn,0) AS v FROM r) SELECT class, count(v) AS n, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(min(v), 6) AS least, round(max(v), 6) AS most, round(median(v), 6) AS median, round(quantile_cont(v, 0.05), 6) AS p5, round(quantile_cont(v, 0.95), 6) AS p95 FROM v GROUP BY 1""")
@@ -134,10 +162,12 @@ def _(spark, d):
     return rounded(ev.distribution(ev.class_metrics(ev.rates(cm(spark, d), 5)), "iou", ["class"]), "mean", "std", "least", "most", "median", "p5", "p95")
 
 
-@query("e22_bootstrap")
+@query("e22_bootstrap", f"""WITH {RATES}, m AS (SELECT cloud_id, avg(tp/nullif(tp+fn,0)) - avg(tp/nullif(tp+fp,0)) AS v FROM r GROUP BY 1), k AS (SELECT v, row_number() OVER (ORDER BY cloud_id, v) - 1 AS at, count(*) OVER () AS n FROM m WHERE v IS NOT NULL),
+ dr AS (SELECT b, floor({draw_sql(3, 'b', 'i')} * n)::bigint AS at FROM (SELECT DISTINCT n FROM k WHERE n > 1) q, range(200) x(b), range(1000000) y(i) WHERE i < n), bs AS (SELECT b, avg(v) AS m FROM dr JOIN k ON k.at = dr.at GROUP BY 1)
+ SELECT (SELECT round(avg(v), 6) FROM k) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM bs""")
 def _(spark, d):
-    m = ev.class_metrics(ev.rates(cm(spark, d), 5)).groupBy("cloud_id").agg(F.avg("iou").alias("iou"))
-    return rounded(ev.bootstrap_mean(m, "iou", 200, 0.05, 3), "mean", "low", "high")
+    m = ev.class_metrics(ev.rates(cm(spark, d), 5)).groupBy("cloud_id").agg((F.avg("recall") - F.avg("precision")).alias("delta"))
+    return rounded(ev.bootstrap_mean(m, "delta", 200, 0.05, 3), "mean", "low", "high")
 
 
 @query("e23_row_normalised", "SELECT label::int AS label, pred::int AS pred, count(*)::bigint AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY label), 6) AS share FROM pts GROUP BY label, pred")
@@ -174,11 +204,13 @@ def _(spark, d):
 
 
 @query("e30_clustering_scores", """WITH c AS (SELECT (vec_id % 12) AS k, label AS c, count(*)::double AS n FROM embeddings GROUP BY 1, 2), a AS (SELECT k, sum(n) a FROM c GROUP BY 1), b AS (SELECT c, sum(n) b FROM c GROUP BY 1), t AS (SELECT sum(n) t FROM c),
- j AS (SELECT sum(n/t*ln(n*t/(a*b))) mi, sum(n*(n-1)/2) s FROM c JOIN a USING (k) JOIN b USING (c), t), ha AS (SELECT sum(-a/t*ln(a/t)) h, sum(a*(a-1)/2) s FROM a, t), hb AS (SELECT sum(-b/t*ln(b/t)) h, sum(b*(b-1)/2) s FROM b, t), m AS (SELECT sum(m) m FROM (SELECT max(n) m FROM c GROUP BY k))
- SELECT round(m.m/t.t, 6) AS purity, round(mi/((ha.h+hb.h)/2), 6) AS nmi, round((j.s - ha.s*hb.s/(t*(t-1)/2))/((ha.s+hb.s)/2 - ha.s*hb.s/(t*(t-1)/2)), 6) AS ari FROM j, ha, hb, m, t""")
+ j AS (SELECT sum(n/t*ln(n*t/(a*b))) mi, sum(n*(n-1)/2) s FROM c JOIN a USING (k) JOIN b USING (c), t), ha AS (SELECT sum(-a/t*ln(a/t)) h, sum(a*(a-1)/2) s FROM a, t), hb AS (SELECT sum(-b/t*ln(b/t)) h, sum(b*(b-1)/2) s FROM b, t), m AS (SELECT sum(m) m FROM (SELECT max(n) m FROM c GROUP BY k)),
+ am AS (SELECT a, count(*) AS ka FROM a GROUP BY 1), bm AS (SELECT b, count(*) AS kb FROM b GROUP BY 1), ov AS (SELECT a, b, ka, kb, t, unnest(range(greatest(1, a+b-t)::bigint, least(a, b)::bigint + 1)) AS n FROM am, bm, t),
+ em AS (SELECT sum(ka*kb*n/t*ln(t*n/(a*b))*exp(lgamma(a+1)+lgamma(b+1)+lgamma(t-a+1)+lgamma(t-b+1)-lgamma(t+1)-lgamma(n+1)-lgamma(a-n+1)-lgamma(b-n+1)-lgamma(t-a-b+n+1))) AS e FROM ov)
+ SELECT round(m.m/t.t, 6) AS purity, round(mi/((ha.h+hb.h)/2), 6) AS nmi, round((mi - e)/((ha.h+hb.h)/2 - e), 6) AS ami, round((j.s - ha.s*hb.s/(t*(t-1)/2))/((ha.s+hb.s)/2 - ha.s*hb.s/(t*(t-1)/2)), 6) AS ari FROM j, ha, hb, m, t, em""")
 def _(spark, d):
     df = spark.read.parquet(f"{d}/embeddings.parquet").withColumn("k", F.col("vec_id") % 12)
-    return rounded(ev.clustering_scores(df, "k", "label"), "purity", "nmi", "ari")
+    return rounded(ev.clustering_scores(df, "k", "label"), "purity", "nmi", "ami", "ari")
 
 
 @query("e31_latest_records", "SELECT run, arg_min(value, (iter, name)) AS value FROM metrics WHERE iter = 0 GROUP BY 1")
@@ -198,8 +230,6 @@ def _(spark, d):
  cm AS (SELECT label, cell_pred AS p, count(*) AS n FROM rep GROUP BY ALL), r AS (SELECT c::int AS class, coalesce(sum(n) FILTER (label=c AND p=c),0) tp, coalesce(sum(n) FILTER (label<>c AND p=c),0) fp, coalesce(sum(n) FILTER (label=c AND p<>c),0) fn FROM range(5) x(c), cm GROUP BY 1)
  SELECT class, round(tp/(tp+fp+fn), 6) AS iou, round(2*tp/(2*tp+fp+fn), 6) AS dice FROM r""")
 def _(spark, d):
-    cells = grid.cells(points(spark, d), 4.0)
-    reps = grid.representatives(cells).select("cloud_id", "cx", "cy", "cz", F.col("pred").alias("cell_pred"))
-    back = grid.to_points(cells, reps)
+    back = grid.cells(points(spark, d), 4.0).withColumn("cell_pred", grid.of_first_in_cell("pred"))
     m = ev.class_metrics(ev.rates(ev.confusion(back, pred="cell_pred", by=()), 5, by=()))
     return rounded(m.select("class", "iou", "dice"), "iou", "dice")

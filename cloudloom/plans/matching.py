@@ -148,10 +148,20 @@ def _(spark, d):
     return cluster.best_assignment(e, "cluster", "label")
 
 
-@query("c9_anatomical")
+def _sides_sql(rounds: int = 8) -> str:
+    """The rounds of 2-means as common table expressions, one for each."""
+    steps = ["s0 AS (SELECT *, min(cx) OVER w AS a, max(cx) OVER w AS b, median(cx) OVER w AS med, count(*) OVER w AS n, true AS m FROM inst WINDOW w AS (PARTITION BY cloud_id))"]
+    for k in range(rounds):
+        steps.append(f"m{k} AS (SELECT * EXCLUDE (m), coalesce(abs(cx-a) <= abs(cx-b), false) AS m FROM s{k}), c{k} AS (SELECT *, count(*) FILTER (m) OVER (PARTITION BY cloud_id) AS k FROM m{k}), f{k} AS (SELECT * EXCLUDE (m, k), CASE WHEN k = 0 OR k = n THEN cx <= med ELSE m END AS m FROM c{k})")
+        steps.append(f"s{k + 1} AS (SELECT * EXCLUDE (a, b), avg(cx) FILTER (m) OVER (PARTITION BY cloud_id) AS a, avg(cx) FILTER (NOT m) OVER (PARTITION BY cloud_id) AS b FROM f{k})")
+    return ", ".join(steps)
+
+
+@query("c9_anatomical", f"""WITH inst AS (SELECT cloud_id, rib AS instance, avg(x) AS cx, avg(intensity) AS ci FROM pts WHERE rib > 0 GROUP BY 1, 2), {_sides_sql()}, r AS (SELECT *, CASE WHEN coalesce(b > a, true) THEN m ELSE NOT m END AS rgt FROM s8),
+ k AS (SELECT *, row_number() OVER (PARTITION BY cloud_id, rgt ORDER BY ci DESC, instance DESC) AS rk FROM r) SELECT cloud_id, instance, (rk + CASE WHEN rgt THEN 12 ELSE 0 END)::int AS rib FROM k WHERE rk <= 12""")
 def _(spark, d):
     inst = points(spark, d).where("rib > 0").groupBy("cloud_id", F.col("rib").alias("instance")).agg(F.avg("x").alias("cx"), F.avg("intensity").alias("ci"))
-    return cluster.anatomical_labels(inst, "cx", "ci").groupBy("cloud_id").agg(F.count("*").alias("n"))
+    return cluster.anatomical_labels(inst, "cx", "ci")
 
 
 @query("r17_farthest_points")
@@ -164,10 +174,14 @@ def _(spark, d):
     return rounded(cluster.associate(points(spark, d), "instance", "rib"), "iou")
 
 
-@query("e25_average_precision")
+@query("e25_average_precision", """WITH gp AS (SELECT *, CASE WHEN z > 1 THEN rib ELSE 0 END AS guess FROM pts), gt AS (SELECT cloud_id, rib AS gt, arg_min(label, point_id) AS class, count(*) AS n FROM gp WHERE rib > 0 GROUP BY 1, 2), gu AS (SELECT cloud_id, guess AS inst, arg_min(label, point_id) AS class, count(*) AS n, 1.0::double/(1+guess) AS score FROM gp WHERE guess > 0 GROUP BY 1, 2),
+ t AS (SELECT unnest([0.25, 0.5, 0.75]::double[]) AS threshold), p AS (SELECT gu.*, threshold, gt.gt IS NOT NULL AND gt.class = gu.class AND gu.n/gt.n > threshold AS own FROM gu CROSS JOIN t LEFT JOIN gt ON gt.cloud_id = gu.cloud_id AND gt.gt = gu.inst), tot AS (SELECT class, count(*) AS truth FROM gt GROUP BY 1),
+ s AS (SELECT threshold, class, score, count(*) FILTER (own) AS h, count(*) AS c FROM p GROUP BY ALL), cv AS (SELECT s.threshold, s.class, score, sum(h) OVER w / sum(c) OVER w AS pr, sum(h) OVER w / truth AS rc FROM s JOIN tot ON tot.class = s.class WINDOW w AS (PARTITION BY threshold, s.class ORDER BY score ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+ l AS (SELECT *, coalesce(lag(rc) OVER k, rc) AS bef, lead(rc) OVER k AS aft FROM cv WINDOW k AS (PARTITION BY threshold, class ORDER BY score)), a AS (SELECT threshold, class, sum(pr*(bef-coalesce(aft, 0))/2 + CASE WHEN aft IS NULL THEN rc/2 ELSE 0 END) AS ap FROM l GROUP BY 1, 2), cl AS (SELECT class FROM gt UNION SELECT class FROM gu)
+ SELECT t.threshold, cl.class, round(CASE WHEN truth > 0 THEN coalesce(ap, 0) END, 6) AS ap FROM cl CROSS JOIN t LEFT JOIN tot ON tot.class = cl.class LEFT JOIN a ON a.class = cl.class AND a.threshold = t.threshold""")
 def _(spark, d):
     p = points(spark, d).withColumn("guess", F.when(F.col("z") > 1, F.col("rib")).otherwise(F.lit(0)))
-    a = cluster.associate(p, "guess", "rib").withColumn("score", 1.0 / (1 + F.col("inst")))
-    truth = p.where("rib > 0").groupBy("cloud_id", F.col("rib").alias("gt")).agg(F.min_by("label", "point_id").alias("class"))
-    guesses = p.where("guess > 0").groupBy("cloud_id", F.col("guess").alias("inst")).agg(F.min_by("label", "point_id").alias("class")).withColumn("score", 1.0 / (1 + F.col("inst")))
-    return rounded(cluster.average_precision(guesses, truth, a.select("cloud_id", "inst", "gt", "iou"), [0.25, 0.5, 0.75]), "ap")
+    one = lambda name: p.where(f"{name} > 0").groupBy("cloud_id", name).agg(F.min_by("label", "point_id").alias("class"), F.count("*").alias("size"))
+    guesses = one("guess").withColumnRenamed("guess", "inst").withColumns({"score": 1.0 / (1 + F.col("inst")), "void": F.lit(0)})
+    overlaps = p.where("guess > 0 and rib > 0").groupBy("cloud_id", F.col("guess").alias("inst"), F.col("rib").alias("gt")).agg(F.count("*").alias("inter"))
+    return rounded(cluster.average_precision(guesses, one("rib").withColumnRenamed("rib", "gt"), overlaps, [0.25, 0.5, 0.75]), "ap")

@@ -45,9 +45,25 @@ def _(spark, d):
     return cloud.drop_ribs(points(spark, d), 2, "first", 500).select("cloud_id", "point_id")
 
 
-@query("r7_truncate", """WITH k AS (SELECT *, avg(x) FILTER (rib IN (5, 17)) OVER (PARTITION BY cloud_id) AS m FROM pts), i AS (SELECT *, CASE WHEN m IS NULL THEN (rib = 0 OR CASE WHEN rib > 12 THEN rib - 12 ELSE rib END <= 5) ELSE x <= m END AS a FROM k), c AS (SELECT *, count(*) FILTER (a) OVER (PARTITION BY cloud_id) AS n FROM i) SELECT cloud_id, point_id FROM c WHERE a OR n < 200""")
+NUMBER = "CASE WHEN rib > 12 THEN rib - 12 ELSE rib END"
+
+
+@query("r7_truncate", f"""WITH k AS (SELECT *, avg(x) FILTER ({NUMBER} = 3) OVER (PARTITION BY cloud_id) AS m FROM pts), i AS (SELECT *, CASE WHEN m IS NULL THEN rib = 0 OR {NUMBER} > 3 ELSE x < m END AS a FROM k), c AS (SELECT *, count(*) FILTER (a) OVER (PARTITION BY cloud_id) AS n FROM i) SELECT cloud_id, point_id FROM c WHERE a OR n < 200""")
+def _(spark, d):
+    return cloud.truncate_at_rib(points(spark, d), 3, "s", "m", "x", 200).select("cloud_id", "point_id")
+
+
+@query("r7_truncate_border", f"""WITH k AS (SELECT *, max(intensity) FILTER ({NUMBER} = 10) OVER (PARTITION BY cloud_id) AS m FROM pts), i AS (SELECT *, CASE WHEN m IS NULL THEN rib = 0 OR {NUMBER} < 10 ELSE intensity > m END AS a FROM k), c AS (SELECT *, count(*) FILTER (a) OVER (PARTITION BY cloud_id) AS n FROM i) SELECT cloud_id, point_id FROM c WHERE a OR n < 3""")
+def _(spark, d):
+    return cloud.truncate_at_rib(points(spark, d), 3, "i", "b", "intensity", 3).select("cloud_id", "point_id")
+
+
+@query("r8_random_truncate", f"""WITH s AS (SELECT cloud_id, list_sort(list(DISTINCT rib)) AS st FROM pts GROUP BY 1), h AS (SELECT cloud_id, st, len(st) // 2 AS pairs, {draw_sql(20, 'cloud_id')} < 0.8 AND len(st) // 2 >= 2 AS ok, CASE WHEN {draw_sql(22, 'cloud_id')} < 0.5 THEN 's' ELSE 'i' END AS bg, CASE WHEN {draw_sql(24, 'cloud_id')} < 0.5 THEN 'm' ELSE 'b' END AS ps FROM s),
+ e AS (SELECT *, floor({draw_sql(21, 'cloud_id')} * least(pairs - 1, 4)) + 1 AS depth FROM h), o AS (SELECT *, list_filter(st, lambda q: q > 0 AND CASE WHEN bg = 's' THEN (CASE WHEN q > 12 THEN q - 12 ELSE q END) <= depth ELSE (CASE WHEN q > 12 THEN q - 12 ELSE q END) > 12 - depth END) AS ot FROM e),
+ n AS (SELECT *, CASE WHEN ok AND len(ot) > 0 THEN ot[floor({draw_sql(23, 'cloud_id')} * len(ot))::int + 1] END AS anchor FROM o), k AS (SELECT p.*, bg, ps, avg(x) FILTER (rib = anchor) OVER w AS av, min(x) FILTER (rib = anchor) OVER w AS mi, max(x) FILTER (rib = anchor) OVER w AS ma FROM pts p JOIN n ON p.cloud_id = n.cloud_id WINDOW w AS (PARTITION BY p.cloud_id)),
+ c AS (SELECT *, CASE WHEN ps = 'm' THEN av WHEN bg = 's' THEN mi ELSE ma END AS cut FROM k), i AS (SELECT *, CASE WHEN cut IS NULL THEN true WHEN bg = 's' THEN x < cut ELSE x > cut END AS a FROM c), f AS (SELECT *, count(*) FILTER (a) OVER (PARTITION BY cloud_id) AS n FROM i) SELECT cloud_id, point_id FROM f WHERE a OR n < 20""")
 def _(spark, d):
-    return cloud.truncate_at_rib(points(spark, d), 5, "x", "below", 200).select("cloud_id", "point_id")
+    return cloud.random_truncate(points(spark, d), 4, 20, p=0.8, axis="x", min_points=20).select("cloud_id", "point_id")
 
 
 RANK = f"k AS (SELECT *, row_number() OVER (PARTITION BY cloud_id ORDER BY {DRAW}, point_id) AS r, count(*) OVER (PARTITION BY cloud_id) AS n FROM pts)"
