@@ -5,19 +5,21 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write df to the folder of spark.checkpoint.dir and read it back; cuts the lineage.
-
-    Only a local session without that setting gets a folder of its own.
-    """
-    sc = df.sparkSession.sparkContext
+def new_folder(spark: SparkSession) -> str:
+    """A new path below the folder of spark.checkpoint.dir. Only a local session without that setting gets a folder of its own."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         if not (sc.master == "local" or sc.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="cloudloom-"))
-    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    return f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write df to the shared folder and read it back; cuts the lineage."""
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

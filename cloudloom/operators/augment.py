@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,11 +45,22 @@ def normal_draw(seed: int, *keys: str) -> Column:
 
 
 def jitter(df: DataFrame, seeds: Mapping[str, int], sigma: float, clip: float) -> DataFrame:
-    """Clipped normal noise on the given columns, for each point."""
+    """Clipped normal noise on the given columns, for each point."""
     noise = lambda s: F.least(F.greatest(sigma * normal_draw(s, "cloud_id", "point_id"), F.lit(-clip)), F.lit(clip))
     return df.withColumns({c: F.col(c) + noise(s) for c, s in seeds.items()})
 
 
+def clip_jitter(df: DataFrame, seeds: Mapping[str, int], scale: float) -> DataFrame:
+    """Normal noise of which 95 % lies within one unit, clipped to it, times a scale."""
+    unit = lambda s: F.least(F.greatest(normal_draw(s, "cloud_id", "point_id") / 1.96, F.lit(-1.0)), F.lit(1.0))
+    return df.withColumns({c: F.col(c) + scale * unit(s) for c, s in seeds.items()})
+
+
+def density_noise(df: DataFrame, sigma: float, p: float, seed: int, value: str = "intensity") -> DataFrame:
+    """With probability p a cloud's intensities get normal noise, for each point."""
+    return df.withColumn(value, F.col(value) + F.when(draw(seed, "cloud_id") < p, sigma * normal_draw(seed + 1, "cloud_id", "point_id")).otherwise(0.0))
+
+
 def choose_one(df: DataFrame, candidates, seed: int) -> DataFrame:
     """Each cloud goes through one of the transforms, chosen by its draw."""
     pick = F.floor(draw(seed, "cloud_id") * len(candidates))
@@ -91,3 +102,77 @@ def drop_ribs_randomly(df: DataFrame, most: int, seed: int, min_points: int = 0,
     gone = F.coalesce(F.when(draw(seed + 1, "cloud_id") < 0.5, F.col("_no") <= depth).otherwise(F.col("_no") > 12 - depth), F.lit(False))
     out = out.withColumn("_gone", gone).withColumn("_left", F.count_if(~F.col("_gone")).over(per_cloud()))
     return out.where(~F.col("_gone") | (F.col("_left") < min_points)).select(df.columns)
+
+
+def rotate_target(df: DataFrame, axis: str, angles: Sequence[float], p: float, seed: int) -> DataFrame:
+    """With probability p a cloud turns about its box's centre by one of the angles (in half turns), drawn for the cloud."""
+    pick = F.get(F.array(*[F.lit(float(a)) for a in angles]), F.floor(draw(seed + 1, "cloud_id") * len(angles)).cast("int"))
+    return rotate_clouds(df, axis, F.when(draw(seed, "cloud_id") <= p, pick * F.pi()).otherwise(0.0))
+
+
+def align_rooms(df: DataFrame, rooms: DataFrame) -> DataFrame:
+    """Turn each cloud about z through its box's centre by (2 - angle / 180) half turns; rooms: cloud_id, angle in degrees. A
+    cloud that isn't listed stays."""
+    out = df.join(rooms.select("cloud_id", F.col("angle").alias("_angle")), "cloud_id", "left")
+    return rotate_clouds(out, "z", F.coalesce((2 - F.col("_angle") / 180) * F.pi(), F.lit(0.0))).drop("_angle")
+
+
+def elastic(df: DataFrame, granularity: float, magnitude: float, seed: int) -> DataFrame:
+    """Move points by a smooth noise field: normal draws at the nodes of a grid, blurred twice by a box of three nodes along each
+    axis (zero outside the grid), and interpolated trilinearly.
+
+    Only nodes next to points are worked out, each from the draws of the up to 125 nodes around it, so the work goes with the
+    occupied cells and no grid is built.
+    """
+    low = {f"_{a}": F.min(a).over(per_cloud()) for a in "xyz"}
+    size = {f"_d{a}": F.floor((F.max(a).over(per_cloud()) - F.min(a).over(per_cloud())) / granularity).cast("bigint") + 3 for a in "xyz"}
+    out = df.withColumns(low | size).withColumns({f"_u{a}": (F.col(a) - F.col(f"_{a}")) / granularity + 1 for a in "xyz"})
+    corner = F.explode(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip("ijk", c)]) for c in ((i, j, k) for i in (0, 1) for j in (0, 1) for k in (0, 1))])).alias("_c")
+    at = out.select("cloud_id", "point_id", *size, *[f"_u{a}" for a in "xyz"], corner)
+    at = at.withColumns({f"_n{a}": F.floor(f"_u{a}").cast("bigint") + F.col(f"_c.{k}") for a, k in zip("xyz", "ijk")})
+    share = lambda a, k: F.when(F.col(f"_c.{k}") == 1, F.col(f"_u{a}") - F.floor(f"_u{a}")).otherwise(1 - (F.col(f"_u{a}") - F.floor(f"_u{a}")))
+    at = at.withColumn("_w", share("x", "i") * share("y", "j") * share("z", "k"))
+    key = ["cloud_id", "_nx", "_ny", "_nz"]
+    nodes = at.select(*key, *size).distinct()
+    step = F.explode(F.sequence(F.lit(-2), F.lit(2)))
+    around = nodes
+    for a in "xyz":  # how many nodes of the grid lie within one of both ends, in ninths
+        near = F.least(F.col(f"_n{a}") + 1, F.col(f"_s{a}") + 1, F.col(f"_d{a}") - 1) - F.greatest(F.col(f"_n{a}") - 1, F.col(f"_s{a}") - 1, F.lit(0)) + 1
+        around = around.withColumn(f"_o{a}", step).withColumn(f"_s{a}", F.col(f"_n{a}") + F.col(f"_o{a}")).where(F.col(f"_s{a}").between(0, F.col(f"_d{a}") - 1)).withColumn(f"_b{a}", near / 9.0)
+    around = around.withColumn("_node", (F.col("_sx") * 1024 + F.col("_sy")) * 1024 + F.col("_sz"))
+    weight = F.col("_bx") * F.col("_by") * F.col("_bz")
+    field = around.groupBy(*key).agg(*[F.sum(weight * normal_draw(seed + k, "cloud_id", "_node")).alias(f"_f{a}") for k, a in enumerate("xyz")])
+    moves = at.join(field, key).groupBy("cloud_id", "point_id").agg(*[F.sum(F.col("_w") * F.col(f"_f{a}")).alias(f"_m{a}") for a in "xyz"])
+    return df.join(moves, ["cloud_id", "point_id"]).withColumns({a: F.col(a) + F.col(f"_m{a}") * magnitude for a in "xyz"}).select(df.columns)
+
+
+def views(df: DataFrame, seed: int, global_views: int = 2, global_scale=(0.4, 1.0), local_views: int = 4, local_scale=(0.1, 0.4), most: int = 65536, height=(0.0, 1.0)) -> DataFrame:
+    """Crops of each cloud: (cloud_id, view, kind, point_id, rank), view 0 the major global one.
+
+    A view holds the points nearest to its centre, a drawn share of the cloud's points (of at most ``most``). The major centre is drawn
+    among the points of a height band, the other global centres among the major view's points, and the local ones among those of
+    them that no local view covers yet (among all again once all are covered).
+    """
+    w = per_cloud()
+    size = lambda v, scale: F.floor((scale[0] + draw(seed + 100 + v, "cloud_id") * (scale[1] - scale[0])) * F.least(F.col("_n"), F.lit(most)))
+    z0, z1 = F.min("z").over(w), F.max("z").over(w)
+    out = df.select("cloud_id", "point_id", "x", "y", "z").withColumns({"_n": F.count("*").over(w), "_band": F.col("z").between(z0 + (z1 - z0) * height[0], z0 + (z1 - z0) * height[1])})
+
+    def crop(rows: DataFrame, v: int, among: Column, scale) -> DataFrame:
+        centre = F.min_by(F.struct("x", "y", "z"), F.when(among, F.struct(draw(seed + v, "cloud_id", "point_id"), F.col("point_id")))).over(w)
+        rows = rows.withColumn("_c", centre)
+        d2 = sum(((F.col(a) - F.col(f"_c.{a}")) ** 2 for a in "xyz"), F.lit(0.0))
+        rows = rows.withColumn("_d2", d2).withColumn("_r", F.row_number().over(w.orderBy("_d2", "point_id")))
+        return rows.withColumn(f"_v{v}", F.when(F.col("_r") <= size(v, scale), F.col("_r"))).drop("_c", "_d2", "_r")
+
+    out = crop(out, 0, F.col("_band"), global_scale)
+    for v in range(1, global_views):
+        out = crop(out, v, F.col("_v0").isNotNull(), global_scale)
+    out = out.withColumn("_open", F.col("_v0").isNotNull())
+    for v in range(global_views, global_views + local_views):
+        out = out.withColumn("_left", F.max("_open").over(w))
+        out = out.withColumn("_open", F.when(F.col("_left"), F.col("_open")).otherwise(F.col("_v0").isNotNull())).drop("_left")
+        out = crop(out, v, F.col("_open"), local_scale)
+        out = out.withColumn("_open", F.col("_open") & F.col(f"_v{v}").isNull())
+    held = F.array(*[F.struct(F.lit(v).alias("view"), F.lit("global" if v < global_views else "local").alias("kind"), F.col(f"_v{v}").alias("rank")) for v in range(global_views + local_views)])
+    return out.select("cloud_id", "point_id", F.explode(held).alias("v")).select("cloud_id", "v.view", "v.kind", "point_id", "v.rank").where("rank is not null")

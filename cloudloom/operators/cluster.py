@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloudloom.functions.tables import materialise
@@ -50,6 +50,33 @@ def label_components(points: DataFrame, radius: float, least: int, label: str =
     return points.join(big.withColumn("cluster", number).select("cloud_id", "point_id", "cluster"), ["cloud_id", "point_id"])
 
 
+def shifted_centres(df: DataFrame, bias: Sequence[str], size: float) -> DataFrame:
+    """Coordinates moved by the predicted offsets, in units of the voxel size: what the proposals are clustered in."""
+    return df.withColumns({a: (F.col(a) + F.col(b)) / size for a, b in zip(AXES, bias)})
+
+
+def by_score(instances: DataFrame, score: str, ident: str) -> DataFrame:
+    """K2: the rank of each instance of its cloud by falling score, ties to the smaller id."""
+    return instances.withColumn("rank", F.row_number().over(Window.partitionBy("cloud_id").orderBy(F.desc(score), ident)))
+
+
+def attach_segments(points: DataFrame, segments: DataFrame) -> DataFrame:
+    """Each point's segment of a partition (cloud_id, point_id, segment); -1 for points that it lacks."""
+    out = points.join(segments.select("cloud_id", "point_id", "segment"), ["cloud_id", "point_id"], "left")
+    return out.withColumn("segment", F.coalesce("segment", F.lit(-1)))
+
+
+def cluster_statistic(clustered: DataFrame, statistic: Column, name: str) -> DataFrame:
+    """Clusters with a statistic of their points, any aggregate expression (a grouped pandas_udf too)."""
+    return clustered.groupBy("cloud_id", "cluster").agg(F.count("*").alias("n"), statistic.alias(name))
+
+
+def matching_costs(pairs: DataFrame, parts: Sequence[tuple[float, Column]]) -> DataFrame:
+    """A cost for each pair, the weighted sum of any cost columns; NaN and infinite ones become a large constant."""
+    total = sum((w * c for w, c in parts), F.lit(0.0))
+    return pairs.withColumn("cost", F.when(F.isnan(total) | (F.abs(total) > 1e12), 1e12).otherwise(total))
+
+
 def proposals(clustered: DataFrame, label: str, score: str) -> DataFrame:
     """Instances of clusters: the label of the first member, the mean score, the number of points."""
     return clustered.groupBy("cloud_id", "cluster").agg(F.min_by(label, "point_id").alias("class"), F.avg(score).alias("score"), F.count("*").alias("n"))

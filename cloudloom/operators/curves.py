@@ -52,6 +52,53 @@ def hilbert(i: Column, j: Column, k: Column, bits: int = 16) -> Column:
     return code(i.cast("bigint"), j.cast("bigint"), k.cast("bigint"))
 
 
+def hilbert_points(codes: np.ndarray, bits: int, d: int = 3) -> np.ndarray:
+    """The integer points of Hilbert codes: the steps of hilbert_codes undone, from the lowest bit up."""
+    x = np.zeros((len(codes), d), np.int64)
+    for b in range(bits * d):
+        x[:, d - 1 - b % d] |= ((codes >> b) & 1) << (b // d)
+    carry = x[:, d - 1] >> 1
+    for a in range(d - 1, 0, -1):
+        x[:, a] ^= x[:, a - 1]
+    x[:, 0] ^= carry
+    for b in range(1, bits):
+        q = 1 << b
+        low = q - 1
+        for a in range(d - 1, -1, -1):
+            one = (x[:, a] & q) > 0
+            trade = np.where(one, 0, (x[:, 0] ^ x[:, a]) & low)
+            x[:, 0] ^= np.where(one, low, trade)
+            x[:, a] ^= trade
+    return x
+
+
+def hilbert_decode(code: Column, bits: int = 16) -> Column:
+    """The three indices of a Hilbert code, as a struct (i, j, k), in Arrow batches."""
+
+    @F.pandas_udf("i bigint, j bigint, k bigint")
+    def points(c: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(hilbert_points(c.to_numpy(np.int64), bits), columns=["i", "j", "k"])
+
+    return points(code.cast("bigint"))
+
+
+def serial_orders(df: DataFrame, orders: Sequence[str] = ("z", "z-trans", "hilbert", "hilbert-trans"), columns: Sequence[str] = ("cx", "cy", "cz"), bits: int = 10) -> DataFrame:
+    """For each order a code and the rank along that curve in the cloud, ties by id: columns code_<order>, ord_<order>, with _ for
+    the hyphen. The transposed curves take the second index first."""
+    from cloudloom.operators.scalar import morton
+
+    i, j, k = (F.col(c) for c in columns)
+    out = df
+    for name in orders:
+        curve, _, turned = name.partition("-")
+        if curve not in ("z", "hilbert") or turned not in ("", "trans"):
+            raise ValueError(f"unknown order {name}")
+        a, b = (j, i) if turned else (i, j)
+        out = out.withColumn(f"code_{name.replace('-', '_')}", morton(a, b, k, bits=bits) if curve == "z" else hilbert(a, b, k, bits))
+    rank = lambda name: F.row_number().over(Window.partitionBy("cloud_id").orderBy(f"code_{name}", "point_id")) - 1
+    return out.withColumns({f"ord_{n}": rank(n) for n in (o.replace("-", "_") for o in orders)})
+
+
 def with_cloud_prefix(cloud: Column, code: Column, bits: int) -> Column:
     """The cloud's number above the bits of the code."""
     return F.shiftleft(cloud.cast("bigint"), 3 * bits).bitwiseOR(code)

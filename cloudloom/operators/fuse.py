@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -151,6 +151,63 @@ def stage_faults(cache: DataFrame, first: DataFrame, second: DataFrame) -> DataF
     return out
 
 
+def over_threshold(pairs: DataFrame, value: str, limit: float, closed: bool = False) -> DataFrame:
+    """Pairs of a list above the limit, or at it too (closed)."""
+    return pairs.where(F.col(value) >= limit if closed else F.col(value) > limit)
+
+
+def inverse_remap(df: DataFrame, label: str, table: DataFrame, ignore: int) -> DataFrame:
+    """P10: labels back to raw ids by a table (raw, label), where a label of several raw ids has one marked ``canonical``, or else the
+    least; a label that the table lacks becomes ``ignore``."""
+    first = F.min(F.struct((~F.coalesce("canonical", F.lit(False))).alias("_c"), F.col("raw").alias("_raw"))) if "canonical" in table.columns else F.min(F.struct(F.col("raw").alias("_raw")))
+    back = table.groupBy(F.col("label").alias("_label")).agg(first.alias("_f")).select("_label", F.col("_f._raw").alias("_raw"))
+    out = df.join(F.broadcast(back), F.col(label) == F.col("_label"), "left")  # at most one row a class
+    return out.withColumn(label, F.coalesce("_raw", F.lit(ignore))).drop("_label", "_raw")
+
+
+def match_tuples(df: DataFrame, columns: Sequence[str], table: DataFrame, target: str, other: int = -1) -> DataFrame:
+    """The class of a tuple of image values, by equality with the table's columns; others get ``other``."""
+    keys = table.select(*[F.col(c).alias(f"_{c}") for c in columns], F.col("class").alias("_class")).dropDuplicates([f"_{c}" for c in columns])
+    on = [F.col(c) == F.col(f"_{c}") for c in columns]
+    return df.join(F.broadcast(keys), on, "left").withColumn(target, F.coalesce("_class", F.lit(other))).drop("_class", *[f"_{c}" for c in columns])  # a palette's colours
+
+
+#: Spellings of the annotated categories that differ from the class list.
+SPELLINGS = {"trashcan": "trash can", "fridge": "refrigerator"}
+
+
+def colour_hex(r: str, g: str, b: str) -> Column:
+    """The six upper-case hexadecimal digits of a colour."""
+    return F.concat(*[F.lpad(F.hex(F.col(c).cast("bigint")), 2, "0") for c in (r, g, b)])
+
+
+def colour_instances(df: DataFrame, mapping: DataFrame, classes: DataFrame, channels: Sequence[str] = ("r", "g", "b")) -> DataFrame:
+    """Instance: the colour's place among the cloud's colours, from 0; segment: the class of the colour's category in mapping
+    (hex, category), by classes (category, class), spellings put right; -1 for colours without one."""
+    fixed = F.create_map(*[F.lit(x) for pair in SPELLINGS.items() for x in pair])
+    named = mapping.select(F.upper("hex").alias("_hex"), F.coalesce(F.try_element_at(fixed, F.col("category")), F.col("category")).alias("category"))
+    known = named.join(classes, "category").select("_hex", F.col("class").alias("_class")).dropDuplicates(["_hex"])
+    out = df.withColumn("_hex", colour_hex(*channels)).join(known, "_hex", "left")
+    place = F.dense_rank().over(Window.partitionBy("cloud_id").orderBy(*channels)) - 1
+    return out.withColumns({"instance": place, "segment": F.coalesce("_class", F.lit(-1))}).drop("_hex", "_class")
+
+
+def check_ids(fine: DataFrame, expected: Mapping[int, str], ident: str = "fine", name: str = "name") -> DataFrame:
+    """Rows (fine, expected, found) where a fine id doesn't have the name that the code relies on; empty if the check holds."""
+    want = fine.sparkSession.createDataFrame(list(expected.items()), "fine int, expected string")
+    own = fine.select(F.col(ident).cast("int").alias("fine"), F.col(name).alias("found"))
+    return want.join(own, "fine", "left").where(~F.col("expected").eqNullSafe(F.col("found")))
+
+
+def missing_inputs(splits: DataFrame, inputs: Mapping[str, DataFrame]) -> DataFrame:
+    """The clouds of a split (cloud_id, split) that an input has no rows of, with the inputs' names; the rest can be combined."""
+    out = splits
+    for name, df in inputs.items():
+        out = out.join(df.select("cloud_id").distinct().withColumn(f"_{name}", F.lit(True)), "cloud_id", "left")
+    lacking = F.array_compact(F.array(*[F.when(F.col(f"_{name}").isNull(), F.lit(name)) for name in inputs]))
+    return out.select("split", "cloud_id", F.array_join(lacking, ",").alias("missing")).where("missing <> ''")
+
+
 def face_normals(faces: DataFrame, vertices: DataFrame) -> DataFrame:
     """Each face's doubled-area normal, from its three corners."""
     out = faces

@@ -18,6 +18,16 @@ def cross_entropy(df: DataFrame, ignore: int = -1, smoothing: float = 0.0, weigh
     return rows.groupBy(*by).agg(F.try_divide(F.sum(-target * w * F.ln(F.greatest(F.col("p"), F.lit(1e-12)))), F.sum(weight)).alias("loss"))
 
 
+def smoothed_cross_entropy(df: DataFrame, smoothing: float = 0.1, by=("cloud_id",)) -> DataFrame:
+    """L2: the mean over points of the cross-entropy against a target that gives the other classes equal parts of ``smoothing``; points
+    with a loss that isn't finite (a class of probability 0) don't count."""
+    share = F.when(F.col("class") == F.col("label"), 1.0 - smoothing).otherwise(smoothing / (F.col("_k") - 1))
+    classes = df.agg(F.countDistinct("class").alias("_k"))
+    term = F.when(F.col("p") > 0, -share * F.ln("p"))  # null for p = 0
+    one = df.crossJoin(F.broadcast(classes)).groupBy(*by, "point_id").agg(F.when(F.count(term) == F.count("*"), F.sum(term)).alias("_l"))  # one row
+    return one.groupBy(*by).agg(F.avg("_l").alias("loss"))
+
+
 def focal(df: DataFrame, gamma: float = 2.0, alpha: float = 0.5, by=("cloud_id",)) -> DataFrame:
     """L3, L4: sigmoid focal loss over classes, averaged over points and classes."""
     t = F.col("class") == F.col("label")
@@ -64,6 +74,12 @@ def info_nce(pairs: DataFrame, similarity: str, temperature: float, anchor: list
     return one.groupBy(*by).agg(F.avg(-F.ln(F.col("_p") / F.col("_a"))).alias("loss"))
 
 
+def instance_info_nce(pairs: DataFrame, similarity: str, temperature: float, anchor: list[str], label: str) -> DataFrame:
+    """The anchors' terms (as in info_nce) averaged over the anchors of a class, then the classes of a cloud, then clouds."""
+    per_class = info_nce(pairs, similarity, temperature, [*anchor, label], ("cloud_id", label))
+    return per_class.groupBy("cloud_id").agg(F.avg("loss").alias("loss")).agg(F.avg("loss").alias("loss"))
+
+
 def sinkhorn(df: DataFrame, row: str, column: str, value: str, rounds: int = 3) -> DataFrame:
     """Alternate normalisation of columns and rows of a long matrix."""
     out = df

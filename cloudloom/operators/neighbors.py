@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,15 +22,25 @@ EDGES = "cloud_id bigint, src bigint, dst bigint, d2 double, rank int"
 
 
 def radius_edges(queries: DataFrame, points: DataFrame, radius: float, include_self: bool = True, closed: bool = False) -> DataFrame:
-    """All (src, dst, d2) of a cloud nearer than the radius: cells of that size, 27 of them for each query."""
+    """All (src, dst, d2) of a cloud nearer than the radius, by cells of that size. Of a cloud with itself only half of the
+    27 cells around a point are searched, and what is found there goes both ways."""
+    same = queries is points
+    offsets = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
+    if same:
+        offsets = [o for o in offsets if o >= (0, 0, 0)]
     cell = {f"c{a}": F.floor(F.col(a) / radius) for a in AXES}
     near = points.select("cloud_id", F.col("point_id").alias("dst"), *[F.col(a).alias(f"_{a}") for a in AXES], *[v.alias(k) for k, v in cell.items()])
-    around = F.explode(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip("ijk", (i, j, k))]) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]))
+    around = F.explode(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip("ijk", o)]) for o in offsets]))
     asked = queries.select("cloud_id", F.col("point_id").alias("src"), *AXES, *[v.alias(f"_{k}") for k, v in cell.items()]).withColumn("o", around)
-    asked = asked.select("cloud_id", "src", *AXES, *[(F.col(f"_c{a}") + F.col(f"o.{k}")).alias(f"c{a}") for a, k in zip(AXES, "ijk")])
+    own = (F.col("o.i") == 0) & (F.col("o.j") == 0) & (F.col("o.k") == 0)
+    asked = asked.select("cloud_id", "src", *AXES, own.alias("_own"), *[(F.col(f"_c{a}") + F.col(f"o.{k}")).alias(f"c{a}") for a, k in zip(AXES, "ijk")])
     d2 = sum(((F.col(a) - F.col(f"_{a}")) ** 2 for a in AXES), F.lit(0.0))
     out = asked.join(near, ["cloud_id", "cx", "cy", "cz"]).withColumn("d2", d2)
     out = out.where(F.col("d2") <= radius * radius if closed else F.col("d2") < radius * radius)
+    if same:
+        one, other = F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        both = F.when(F.col("_own"), F.array(one)).otherwise(F.array(one, other))  # within a cell both orders meet anyway
+        out = out.select("cloud_id", "d2", F.explode(both).alias("e")).select("cloud_id", "e.src", "e.dst", "d2")
     return (out if include_self else out.where("src <> dst")).select("cloud_id", "src", "dst", "d2")
 
 
@@ -58,33 +69,63 @@ def random_ball_query(queries: DataFrame, points: DataFrame, samples: int, radiu
     return radius_edges(queries, points, radius).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= samples)
 
 
+def nearest_rows(d2: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the k least values of each row, in order, ties to the smaller place, and the values."""
+    k = min(k, d2.shape[1])
+    if k == d2.shape[1]:
+        order = np.argsort(d2, axis=1, kind="stable")
+        return order, np.take_along_axis(d2, order, axis=1)
+    limit = np.partition(d2, k - 1, axis=1)[:, k - 1 : k]
+    row, col = np.nonzero(d2 <= limit)  # at least k a row; more where the last value is tied
+    value = d2[row, col]
+    order = np.lexsort((value, row))  # stable: equal values stay in the order of places
+    row, col, value = row[order], col[order], value[order]
+    first = np.searchsorted(row, np.arange(len(d2)))
+    at = first[:, None] + np.arange(k)
+    return col[at], value[at]
+
+
 def _knn_numpy(k: int):
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        q, p = left.rename(columns=lambda c: c.removeprefix("q_")).sort_values("point_id"), right.sort_values("point_id")
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        q, p = left.sort_by("q_point_id"), right.sort_by("point_id")
+        names = ["cloud_id", "src", "dst", "d2", "rank"]
         if not len(q) or not len(p):
-            return pd.DataFrame({"cloud_id": [], "src": [], "dst": [], "d2": [], "rank": []})
-        a, b, ids = q[list(AXES)].to_numpy(float), p[list(AXES)].to_numpy(float), p["point_id"].to_numpy()
-        n, out = min(k, len(b)), []
-        for at in range(0, len(a), 512):
-            d2 = ((a[at : at + 512, None, :] - b[None, :, :]) ** 2).sum(axis=2)
-            order = np.argsort(d2, axis=1, kind="stable")[:, :n]  # rows are in id order, so ties go to the smaller id
-            out.append((order, np.take_along_axis(d2, order, axis=1)))
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32())], names)
+        a, b = ([t[prefix + c].to_numpy() for c in AXES] for t, prefix in ((q, "q_"), (p, "")))
+        ids, n, out = p["point_id"].to_numpy(), min(k, len(p)), []
+        for at in range(0, len(q), 512):
+            d2 = np.zeros((min(512, len(q) - at), len(p)))
+            for x, y in zip(a, b):
+                d2 += (x[at : at + 512, None] - y[None, :]) ** 2
+            out.append(nearest_rows(d2, n))
         order, d2 = np.vstack([o for o, _ in out]), np.vstack([d for _, d in out])
-        return pd.DataFrame({"cloud_id": q["cloud_id"].iloc[0], "src": np.repeat(q["point_id"].to_numpy(), n), "dst": ids[order.ravel()], "d2": d2.ravel(), "rank": np.tile(np.arange(1, n + 1), len(a))})
+        cloud = np.full(order.size, q["q_cloud_id"][0].as_py(), np.int64)
+        return pa.table([cloud, np.repeat(q["q_point_id"].to_numpy(), n), ids[order.ravel()], d2.ravel(), np.tile(np.arange(1, n + 1, dtype=np.int32), len(q))], names)
 
     return run
 
 
 def knn(queries: DataFrame, points: DataFrame, k: int, cell: float | None = None) -> DataFrame:
     """The k nearest points of the same cloud for every query: (cloud_id, src, dst, d2, rank), ties to the
-    smaller id. Clouds of more than SMALL points take the grid form with cells of ``cell`` (guessed from the density)."""
+    smaller id. Clouds of more than SMALL points take the grid form with cells of ``cell`` (guessed from the density).
+    The sides are written to the shared folder first, so that what they are made of is worked out once."""
+    from cloudloom.functions.tables import materialise
+
+    columns = ["cloud_id", "point_id", *AXES]
+    slim = lambda df: materialise(df.select(F.col("cloud_id").cast("bigint").alias("cloud_id"), F.col("point_id").cast("bigint").alias("point_id"), *[F.col(a).cast("double").alias(a) for a in AXES]))
+    same = queries is points
+    points = slim(points)
+    queries = points if same else slim(queries)
     sizes = points.groupBy("cloud_id").agg(F.count("*").alias("_n"), *[(F.max(a) - F.min(a)).alias(f"_e{a}") for a in AXES])
     big = sizes.where(F.col("_n") > SMALL)
-    columns = ["cloud_id", "point_id", *AXES]
-    small_p, small_q = (df.select(*columns).join(big.select("cloud_id"), "cloud_id", "left_anti") for df in (points, queries))
+    any_big = not big.isEmpty()
+    placed = " and ".join(f"{a} is not null" for a in AXES)  # a row without a place has no distances
+    small_p, small_q = points.where(placed), queries.where(placed)
+    if any_big:
+        small_p, small_q = (df.join(big.select("cloud_id"), "cloud_id", "left_anti") for df in (small_p, small_q))
     asked = small_q.select(*[F.col(c).alias(f"q_{c}") for c in columns])  # other names, as both may come from one frame
-    out = asked.groupBy("q_cloud_id").cogroup(small_p.groupBy("cloud_id")).applyInPandas(_knn_numpy(k), EDGES)
-    if big.isEmpty():
+    out = asked.groupBy("q_cloud_id").cogroup(small_p.groupBy("cloud_id")).applyInArrow(_knn_numpy(k), EDGES)
+    if not any_big:
         return out
     keep_p, keep_q = (df.select(*columns).join(big.select("cloud_id"), "cloud_id", "left_semi") for df in (points, queries))
     return out.unionByName(knn_grid(keep_q, keep_p, k, cell or _guess_cell(big, k)).select("cloud_id", "src", "dst", "d2", "rank"))
@@ -219,6 +260,14 @@ def distance_partitions(edges: DataFrame, near: float, far: float, height: Colum
     return edges.withColumn("part", F.when(d <= near, 0).when((d <= far) & up, 1).when(d <= far, 2).when(up, 3).otherwise(4))
 
 
+def drawn_anchors(points: DataFrame, n: int, seed: int, label: str = "label") -> DataFrame:
+    """Up to n drawn points of each class of a cloud."""
+    from cloudloom.functions.random import draw
+
+    w = Window.partitionBy("cloud_id", label).orderBy(draw(seed, "cloud_id", "point_id"), "point_id")
+    return points.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
+
+
 def mine_pairs(points: DataFrame, anchors: DataFrame, k: int, label: str = "label") -> DataFrame:
     """For each anchor its k farthest points of the same class and its k nearest of others; anchors need both."""
     a = anchors.select("cloud_id", F.col("point_id").alias("anchor"), F.col(label).alias("_l"), *[F.col(c).alias(f"_{c}") for c in AXES])
@@ -244,17 +293,58 @@ def overlap_ratios(frames: DataFrame, size: float, reach: float = 1.5) -> DataFr
     return share.groupBy(F.col("cloud_id").alias("scene"), F.least("fa", "fb").alias("a"), F.greatest("fa", "fb").alias("b")).agg(F.max("share").alias("overlap"))
 
 
-def feature_knn(df: DataFrame, k: int, group: str = "cloud_id", ident: str = "point_id", vector: str = "feat") -> DataFrame:
-    """The k nearest in feature space of the same group: vectors of one group in blocks of a numpy task."""
+def feature_knn(df: DataFrame, k: int, group: str = "cloud_id", ident: str = "point_id", vector: str = "feat", block: int = 4096) -> DataFrame:
+    """The k nearest in feature space of the same group, ties to the smaller id; distances are rounded to 9 digits.
+
+    A group is dealt into blocks of about ``block`` rows by a hash; every pair of blocks is a task's work, and a query's best of
+    its blocks are merged. The work is the square of a group, as the search is exact; a task's memory is bounded by the block.
+    """
+    sizes = df.groupBy(group).agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
+    rows = df.select(group, ident, vector).join(sizes, group).withColumn("_own", F.pmod(F.xxhash64(ident), F.col("_blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    asked = rows.withColumn("_other", every).select(group, ident, vector, F.col("_own").alias("_q"), F.col("_other").alias("_p"), F.lit(True).alias("_asks"))
+    held = rows.withColumn("_other", every).select(group, ident, vector, F.col("_other").alias("_q"), F.col("_own").alias("_p"), F.lit(False).alias("_asks"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ident)
-        x, ids = np.stack(pdf[vector].to_numpy()).astype(float), pdf[ident].to_numpy()
+        q, p = pdf[pdf["_asks"]], pdf[~pdf["_asks"]].sort_values(ident)
+        if not len(q) or not len(p):
+            return pd.DataFrame({group: [], "src": [], "dst": [], "d2": []})
+        x, y, ids = np.stack(q[vector].to_numpy()).astype(float), np.stack(p[vector].to_numpy()).astype(float), p[ident].to_numpy()
         n, parts = min(k, len(ids)), []
-        for at in range(0, len(ids), 256):
-            d2 = np.round(((x[at : at + 256, None, :] - x[None, :, :]) ** 2).sum(axis=2), 9)
-            parts.append(np.argsort(d2, axis=1, kind="stable")[:, :n])
-        order = np.vstack(parts)
-        return pd.DataFrame({group: pdf[group].iloc[0], "src": np.repeat(ids, n), "dst": ids[order.ravel()], "rank": np.tile(np.arange(1, n + 1), len(ids))})
+        for at in range(0, len(x), 256):
+            d2 = np.zeros((len(x[at : at + 256]), len(y)))
+            for c in range(x.shape[1]):
+                d2 += (x[at : at + 256, c, None] - y[None, :, c]) ** 2
+            parts.append(nearest_rows(np.round(d2, 9), n))
+        order, d2 = np.vstack([o for o, _ in parts]), np.vstack([d for _, d in parts])
+        return pd.DataFrame({group: pdf[group].iloc[0], "src": np.repeat(q[ident].to_numpy(), n), "dst": ids[order.ravel()], "d2": d2.ravel()})
+
+    found = asked.unionByName(held).groupBy(group, "_q", "_p").applyInPandas(run, f"{group} bigint, src bigint, dst bigint, d2 double")
+    w = Window.partitionBy(group, "src").orderBy("d2", "dst")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(group, "src", "dst", "rank")
+
+
+def edge_features(edges: DataFrame, df: DataFrame, group: str = "cloud_id", ident: str = "point_id", vector: str = "feat") -> DataFrame:
+    """On each edge the neighbour's features less the source's, then the source's own."""
+    own, other = (df.select(group, F.col(ident).alias(end), F.col(vector).alias(f"_{end}")) for end in ("src", "dst"))
+    out = edges.join(own, [group, "src"]).join(other, [group, "dst"])
+    return out.withColumn("edge", F.concat(F.zip_with("_dst", "_src", lambda a, b: a - b), F.col("_src"))).drop("_src", "_dst")
+
+
+def pool_down(points: DataFrame, n: int, k: int, features: Sequence[str]) -> DataFrame:
+    """Farthest points, and over the k nearest points of each the greatest features."""
+    from cloudloom.operators.cluster import farthest_points
+
+    anchors = points.join(farthest_points(points, n), ["cloud_id", "point_id"])
+    best = gather(knn(anchors, points, k), points, features).groupBy("cloud_id", F.col("src").alias("point_id")).agg(*[F.max(f).alias(f) for f in features])
+    return anchors.select("cloud_id", "point_id", "rank", *AXES).join(best, ["cloud_id", "point_id"])
+
+
+def anchor_patches(points: DataFrame, n: int, k: int) -> DataFrame:
+    """Patches of the k nearest points of each of n farthest points: cloud_id, patch (the anchor's rank), point_id, rank."""
+    from cloudloom.operators.cluster import farthest_points
 
-    return df.select(group, ident, vector).groupBy(group).applyInPandas(run, f"{group} bigint, src bigint, dst bigint, rank int")
+    chosen = farthest_points(points, n)
+    anchors = points.join(chosen.select("cloud_id", "point_id"), ["cloud_id", "point_id"], "left_semi")
+    edges = knn(anchors, points, k)
+    return edges.join(chosen.select("cloud_id", F.col("point_id").alias("src"), F.col("rank").alias("patch")), ["cloud_id", "src"]).select("cloud_id", "patch", F.col("dst").alias("point_id"), "rank")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -147,10 +147,24 @@ def axis_directions(codes: str) -> list[float]:
 
 
 def reorientation(source: str, target: str) -> tuple[list[int], list[bool]]:
-    """For each target axis, the source axis it comes from and whether it's flipped."""
-    same = {"R": "R", "L": "R", "A": "A", "P": "A", "S": "S", "I": "S"}
+    """For each target axis, the source axis it comes from and whether it's flipped. X, Y and Z in the target take an axis in
+    either direction; in the source they can't be told from a direction that is asked for."""
+    same = {"R": "X", "L": "X", "X": "X", "A": "Y", "P": "Y", "Y": "Y", "S": "Z", "I": "Z", "Z": "Z"}
+    for codes in (source, target):
+        if sorted(same[c] for c in codes) != ["X", "Y", "Z"]:
+            raise ValueError(f"{codes} doesn't name the three axes once each")
     order = [next(k for k, s in enumerate(source) if same[s] == same[t]) for t in target]
-    return order, [source[o] != t for o, t in zip(order, target)]
+    if any(source[o] in "XYZ" and t not in "XYZ" for o, t in zip(order, target)):
+        raise ValueError(f"{source} leaves a direction of {target} open")
+    return order, [t not in "XYZ" and source[o] != t for o, t in zip(order, target)]
+
+
+def reorient_points(df: DataFrame, source: str, target: str, columns: Sequence[str] = ("x", "y", "z")) -> DataFrame:
+    """Points in the target orientation: axes permuted, and on flipped ones the cloud's least and greatest value less the own."""
+    order, flip = reorientation(source, target)
+    w = Window.partitionBy("cloud_id")
+    new = {c: (F.min(columns[o]).over(w) + F.max(columns[o]).over(w) - F.col(columns[o])) if f else F.col(columns[o]) for c, o, f in zip(columns, order, flip)}
+    return df.select(*[c for c in df.columns if c not in columns], *[v.alias(c) for c, v in new.items()])
 
 
 def reorient(df: DataFrame, source: str, target: str, size: Sequence[int], columns: Sequence[str] = ("i", "j", "k")) -> DataFrame:
@@ -158,3 +172,8 @@ def reorient(df: DataFrame, source: str, target: str, size: Sequence[int], colum
     order, flip = reorientation(source, target)
     new = {c: (F.lit(size[o] - 1) - F.col(columns[o])) if f else F.col(columns[o]) for c, o, f in zip(columns, order, flip)}
     return df.select(*[c for c in df.columns if c not in columns], *[v.alias(c) for c, v in new.items()])
+
+
+def normalise_colour(df: DataFrame, channels: Sequence[str] = ("r", "g", "b")) -> DataFrame:
+    """P25: colours from 0..255 to 0..1."""
+    return df.withColumns({c: F.col(c) / 255 for c in channels})

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cloudloom.functions.random import draw, draw_sql
 from cloudloom.operators import fuse
+from cloudloom.operators.cloud import per_cloud
 from cloudloom.plans.catalog import query
 from cloudloom.plans.geometry import rounded
 from cloudloom.sources.fixtures import frames, points, read
@@ -91,11 +92,11 @@ def _(spark, d):
     return read(spark, d, "events").select(F.col("event_id").cast("bigint").alias("event_id"), F.from_json("props", "k bigint")["k"].alias("k"))
 
 
-@query("s25_pair_threshold", "WITH v AS (SELECT DISTINCT cloud_id % 5 AS s, cloud_id AS c, floor(x/8) i, floor(y/4) j FROM pts WHERE cloud_id <= 20), p AS (SELECT a.s, a.c AS a, b.c AS b, count(*) AS n FROM v a JOIN v b ON a.s = b.s AND a.c < b.c AND a.i = b.i AND a.j = b.j GROUP BY ALL) SELECT a, b, n FROM p WHERE n > 18")
+@query("s25_pair_threshold", "WITH v AS (SELECT DISTINCT cloud_id // 20 AS s, cloud_id AS c, floor(x/8) i, floor(y/4) j FROM pts), p AS (SELECT a.s, a.c AS a, b.c AS b, count(*) AS n FROM v a JOIN v b ON a.s = b.s AND a.c < b.c AND a.i = b.i AND a.j = b.j GROUP BY ALL) SELECT a, b, n FROM p WHERE n > 18")
 def _(spark, d):
-    v = points(spark, d).where("cloud_id <= 20").select((F.col("cloud_id") % 5).alias("s"), F.col("cloud_id").alias("c"), F.floor(F.col("x") / 8).alias("i"), F.floor(F.col("y") / 4).alias("j")).distinct()
+    v = points(spark, d).select(F.floor(F.col("cloud_id") / 20).alias("s"), F.col("cloud_id").alias("c"), F.floor(F.col("x") / 8).alias("i"), F.floor(F.col("y") / 4).alias("j")).distinct()
     pairs = v.join(v.withColumnRenamed("c", "d"), ["s", "i", "j"]).where("c < d").groupBy(F.col("c").alias("a"), F.col("d").alias("b")).agg(F.count("*").alias("n"))
-    return pairs.where("n > 18")
+    return fuse.over_threshold(pairs, "n", 18)
 
 
 @query("s26_fill_cache", "WITH g AS (SELECT cloud_id, x, y, z, max(rib_pred) AS aux FROM pts WHERE point_id % 2 = 0 GROUP BY ALL) SELECT p.cloud_id, round(avg((coalesce(aux, 0) BETWEEN 1 AND 24)::int), 9) AS rib_fraction, count(*) FILTER (aux IS NULL) AS missing FROM pts p LEFT JOIN g ON p.cloud_id=g.cloud_id AND p.x=g.x AND p.y=g.y AND p.z=g.z GROUP BY 1 ORDER BY rib_fraction, cloud_id LIMIT 10")
@@ -143,10 +144,10 @@ def _(spark, d):
     return rounded(fuse.fuse_frames(frames(spark, d), [-1, -3, 2]), "dx", "dy")
 
 
-@query("j22_segment_labels", "WITH g AS (SELECT cloud_id, instance AS o, max(label) AS gl, list(DISTINCT x::int) AS segs FROM pts WHERE instance >= 0 AND point_id % 40 = 0 GROUP BY 1, 2), e AS (SELECT cloud_id, o, gl, unnest(segs) AS seg FROM g), l AS (SELECT cloud_id, seg, arg_max(gl, o) AS gl FROM e GROUP BY 1, 2) SELECT p.cloud_id, point_id, coalesce(gl, -1)::int AS group_label FROM pts p LEFT JOIN l ON p.cloud_id = l.cloud_id AND p.x::int = l.seg")
+@query("j22_segment_labels", "WITH g AS (SELECT cloud_id, instance AS o, max(label) AS gl, list(DISTINCT x::int) AS segs FROM pts WHERE instance >= 0 GROUP BY 1, 2), e AS (SELECT cloud_id, o, gl, unnest(segs) AS seg FROM g), l AS (SELECT cloud_id, seg, arg_max(gl, o) AS gl FROM e GROUP BY 1, 2) SELECT p.cloud_id, point_id, coalesce(gl, -1)::int AS group_label FROM pts p LEFT JOIN l ON p.cloud_id = l.cloud_id AND p.x::int = l.seg")
 def _(spark, d):
     p = points(spark, d).withColumn("seg", F.col("x").cast("int"))
-    g = p.where("instance >= 0 and point_id % 40 = 0").groupBy("cloud_id", F.col("instance").alias("ord")).agg(F.max("label").alias("label"), F.collect_set("seg").alias("segments"))
+    g = p.where("instance >= 0").groupBy("cloud_id", F.col("instance").alias("ord")).agg(F.max("label").alias("label"), F.collect_set("seg").alias("segments"))
     return fuse.segment_labels(p, g, "seg").select("cloud_id", "point_id", F.col("group_label").cast("int").alias("group_label"))
 
 
@@ -165,13 +166,13 @@ def _(spark, d):
     return fuse.stage_faults(p, first, p.where("pred > 0 or point_id % 100 = 0"))
 
 
-FACES = "f AS (SELECT cloud_id, point_id AS face_id, point_id AS v0, point_id + 1 AS v1, point_id + 2 AS v2, label FROM pts WHERE point_id % 2 = 1 AND point_id + 2 <= (SELECT min(n) FROM (SELECT count(*) n FROM pts GROUP BY cloud_id)))"
+FACES = "f AS (SELECT cloud_id, point_id AS face_id, point_id AS v0, point_id + 1 AS v1, point_id + 2 AS v2, label FROM (SELECT *, count(*) OVER (PARTITION BY cloud_id) AS own FROM pts) WHERE point_id % 2 = 1 AND point_id + 2 <= own)"
 
 
 def faces(spark, d):
-    p = points(spark, d)
-    least = p.groupBy("cloud_id").count().agg(F.min("count")).first()[0]
-    return p.where((F.col("point_id") % 2 == 1) & (F.col("point_id") + 2 <= least)).selectExpr("cloud_id", "point_id face_id", "point_id v0", "point_id + 1 v1", "point_id + 2 v2", "label")
+    """A strip of faces over all points of each cloud: every other point begins one with the two after it."""
+    p = points(spark, d).withColumn("own", F.count("*").over(per_cloud()))
+    return p.where((F.col("point_id") % 2 == 1) & (F.col("point_id") + 2 <= F.col("own"))).selectExpr("cloud_id", "point_id face_id", "point_id v0", "point_id + 1 v1", "point_id + 2 v2", "label")
 
 
 @query("a9_face_normals", f"WITH {FACES} SELECT f.cloud_id, face_id, (b.y-a.y)*(c.z-a.z)-(b.z-a.z)*(c.y-a.y) + 0.0 AS nx, (b.z-a.z)*(c.x-a.x)-(b.x-a.x)*(c.z-a.z) + 0.0 AS ny, (b.x-a.x)*(c.y-a.y)-(b.y-a.y)*(c.x-a.x) + 0.0 AS nz FROM f JOIN pts a ON a.cloud_id=f.cloud_id AND a.point_id=v0 JOIN pts b ON b.cloud_id=f.cloud_id AND b.point_id=v1 JOIN pts c ON c.cloud_id=f.cloud_id AND c.point_id=v2")
@@ -181,10 +182,12 @@ def _(spark, d):
     return n.select("cloud_id", "face_id", *[(F.col(c) + 0.0).alias(c) for c in ("nx", "ny", "nz")])
 
 
-@query("a9_vertex_normals")
+@query("a9_vertex_normals", f"""WITH {FACES}, n AS (SELECT f.cloud_id, v0, v1, v2, (b.y-a.y)*(c.z-a.z)-(b.z-a.z)*(c.y-a.y) AS nx, (b.z-a.z)*(c.x-a.x)-(b.x-a.x)*(c.z-a.z) AS ny, (b.x-a.x)*(c.y-a.y)-(b.y-a.y)*(c.x-a.x) AS nz FROM f JOIN pts a ON a.cloud_id=f.cloud_id AND a.point_id=v0 JOIN pts b ON b.cloud_id=f.cloud_id AND b.point_id=v1 JOIN pts c ON c.cloud_id=f.cloud_id AND c.point_id=v2),
+ s AS (SELECT cloud_id, vertex_id, sum(nx) nx, sum(ny) ny, sum(nz) nz FROM (SELECT cloud_id, unnest([v0, v1, v2]) AS vertex_id, nx, ny, nz FROM n) GROUP BY 1, 2) SELECT cloud_id, vertex_id, round(nx/(sqrt(nx*nx+ny*ny+nz*nz)+1e-8), 6) + 0.0 AS nx, round(ny/(sqrt(nx*nx+ny*ny+nz*nz)+1e-8), 6) + 0.0 AS ny, round(nz/(sqrt(nx*nx+ny*ny+nz*nz)+1e-8), 6) + 0.0 AS nz FROM s""")
 def _(spark, d):
     v = points(spark, d).withColumnRenamed("point_id", "vertex_id")
-    return rounded(fuse.vertex_normals(fuse.face_normals(faces(spark, d), v)), "nx", "ny", "nz")
+    out = rounded(fuse.vertex_normals(fuse.face_normals(faces(spark, d), v)), "nx", "ny", "nz")
+    return out.withColumns({c: F.col(c) + 0.0 for c in ("nx", "ny", "nz")})
 
 
 @query("a10_vertex_majority", f"WITH {FACES}, e AS (SELECT cloud_id, unnest([v0, v1, v2]) AS vertex_id, label FROM f), c AS (SELECT cloud_id, vertex_id, label, count(*) n FROM e GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY cloud_id, vertex_id ORDER BY n DESC, label) r FROM c) SELECT cloud_id, vertex_id, (label - 1)::int AS label FROM k WHERE r = 1")

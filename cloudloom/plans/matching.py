@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cloudloom.functions.random import draw_sql
 from cloudloom.operators import cluster
 from cloudloom.operators import neighbors as nb
 from cloudloom.plans.catalog import query
@@ -105,18 +106,18 @@ def _(spark, d):
     return e.groupBy("cloud_id", "part").agg(F.count("*").alias("n"))
 
 
-@query("j31_pair_mining", f"""WITH a0 AS (SELECT * FROM pts WHERE point_id <= 5), p AS (SELECT b.cloud_id, b.point_id AS anchor, a.point_id, a.label = b.label AS positive, {D2} AS d2 FROM pts a JOIN a0 b ON a.cloud_id = b.cloud_id AND a.point_id <> b.point_id),
+@query("j31_pair_mining", f"""WITH a0 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cloud_id, label ORDER BY {draw_sql(31, 'cloud_id', 'point_id')}, point_id) AS dr FROM pts) WHERE dr <= 2), p AS (SELECT b.cloud_id, b.point_id AS anchor, a.point_id, a.label = b.label AS positive, {D2} AS d2 FROM pts a JOIN a0 b ON a.cloud_id = b.cloud_id AND a.point_id <> b.point_id),
  r AS (SELECT *, row_number() OVER (PARTITION BY cloud_id, anchor, positive ORDER BY CASE WHEN positive THEN -d2 ELSE d2 END, point_id) AS rank FROM p), t AS (SELECT *, count(*) FILTER (rank = 1) OVER (PARTITION BY cloud_id, anchor) AS kinds FROM r) SELECT cloud_id, anchor, point_id, positive, d2, rank::int AS rank FROM t WHERE rank <= 3 AND kinds = 2""")
 def _(spark, d):
     p = points(spark, d)
-    return nb.mine_pairs(p, p.where("point_id <= 5"), 3)
+    return nb.mine_pairs(p, nb.drawn_anchors(p, 2, 31), 3)
 
 
-@query("j28_j29_overlap", """WITH v AS (SELECT cloud_id % 5 AS scene, cloud_id AS frame, floor(x/4) vx, floor(y/4) vy, floor(z/4) vz, avg(x) x, avg(y) y, avg(z) z FROM pts WHERE cloud_id <= 20 GROUP BY ALL), n AS (SELECT scene, frame, count(*) n FROM v GROUP BY ALL),
+@query("j28_j29_overlap", """WITH v AS (SELECT cloud_id // 5 AS scene, cloud_id AS frame, floor(x/4) vx, floor(y/4) vy, floor(z/4) vz, avg(x) x, avg(y) y, avg(z) z FROM pts GROUP BY ALL), n AS (SELECT scene, frame, count(*) n FROM v GROUP BY ALL),
  h AS (SELECT a.scene, a.frame fa, b.frame fb, count(DISTINCT (a.vx, a.vy, a.vz)) h FROM v a JOIN v b ON a.scene = b.scene AND a.frame <> b.frame AND (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z) < 4 GROUP BY ALL)
  SELECT h.scene, least(fa, fb) AS a, greatest(fa, fb) AS b, round(max(h/n), 6) AS overlap FROM h JOIN n ON h.scene = n.scene AND h.fa = n.frame GROUP BY ALL""")
 def _(spark, d):
-    f = points(spark, d).where("cloud_id <= 20").select((F.col("cloud_id") % 5).alias("scene"), F.col("cloud_id").alias("frame"), "x", "y", "z")
+    f = points(spark, d).select(F.floor(F.col("cloud_id") / 5).alias("scene"), F.col("cloud_id").alias("frame"), "x", "y", "z")
     return rounded(nb.overlap_ratios(f, 4.0, 0.5), "overlap")
 
 

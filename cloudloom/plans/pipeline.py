@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloudloom.operators import augment, cloud, scalar
+from cloudloom.operators import augment, cloud, evaluate, grid, scalar
 
 Transform = Callable[..., DataFrame]
 TRANSFORMS: dict[str, Transform] = {
@@ -36,6 +37,39 @@ def scale(df: DataFrame, factor: float) -> DataFrame:
     return df.withColumns({a: F.col(a) * factor for a in "xyz"})
 
 
+def load_modules(names: Sequence[str]) -> None:
+    """Import the user modules that a configuration names, which register their transforms. Executors need only what their
+    Python functions use: ship it with SparkContext.addPyFile."""
+    for name in names:
+        importlib.import_module(name)
+
+
+#: Metrics by name, built on the counts tp, fp, fn and tn; null where not applicable.
+METRICS: dict[str, Callable[[], Column]] = {
+    "iou": lambda: evaluate.ratio(F.col("tp"), F.col("tp") + F.col("fp") + F.col("fn")),
+    "dice": lambda: evaluate.ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")),
+    "recall": lambda: evaluate.ratio(F.col("tp"), F.col("tp") + F.col("fn")),
+    "precision": lambda: evaluate.ratio(F.col("tp"), F.col("tp") + F.col("fp")),
+    "specificity": lambda: evaluate.ratio(F.col("tn"), F.col("tn") + F.col("fp")),
+    "accuracy": lambda: evaluate.ratio(F.col("tp") + F.col("tn"), F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")),
+}
+
+
+def selected_metrics(rates: DataFrame, names: Sequence[str], ignored: Sequence[int] = ()) -> DataFrame:
+    """The named metrics of each class; an unknown name is an error, ignored classes are null."""
+    unknown = [n for n in names if n.lower() not in METRICS]
+    if unknown:
+        raise KeyError(f"unknown metrics: {unknown}")
+    kept = ~F.col("class").isin(*ignored) if ignored else F.lit(True)
+    return rates.withColumns({n.lower(): F.when(kept, METRICS[n.lower()]()) for n in names})
+
+
+def fragment(df: DataFrame, size: float, then: Sequence[dict] = ()) -> DataFrame:
+    """One cloud to many: the fragments of a grid, each a cloud of its own (fragment), with further transforms applied to
+    all of them at once."""
+    return compose(then)(grid.fragments(grid.cells(df, size)))
+
+
 def compose(steps: Sequence[dict]) -> Callable[[DataFrame], DataFrame]:
     """Transforms from {type, arguments} in order, as one lazy plan."""
     parts = [(TRANSFORMS[s["type"]], {k: v for k, v in s.items() if k != "type"}) for s in steps]

@@ -45,17 +45,16 @@ def _(spark, d):
     return rounded(losses.offset_terms(points(spark, d), ("x", "y", "z"), ("y", "z", "x")), "l1", "cosine")
 
 
-@query("l8_info_nce", "WITH p AS (SELECT a.cloud_id, a.point_id AS anchor, a.label = b.label AS positive, -abs(a.x - b.x)/10 AS s FROM pts a JOIN pts b ON a.cloud_id = b.cloud_id AND a.point_id <= 10 AND b.point_id BETWEEN 11 AND 40), k AS (SELECT cloud_id, anchor, sum(CASE WHEN positive THEN exp(s/0.5) ELSE 0 END) AS pp, sum(exp(s/0.5)) AS al FROM p GROUP BY 1, 2) SELECT cloud_id, round(avg(-ln(pp/al)), 6) AS loss FROM k WHERE pp > 0 GROUP BY 1")
-def _(spark, d):
-    p = points(spark, d)
-    a = p.where("point_id <= 10").selectExpr("cloud_id", "point_id anchor", "label l", "x ax")
-    pairs = a.join(p.where("point_id between 11 and 40"), "cloud_id").selectExpr("cloud_id", "anchor", "l = label positive", "-abs(ax - x)/10 s")
-    return rounded(losses.info_nce(pairs, "s", 0.5, ["cloud_id", "anchor"]), "loss")
+def _sinkhorn_sql(rounds: int = 3) -> str:
+    steps = ["s0 AS (SELECT cloud_id, point_id, class, p AS v FROM pr)"]
+    for k in range(rounds):
+        steps.append(f"c{k} AS (SELECT cloud_id, point_id, class, v/sum(v) OVER (PARTITION BY cloud_id, class) AS v FROM s{k}), s{k + 1} AS (SELECT cloud_id, point_id, class, v/sum(v) OVER (PARTITION BY cloud_id, point_id) AS v FROM c{k})")
+    return ", ".join(steps)
 
 
-@query("l10_sinkhorn", f"WITH {PR}, a AS (SELECT cloud_id, point_id, class, p/sum(p) OVER (PARTITION BY cloud_id, class) AS v FROM pr), b AS (SELECT cloud_id, point_id, class, v/sum(v) OVER (PARTITION BY cloud_id, point_id) AS v FROM a) SELECT cloud_id, point_id, class, round(v, 6) AS v FROM b WHERE class = 0")
+@query("l10_sinkhorn", f"WITH {PR}, {_sinkhorn_sql()} SELECT cloud_id, point_id, class, round(v, 6) AS v FROM s3")
 def _(spark, d):
-    return rounded(losses.sinkhorn(probs(spark, d).withColumn("v", F.col("p")), "point_id", "class", "v", 1).where("class = 0").select("cloud_id", "point_id", "class", "v"), "v")
+    return rounded(losses.sinkhorn(probs(spark, d).withColumn("v", F.col("p")), "point_id", "class", "v").select("cloud_id", "point_id", "class", "v"), "v")
 
 
 @query("l11_masks", f"WITH {PR} SELECT cloud_id, class, round(1 - (2*sum(CASE WHEN class=label THEN p ELSE 0 END)+1)/(sum(p)+sum((class=label)::int)+1), 6) AS dice, round(avg(CASE WHEN class=label THEN -ln(p) ELSE -ln(1-p) END), 6) AS bce, round(sum((p > 0.5 AND class=label)::int)/nullif(sum((p > 0.5 OR class=label)::int), 0), 6) AS iou FROM pr GROUP BY 1, 2")

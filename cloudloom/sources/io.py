@@ -90,6 +90,14 @@ def text_points(spark: SparkSession, pattern: str, columns: list[str], separator
     return rows.join(names, "_file").drop("_file")
 
 
+def mesh_tables(vertices: DataFrame, faces: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Vertices (cloud_id, vertex_id, x, y, z) and the faces (cloud_id, face_id, v0, v1, v2) all of whose corners are among them."""
+    kept = faces
+    for corner in ("v0", "v1", "v2"):
+        kept = kept.join(vertices.select("cloud_id", F.col("vertex_id").alias(corner)), ["cloud_id", corner], "left_semi")
+    return vertices.select("cloud_id", "vertex_id", "x", "y", "z"), kept.select("cloud_id", "face_id", "v0", "v1", "v2")
+
+
 def publish(df: DataFrame, path: str) -> None:
     """Write beside the target, check the count, then rename: readers see all of it or nothing."""
     spark = df.sparkSession
