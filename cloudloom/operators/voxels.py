@@ -55,8 +55,9 @@ def surface(voxels: DataFrame) -> DataFrame:
 
 
 def surface_distances(truth: DataFrame, pred: DataFrame, spacing: Sequence[float]) -> DataFrame:
-    """Hausdorff distance, its 95th percentile and the average symmetric distance between the surfaces of two voxel
-    sets of each cloud; clouds that lack one of them have no row."""
+    """Hausdorff distance, its 95th percentile (of both directions together), the average distance from the predicted surface to
+    the true one (asd) and the mean of both directions' averages (assd), of the voxel sets of each cloud; null for a cloud that
+    lacks one of them."""
     from cloudloom.operators.neighbors import knn
 
     def coords(df: DataFrame) -> DataFrame:
@@ -65,8 +66,10 @@ def surface_distances(truth: DataFrame, pred: DataFrame, spacing: Sequence[float
         return s.select("cloud_id", number, *[(F.col(a) * spacing[n]).cast("double").alias(b) for n, (a, b) in enumerate(zip("ijk", "xyz"))])
 
     a, b = coords(truth), coords(pred)
-    both = knn(a, b, 1).unionByName(knn(b, a, 1)).select("cloud_id", F.sqrt("d2").alias("d"))
-    return both.groupBy("cloud_id").agg(F.max("d").alias("hd"), F.percentile("d", 0.95).alias("hd95"), F.avg("d").alias("assd"))
+    back, forth = (knn(x, y, 1).select("cloud_id", F.sqrt("d2").alias("d"), F.lit(k).alias("way")) for k, (x, y) in enumerate(((a, b), (b, a))))
+    way = lambda k: F.avg(F.when(F.col("way") == k, F.col("d")))
+    found = back.unionByName(forth).groupBy("cloud_id").agg(F.max("d").alias("hd"), F.percentile("d", 0.95).alias("hd95"), way(1).alias("asd"), ((way(0) + way(1)) / 2).alias("assd"))
+    return truth.select("cloud_id").union(pred.select("cloud_id")).distinct().join(found, "cloud_id", "left")
 
 
 def cross_masks(views: DataFrame, cell: Sequence[str], rate: float, seed: int) -> DataFrame:

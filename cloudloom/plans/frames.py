@@ -11,7 +11,15 @@ from cloudloom.plans.geometry import rounded
 from cloudloom.sources.fixtures import frames, points, read
 
 
-@query("p60_hilbert")
+def hilbert_sql(i: str, j: str, k: str, bits: int) -> str:
+    """The code of three indices by the curve's state machine, as a recursive query over the bits; v: cloud_id, point_id and indices."""
+    return f"""hb AS (WITH RECURSIVE h(cloud_id, point_id, q, a, b, c) AS (SELECT cloud_id, point_id, {1 << (bits - 1)}::bigint, {i}::bigint, {j}::bigint, {k}::bigint FROM pts UNION ALL
+ SELECT cloud_id, point_id, q >> 1, CASE WHEN c2 & q > 0 THEN xor(a2, q-1) ELSE xor(a2, xor(a2, c2) & (q-1)) END, b2, CASE WHEN c2 & q > 0 THEN c2 ELSE xor(c2, xor(a2, c2) & (q-1)) END FROM (SELECT cloud_id, point_id, q, CASE WHEN b1 & q > 0 THEN xor(a1, q-1) ELSE xor(a1, xor(a1, b1) & (q-1)) END AS a2, CASE WHEN b1 & q > 0 THEN b1 ELSE xor(b1, xor(a1, b1) & (q-1)) END AS b2, c1 AS c2 FROM (SELECT cloud_id, point_id, q, CASE WHEN a & q > 0 THEN xor(a, q-1) ELSE a END AS a1, b AS b1, c AS c1 FROM h WHERE q > 1)))
+ SELECT cloud_id, point_id, a, xor(b, a) AS b, xor(c, xor(b, a)) AS c FROM h WHERE q = 1),
+ ht AS (SELECT *, {' '.join(f'xor(CASE WHEN (c & {1 << b}) > 0 THEN {(1 << b) - 1} ELSE 0 END,' for b in range(1, bits))} 0{')' * (bits - 1)} AS t FROM hb), hc AS (SELECT cloud_id, point_id, {' + '.join(f'(((xor(a, t) >> {b}) & 1) << {3 * b + 2}) + (((xor(b, t) >> {b}) & 1) << {3 * b + 1}) + (((xor(c, t) >> {b}) & 1) << {3 * b})' for b in range(bits))} AS code FROM ht)"""
+
+
+@query("p60_hilbert", f"WITH {hilbert_sql('x', 'y', 'z', 6)} SELECT cloud_id, point_id, code::bigint AS code FROM hc")
 def _(spark, d):
     i, j, k = (F.col(a) for a in "xyz")
     return points(spark, d).select("cloud_id", "point_id", curves.hilbert(i, j, k, 6).alias("code"))

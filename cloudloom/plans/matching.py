@@ -121,19 +121,30 @@ def _(spark, d):
     return rounded(nb.overlap_ratios(f, 4.0, 0.5), "overlap")
 
 
-@query("c1_components")
+def _components_sql(label: str, rows: str) -> str:
+    """Clusters cl (cloud_id, point_id, root, cluster) of five points or more: the least point that each point reaches."""
+    return f"""nd AS (SELECT cloud_id, point_id, x, y, z, {label} AS l FROM pts WHERE {rows}), eg AS (SELECT a.cloud_id, a.point_id AS src, b.point_id AS dst FROM nd a JOIN nd b ON a.cloud_id = b.cloud_id AND a.l = b.l AND a.point_id <> b.point_id AND {D2} < 2.25),
+ cc AS (WITH RECURSIVE r(cloud_id, point_id, root) USING KEY (cloud_id, point_id) AS (SELECT cloud_id, point_id, point_id FROM nd UNION (SELECT eg.cloud_id, eg.dst, min(r.root) FROM r JOIN eg ON eg.cloud_id = r.cloud_id AND eg.src = r.point_id JOIN recurring.r AS o ON o.cloud_id = eg.cloud_id AND o.point_id = eg.dst WHERE r.root < o.root GROUP BY 1, 2)) SELECT * FROM r),
+ cl AS (SELECT *, (dense_rank() OVER (PARTITION BY cloud_id ORDER BY root) - 1)::int AS cluster FROM (SELECT *, count(*) OVER (PARTITION BY cloud_id, root) AS sz FROM cc) WHERE sz >= 5)"""
+
+
+@query("c1_components", f"WITH {_components_sql('label', 'label > 0')} SELECT cloud_id, cluster, count(*) AS n, min(point_id) AS first FROM cl GROUP BY 1, 2")
 def _(spark, d):
     p = points(spark, d).where("label > 0")
     return cluster.label_components(p, 1.5, 5).groupBy("cloud_id", "cluster").agg(F.count("*").alias("n"), F.min("point_id").alias("first"))
 
 
-@query("c2_proposals")
+@query("c2_proposals", f"WITH {_components_sql('pred', 'pred > 0')} SELECT cl.cloud_id, cluster, arg_min(pred, cl.point_id) AS class, round(avg(0.5 + z/20), 6) AS score, count(*) AS n FROM cl JOIN pts p ON p.cloud_id = cl.cloud_id AND p.point_id = cl.point_id GROUP BY 1, 2")
 def _(spark, d):
     p = points(spark, d).where("pred > 0").withColumn("score", 0.5 + F.col("z") / 20)
     return rounded(cluster.proposals(cluster.label_components(p, 1.5, 5, label="pred"), "pred", "score"), "score")
 
 
-@query("c5_matrix_nms")
+@query("c5_matrix_nms", """WITH mk AS (SELECT cloud_id, instance::bigint AS inst_id, point_id FROM pts WHERE instance >= 0 UNION ALL SELECT cloud_id, instance + 10, point_id FROM pts WHERE instance >= 0 AND z > 3), i AS (SELECT DISTINCT cloud_id, inst_id, (inst_id % 2)::int AS class, 1 - inst_id/20 AS score FROM mk),
+ bt AS (SELECT *, row_number() OVER (PARTITION BY cloud_id ORDER BY score DESC, inst_id) AS r FROM i QUALIFY r <= 50), m AS (SELECT mk.*, class, r FROM mk JOIN bt ON bt.cloud_id = mk.cloud_id AND bt.inst_id = mk.inst_id), sz AS (SELECT cloud_id, r, count(*) AS n FROM m GROUP BY 1, 2),
+ it AS (SELECT a.cloud_id, a.r, b.r AS q, count(*) AS n FROM m a JOIN m b ON a.cloud_id = b.cloud_id AND a.point_id = b.point_id AND a.class = b.class AND b.r < a.r GROUP BY 1, 2, 3), iu AS (SELECT it.cloud_id, it.r, it.q, it.n/(s1.n + s2.n - it.n) AS u FROM it JOIN sz s1 ON s1.cloud_id = it.cloud_id AND s1.r = it.r JOIN sz s2 ON s2.cloud_id = it.cloud_id AND s2.r = it.q),
+ cp AS (SELECT cloud_id, r AS q, max(u) AS c FROM iu GROUP BY 1, 2), dc AS (SELECT iu.cloud_id, iu.r, min(coalesce((1-u)/nullif(1-coalesce(c, 0), 0), 1)) AS d FROM iu LEFT JOIN cp ON cp.cloud_id = iu.cloud_id AND cp.q = iu.q GROUP BY 1, 2),
+ o AS (SELECT bt.cloud_id, inst_id, class, score * least(coalesce(d, 1), 1) AS score FROM bt LEFT JOIN dc ON dc.cloud_id = bt.cloud_id AND dc.r = bt.r) SELECT cloud_id, inst_id, class, round(score, 6) AS score, row_number() OVER (PARTITION BY cloud_id ORDER BY score DESC, inst_id)::int AS rank FROM o WHERE score >= 0.05 QUALIFY rank <= 100""")
 def _(spark, d):
     p = points(spark, d)
     masks = p.where("instance >= 0").select("cloud_id", F.col("instance").cast("bigint").alias("inst_id"), "point_id").unionByName(
@@ -165,7 +176,14 @@ def _(spark, d):
     return cluster.anatomical_labels(inst, "cx", "ci")
 
 
-@query("r17_farthest_points")
+def farthest_sql(n: int) -> str:
+    """Farthest points fp (cloud_id, point_id, rank): every step keeps each point's least distance to those chosen."""
+    step = "(x-px)*(x-px) + (y-py)*(y-py) + (z-pz)*(z-pz)"
+    return f"""fp AS (WITH RECURSIVE f(cloud_id, point_id, x, y, z, n, d2, step, pick) AS (SELECT cloud_id, point_id, x, y, z, n, {step}, 1, pick FROM (SELECT *, count(*) OVER w AS n, min(point_id) OVER w AS pick, arg_min(x, point_id) OVER w AS px, arg_min(y, point_id) OVER w AS py, arg_min(z, point_id) OVER w AS pz FROM pts WINDOW w AS (PARTITION BY cloud_id)) UNION ALL
+ SELECT cloud_id, point_id, x, y, z, n, least(d2, {step}), step + 1, pick FROM (SELECT cloud_id, point_id, x, y, z, n, d2, step, arg_max(point_id, (d2, -point_id)) OVER w AS pick, arg_max(x, (d2, -point_id)) OVER w AS px, arg_max(y, (d2, -point_id)) OVER w AS py, arg_max(z, (d2, -point_id)) OVER w AS pz FROM f WHERE step < least(n, {n}) WINDOW w AS (PARTITION BY cloud_id))) SELECT DISTINCT cloud_id, pick AS point_id, step::int AS rank FROM f)"""
+
+
+@query("r17_farthest_points", f"WITH {farthest_sql(16)} SELECT p.cloud_id, fp.point_id, rank FROM fp JOIN pts p ON p.cloud_id = fp.cloud_id AND p.point_id = fp.point_id")
 def _(spark, d):
     return cluster.farthest_points(points(spark, d), 16)
 

@@ -155,9 +155,16 @@ def _(spark, d):
     return voxels.rasterise(p, "pred")
 
 
-@query("e11_surface_distance")
+def _surface_sql(name: str, rows: str) -> str:
+    steps = " UNION ALL ".join(f"SELECT cloud_id, i{'+1' if a == 0 else '-1' if a == 1 else ''} AS i, j{'+1' if a == 2 else '-1' if a == 3 else ''} AS j, k{'+1' if a == 4 else '-1' if a == 5 else ''} AS k FROM {name}0" for a in range(6))
+    return f"{name}0 AS (SELECT DISTINCT cloud_id, x::bigint AS i, y::bigint AS j, z::bigint AS k FROM pts WHERE {rows}), {name}6 AS (SELECT cloud_id, i, j, k FROM ({steps}) GROUP BY ALL HAVING count(*) = 6), {name} AS (SELECT * FROM {name}0 EXCEPT SELECT * FROM {name}6)"
+
+
+@query("e11_surface_distance", f"""WITH {_surface_sql('tr', 'label = 3')}, {_surface_sql('pd', 'pred = 3')}, pr AS (SELECT a.cloud_id, a.i AS ai, a.j AS aj, a.k AS ak, b.i AS bi, b.j AS bj, b.k AS bk, sqrt((a.i-b.i)**2 + (a.j-b.j)**2 + (a.k-b.k)**2) AS d FROM tr a JOIN pd b ON a.cloud_id = b.cloud_id),
+ ds AS (SELECT cloud_id, 0 AS way, min(d) AS d FROM pr GROUP BY cloud_id, ai, aj, ak UNION ALL SELECT cloud_id, 1, min(d) FROM pr GROUP BY cloud_id, bi, bj, bk), f AS (SELECT cloud_id, max(d) AS hd, quantile_cont(d, 0.95) AS hd95, avg(d) FILTER (way = 1) AS asd, (avg(d) FILTER (way = 0) + avg(d) FILTER (way = 1))/2 AS assd FROM ds GROUP BY 1)
+ SELECT c.cloud_id, round(hd, 5) AS hd, round(hd95, 5) AS hd95, round(asd, 5) AS asd, round(assd, 5) AS assd FROM (SELECT cloud_id FROM tr0 UNION SELECT cloud_id FROM pd0) c LEFT JOIN f ON f.cloud_id = c.cloud_id""")
 def _(spark, d):
     from cloudloom.operators import voxels
 
     p = points(spark, d).withColumns({b: F.col(a).cast("bigint") for a, b in zip("xyz", "ijk")})
-    return rounded(voxels.surface_distances(p.where("label = 3"), p.where("pred = 3"), (1.0, 1.0, 1.0)), "hd", "hd95", "assd", digits=5)
+    return rounded(voxels.surface_distances(p.where("label = 3"), p.where("pred = 3"), (1.0, 1.0, 1.0)), "hd", "hd95", "asd", "assd", digits=5)

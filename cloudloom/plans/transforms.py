@@ -10,10 +10,11 @@ from cloudloom.operators import augment, cloud, cluster, curves, evaluate, fuse,
 from cloudloom.operators import neighbors as nb
 from cloudloom.plans import pipeline, series
 from cloudloom.plans.catalog import query
+from cloudloom.plans.frames import hilbert_sql
 from cloudloom.plans.evaluation import PROBS, RATES, cm, probs
 from cloudloom.plans.geometry import rounded
 from cloudloom.plans.labels import FACES, faces
-from cloudloom.plans.matching import BALL, D2, KNN
+from cloudloom.plans.matching import BALL, D2, farthest_sql
 from cloudloom.plans.meshes import coloured
 from cloudloom.plans.series import PR
 from cloudloom.sources import io
@@ -128,15 +129,7 @@ def _(spark, d):
     return v.withColumn("p", curves.hilbert_decode(F.col("code"), 8)).select("cloud_id", "point_id", "p.i", "p.j", "p.k")
 
 
-def _hilbert_sql(i: str, j: str, k: str, bits: int) -> str:
-    """The code of three indices by the curve's state machine, as a recursive query over the bits; v: cloud_id, point_id and indices."""
-    return f"""hb AS (WITH RECURSIVE h(cloud_id, point_id, q, a, b, c) AS (SELECT cloud_id, point_id, {1 << (bits - 1)}::bigint, {i}::bigint, {j}::bigint, {k}::bigint FROM pts UNION ALL
- SELECT cloud_id, point_id, q >> 1, CASE WHEN c2 & q > 0 THEN xor(a2, q-1) ELSE xor(a2, xor(a2, c2) & (q-1)) END, b2, CASE WHEN c2 & q > 0 THEN c2 ELSE xor(c2, xor(a2, c2) & (q-1)) END FROM (SELECT cloud_id, point_id, q, CASE WHEN b1 & q > 0 THEN xor(a1, q-1) ELSE xor(a1, xor(a1, b1) & (q-1)) END AS a2, CASE WHEN b1 & q > 0 THEN b1 ELSE xor(b1, xor(a1, b1) & (q-1)) END AS b2, c1 AS c2 FROM (SELECT cloud_id, point_id, q, CASE WHEN a & q > 0 THEN xor(a, q-1) ELSE a END AS a1, b AS b1, c AS c1 FROM h WHERE q > 1)))
- SELECT cloud_id, point_id, a, xor(b, a) AS b, xor(c, xor(b, a)) AS c FROM h WHERE q = 1),
- ht AS (SELECT *, {' '.join(f'xor(CASE WHEN (c & {1 << b}) > 0 THEN {(1 << b) - 1} ELSE 0 END,' for b in range(1, bits))} 0{')' * (bits - 1)} AS t FROM hb), hc AS (SELECT cloud_id, point_id, {' + '.join(f'(((xor(a, t) >> {b}) & 1) << {3 * b + 2}) + (((xor(b, t) >> {b}) & 1) << {3 * b + 1}) + (((xor(c, t) >> {b}) & 1) << {3 * b})' for b in range(bits))} AS code FROM ht)"""
-
-
-@query("p60_hilbert_code", f"WITH {_hilbert_sql('x', 'y', 'z', 8)} SELECT cloud_id, point_id, code::bigint AS code FROM hc")
+@query("p60_hilbert_code", f"WITH {hilbert_sql('x', 'y', 'z', 8)} SELECT cloud_id, point_id, code::bigint AS code FROM hc")
 def _(spark, d):
     return voxels(spark, d).select("cloud_id", "point_id", curves.hilbert(F.col("cx"), F.col("cy"), F.col("cz"), 8).alias("code"))
 
@@ -144,7 +137,7 @@ def _(spark, d):
 _MORTON = lambda a, b, c: " + ".join(f"((({a}::bigint >> {k}) & 1) << {3 * k + 2}) + ((({b}::bigint >> {k}) & 1) << {3 * k + 1}) + ((({c}::bigint >> {k}) & 1) << {3 * k})" for k in range(8))
 
 
-@query("g17_k1_transposed_orders", f"WITH {_hilbert_sql('y', 'x', 'z', 8)}, m AS (SELECT cloud_id, point_id, {_MORTON('y', 'x', 'z')} AS zt FROM pts) SELECT m.cloud_id, m.point_id, (row_number() OVER (PARTITION BY m.cloud_id ORDER BY zt, m.point_id) - 1)::int AS ord_z_trans, (row_number() OVER (PARTITION BY m.cloud_id ORDER BY code, m.point_id) - 1)::int AS ord_hilbert_trans FROM m JOIN hc ON hc.cloud_id = m.cloud_id AND hc.point_id = m.point_id")
+@query("g17_k1_transposed_orders", f"WITH {hilbert_sql('y', 'x', 'z', 8)}, m AS (SELECT cloud_id, point_id, {_MORTON('y', 'x', 'z')} AS zt FROM pts) SELECT m.cloud_id, m.point_id, (row_number() OVER (PARTITION BY m.cloud_id ORDER BY zt, m.point_id) - 1)::int AS ord_z_trans, (row_number() OVER (PARTITION BY m.cloud_id ORDER BY code, m.point_id) - 1)::int AS ord_hilbert_trans FROM m JOIN hc ON hc.cloud_id = m.cloud_id AND hc.point_id = m.point_id")
 def _(spark, d):
     return curves.serial_orders(voxels(spark, d), ["z-trans", "hilbert-trans"], bits=8).select("cloud_id", "point_id", "ord_z_trans", "ord_hilbert_trans")
 
@@ -235,12 +228,15 @@ def _(spark, d):
     return out.withColumns({c: F.col(c) + 0.0 for c in ("moved", "own")})
 
 
-@query("g12_pool_down")
+_NEAR = f"{farthest_sql(6)}, kn AS (SELECT fp.cloud_id, fp.rank AS patch, a.point_id AS src, b.point_id AS dst, row_number() OVER (PARTITION BY a.cloud_id, a.point_id ORDER BY {D2}, b.point_id) AS rank FROM fp JOIN pts a ON a.cloud_id = fp.cloud_id AND a.point_id = fp.point_id JOIN pts b ON a.cloud_id = b.cloud_id)"
+
+
+@query("g12_pool_down", f"WITH {_NEAR} SELECT kn.cloud_id, src AS point_id, patch AS rank, round(max(intensity), 6) AS intensity FROM kn JOIN pts p ON p.cloud_id = kn.cloud_id AND p.point_id = dst WHERE kn.rank <= 8 GROUP BY 1, 2, 3")
 def _(spark, d):
     return rounded(nb.pool_down(points(spark, d), 6, 8, ["intensity"]).select("cloud_id", "point_id", "rank", "intensity"), "intensity")
 
 
-@query("j17_anchor_patches")
+@query("j17_anchor_patches", f"WITH {_NEAR} SELECT kn.cloud_id, patch, dst AS point_id, kn.rank::int AS rank FROM kn JOIN pts p ON p.cloud_id = kn.cloud_id AND p.point_id = dst WHERE kn.rank <= 8")
 def _(spark, d):
     return nb.anchor_patches(points(spark, d), 6, 8)
 
