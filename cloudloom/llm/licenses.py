@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,9 @@ TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
     "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "GPL": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "BSD-2-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "ISC-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
 }
 GRAM, WINDOW = 3, 4
 
@@ -74,6 +77,26 @@ def align(template: list[bytes], words: list[bytes], diagonal: int, band: int) -
     return matches, first, last
 
 
+def _chained(anchors: list[tuple[int, int]], length: int, band: int):
+    """Ranges (lowest, highest) of diagonals of one occurrence each, from anchors (text place, template place) in text order.
+
+    An anchor continues the occurrence before it where it lies farther on in the template and its diagonal is off by no more than
+    a quarter of the template (or the band): words put in or left out shift what follows. Else another occurrence begins.
+    """
+    low = high = place = last = None
+    for t, p in anchors:
+        d = t - p
+        near = low is not None and (low - band <= d <= high + band or (p > place and abs(d - last) <= max(band, length // 4)))
+        if near and max(high, d) - min(low, d) <= max(2 * band, length // 2):
+            low, high, place, last = min(low, d), max(high, d), max(place, p), d
+            continue
+        if low is not None:
+            yield low, high
+        low, high, place, last = d, d, p, d
+    if low is not None:
+        yield low, high
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str], band: int, coverage: float):
         self.band, self.coverage, self.finger = band, coverage, Fingerprinter()
@@ -95,28 +118,28 @@ class Scanner:
         at = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
         for k in np.flatnonzero(keys[at] == g).tolist():
             for name, p in own[int(g[k])]:
-                yield name, int(places[k]) - p
+                yield name, p, int(places[k])
 
     def __call__(self, raw: bytes) -> list[tuple[str, int, float, int, int]]:
         """(template, words matched, coverage, start, end in characters) of each occurrence, by place."""
         words = words_of(raw)
         grams = self.finger.grams(words)
-        diagonals: dict[str, set[int]] = defaultdict(set)
-        for name, d in self._hits(grams, np.arange(len(grams)), "short"):
-            diagonals[name].add(d)
-        for name, d in self._hits(grams, self.finger.winnow(grams), "long"):
-            diagonals[name].add(d)
+        anchors: dict[str, set[tuple[int, int]]] = defaultdict(set)
+        for kind, places in (("short", np.arange(len(grams))), ("long", self.finger.winnow(grams))):
+            for name, p, t in self._hits(grams, places, kind):
+                anchors[name].add((t, p))
         found = []
-        for name, own in diagonals.items():
-            template, groups = self.words[name], []
+        for name, own in anchors.items():
+            template, last_end = self.words[name], -1
             band = min(self.band, max(1, len(template) // 4))  # so that short templates close together stay apart
-            for d in sorted(own):
-                if groups and d - groups[-1] <= band:
+            bag = Counter(template)
+            for low, high in _chained(sorted(own), len(template), band):
+                # words in common bound the alignment from above
+                window = words[max(0, low - band) : high + len(template) + band]
+                if sum((bag & Counter(window)).values()) < self.coverage * len(template):
                     continue
-                groups.append(d)
-            last_end = -1
-            for d in groups:
-                matches, first, last = align(template, words, d, band)
+                middle = (low + high) // 2
+                matches, first, last = align(template, words, middle, band + max(high - middle, middle - low))
                 if matches >= self.coverage * len(template) and first > last_end:
                     found.append((name, matches, matches / len(template), first, last))
                     last_end = last
@@ -134,10 +157,13 @@ _MATCH = pa.list_(pa.struct([("template", pa.string()), ("matched", pa.int64()),
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, band: int = 6, coverage: float = 0.8) -> DataFrame:
     """doc_id and matches (template, matched words, coverage, start, end) of every whole text.
 
-    A match needs ``coverage`` of the template's words in order, within ``band`` words (a quarter of a short template) of
-    the diagonal that a shared fingerprint sets. Occurrences of one template don't overlap. Null and empty texts match nothing; repeated rows and
-    null ids are scanned like others; columns besides doc_id and text are not read. Templates of fewer than three words
-    never match. The templates travel with the tasks, so they should stay within a few MB.
+    A match needs ``coverage`` of the template's words in order, within ``band`` words (a quarter of a short template) of the
+    diagonals that shared fingerprints set; fingerprints are chained over words put in or left out, up to half the template's
+    length in all. Occurrences of one template don't overlap: of those that would, the first in the text stays, and of equal
+    alignments the one with fewer gaps. Whole texts are scanned, however long; a text that repeats a template's phrase is aligned
+    there once for each repetition whose words could cover enough. Null and empty texts match nothing; repeated rows and null ids
+    are scanned like others; columns besides doc_id and text are not read. Templates of fewer than three words never match.
+    The templates travel with the tasks, so they should stay within a few MB.
     """
     used = TEMPLATES if templates is None else templates
     if sum(map(len, used.values())) > 16_000_000:
