@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import materialise, text_bytes
 
 #: ASCII letters fold to lower case, other ASCII than digits and letters becomes a space, bytes beyond ASCII stay.
 _NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -89,7 +89,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_benchmark_
     """Find the benchmark items in every whole text: words, words hit, item ids and spans in the original text.
 
     The automaton is sent to the executors, so the benchmark's size is measured first; one of over max_benchmark_bytes
-    is dealt into parts by item, each scanned by an automaton of its own, and the parts' results are joined by row.
+    is dealt into parts by item, each scanned by an automaton of its own in a stage of its own; between them the rows, with
+    what was found, are written to the shared folder.
     Null texts have no words. Items whose text or id is null take no part; several rows of an item count as one item.
     Rows with a null or repeated doc_id are scanned like others. Other columns are not read. Words hit by several parts
     count once.
@@ -103,6 +104,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_benchmark_
     for part in range(parts):
         own = usable.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part) if parts > 1 else usable
         items = sorted((r[0], bytes(r[1])) for r in own.collect())  # at most about max_benchmark_bytes
+        if part:
+            found = materialise(found)  # one automaton at a time in a worker
         found = _scan_part(found, sc.broadcast(items), hashlib.sha256(repr((window, items)).encode()).hexdigest(), window, first=part == 0, last=part == parts - 1)
     return found
 
