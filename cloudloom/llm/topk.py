@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 #: Rows of a block, and queries that meet it in one task.
 BLOCK_ROWS = 32_768
-QUERY_PART = 256
+QUERY_PART = 2048
 
 
 class BitSlicedIndex:
@@ -101,15 +101,18 @@ def _positions(bitmap: np.ndarray) -> np.ndarray:
 def quantise(vectors: DataFrame, id_column: str, vector_column: str, scale: int = 256) -> DataFrame:
     """id, n (number of components) and the little-endian 64-bit floor(scale * x) of each usable vector.
 
-    Rows with a null id, a null vector, or a null or non-finite component take no part. floor(scale * x) must stay
-    below 2^40 in absolute value, so that scores fit 64 bits.
+    Rows with a null id, a null vector, or a null or non-finite component take no part. Values so large that a score could pass
+    64 bits are an error, never a wrong score.
     """
 
     def run(batches):
         for b in batches:
             flat = b.column(1)
             lengths = np.diff(flat.offsets.to_numpy())
-            x = np.floor(flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64) * scale).astype("<i8")
+            x = np.floor(flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64) * scale)
+            if len(x) and np.abs(x).max() >= 2.0**31 / max(1, lengths.max()) ** 0.5:
+                raise ValueError("components are too large for scores of 64 bits: scale the vectors down")
+            x = x.astype("<i8")
             edge = np.concatenate([[0], np.cumsum(lengths)])
             blobs = [x[edge[k] : edge[k + 1]].tobytes() for k in range(len(lengths))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lengths.astype(np.int32)), pa.array(blobs, pa.binary())], ["id", "n", "q"])
