@@ -120,9 +120,16 @@ def test_op3_equals_a_plain_search(docs, nothing):
     counter = tokencount.TrieCounter(pieces, limit=50)
     words = WORDS + ["Anblewh", "erth", "日本語", "xqzj", "thethe"]
     assert counter.count([[w] for w in words]) == [brute_tokens(w, pieces, counter.unknown) for w in words]
-    got = tokencount.count_tokens(docs, queries.tokenizer("piece_bpe_32k.model")).collect()
-    for r, d in zip(sorted(got, key=str), sorted(docs.select("doc_id", "text").collect(), key=str)):
-        assert r.n_words == len((d.text or "").split()) if r.doc_id == d.doc_id else True
+    words += ["thethe" * 9, "x" * 70, "日本" * 5, "ab", "abc", "abcd", "a😀b"]
+    assert counter.count([words]) == [sum(brute_tokens(w, pieces, counter.unknown) for w in words)]
+    got = Counter((r.doc_id, r.n_chars, r.n_words, r.n_tokens) for r in tokencount.count_tokens(docs, queries.tokenizer("piece_bpe_32k.model")).collect())
+    known: dict = {}
+    for d in docs.collect():
+        t = d.text or ""
+        for w in set(t.split()) - known.keys():
+            known[w] = brute_tokens(w, pieces, counter.unknown)
+        got[d.doc_id, len(t), len(t.split()), sum(known[w] for w in t.split())] -= 1
+    assert not any(got.values())
     assert tokencount.count_tokens(nothing, queries.tokenizer("piece_bpe_32k.model")).count() == 0
 
 
@@ -234,6 +241,14 @@ def test_op6_finds_templates_with_small_changes(spark, docs, nothing):
     assert [m["template"] for m in got[2]] == ["MIT"] and 0.9 < got[2][0]["coverage"] < 1
     assert rows[1][1][got[2][0]["start"] :].startswith("Permission") and got[3] == got[5] == got[6] == []
     assert [m["template"] for m in got[4]] == ["all-rights-reserved"] * 2
+    w = licenses.TEMPLATES["MIT"].split()
+    put_in = " ".join([*w[:35], *["extra"] * 10, *w[35:]])
+    again = " ".join(["the above copyright notice"] * 400)
+    more = spark.createDataFrame([(1, f"{plain} {put_in} {plain}"), (2, again), (3, f"{mit} {mit}"), (4, plain + licenses.TEMPLATES["BSD-2-text"])], "doc_id bigint, text string")
+    got = {r.doc_id: [(m["template"], m["matched"]) for m in r.matches] for r in licenses.scan(more).collect()}
+    n = len(licenses.words_of(mit.encode()))
+    assert got[1] == [("MIT", n)] and got[2] == [] and got[3] == [("MIT", n)] * 2
+    assert [n for n, _ in got[4]] == ["BSD", "BSD-2-text"]
     assert licenses.scan(docs).count() == docs.count() and licenses.scan(nothing).count() == 0
 
 
@@ -271,10 +286,12 @@ def test_op7_gradient_and_windows():
     target, weight = rng.integers(0, 5, len(ids) * 4), np.zeros(len(ids) * 4)
     weight[place] = 1
     loss, g = attention.gradients(m, ids, target, weight, 3)
-    for name in ("E", "Wq", "Wk", "Wv", "R", "A", "B", "W"):
+    for name in ("E", "Wq", "Wk", "Wv", "R", "A", "B", "c", "W1", "b1", "W2", "b2"):
         at = tuple(int(rng.integers(0, s)) for s in m[name].shape)
         if name == "E" and at[0] == 9:
             at = (0, at[1])
+        if name == "b2":
+            at = (0, 0)
         eps = 1e-5
         up, down = {k: v.copy() for k, v in m.items()}, {k: v.copy() for k, v in m.items()}
         up[name][at] += eps
@@ -316,6 +333,9 @@ def test_op8_equals_brute_force(spark):
             order = [(int(k), int(s[k])) for k in np.lexsort((np.arange(300), -s)) if k != i][:5]
             assert by[i] == order
         assert set(by) == set(range(0, 300, 7))
+    far = spark.createDataFrame([(1, [1e9, 0.0]), (2, [1.0, 0.0])], "vec_id bigint, embedding array<double>")
+    with pytest.raises(Exception, match="too large"):
+        topk.top_k(far, far).collect()
     assert topk.top_k(df.where("vec_id < 3"), df.where("vec_id = 1")).count() == 2 and topk.top_k(df.where("1 = 0"), df.where("1 = 0")).count() == 0
 
 
