@@ -91,11 +91,12 @@ def test_empty_and_single_clouds(spark):
     assert neighbors.statistical_outliers(one, neighbors.knn(one, one, 3), 1.0).count() == 0
 
 
-def test_average_precision(spark):
-    guesses = spark.createDataFrame([(1, 1, 0, 0.9), (1, 2, 0, 0.8), (1, 3, 0, 0.7)], "cloud_id bigint, inst bigint, class int, score double")
-    truth = spark.createDataFrame([(1, 1, 0), (1, 2, 0)], "cloud_id bigint, gt bigint, class int")
-    overlaps = spark.createDataFrame([(1, 1, 1, 0.9), (1, 2, 1, 0.6), (1, 3, 2, 0.8)], "cloud_id bigint, inst bigint, gt bigint, iou double")
-    assert cluster.average_precision(guesses, truth, overlaps, [0.5]).first().ap == pytest.approx(0.5 * 1 + 0.5 * 2 / 3)
+def test_average_precision_with_overlapping_guesses(spark):
+    guesses = spark.createDataFrame([(1, 1, 0, 0.9, 10, 0), (1, 2, 0, 0.8, 10, 0), (1, 3, 0, 0.7, 10, 0)], "cloud_id bigint, inst bigint, class int, score double, size int, void int")
+    truth = spark.createDataFrame([(1, 1, 0, 10), (1, 2, 0, 10)], "cloud_id bigint, gt bigint, class int, size int")
+    overlaps = spark.createDataFrame([(1, 1, 1, 9), (1, 2, 1, 8), (1, 3, 2, 9)], "cloud_id bigint, inst bigint, gt bigint, inter int")
+    # 0.9 and 0.7 win the truths, 0.8 is a second guess of the first: points (2/3, 1), (1/2, 1/2), (1, 1/2), then (1, 0)
+    assert cluster.average_precision(guesses, truth, overlaps, [0.5]).first().ap == pytest.approx(2 / 3 * 0.25 + 0.5 * 0.25 + 0.25 + 0.25)
 
 
 def test_reorientation_round_trip():
