@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zlib
@@ -92,6 +93,20 @@ def parts_of_batch(batch: pa.RecordBatch, column: int, most: int = 4_000_000):
         at = to
 
 
+def as_text(texts: pa.Array) -> pa.Array:
+    """Binary to text without a check: the bytes stay as they are."""
+    return pc.cast(texts, options=pc.CastOptions.unsafe(pa.string()))
+
+
+def release_memory() -> None:
+    """Give memory that Arrow and the C library hold back to the system: a Python worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def split_words(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     """The words between ASCII white space of a string column: for each its place among the distinct words, these, and
     where each text's words begin (and the last one's end)."""

@@ -57,8 +57,8 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) ->
 def fit(labelled: DataFrame, centroids: int = 4, sample: int = 6000, reject_quantile: float = 0.001, slack: float = 0.6) -> dict:
     """Learn idf, centroids and rejection limits from (key, text, lang) rows with a language.
 
-    A bounded sample is used: about ``sample`` rows, shared evenly among the languages and drawn by a hash of key and
-    text. A language's limit is ``slack`` times the ``reject_quantile`` of its own rows' cosine with their nearest
+    A bounded sample is used: about ``sample`` rows, shared evenly among the languages and drawn by a hash of key,
+    which should be a row's own: rows of a repeated key come together. A language's limit is ``slack`` times the ``reject_quantile`` of its own rows' cosine with their nearest
     centroid, so that what lies far beyond the language's own texts is rejected and plain texts are kept.
     """
     rows = labelled.where("lang is not null")
@@ -74,20 +74,26 @@ def fit(labelled: DataFrame, centroids: int = 4, sample: int = 6000, reject_quan
             raws = b.column(1).to_pylist()
             for at in range(0, len(raws), 256):
                 x = vectors(raws[at : at + 256])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 256), pa.array([r.astype("<f2").tobytes() for r in x], pa.binary())], ["lang", "x"])
-
-    got = drawn.select("lang", text_bytes()).mapInArrow(features, "lang string, x binary").toArrow().to_pandas()
-    lang = got["lang"].to_numpy()
-    x = np.frombuffer(b"".join(got["x"]), "<f2").reshape(-1, DIMENSIONS).astype(np.float32)
-    order = np.lexsort((x.sum(axis=1), lang.astype(str)))  # alike for any partitioning
-    lang, x = lang[order], x[order]
-    idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
-    x *= idf
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    langs = sorted(set(lang))
+                held = [np.flatnonzero(r) for r in x]
+                cols = [pa.array([k.astype("<u2").tobytes() for k in held], pa.binary()), pa.array([r[k].astype("<f2").tobytes() for r, k in zip(x, held)], pa.binary())]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 256), *cols], ["lang", "ids", "x"])
+
+    got = drawn.select("lang", text_bytes()).mapInArrow(features, "lang string, ids binary, x binary").toArrow()  # about ``sample`` rows
+    names = got["lang"].to_pylist()
+    places = np.zeros(DIMENSIONS)
+    for raw in got["ids"]:
+        places[np.frombuffer(raw.as_py(), "<u2")] += 1
+    idf = (np.log((1 + len(names)) / (1 + places)) + 1).astype(np.float32)
+    langs = sorted(set(names))
     cents, owner, limits = [], [], []
-    for k, name in enumerate(langs):
-        own = x[lang == name]
+    for k, name in enumerate(langs):  # one language's rows at a time are dense
+        part = got.filter(pa.array([n == name for n in names]))
+        rows_of = sorted(zip(part["ids"].to_pylist(), part["x"].to_pylist()))  # alike for any partitioning
+        own = np.zeros((len(rows_of), DIMENSIONS), np.float32)
+        for r, (ids, x) in zip(own, rows_of):
+            r[np.frombuffer(ids, "<u2")] = np.frombuffer(x, "<f2")
+        own *= idf
+        own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12)
         c = spherical_kmeans(own, centroids)
         cents.append(c)
         owner += [k] * len(c)

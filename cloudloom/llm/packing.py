@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, parts_of_batch, split_words, text_bytes
+from .common import materialise, parts_of_batch, release_memory, split_words, text_bytes
 
 SEPARATOR = 1  # the id that ends each document
 
@@ -39,7 +39,7 @@ class ChunkEncoder:
     one chunk. ``cache`` maps a chunk to its little-endian ids; it starts anew at ``limit`` entries.
     """
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 400_000):
         self.tok, self.cache, self.limit = _load(path), {}, limit
         added = [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()]
         # texts to encode whole: added tokens, separators that only Python knows, and the one letter whose lower case is two signs
@@ -89,17 +89,11 @@ class ChunkEncoder:
 _SIGN_AFTER_LETTER = r"(\p{L})([!-&(-/:-@\[-`{-~])"
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> ChunkEncoder:
-    """One encoder for each Python worker, kept from task to task."""
-    return ChunkEncoder(path)
-
-
 def cut_documents(docs: DataFrame, tokenizer_path: str, max_len: int, keep_ids: bool = False) -> DataFrame:
     """Tokenise whole texts, end each with id 1, cut those longer than max_len: a row for each piece."""
 
     def run(batches):
-        enc = encoder(tokenizer_path)
+        enc = ChunkEncoder(tokenizer_path)
         for batch in batches:
             for part in parts_of_batch(batch, 1):
                 ids, bounds = enc.encode(part.column(1))
@@ -120,6 +114,8 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, max_len: int, keep_ids:
                     cols.append(pa.ListArray.from_arrays(pa.array(np.append(begin, len(ids)).astype(np.int32)), pa.array(ids.astype(np.int32))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names)
+        del enc
+        release_memory()
 
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * keep_ids
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_bytes()).mapInArrow(run, schema)

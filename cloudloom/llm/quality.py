@@ -122,7 +122,7 @@ def fit(labelled: DataFrame, threshold: float = 0.7, sample: int = 8000) -> dict
 
     got = drawn.select("key", text_bytes(), F.col("quality").cast("int")).mapInArrow(features, "key string, quality int, ids binary, x binary").toArrow().to_pandas()
     got = got.sort_values(["key", "ids"], kind="stable")
-    data = [(np.frombuffer(i, "<i4").astype(np.int64), np.frombuffer(v, "<f4").astype(float)) for i, v in zip(got["ids"], got["x"])]
+    data = [(np.frombuffer(i, "<i4"), np.frombuffer(v, "<f4")) for i, v in zip(got["ids"], got["x"])]  # views, no copies
     y = got["quality"].to_numpy(float)
     shift = float(np.log(threshold / (1 - threshold)))
     if len(set(y)) < 2:  # one class or none: nothing to part

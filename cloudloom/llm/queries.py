@@ -24,8 +24,9 @@ def op1_chat_formatting(spark, sf_dir):
 
 
 def language_training_rows(docs):
-    """key, text and lang of the rows that language identification may learn from."""
-    return docs.where(crc_mod("doc_id", 5) != 0).select(F.col("doc_id").cast("string").alias("key"), "text", "lang")
+    """key (the row's number), text and lang of the rows that language identification may learn from."""
+    rows = docs.select(F.monotonically_increasing_id().cast("string").alias("key"), "doc_id", "text", "lang")
+    return rows.where(crc_mod("doc_id", 5) != 0).select("key", "text", "lang")
 
 
 def op2_language_id(spark, sf_dir):
@@ -47,10 +48,11 @@ def op7_lm_scoring(spark, sf_dir):
 
 
 def quality_training_rows(docs, labels):
-    """key, text and quality of the rows that the quality classifier may learn from; one label for each doc_id."""
+    """key (the row's number), text and quality of the rows that the quality classifier may learn from; one label for each doc_id."""
     marks = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rows = docs.where((crc_mod("doc_id", 4) != 2) & F.col("doc_id").isNotNull()).select("doc_id", "text")
-    return rows.join(marks, "doc_id").select(F.col("doc_id").cast("string").alias("key"), "text", "quality")
+    rows = docs.select(F.monotonically_increasing_id().cast("string").alias("key"), "doc_id", "text")
+    rows = rows.where((crc_mod("doc_id", 4) != 2) & F.col("doc_id").isNotNull())
+    return rows.join(marks, "doc_id").select("key", "text", "quality")
 
 
 def op8_topk_search(spark, sf_dir):
