@@ -24,17 +24,18 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Memo, keep_matching, materialise, mix64, stable_hash, text_bytes
+from .common import as_text, keep_matching, materialise, mix64, parts_of_batch, release_memory, split_words, stable_hash, text_bytes
 
 #: Frequent shingles kept for the order of shingles; more of them would shorten lists, none of them changes a result.
 FREQUENT = 500_000
 #: Longer lists are searched by blocks of nodes instead of pair by pair, and a block's size.
 LONG, BLOCK = 32, 256
 #: Shingles of so many texts are counted together in a task.
-CHUNK = 4_000_000
+CHUNK = 2_000_000
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 
@@ -49,21 +50,30 @@ def prefix_length(n, percent: int):
 
 
 class Shingler:
-    """Sorted distinct 64-bit shingle hashes of a text. A collision within a pair of texts has odds of about 1e-13."""
+    """Sorted distinct 64-bit shingle hashes of texts. A collision within a pair of texts has odds of about 1e-13."""
 
     def __init__(self, size: int = 5):
-        self.size, self.memo = size, Memo(stable_hash)
+        self.size = size
 
     def __call__(self, raw: bytes) -> np.ndarray:
-        words = raw.lower().split()  # of bytes: folds A-Z alone and splits at ASCII white space alone
-        if not words:
-            return np.empty(0, np.uint64)
-        h = np.fromiter(map(self.memo.__getitem__, words), np.uint64, len(words))
-        n = max(1, len(h) - self.size + 1)
-        out = np.full(n, len(h) if len(h) < self.size else self.size, np.uint64)
-        for k in range(min(self.size, len(h))):
-            out += h[k : k + n] * (_ODD[k % 5] + np.uint64(2 * (k // 5)))
-        return np.unique(mix64(out))
+        return self.sets(pa.array([raw], pa.binary()))[0]
+
+    def _rolled(self, h: np.ndarray, n: int) -> np.ndarray:
+        """Hashes of the windows of n words."""
+        out = np.full(max(0, len(h) - n + 1), n, np.uint64)
+        for k in range(n):
+            out += h[k : k + len(out)] * (_ODD[k % 5] + np.uint64(2 * (k // 5)))
+        return mix64(out)
+
+    def sets(self, texts: pa.Array) -> list[np.ndarray]:
+        """The set of each text; A-Z folded, words between ASCII white space, a shorter text as one shingle."""
+        places, words, bounds = split_words(pc.ascii_lower(as_text(texts)))
+        h = np.fromiter(map(stable_hash, words), np.uint64, len(words))[places]
+        every, bounds = self._rolled(h, self.size), bounds.tolist()
+        out = []
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            out.append(np.unique(every[a : b - self.size + 1]) if b - a >= self.size else self._rolled(h[a:b], b - a) if b > a else np.empty(0, np.uint64))
+        return out
 
 
 def node_of(tokens: np.ndarray) -> int:
@@ -141,7 +151,7 @@ def _describe(docs: DataFrame, size: int) -> DataFrame:
 
         for b in batches:
             nodes, ns = [], []
-            for t in (shingle(r) for at in range(0, b.num_rows, 500) for r in b.column(1).slice(at, 500).to_pylist()):
+            for t in (t for part in parts_of_batch(b, 1) for t in shingle.sets(part.column(1))):
                 node = node_of(t)
                 nodes.append(node)
                 ns.append(len(t))
@@ -157,6 +167,8 @@ def _describe(docs: DataFrame, size: int) -> DataFrame:
         if pending:
             keys, n = frequent()
             yield rows(1, pa.nulls(len(n), pa.int64()), keys.view(np.int64), n)
+        pending.clear()
+        release_memory()
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_bytes()).mapInArrow(run, "kind int, doc_id bigint, node bigint, n bigint")
 
@@ -168,9 +180,9 @@ def _first_shingles(reps: DataFrame, frequent, size: int, percent: int, buckets:
         shingle, seen = Shingler(size), set()
         keys, times = frequent.value
         for b in batches:
-            for at in range(0, b.num_rows, 500):
+            for rows in parts_of_batch(b, 1):
                 parts = []
-                for t in map(shingle, b.column(1).slice(at, 500).to_pylist()):
+                for t in shingle.sets(rows.column(1)):
                     if not len(t) or (node := node_of(t)) in seen:  # copies without an id come here too
                         continue
                     seen.add(node)
@@ -460,8 +472,8 @@ def _sets(source: DataFrame, size: int) -> DataFrame:
     def run(batches):
         shingle, seen = Shingler(size), set()
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                sets = {node_of(t): t for t in map(shingle, b.column("text").slice(at, 500).to_pylist())}
+            for rows in parts_of_batch(b, b.schema.get_field_index("text")):
+                sets = {node_of(t): t for t in shingle.sets(rows.column("text"))}
                 new = [k for k in sets if k not in seen]
                 seen.update(new)
                 yield pa.RecordBatch.from_arrays([pa.array(new, pa.int64()), pa.array([sets[k].tobytes() for k in new], pa.binary())], ["node", "tokens"])
