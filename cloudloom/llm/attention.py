@@ -12,14 +12,21 @@ F32 = np.float32
 
 
 def initial(inputs: int, class_counts: np.ndarray, context: int, stride: int, width: int = 16, hidden: int = 32, seed: int = 5) -> dict:
-    """Parameters; input id ``inputs`` is padding. The output bias starts as the classes' unigram model."""
+    """Parameters; input id ``inputs`` is padding. The output is a softmax over groups of classes and one over a group's members
+    (class c is member c % m of group c // m, m about the root of their number); its biases start as the unigram model."""
     rng = np.random.default_rng(seed)
     n = lambda *s, scale: (rng.standard_normal(s) * scale).astype(F32)
-    p = np.maximum(class_counts, 0.5) / np.maximum(class_counts, 0.5).sum()
+    members = int(np.ceil(len(class_counts) ** 0.5))
+    groups = -(-len(class_counts) // members)
+    p = np.zeros(groups * members)
+    p[: len(class_counts)] = np.maximum(class_counts, 0.5)
+    p = (p / p.sum()).reshape(groups, members)
+    whole = p.sum(axis=1)
     return {
         "E": n(inputs + 1, width, scale=0.3), "Wq": n(width, width, scale=width**-0.5), "Wk": n(width, width, scale=width**-0.5), "Wv": n(width, width, scale=width**-0.5),
         "R": np.zeros(context + stride, F32), "A": n(width, hidden, scale=width**-0.5), "B": n(width, hidden, scale=width**-0.5), "c": np.zeros(hidden, F32),
-        "W": n(hidden, len(p), scale=0.05), "b": np.log(p).astype(F32),
+        "W1": n(hidden, groups, scale=0.05), "b1": np.log(whole).astype(F32), "W2": n(groups, hidden, members, scale=0.05),
+        "b2": np.where(p > 0, np.log(np.maximum(p, 1e-30) / whole[:, None]), -1e9).astype(F32),
     }
 
 
@@ -44,103 +51,146 @@ def _allowed(context: int, stride: int) -> tuple[np.ndarray, np.ndarray]:
     return distance >= 0, np.maximum(distance, 0)
 
 
-def _attend(m: dict, ids: np.ndarray, context: int):
-    length = ids.shape[1]
-    q_ids, pad = ids[:, context:], len(m["E"]) - 1
-    q, k, v = (m["E"] @ m["Wq"])[q_ids], (m["E"] @ m["Wk"])[ids], (m["E"] @ m["Wv"])[ids]
-    ok, distance = _allowed(context, length - context)
-    s = q @ k.transpose(0, 2, 1)
-    s *= F32(q.shape[-1] ** -0.5)
-    s += np.where(ok, m["R"][distance], F32(-1e9))
-    s += np.where(ids == pad, F32(-1e9), F32(0))[:, None, :]
-    s -= s.max(axis=2, keepdims=True)
-    np.exp(s, out=s)
-    s /= s.sum(axis=2, keepdims=True)
-    return q, k, v, s, s @ v
+def _softmax(logits: np.ndarray) -> np.ndarray:
+    logits -= logits.max(axis=-1, keepdims=True)
+    np.exp(logits, out=logits)
+    logits /= logits.sum(axis=-1, keepdims=True)
+    return logits
+
 
+def _tables(m: dict):
+    """What depends on an input id alone: queries (scaled), keys and values."""
+    return (m["E"] @ m["Wq"]) * m["E"].dtype.type(m["Wq"].shape[1] ** -0.5), m["E"] @ m["Wk"], m["E"] @ m["Wv"]
 
-def log_probabilities(m: dict, ids: np.ndarray, targets: np.ndarray, context: int, batch: int = 64) -> np.ndarray:
-    """Natural log probability of the target class at every scored place [n * stride].
 
-    The work of a batch stays in a few arrays: what depends on an id alone is a table, biases are added once, sums
-    divide the narrow products, and where the parameters bound all exponents no maximum is taken off.
-    """
-    pad, stride = len(m["E"]) - 1, ids.shape[1] - context
-    q_table, k_table, v_table = (m["E"] @ m["Wq"]) * F32(m["Wq"].shape[1] ** -0.5), m["E"] @ m["Wk"], m["E"] @ m["Wv"]
-    direct = m["E"] @ m["A"] + m["c"]
+def _bounded(m: dict, tables) -> bool:
+    """Whether no attention score can be so large that its exponential needs the row's maximum taken off."""
+    norm = lambda t: float(np.linalg.norm(t, axis=1).max())
+    return norm(tables[0]) * norm(tables[1]) + float(np.abs(m["R"]).max()) < 60
+
+
+def _attend(tables, ids: np.ndarray, bias: np.ndarray, context: int, pad: int, bounded: bool):
+    """Queries, keys, values, unnormalised attention weights, their sums and the weighted mean of the values; a padded place sees
+    padding alone."""
+    q, k, v = np.take(tables[0], ids[:, context:], axis=0), np.take(tables[1], ids, axis=0), np.take(tables[2], ids, axis=0)
+    s = q @ k.transpose(0, 2, 1)
+    s += bias
+    gaps = ids == pad
+    if gaps.any():
+        s += np.where(gaps, s.dtype.type(-1e9), s.dtype.type(0))[:, None, :]
+        bounded = False
+    if not bounded:
+        s -= s.max(axis=2, keepdims=True)
+    np.exp(s, out=s)
+    total = s @ np.ones((s.shape[2], 1), s.dtype)
+    a = s @ v
+    a /= total
+    return q, k, v, s, total, a
+
+
+def _by_group(z: np.ndarray, groups: np.ndarray, w2: np.ndarray, b2: np.ndarray):
+    """Order of the rows by group, the slices of the groups that occur, and the rows' logits within their groups, in that order."""
+    order = np.argsort(groups, kind="stable")
+    cut = np.searchsorted(groups[order], np.arange(len(w2) + 1)).tolist()
+    held = [(k, cut[k], cut[k + 1]) for k in range(len(w2)) if cut[k + 1] > cut[k]]
+    z = z[order]
+    logits = np.empty((len(z), w2.shape[2]), z.dtype)
+    for k, a, b in held:
+        np.matmul(z[a:b], w2[k], out=logits[a:b])
+        logits[a:b] += b2[k]
+    return order, held, z, logits
+
+
+def log_probabilities(m: dict, ids: np.ndarray, targets: np.ndarray, context: int, batch: int = 32) -> np.ndarray:
+    """Natural log probability of the target class at every scored place [n * stride]."""
+    pad, stride, members = len(m["E"]) - 1, ids.shape[1] - context, m["W2"].shape[2]
+    tables, direct = _tables(m), m["E"] @ m["A"] + m["c"]
     ok, distance = _allowed(context, stride)
-    bias = np.where(ok, m["R"][distance], F32(-1e9))
-    small = np.linalg.norm(q_table, axis=1).max() * np.linalg.norm(k_table, axis=1).max() + np.abs(m["R"]).max() < 60
-    low = (np.abs(m["W"]).sum(axis=0) + np.abs(m["b"])).max() < 80
-    out = np.empty(len(ids) * stride, F32)
+    bias, bounded = np.where(ok, m["R"][distance], m["R"].dtype.type(-1e9)), _bounded(m, tables)
+    out = np.empty(len(ids) * stride, m["E"].dtype)
+
+    def chosen(logits, at):
+        top = logits.max(axis=1)
+        own = logits[np.arange(len(at)), at] - top
+        logits -= top[:, None]
+        np.exp(logits, out=logits)
+        return own - np.log(logits.sum(axis=1))
+
     for at in range(0, len(ids), batch):
         part = ids[at : at + batch]
-        now = part[:, context:]
-        s = q_table[now] @ k_table[part].transpose(0, 2, 1)
-        s += bias
-        gaps = part == pad
-        if gaps.any():
-            s[np.broadcast_to(gaps[:, None, :], s.shape)] = -1e9
-        if not small or gaps.any():  # a padded place sees padding alone
-            s -= s.max(axis=2, keepdims=True)
-        np.exp(s, out=s)
-        a = s @ v_table[part]
-        a /= s.sum(axis=2)[:, :, None]
-        z = direct[now.ravel()]
+        a = _attend(tables, part, bias, context, pad, bounded)[5]
+        z = np.take(direct, part[:, context:].ravel(), axis=0)
         z += a.reshape(-1, a.shape[-1]) @ m["B"]
         np.tanh(z, out=z)
-        logits = z @ m["W"]
-        logits += m["b"]
         y = targets[at * stride : (at + len(part)) * stride]
-        if not low:
-            logits -= logits.max(axis=1, keepdims=True)
-        chosen = logits[np.arange(len(y)), y]
-        np.exp(logits, out=logits)
-        out[at * stride : (at + len(part)) * stride] = chosen - np.log(logits.sum(axis=1))
+        group, member = y // members, y % members
+        p = chosen(z @ m["W1"] + m["b1"], group)
+        order, _, _, logits = _by_group(z, group, m["W2"], m["b2"])
+        p[order] += chosen(logits, member[order])
+        out[at * stride : (at + len(part)) * stride] = p
     return out
 
 
 def _scatter(ids: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    return np.stack([np.bincount(ids, rows[:, k], n) for k in range(rows.shape[1])], axis=1).astype(F32)
+    """Sums of the rows of each id."""
+    if n < 1 << 15:
+        ids = ids.astype(np.int16)  # sorted by digits
+    order = np.argsort(ids, kind="stable")
+    at = ids[order]
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    out = np.zeros((n, rows.shape[1]), rows.dtype)
+    out[at[first]] = np.add.reduceat(np.take(rows, order, axis=0), first, axis=0)
+    return out
 
 
 def gradients(m: dict, ids: np.ndarray, targets: np.ndarray, weight: np.ndarray, context: int) -> tuple[float, dict]:
     """Mean loss over the weighted places, and its gradient."""
-    q, k, v, p, a = _attend(m, ids, context)
-    q_ids = ids[:, context:]
-    stride = q_ids.shape[1]
-    x, xq = m["E"][ids], m["E"][q_ids]
+    pad, width, (groups, _, members) = len(m["E"]) - 1, m["Wq"].shape[1], m["W2"].shape
+    stride = ids.shape[1] - context
+    ok, distance = _allowed(context, stride)
+    dtype = m["E"].dtype.type
+    tables = _tables(m)
+    q, k, v, e, sums, a = _attend(tables, ids, np.where(ok, m["R"][distance], dtype(-1e9)), context, pad, _bounded(m, tables))
     flat = lambda t: t.reshape(-1, t.shape[-1])
     held = np.flatnonzero(weight)  # places without weight have no loss
-    targets, weight, xq_held = targets[held], weight[held], flat(xq)[held]
-    z = np.tanh(xq_held @ m["A"] + flat(a)[held] @ m["B"] + m["c"])
-    logits = z @ m["W"] + m["b"]
-    logits -= logits.max(axis=1, keepdims=True)
-    np.exp(logits, out=logits)
-    logits /= logits.sum(axis=1, keepdims=True)
+    y, now = targets[held], ids[:, context:].ravel()
+    group, member = y // members, y % members
     total = max(1.0, float(weight.sum()))
-    here = np.arange(len(targets))
-    loss = float(-(np.log(np.maximum(logits[here, targets], 1e-30)) * weight).sum() / total)
-    d = logits
-    d[here, targets] -= 1
-    d *= (weight / total)[:, None].astype(F32)
-    g = {"W": z.T @ d, "b": d.sum(axis=0)}
-    dh = (d @ m["W"].T) * (1 - z * z)
-    g["A"], g["B"], g["c"] = xq_held.T @ dh, flat(a)[held].T @ dh, dh.sum(axis=0)
-    da, dxq = np.zeros_like(a), np.zeros_like(flat(xq))
+    share = (weight[held] / total)[:, None].astype(m["E"].dtype)
+    here = np.arange(len(y))
+    x, af = np.take(m["E"], now[held], axis=0), flat(a)[held]
+    z = np.tanh(x @ m["A"] + af @ m["B"] + m["c"])
+    one = _softmax(z @ m["W1"] + m["b1"])
+    order, parts, zs, two = _by_group(z, group, m["W2"], m["b2"])
+    two, member = _softmax(two), member[order]
+    loss = -float((np.log(np.maximum(one[here, group], 1e-30)) * share[:, 0]).sum() + (np.log(np.maximum(two[here, member], 1e-30)) * share[order, 0]).sum())
+    one[here, group] -= 1
+    one *= share
+    two[here, member] -= 1
+    two *= share[order]
+    g = {"W1": z.T @ one, "b1": one.sum(axis=0), "W2": np.zeros_like(m["W2"]), "b2": np.zeros_like(m["b2"])}
+    dzs = np.empty_like(zs)
+    for group_id, i, j in parts:
+        g["W2"][group_id], g["b2"][group_id] = zs[i:j].T @ two[i:j], two[i:j].sum(axis=0)
+        np.matmul(two[i:j], m["W2"][group_id].T, out=dzs[i:j])
+    dz = one @ m["W1"].T
+    dz[order] += dzs
+    dh = dz * (1 - z * z)
+    g["A"], g["B"], g["c"] = x.T @ dh, af.T @ dh, dh.sum(axis=0)
+    da = np.zeros_like(a)
     flat(da)[held] = dh @ m["B"].T
-    dxq[held] = dh @ m["A"].T
-    dp = da @ v.transpose(0, 2, 1)
-    dv = p.transpose(0, 2, 1) @ da
-    ds = p * (dp - (dp * p).sum(axis=2, keepdims=True))
-    _, distance = _allowed(context, stride)
-    g["R"] = np.bincount(distance.ravel(), ds.sum(axis=0).ravel(), len(m["R"])).astype(F32)
-    ds *= F32(q.shape[-1] ** -0.5)
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    g["Wq"], g["Wk"], g["Wv"] = flat(xq).T @ flat(dq), flat(x).T @ flat(dk), flat(x).T @ flat(dv)
-    dxq += flat(dq) @ m["Wq"].T
-    dx = flat(dk) @ m["Wk"].T + flat(dv) @ m["Wv"].T
-    g["E"] = _scatter(ids.ravel(), dx, len(m["E"])) + _scatter(q_ids.ravel(), dxq, len(m["E"]))
+    da /= sums
+    ds = da @ v.transpose(0, 2, 1)
+    ds -= (da * a).sum(axis=2, keepdims=True)  # the mean of a row's gradient under its weights
+    ds *= e
+    g["R"] = np.bincount(distance.ravel(), ds.sum(axis=0).ravel(), len(m["R"])).astype(m["R"].dtype)
+    back = ds.transpose(0, 2, 1)
+    to_all = _scatter(ids.ravel(), np.concatenate([flat(back @ q), flat(e.transpose(0, 2, 1) @ da)], axis=1), len(m["E"]))
+    to_now = _scatter(now, flat(ds @ k), len(m["E"])) * dtype(width**-0.5)
+    direct = _scatter(now[held], dh @ m["A"].T, len(m["E"]))
+    keys, values = to_all[:, :width], to_all[:, width:]
+    g["Wq"], g["Wk"], g["Wv"] = m["E"].T @ to_now, m["E"].T @ keys, m["E"].T @ values
+    g["E"] = to_now @ m["Wq"].T + keys @ m["Wk"].T + values @ m["Wv"].T + direct
     g["E"][-1] = 0
     return loss, g
 
@@ -148,7 +198,7 @@ def gradients(m: dict, ids: np.ndarray, targets: np.ndarray, weight: np.ndarray,
 class Trainer:
     """Adam on windows that come in parts, so that a task never holds more than a part of what it learns from."""
 
-    def __init__(self, m: dict, context: int, rate: float, batch: int = 32, seed: int = 3):
+    def __init__(self, m: dict, context: int, rate: float, batch: int = 64, seed: int = 3):
         self.m = {k: v.copy() for k, v in m.items()}
         self.one, self.two = ({k: np.zeros_like(v) for k, v in m.items()} for _ in range(2))
         self.context, self.rate, self.batch, self.rng, self.step = context, rate, batch, np.random.default_rng(seed), 0
@@ -164,7 +214,16 @@ class Trainer:
             self.step += 1
             lr = self.rate * (1 - 0.9 * min(1.0, done)) * (1 - 0.999**self.step) ** 0.5 / (1 - 0.9**self.step)
             for k, d in g.items():
-                self.one[k] += F32(0.1) * (d - self.one[k])
-                self.two[k] += F32(0.001) * (d * d - self.two[k])
-                self.m[k] -= F32(lr) * self.one[k] / (np.sqrt(self.two[k]) + F32(1e-8))
+                one, two = self.one[k], self.two[k]
+                one *= F32(0.9)
+                one += F32(0.1) * d
+                d *= d
+                two *= F32(0.999)
+                d *= F32(0.001)
+                two += d
+                np.sqrt(two, out=d)
+                d += F32(1e-8)
+                np.divide(one, d, out=d)
+                d *= F32(lr)
+                self.m[k] -= d
         return losses

@@ -17,17 +17,17 @@ from the same parameters and whose results are averaged.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import attention
-from .common import materialise, stable_hash, text_bytes
+from .common import as_text, materialise, parts_of_batch, release_memory, split_words, stable_hash, text_bytes
 
 END = b""  # no word is empty, so the end can share the words' table
 CONTEXT, STRIDE = 16, 32
@@ -65,41 +65,53 @@ def _signed(h: int) -> int:
     return h - (1 << 64) if h >= 1 << 63 else h
 
 
-_firsts: dict[str, dict[bytes, tuple[int, int]]] = {}  # of words that this worker has spelled: first id and hash
+def count_words(train: DataFrame, path: str, vocabulary: int) -> DataFrame:
+    """Rows (kind, key, first, n, ids). kind 0: hash and first subword id of each distinct word, its count, and the ids of a word
+    seen once or twice; kind 1: a later subword id (key), and in how many distinct words it stands, in parts.
 
+    Words are counted by parts of a task, then by Spark, and each is spelled once.
+    """
 
-def count_words(train: DataFrame, path: str, vocabulary: int, flush: int = 500_000) -> DataFrame:
-    """Rows (kind, key, first, n). kind 0: hash and first subword id of a word, and its count in the task so far;
-    kind 1: a later subword id (key), and how often it stood in words that the worker had not met."""
-
-    def rows(held: Counter):
-        words, known = list(held), _firsts.setdefault(path, {})
-        if len(known) + len(words) > 700_000:
-            known.clear()
-        new = [w for w in words if w not in known]
-        spelled = spell(path, [w for w in new if w])
-        if END in held and END not in known:
-            known[END] = vocabulary, _signed(stable_hash(END))
-        known.update((w, (s[0], _signed(stable_hash(w)))) for w, s in zip((w for w in new if w), spelled))
-        later = np.bincount(np.array([i for s in spelled for i in s[1:]], np.int64), minlength=1)
-        at = np.flatnonzero(later)
-        both = [known[w] for w in words]
-        cols = [[0] * len(words) + [1] * len(at), [h for _, h in both] + at.tolist(), [f for f, _ in both] + [0] * len(at), list(held.values()) + later[at].tolist()]
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64())], ["kind", "key", "first", "n"])
+    def count(batches):
+        for b in batches:
+            for part in parts_of_batch(b, 0, 16_000_000):
+                places, words, _ = folded_words(part.column(0))
+                n = np.append(np.bincount(places, minlength=len(words)), part.num_rows)
+                yield pa.RecordBatch.from_arrays([pa.array([*words, END], pa.binary()), pa.array(n, pa.int64())], ["word", "n"])
+        release_memory()
 
-    def run(batches):
-        held: Counter = Counter()
+    def rows(batches):
         for b in batches:
-            for raw in b.column(0).to_pylist():
-                held.update(raw.lower().split())
-                held[END] += 1
-                if len(held) > flush:
-                    yield rows(held)
-                    held = Counter()
-        if held:
-            yield rows(held)
+            for at in range(0, b.num_rows, 20_000):
+                words, n = b.column(0).slice(at, 20_000).to_pylist(), b.column(1).slice(at, 20_000)
+                spelled = spell(path, [w for w in words if w])
+                filled = iter(spelled)
+                first = [next(filled)[0] if w else vocabulary for w in words]
+                filled = iter(spelled)
+                ids = [np.array(next(filled), "<u4").tobytes() if w else None for w in words]
+                rare = pc.if_else(pc.less_equal(n, RARE), pa.array(ids, pa.binary()), pa.scalar(None, pa.binary()))
+                later = np.bincount(np.array([i for s in spelled for i in s[1:]], np.int64), minlength=1)
+                seen = np.flatnonzero(later)
+                kind = np.repeat(np.array([0, 1], np.int32), [len(words), len(seen)])
+                keys = np.concatenate([hashes(words).view(np.int64), seen])
+                cols = [kind, keys, np.concatenate([np.array(first), np.zeros(len(seen))]).astype(np.int32), np.concatenate([n.to_numpy(), later[seen]]), pa.concat_arrays([rare, pa.nulls(len(seen), pa.binary())])]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["kind", "key", "first", "n", "ids"])
+
+    counted = train.select(text_bytes()).mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return counted.mapInArrow(rows, "kind int, key bigint, first int, n bigint, ids binary")
+
+
+#: Words of so few occurrences are what the spelling model learns from: they are like the words that it has to spell.
+RARE = 2
+
+
+def folded_words(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """Places, distinct words and bounds of the texts of a binary column, A-Z folded."""
+    return split_words(pc.ascii_lower(as_text(texts)))
+
 
-    return train.select(text_bytes()).mapInArrow(run, "kind int, key bigint, first int, n bigint")
+def hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(stable_hash, words), np.uint64, len(words))
 
 
 class Lexicon:
@@ -119,7 +131,7 @@ class Lexicon:
         order = np.argsort(words["key"].to_numpy(np.int64).view(np.uint64))
         self.keys = words["key"].to_numpy(np.int64).view(np.uint64)[order]
         self.counts = words["n"].to_numpy(np.int64)[order]
-        first = words["first"].to_numpy()[order]
+        self.first = first = words["first"].to_numpy()[order].astype(np.int32)
         self.within = np.log(np.maximum(1 - self.escape[first], 1e-12) * self.counts / np.maximum(known[first], 1))
         self.first_index, self.first_class, self.first_share, self.first_counts = self._classes(total + 1e-3, STREAM_INPUTS, STREAM_CLASSES, vocabulary)
         counts = np.zeros(size)
@@ -147,95 +159,98 @@ class Lexicon:
         return np.where(self.keys[at] == keys, at, -1)
 
 
-def spelling_windows(lex: Lexicon, spelled: list[list[int]]):
-    """Windows of words' ids, the target classes, weights, and the targets' shares of their classes, in window places."""
-    lengths = np.array([len(s) for s in spelled], np.int64)
-    flat = np.array([i for s in spelled for i in s], np.int64)
+def spelling_windows(lex: Lexicon, flat: np.ndarray, lengths: np.ndarray):
+    """Windows of words' ids, which lie one after the other, the target classes, weights, places and the targets' shares of their
+    classes, in window places."""
     ids, place = attention.windows(lengths, lex.later_index[flat], SPELL_INPUTS, SPELL_CONTEXT, SPELL_STRIDE)
     nxt = np.append(flat[1:], 0)
     nxt[np.cumsum(lengths) - 1] = lex.vocabulary + 1
     target, weight = np.zeros(len(ids) * SPELL_STRIDE, np.int64), np.zeros(len(ids) * SPELL_STRIDE)
     target[place], weight[place] = lex.later_class[nxt], 1
-    return ids, target, weight, place, lex.later_share[nxt], lengths
+    return ids, target, weight, place, lex.later_share[nxt]
 
 
-def stream_windows(lex: Lexicon, firsts: list[np.ndarray]):
-    """The same for documents' first subword ids; each starts from an end and finishes with one."""
-    lengths = np.array([len(f) + 1 for f in firsts], np.int64)
-    end = np.array([lex.vocabulary])
-    seen = np.concatenate([x for f in firsts for x in (end, f)]).astype(np.int64)
-    nxt = np.concatenate([x for f in firsts for x in (f, end)]).astype(np.int64)
+def stream_windows(lex: Lexicon, firsts: np.ndarray, bounds: np.ndarray):
+    """The same for documents' first subword ids, document k's from bounds[k] on; each starts from an end and finishes with one.
+    Also the documents' lengths, ends included."""
+    lengths = np.diff(bounds) + 1
+    seen, nxt = np.insert(firsts, bounds[:-1], lex.vocabulary), np.insert(firsts, bounds[1:], lex.vocabulary)
     ids, place = attention.windows(lengths, lex.first_index[seen], STREAM_INPUTS, CONTEXT, STRIDE)
     target, weight = np.zeros(len(ids) * STRIDE, np.int64), np.zeros(len(ids) * STRIDE)
     target[place], weight[place] = lex.first_class[nxt], 1
     return ids, target, weight, place, lex.first_share[nxt], lengths
 
 
-class _Places(dict):
-    """Numbers words in the order they come; ``new`` lists those that nothing is known of yet."""
+class Words:
+    """What is known of distinct words: of the frequent ones from the lexicon; the others are spelled, each once as long as it is
+    remembered (up to ``limit`` words)."""
 
-    def __init__(self):
-        super().__init__()
-        self.new: list[bytes] = []
+    def __init__(self, lex: Lexicon, path: str, spelling: dict | None = None, limit: int = 400_000):
+        self.lex, self.path, self.spelling, self.limit = lex, path, spelling, limit
+        self.seen: dict[bytes, tuple[int, float]] = {}
 
-    def __missing__(self, word: bytes) -> int:
-        k = self[word] = len(self)
-        self.new.append(word)
-        return k
+    def look_up(self, words: list[bytes]):
+        """Hashes of the words, their places in the lexicon (or -1), first subword ids, and log P(word | first)."""
+        keys = hashes(words)
+        at = self.lex.look_up(keys)
+        known = at >= 0
+        first, fixed = np.zeros(len(words), np.int32), np.zeros(len(words))
+        if known.any():
+            first[known], fixed[known] = self.lex.first[at[known]], self.lex.within[at[known]]
+        rare = np.flatnonzero(~known).tolist()
+        new = [words[k] for k in rare if words[k] not in self.seen]
+        if len(self.seen) + len(new) > self.limit:
+            self.seen.clear()
+            new = [words[k] for k in rare]
+        self._learn(new)
+        for k in rare:
+            first[k], fixed[k] = self.seen[words[k]]
+        return keys, at, first, fixed
+
+    def _learn(self, new: list[bytes]) -> None:
+        for at in range(0, len(new), 8000):
+            part = new[at : at + 8000]
+            spelled = spell(self.path, part)
+            first = [s[0] for s in spelled]
+            fixed = np.zeros(len(part))
+            if self.spelling is not None:
+                lengths = np.array([len(s) for s in spelled], np.int64)
+                ids, target, _, place, share = spelling_windows(self.lex, np.array([i for s in spelled for i in s], np.int64), lengths)
+                p = attention.log_probabilities(self.spelling, ids, target, SPELL_CONTEXT)[place] + share
+                fixed = np.log(np.maximum(self.lex.escape[first], 1e-12)) + np.add.reduceat(p, np.cumsum(lengths) - lengths)
+            self.seen.update(zip(part, zip(first, fixed.tolist())))
 
 
 class Scorer:
-    """Scores documents in batches; what is known of a word doesn't depend on its place and is kept, within a limit."""
-
-    def __init__(self, model: dict, limit: int = 400_000):
-        self.lex, self.stream, self.spelling, self.path = model["lexicon"], model["stream"], model["spelling"], model["path"]
-        self.limit = limit
-        self._clear()
-
-    def _clear(self):
-        self.ids = _Places()
-        self.first, self.fixed, self.count, self.key = (np.zeros(0, t) for t in (np.int32, np.float64, np.int64, np.uint64))
-
-    def _learn(self, words: list[bytes]) -> None:
-        keys = np.array([stable_hash(w) for w in words], np.uint64)
-        at = self.lex.look_up(keys)
-        spelled = spell(self.path, words)
-        first = np.array([s[0] for s in spelled], np.int32)
-        count = np.where(at >= 0, self.lex.counts[at] if len(self.lex.counts) else 0, -1)
-        fixed = np.where(at >= 0, self.lex.within[at] if len(self.lex.within) else 0.0, 0.0)
-        rare = np.flatnonzero(at < 0)
-        for k in range(0, len(rare), 8000):
-            part = rare[k : k + 8000]
-            ids, target, _, place, share, lengths = spelling_windows(self.lex, [spelled[j] for j in part])
-            p = attention.log_probabilities(self.spelling, ids, target, SPELL_CONTEXT)[place] + share
-            starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-            fixed[part] = np.log(np.maximum(self.lex.escape[first[part]], 1e-12)) + np.add.reduceat(p, starts)
-        self.first, self.fixed = np.concatenate([self.first, first]), np.concatenate([self.fixed, fixed])
-        self.count, self.key = np.concatenate([self.count, count]), np.concatenate([self.key, keys])
-
-    def word_ids(self, split: list[list[bytes]]) -> list[np.ndarray]:
-        if len(self.ids) > self.limit:
-            self._clear()
-        get = self.ids.__getitem__
-        out = [np.fromiter(map(get, s), np.int64, len(s)) for s in split]
-        if self.ids.new:
-            self._learn(self.ids.new)
-            self.ids.new = []
-        return out
-
-    def score(self, words: list[np.ndarray]) -> np.ndarray:
-        """log10 probability of each document."""
-        firsts = [self.first[w] for w in words]
-        ids, target, _, place, share, lengths = stream_windows(self.lex, firsts)
+    """Scores documents in parts; what is known of a word doesn't depend on its place."""
+
+    def __init__(self, model: dict):
+        self.lex, self.stream = model["lexicon"], model["stream"]
+        self.words = Words(self.lex, model["path"], model["spelling"])
+
+    def score(self, texts: pa.Array):
+        """log10 probability of each document, and what its base score is made of: tokens without the end, known ones among
+        the frequent words, the sum of their log10 (count + 1), and hashes and times of the other words, with bounds."""
+        places, words, bounds = folded_words(texts)
+        keys, at, first, fixed = self.words.look_up(words)
+        n = len(texts)
+        firsts = first[places] if len(words) else np.zeros(0, np.int32)
+        ids, target, _, place, share, lengths = stream_windows(self.lex, firsts, bounds)
         p = attention.log_probabilities(self.stream, ids, target, CONTEXT)[place].astype(float) + share
-        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        ends = np.array([-1])
-        seq = np.concatenate([x for w in words for x in (w, ends)])  # a document's words, then its end
-        p += np.where(seq >= 0, self.fixed[seq] if len(self.fixed) else 0.0, 0.0)
-        weight, hit = copying(seq, np.repeat(np.arange(len(words)), lengths))
+        seq = np.insert(places.astype(np.int64), bounds[1:], -1)  # a document's words, then its end
+        p += np.where(seq >= 0, fixed[seq] if len(fixed) else 0.0, 0.0)
+        weight, hit = copying(seq, np.repeat(np.arange(n), lengths))
         p += np.log1p(-weight)
         p[hit] = np.logaddexp(np.log(weight[hit]), p[hit])
-        return np.add.reduceat(p, starts) / math.log(10)
+        score = np.add.reduceat(p, np.cumsum(lengths) - lengths) / math.log(10)
+        doc = np.repeat(np.arange(n), lengths - 1)
+        count = np.where(at >= 0, self.lex.counts[at] if len(self.lex.counts) else 0, -1)[places] if len(words) else np.zeros(0, np.int64)
+        known = count >= 0
+        logs = np.bincount(doc[known], np.log10(count[known] + 1.0), n).astype(float)
+        pairs, times = np.unique(doc[~known] * np.int64(max(1, len(words))) + places[~known], return_counts=True)
+        owner, which = np.divmod(pairs, max(1, len(words)))
+        cut = np.searchsorted(owner, np.arange(n + 1))
+        return score, lengths - 1, np.bincount(doc[known], minlength=n), logs, keys[which].view(np.int64) if len(words) else np.zeros(0, np.int64), times, cut
 
 
 def copying(seq: np.ndarray, doc: np.ndarray, span: int = 16) -> tuple[np.ndarray, np.ndarray]:
@@ -279,103 +294,93 @@ def _unpack(raw: bytes, like: dict) -> dict:
     return out
 
 
-class _Learner:
-    """Both networks of a task: documents come in parts, a word is spelled once."""
-
-    def __init__(self, model: dict, rate: float, expected: float, limit: int = 300_000):
-        self.lex, self.path, self.expected, self.limit = model["lexicon"], model["path"], max(1.0, expected), limit
-        self.stream = attention.Trainer(model["stream"], CONTEXT, rate)
-        self.spelling = attention.Trainer(model["spelling"], SPELL_CONTEXT, rate, batch=128)
-        self.first: dict[bytes, int] = {}
-        self.n = 0
-
-    def learn(self, raws: list[bytes]) -> None:
-        split = [r.lower().split() for r in raws]
-        if len(self.first) > self.limit:
-            self.first.clear()
-        new = sorted({w for s in split for w in s if w not in self.first})
-        spelled = spell(self.path, new)
-        self.first.update((w, s[0]) for w, s in zip(new, spelled))
-        done = self.n / self.expected
-        ids, target, weight, *_ = stream_windows(self.lex, [np.array([self.first[w] for w in s], np.int64) for s in split])
-        self.stream.learn(ids, target, weight, done)
-        at = self.lex.look_up(np.array([stable_hash(w) for w in new], np.uint64))
-        rare = [s for s, k in zip(spelled, at) if k < 0 or self.lex.counts[k] <= 2]  # like the words that have to be spelled
-        if rare:
-            ids, target, weight, *_ = spelling_windows(self.lex, rare)
-            self.spelling.learn(ids, target, weight, done)
-        self.n += sum(map(len, split)) + len(split)
-
-
-def _train_round(docs: DataFrame, model: dict, tasks: int, epochs: int, rate: float, expected: float) -> dict:
-    """Each task trains on its share of docs (text, deal) from the same parameters; the results are averaged by their
-    positions. ``expected``: about how many positions a task learns from. Only several epochs hold a task's texts."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+def _average(batches):
+    """Parameters averaged by the number of positions behind them."""
+    total, sums = 0.0, 0.0
+    for b in batches:
+        for n, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            total += n
+            sums = sums + n * np.frombuffer(packed, "<f4").astype(np.float64)
+    if total:
+        yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([(sums / total).astype("<f4").tobytes()], pa.binary())], ["n", "m"])
+
+
+def _train_round(rows: DataFrame, model: dict, name: str, tasks: int, epochs: int, rate: float, expected: float) -> dict:
+    """Each task trains the network ``name`` on its share of rows (text or ids, deal) from the same parameters; the results are
+    averaged by their positions. ``expected``: about how many positions a task learns from. Only several epochs hold a task's rows."""
+    sent = rows.sparkSession.sparkContext.broadcast({k: model[k] for k in ("lexicon", "path", name)})
 
     def run(batches):
-        learner = _Learner(sent.value, rate, expected * epochs)
-        held: list[list[bytes]] = []
+        m = sent.value
+        lex, words = m["lexicon"], Words(m["lexicon"], m["path"])
+        trainer = attention.Trainer(m[name], CONTEXT if name == "stream" else SPELL_CONTEXT, rate, 64 if name == "stream" else 256)
+        done = 0
+
+        def learn(column: pa.Array) -> int:
+            if name == "stream":
+                places, distinct, bounds = folded_words(column)
+                first = words.look_up(distinct)[2]
+                ids, target, weight, *_ = stream_windows(lex, first[places] if len(distinct) else np.zeros(0, np.int32), bounds)
+            else:
+                lengths = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+                ids, target, weight, *_ = spelling_windows(lex, np.frombuffer(b"".join(column.to_pylist()), "<u4").astype(np.int64), lengths)
+            trainer.learn(ids, target, weight, done / max(1.0, expected * epochs))
+            return int(weight.sum())
+
+        held: list[pa.Array] = []
         for b in batches:
-            for at in range(0, b.num_rows, PART):
-                part = b.column(0).slice(at, PART).to_pylist()
-                learner.learn(part)
+            for part in parts_of_batch(b, 0, PART):
+                done += learn(part.column(0))
                 if epochs > 1:
-                    held.append(part)
+                    held.append(part.column(0))
         for _ in range(epochs - 1):
-            learner.first.clear()
-            for part in held:
-                learner.learn(part)
-        if learner.n:
-            yield pa.RecordBatch.from_arrays([pa.array([float(learner.n)]), *(pa.array([_pack(t.m)], pa.binary()) for t in (learner.stream, learner.spelling))], ["n", "stream", "spelling"])
-
-    def average(batches):
-        total, sums = 0.0, [0.0, 0.0]
-        for b in batches:
-            for n, *packed in zip(*(c.to_pylist() for c in b.columns)):
-                total += n
-                sums = [s + n * np.frombuffer(p, "<f4").astype(np.float64) for s, p in zip(sums, packed)]
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array([total]), *(pa.array([(s / total).astype("<f4").tobytes()], pa.binary()) for s in sums)], ["n", "stream", "spelling"])
-
-    schema = "n double, stream binary, spelling binary"
-    trained = docs.repartition(tasks, "deal").sortWithinPartitions("deal").mapInArrow(run, schema)
+            for column in held:
+                done += learn(column)
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array([float(done)]), pa.array([_pack(trainer.m)], pa.binary())], ["n", "m"])
+        release_memory()
+
+    trained = rows.repartition(tasks, "deal").sortWithinPartitions("deal").mapInArrow(run, "n double, m binary")
     if tasks > 32:  # in two steps, so that the driver gets at most 32 models
-        trained = trained.repartition(32).mapInArrow(average, schema)
+        trained = trained.repartition(32).mapInArrow(_average, "n double, m binary")
     got = trained.collect()
+    sent.destroy()
     if not got:
         return model
     total = sum(r["n"] for r in got)
-    mean = lambda name: _unpack((sum(r["n"] * np.frombuffer(r[name], "<f4").astype(np.float64) for r in got) / total).astype("<f4").tobytes(), model[name])
-    return model | {"stream": mean("stream"), "spelling": mean("spelling")}
+    mean = sum(r["n"] * np.frombuffer(r["m"], "<f4").astype(np.float64) for r in got) / total
+    return model | {name: _unpack(mean.astype("<f4").tobytes(), model[name])}
 
 
-#: Positions (words and ends) of the common start, about; of a task of the round over all; documents of a part.
-START, TASK, PART = 500_000, 2_000_000, 128
+#: Positions (words and ends) of the common start, about; of a task of the round over all; bytes of a part.
+START, TASK, PART = 500_000, 2_000_000, 400_000
 
 
 def fit(train: DataFrame, path: str, words: int = 1 << 20) -> tuple[dict, DataFrame, int, int]:
     """The model, the exact counts of all training words (key, n), and the number of tokens and of distinct tokens.
 
-    The networks learn from every training row. One task first makes the parameters that all tasks start from, of about
-    START positions; then all rows, these too, are dealt by a hash of the row, so that copies of a text are learned from
-    as often as they stand there and lie in many tasks.
+    The stream model learns from every training row, the spelling model from every distinct word seen once or twice. For each,
+    one task first makes the parameters that all tasks start from, of about START positions; then all rows, these too, are
+    dealt by a hash of the row, so that copies of a text are learned from as often as they stand there and lie in many tasks.
     """
     vocabulary = _tokenizer(path).get_vocab_size()
-    tallies = materialise(count_words(train, path, vocabulary).groupBy("kind", "key", "first").agg(F.sum("n").alias("n")))
+    tallies = materialise(count_words(train, path, vocabulary))
     counts = tallies.where("kind = 0").select("key", "first", "n")
-    n_tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    n_tokens, distinct, rare = tallies.where("kind = 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count("ids")).first()
     top = counts.where(F.col("first") < vocabulary).orderBy(F.desc("n"), "key").limit(words).toArrow().to_pandas()  # at most ``words`` rows
     firsts = counts.groupBy("first").agg(F.sum("n").alias("n")).toArrow().to_pandas()  # at most the tokenizer's vocabulary
-    later = tallies.where("kind = 1").select("key", "n").toArrow().to_pandas()
+    later = tallies.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     lex = Lexicon(top, firsts, later, vocabulary)
     model = {
         "lexicon": lex, "path": path, "stream": attention.initial(STREAM_INPUTS, lex.first_counts, CONTEXT, STRIDE),
         "spelling": attention.initial(SPELL_INPUTS, lex.later_counts, SPELL_CONTEXT, SPELL_STRIDE, seed=6),
     }
     texts = train.select(text_bytes(), F.xxhash64(F.monotonically_increasing_id()).alias("deal"))
-    begin = texts.where(F.pmod(F.xxhash64("deal"), F.lit(1_000_000)) < min(1_000_000, START * 1_000_000 // max(1, n_tokens)))
-    model = _train_round(begin, model, 1, epochs=4, rate=0.01, expected=min(START, n_tokens))
-    model = _train_round(texts, model, max(1, -(-n_tokens // TASK)), epochs=1, rate=0.003, expected=min(TASK, n_tokens))
+    spelled = tallies.where("ids is not null").select("ids", F.xxhash64("key").alias("deal"))
+    for name, rows, n in (("stream", texts, n_tokens), ("spelling", spelled, rare * 5)):  # a word has about five subwords
+        begin = rows.where(F.pmod(F.xxhash64("deal"), F.lit(1_000_000)) < min(1_000_000, START * 1_000_000 // max(1, n)))
+        model = _train_round(begin, model, name, 1, epochs=4, rate=0.01, expected=min(START, n))
+        model = _train_round(rows, model, name, max(1, -(-n // TASK)), epochs=1, rate=0.003, expected=min(TASK, n))
     return model, counts.select("key", "n"), int(n_tokens), int(distinct)
 
 
@@ -398,21 +403,12 @@ def score(docs: DataFrame, train: DataFrame, path: str, words: int = 1 << 20) ->
             _scorers[id(sent)] = Scorer(sent.value)
         scorer = _scorers[id(sent)]
         for b in batches:
-            raws = b.column(2).to_pylist()
-            for at in range(0, len(raws), 128):
-                split = [r.lower().split() for r in raws[at : at + 128]]
-                ids = scorer.word_ids(split)
-                known, logs, keys, times = [], [], [], []
-                for w in ids:
-                    c = scorer.count[w]
-                    hit = c >= 0
-                    known.append(int(hit.sum()))
-                    logs.append(float(np.log10(c[hit] + 1).sum()))
-                    k, n = np.unique(scorer.key[w[~hit]], return_counts=True)
-                    keys.append(k.view(np.int64))
-                    times.append(n)
-                cols = [b.column(0).slice(at, 128), b.column(1).slice(at, 128), pa.array([len(w) + 1 for w in ids], pa.int64()), pa.array(known, pa.int64()), pa.array(logs), pa.array(keys, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64())), pa.array(scorer.score(ids))]
+            for part in parts_of_batch(b, 2, PART):
+                score, n, known, logs, keys, times, cut = scorer.score(part.column(2))
+                listed = lambda values: pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(values, pa.int64()))  # noqa: B023, E731
+                cols = [part.column(0), part.column(1), pa.array(n + 1, pa.int64()), pa.array(known, pa.int64()), pa.array(logs), listed(keys), listed(times), pa.array(score)]
                 yield pa.RecordBatch.from_arrays(cols, _SCORED)
+        release_memory()
 
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), text_bytes())
     scored = materialise(source.mapInArrow(run, "row bigint, doc_id bigint, n_tokens bigint, known bigint, logs double, keys array<bigint>, times array<bigint>, score double"))
