@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cloudloom.functions.ranking import global_rank
+
 
 def by_prefix(names: DataFrame, prefixes: Sequence[tuple[str, int]], name: str, target: str, other: int = 0) -> DataFrame:
     """The id of the first prefix that the name begins with."""
@@ -23,8 +25,8 @@ def unmatched_prefixes(names: DataFrame, prefixes: Sequence[tuple[str, int]], na
 
 
 def fine_ids(names: DataFrame, coarse: str, order: str, start: int = 1) -> DataFrame:
-    """Consecutive ids by coarse kind, then by the given order. The name table is a small dimension."""
-    return names.withColumn("fine", F.row_number().over(Window.orderBy(coarse, order)) + start - 1)
+    """Consecutive ids by coarse kind, then by the given order."""
+    return global_rank(names, [coarse, order], "fine").withColumn("fine", (F.col("fine") + start - 1).cast("int"))
 
 
 def suppress(label: str, classes: Sequence[int]) -> Column:
@@ -46,9 +48,9 @@ def map_classes(values: DataFrame, mapping: DataFrame, name: str) -> DataFrame:
 
 
 def split_by_ratio(ids: DataFrame, key: str, ratio: float, rank: Column) -> DataFrame:
-    """A reproducible split: the first round(n * ratio) ids by the given order are ``val``. ids is a dimension."""
+    """A reproducible split: the first round(n * ratio) ids by the given order are ``val``."""
     n = ids.count()
-    return ids.withColumn("split", F.when(F.row_number().over(Window.orderBy(rank, key)) <= round(n * ratio), "val").otherwise("train"))
+    return global_rank(ids, [rank, key], "_at").withColumn("split", F.when(F.col("_at") <= round(n * ratio), "val").otherwise("train")).drop("_at")
 
 
 def repeat(df: DataFrame, times: int) -> DataFrame:
@@ -66,8 +68,8 @@ def weighted_union(parts: Sequence[tuple[DataFrame, int]]) -> DataFrame:
 
 
 def shard(ids: DataFrame, key: str, n: int) -> DataFrame:
-    """Round robin by order into n shards. ids is a dimension."""
-    return ids.withColumn("shard", (F.row_number().over(Window.orderBy(key)) - 1) % n)
+    """Round robin by order into n shards."""
+    return global_rank(ids, [key], "_at").withColumn("shard", ((F.col("_at") - 1) % n).cast("int")).drop("_at")
 
 
 def keep_labelled(points: DataFrame, subset: DataFrame, ignore: int = -1) -> DataFrame:

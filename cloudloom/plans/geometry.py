@@ -163,12 +163,11 @@ def _(spark, d):
 
 @query("p65_natural_sort", "SELECT p_partkey::bigint AS part, row_number() OVER (ORDER BY p_partkey) AS rn FROM part")
 def _(spark, d):
-    from pyspark.sql import Window
-
+    from cloudloom.functions.ranking import global_rank
     from cloudloom.sources.fixtures import read
 
     named = read(spark, d, "part").select(F.col("p_partkey").cast("bigint").alias("part"), F.concat(F.lit("cloud_"), F.col("p_partkey").cast("string")).alias("name"))
-    return named.select("part", F.row_number().over(Window.orderBy(scalar.natural_key("name"))).cast("bigint").alias("rn"))
+    return global_rank(named, [scalar.natural_key("name")], "rn").select("part", F.col("rn").cast("bigint").alias("rn"))
 
 
 @query("p68_offset_target", "SELECT cloud_id, point_id, round(avg(x) OVER w - x, 6) + 0.0 AS dx, round(avg(y) OVER w - y, 6) + 0.0 AS dy FROM pts WHERE instance >= 0 WINDOW w AS (PARTITION BY cloud_id, instance)")
