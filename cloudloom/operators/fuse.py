@@ -53,6 +53,22 @@ def split_by_ratio(ids: DataFrame, key: str, ratio: float, rank: Column) -> Data
     return global_rank(ids, [rank, key], "_at").withColumn("split", F.when(F.col("_at") <= round(n * ratio), "val").otherwise("train")).drop("_at")
 
 
+def evaluation_set(listed: DataFrame, incomplete_clouds: DataFrame, excluded: DataFrame, only_incomplete: bool = False) -> DataFrame:
+    """The clouds of a split and the incomplete ones (or these alone), less the excluded ones; each table has cloud_id."""
+    chosen = incomplete_clouds.select("cloud_id") if only_incomplete else listed.select("cloud_id").union(incomplete_clouds.select("cloud_id"))
+    return chosen.distinct().join(excluded.select("cloud_id"), "cloud_id", "left_anti")
+
+
+def still_to_do(wanted: DataFrame, written: DataFrame, key: str = "cloud_id") -> DataFrame:
+    """The ids that the target doesn't hold yet."""
+    return wanted.select(key).distinct().join(written.select(key).distinct(), key, "left_anti")
+
+
+def every_kth(frames: DataFrame, k: int, usable: Column) -> DataFrame:
+    """Every kth frame of a sequence whose pose is usable."""
+    return frames.where((F.col("frame_idx") % k == 0) & usable)
+
+
 def repeat(df: DataFrame, times: int) -> DataFrame:
     """The rows again and again; ``pass`` numbers the copies."""
     return df.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))

@@ -166,3 +166,20 @@ def interpolate_cells(points: DataFrame, values: DataFrame, size: float, value:
     keys = {f"c{a}": F.floor(f"_{a}") + F.col(f"_c.{c}") for a, c in zip("xyz", "ijk")}
     hit = out.withColumn("_w", weight).where("_w > 0").withColumns(keys).join(values.select(*CELL, F.col(value).alias("_v")), CELL)
     return hit.groupBy("cloud_id", "point_id").agg((F.sum(F.col("_w") * F.col("_v")) / F.sum("_w")).alias(value))
+
+
+def fused_voxels(points: DataFrame, size: float, means: Sequence[str], tops: Sequence[str] = (), by: Sequence[str] = ()) -> DataFrame:
+    """Over all frames of a group, the mean of some features and the greatest of others in each voxel, and its points."""
+    voxel = [F.floor(F.col(a) / size).alias(f"v{a}") for a in "xyz"]
+    return points.groupBy(*by, *voxel).agg(*[F.avg(c).alias(c) for c in means], *[F.max(c).alias(c) for c in tops], F.count("*").alias("n"))
+
+
+def downsample_sizes(points: DataFrame, ratio: float, scale: int) -> DataFrame:
+    """How many points each cloud keeps: floor(n * ratio) + 1, or n // scale."""
+    n = F.count("*")
+    return points.groupBy("cloud_id").agg((F.floor(n * ratio) + 1).alias("by_ratio"), F.floor(n / scale).alias("by_scale"))
+
+
+def axis_orders(points: DataFrame, orders: dict[str, Sequence[str]]) -> DataFrame:
+    """K1: for each name the place of a point in its cloud, sorted by the given columns, ties by id; the inverse of a place is its row."""
+    return points.withColumns({name: F.row_number().over(per_cloud().orderBy(*columns, "point_id")) - 1 for name, columns in orders.items()})

@@ -45,6 +45,13 @@ def rasterise(points: DataFrame, pred: str) -> DataFrame:
     return points.groupBy(*VOXEL).agg((F.max_by(pred, "point_id") > 0).cast("int").alias("fg"))
 
 
+def visible(points: DataFrame, view: Sequence[str], normal: Sequence[str], least_cosine: float, valid: Column) -> DataFrame:
+    """Points seen at a steep enough angle (the cosine of view and normal above ``least_cosine``) with a valid depth and label."""
+    dot = sum((F.col(a) * F.col(b) for a, b in zip(view, normal)), F.lit(0.0))
+    norm = lambda c: F.sqrt(sum((F.col(x) ** 2 for x in c), F.lit(0.0)))
+    return points.where((F.abs(F.try_divide(dot, norm(view) * norm(normal))) > least_cosine) & valid)
+
+
 def surface(voxels: DataFrame) -> DataFrame:
     """Voxels with a missing neighbour among the six: those whose number of present neighbours is below six."""
     v = voxels.select(*VOXEL).distinct()

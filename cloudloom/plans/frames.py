@@ -69,7 +69,7 @@ def _(spark, d):
 
 @query("g7_g11_fused_voxels", "SELECT floor(x/4)::bigint AS vx, floor(y/4)::bigint AS vy, floor(z/4)::bigint AS vz, round(avg(x), 6) AS x, max(intensity) AS top, count(*) AS n FROM pts GROUP BY 1, 2, 3")
 def _(spark, d):
-    v = points(spark, d).groupBy(*[F.floor(F.col(a) / 4).alias(f"v{a}") for a in "xyz"]).agg(F.avg("x").alias("x"), F.max("intensity").alias("top"), F.count("*").alias("n"))
+    v = grid.fused_voxels(points(spark, d), 4.0, ["x"], ["intensity"]).withColumnRenamed("intensity", "top")
     return rounded(v, "x")
 
 
@@ -89,17 +89,12 @@ def _(spark, d):
 
 @query("r18_downsample_sizes", "SELECT cloud_id, (floor(count(*)*0.25) + 1)::bigint AS by_ratio, (count(*) // 8)::bigint AS by_scale FROM pts GROUP BY 1")
 def _(spark, d):
-    n = F.count("*")
-    return points(spark, d).groupBy("cloud_id").agg((F.floor(n * 0.25) + 1).alias("by_ratio"), F.floor(n / 8).alias("by_scale"))
+    return grid.downsample_sizes(points(spark, d), 0.25, 8)
 
 
 @query("g17_k1_orders", "SELECT cloud_id, point_id, (row_number() OVER (PARTITION BY cloud_id ORDER BY z, y, x, point_id) - 1)::int AS ord, (row_number() OVER (PARTITION BY cloud_id ORDER BY x, y, z, point_id) - 1)::int AS trans FROM pts")
 def _(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("cloud_id")
-    rank = lambda *c: F.row_number().over(w.orderBy(*c, "point_id")) - 1
-    return points(spark, d).select("cloud_id", "point_id", rank("z", "y", "x").alias("ord"), rank("x", "y", "z").alias("trans"))
+    return grid.axis_orders(points(spark, d), {"ord": "zyx", "trans": "xyz"}).select("cloud_id", "point_id", "ord", "trans")
 
 
 @query("g6_superpoint_broadcast", "SELECT cloud_id, point_id, round(avg(x) OVER (PARTITION BY cloud_id, rib), 6) AS mean_x FROM pts")

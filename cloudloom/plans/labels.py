@@ -34,8 +34,8 @@ def _(spark, d):
 @query("s8_s9_s11_evaluation_set", "SELECT DISTINCT cloud_id FROM pts WHERE (cloud_id % 10 = 9 OR cloud_id IN (SELECT cloud_id FROM pts GROUP BY 1 HAVING count(DISTINCT rib_pred) < 25)) AND cloud_id NOT IN (9, 19)")
 def _(spark, d):
     p = points(spark, d)
-    chosen = p.where("cloud_id % 10 = 9").select("cloud_id").union(fuse.incomplete(p, "rib_pred", 25).select("cloud_id")).distinct()
-    return chosen.join(spark.createDataFrame([(9,), (19,)], "cloud_id bigint"), "cloud_id", "left_anti")
+    excluded = spark.createDataFrame([(9,), (19,)], "cloud_id bigint")
+    return fuse.evaluation_set(p.where("cloud_id % 10 = 9"), fuse.incomplete(p, "rib_pred", 25), excluded)
 
 
 @query("s10_incomplete", "SELECT cloud_id, count(DISTINCT instance) AS classes FROM pts WHERE z < 2 AND x > 40 GROUP BY 1 HAVING count(DISTINCT instance) < 7")
@@ -66,8 +66,8 @@ def _(spark, d):
 
 @query("s18_resume", "SELECT DISTINCT cloud_id FROM pts WHERE cloud_id % 3 <> 0")
 def _(spark, d):
-    p = points(spark, d).select("cloud_id").distinct()
-    return p.join(p.where("cloud_id % 3 = 0"), "cloud_id", "left_anti")
+    p = points(spark, d)
+    return fuse.still_to_do(p, p.where("cloud_id % 3 = 0"))
 
 
 @query("s20_underfilled", "SELECT cloud_id, count(*) AS n FROM pts GROUP BY 1 HAVING count(*) < 590")

@@ -74,10 +74,10 @@ def _(spark, d):
     return augment.drop_ribs_randomly(points(spark, d), 4, 61).select("cloud_id", "point_id")
 
 
-@query("r24_depth_filter", "SELECT cloud_id, point_id FROM pts WHERE abs(x*z + y*y) / (sqrt(x*x+y*y+z*z)*sqrt(z*z+y*y+1)) > 0.15 AND intensity < 655.35 AND label > 0")
+@query("r24_depth_filter", "SELECT cloud_id, point_id FROM pts WHERE abs(x*z + y*y + z) / (sqrt(x*x+y*y+z*z)*sqrt(z*z+y*y+1)) > 0.15 AND intensity < 655.35 AND label > 0")
 def _(spark, d):
-    cos = F.abs(F.col("x") * F.col("z") + F.col("y") ** 2) / (F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2) * F.sqrt(F.col("z") ** 2 + F.col("y") ** 2 + 1))
-    return points(spark, d).where((cos > 0.15) & (F.col("intensity") < 655.35) & (F.col("label") > 0)).select("cloud_id", "point_id")
+    p = points(spark, d).withColumn("one", F.lit(1.0))
+    return voxels.visible(p, "xyz", ["z", "y", "one"], 0.15, (F.col("intensity") < 655.35) & (F.col("label") > 0)).select("cloud_id", "point_id")
 
 
 @query("c6_select_instances", """WITH sc AS (SELECT DISTINCT cloud_id, instance::bigint AS query, c::int AS class, (instance + 1) * (c + 2) / 24.0 AS score FROM pts, range(2) t(c) WHERE instance >= 0), mk AS (SELECT cloud_id, instance::bigint AS query, point_id, 0.3 + z/16 AS p FROM pts WHERE instance >= 0),

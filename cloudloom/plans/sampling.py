@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cloudloom.functions.random import draw_sql
-from cloudloom.operators import augment, cloud
+from cloudloom.operators import augment, cloud, fuse
 from cloudloom.plans.catalog import query
 from cloudloom.plans.geometry import rounded
 from cloudloom.sources.fixtures import points
@@ -118,7 +118,7 @@ def _(spark, d):
 def _(spark, d):
     from cloudloom.sources.fixtures import frames
 
-    return frames(spark, d).where((F.col("frame_idx") % 3 == 0) & (F.col("yaw_deg") != 90)).select("seq_id", "frame_id", "frame_idx")
+    return fuse.every_kth(frames(spark, d), 3, F.col("yaw_deg") != 90).select("seq_id", "frame_id", "frame_idx")
 
 
 @query("r30_mix_pairs", "WITH t AS (SELECT floor(cloud_id/2)::bigint AS m, max(instance) AS top FROM pts WHERE cloud_id % 2 = 0 GROUP BY 1) SELECT floor(p.cloud_id/2)::bigint AS mix_id, p.cloud_id, point_id, (CASE WHEN p.cloud_id % 2 = 1 AND instance >= 0 THEN instance + coalesce(top, -1) + 1 ELSE instance END)::int AS instance FROM pts p LEFT JOIN t ON floor(p.cloud_id/2)::bigint = m")
