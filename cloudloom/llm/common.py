@@ -8,6 +8,7 @@ import uuid
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -35,7 +36,16 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write df once to the shared folder and read it back: cuts the lineage and survives the loss of executors."""
     path = f"{shared_folder(df.sparkSession)}/llm-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what materialise wrote for df, once nothing is read from it any more."""
+    sc = df.sparkSession.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(df._written)
+    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def text_bytes(name: str = "text"):
@@ -58,6 +68,11 @@ def stable_hash(word: bytes) -> int:
     return (zlib.crc32(word) << 32) ^ (zlib.crc32(word[::-1], 0x9E3779B9) * 0x1003F) & 0xFFFFFFFFFFFFFFFF
 
 
+def hash_words(words: list[bytes]) -> np.ndarray:
+    """Unsigned 64-bit hashes of words that every process computes alike, in one call."""
+    return pd.util.hash_array(np.array(words, object), categorize=False) if words else np.zeros(0, np.uint64)
+
+
 class Memo(dict):
     """A dictionary that computes what it lacks and starts anew when it holds too much: memory stays bounded."""
 

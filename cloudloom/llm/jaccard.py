@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_text, keep_matching, materialise, mix64, parts_of_batch, release_memory, split_words, stable_hash, text_bytes
+from .common import as_text, discard, hash_words, keep_matching, materialise, mix64, parts_of_batch, release_memory, split_words, text_bytes
 
 #: Frequent shingles kept for the order of shingles; more of them would shorten lists, none of them changes a result.
 FREQUENT = 500_000
@@ -68,7 +68,7 @@ class Shingler:
     def sets(self, texts: pa.Array) -> list[np.ndarray]:
         """The set of each text; A-Z folded, words between ASCII white space, a shorter text as one shingle."""
         places, words, bounds = split_words(pc.ascii_lower(as_text(texts)))
-        h = np.fromiter(map(stable_hash, words), np.uint64, len(words))[places]
+        h = hash_words(words)[places]
         every, bounds = self._rolled(h, self.size), bounds.tolist()
         out = []
         for a, b in zip(bounds[:-1], bounds[1:]):
@@ -328,7 +328,8 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = large.groupBy("b").agg(F.min("a").alias("low"))
         small = large.join(low, "b")
         small = small.select("low", "a").union(small.select("low", "b")).toDF("low", "b").where("low <> b")
-        edges = materialise(small.select(F.col("low").alias("a"), "b").distinct())
+        old, edges = edges, materialise(small.select(F.col("low").alias("a"), "b").distinct())
+        discard(old)
         after = mark(edges)
         if after == before:
             break
@@ -376,6 +377,9 @@ def _all_links(docs: DataFrame, described: DataFrame, nodes: DataFrame, size: in
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_bytes())
     reps = keep_matching(source, extra, "doc_id", extra.count(), "left_anti")
     lists = materialise(_short_lists(_first_shingles(reps, frequent, size, percent, buckets), buckets, percent))
+    spread, salted = _dealt(lists)
+    plain, lists = lists, materialise(salted)
+    discard(plain)
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         """The whole sets of the given nodes; texts and sets are filtered by broadcast ids where those are few."""
@@ -392,20 +396,19 @@ def _all_links(docs: DataFrame, described: DataFrame, nodes: DataFrame, size: in
         return materialise(_verify(pairs, sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b"))), percent))
 
     # the node that shares most with others is each list's lead: enough to connect groups of copies
-    shares = lists.join(lists.groupBy("list").agg(F.count("*").alias("nodes")), "list").groupBy("node").agg(F.sum(F.col("weight") * F.col("nodes")).alias("shares"))
+    shares = lists.groupBy("node").agg(F.sum(F.col("weight") * F.col("nodes")).alias("shares"))
     ranked = lists.join(shares, "node")
     leads = ranked.groupBy("list").agg(F.max(F.struct("shares", "node", "n")).alias("lead")).select("list", F.col("lead.node").alias("a"), F.col("lead.n").alias("m"))
-    star = lists.join(leads, "list").where("node <> a").groupBy("a", F.col("node").alias("b")).agg(F.sum("weight").alias("shared"), F.max("n").alias("n"), F.max("m").alias("m"))
+    star = lists.join(spread(leads), ["list", "salt"]).where("node <> a").groupBy("a", F.col("node").alias("b")).agg(F.sum("weight").alias("shared"), F.max("n").alias("n"), F.max("m").alias("m"))
     sizes = (100 * F.col("m") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("m"))
     links = verified(star.where(sizes & (F.col("shared") >= 0.03 * F.col("n"))).select("a", "b"))
     comps = materialise(connected_components(links))
 
     # every other pair that shares a list and isn't connected yet: counted in the short lists, then bounded by the long ones
-    tagged = lists.join(comps, "node", "left").select("list", "node", "n", "rank", "weight", F.coalesce("component", "node").alias("group"))
+    tagged = lists.join(comps, "node", "left").select("list", "salt", "nodes", "node", "n", "rank", "weight", F.coalesce("component", "node").alias("group"))
     mixed = tagged.groupBy("list").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("list")
-    open_lists = materialise(tagged.join(mixed, "list", "left_semi"))
-    length = open_lists.groupBy("list").agg(F.count("*").alias("nodes"))
-    short_lists = open_lists.join(length.where(F.col("nodes") <= LONG).select("list"), "list", "left_semi")
+    open_lists = materialise(tagged.join(spread(mixed), ["list", "salt"], "left_semi"))
+    short_lists = open_lists.where(F.col("nodes") <= LONG)
     x, y = short_lists.alias("x"), short_lists.alias("y")
     sizes = (100 * F.col("x.n") >= percent * F.col("y.n")) & (100 * F.col("y.n") >= percent * F.col("x.n"))
     rest = x.join(y, (F.col("x.list") == F.col("y.list")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.group") != F.col("y.group")) & sizes)
@@ -416,15 +419,27 @@ def _all_links(docs: DataFrame, described: DataFrame, nodes: DataFrame, size: in
     rest = rest.where(_possible(F.col("n"), F.col("i"), F.col("m"), F.col("j"), F.col("shared"), percent)).select("a", "b")
     links = links.unionByName(verified(rest))
 
-    members = materialise(open_lists.join(length.where(F.col("nodes") > LONG), "list").select("list", "node", "n", "group", "nodes"))
+    members = open_lists.where(F.col("nodes") > LONG)
     if members.isEmpty():
         return links
-    asks, blocks = _block_search(members, percent)
+    asks, blocks = _block_search(members, spread, percent)
     asks, blocks = materialise(asks), materialise(blocks)
     return links.unionByName(_search_blocks(asks, blocks, sets_of(members.select("node")), percent))
 
 
-def _block_search(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def _dealt(lists: DataFrame, least: int = 500):
+    """Lists with their number of nodes and a salt that parts the rows of a long list, and a function that gives a table of one or a few
+    rows a list a row for each of its salts, to be joined on both. Long are at most 50,000 lists, so which they are is broadcast."""
+    counts = materialise(lists.groupBy("list").agg(F.count("*").alias("nodes")))
+    size = max(least, counts.agg(F.coalesce(F.sum("nodes"), F.lit(0))).first()[0] // 50_000)
+    long = F.broadcast(counts.where(F.col("nodes") > size).select("list", F.ceil(F.col("nodes") / size).cast("int").alias("_salts")))
+    salts = F.coalesce("_salts", F.lit(1))
+    spread = lambda facts: facts.join(long, "list", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    salted = lists.join(long, "list", "left").withColumn("salt", F.pmod(F.xxhash64("node"), salts).cast("int")).drop("_salts")
+    return spread, salted.join(spread(counts), ["list", "salt"])
+
+
+def _block_search(members: DataFrame, spread, percent: int) -> tuple[DataFrame, DataFrame]:
     """Which nodes are searched for in which blocks: asks (node, home, band, chunk) and blocks (node, home, band, chunk).
 
     A node's home is the longest of its long lists, so the nodes of a list lie in few blocks; bands of sizes, each a
@@ -435,8 +450,8 @@ def _block_search(members: DataFrame, percent: int) -> tuple[DataFrame, DataFram
     home = members.groupBy("node").agg(F.max(F.struct("nodes", "list")).alias("h"), F.max("n").alias("n"))
     blocks = home.select("node", F.col("h.list").alias("home"), band.alias("band"), F.pmod(F.xxhash64("node"), F.greatest(F.ceil(F.col("h.nodes") / BLOCK), F.lit(1))).alias("chunk"))
     held = members.select("list", "node").join(blocks, "node").select("list", "home", "band", "chunk").distinct()
-    queries = members.join(group, "list").where("group <> largest").select("list", "node", band.alias("own"))
-    asks = queries.join(held, "list").where(F.abs(F.col("own") - F.col("band")) <= 1).select("node", "home", "band", "chunk").distinct()
+    queries = members.join(spread(group), ["list", "salt"]).where("group <> largest").select("list", "salt", "node", band.alias("own"))
+    asks = queries.join(spread(held), ["list", "salt"]).where(F.abs(F.col("own") - F.col("band")) <= 1).select("node", "home", "band", "chunk").distinct()
     return asks, blocks
 
 
