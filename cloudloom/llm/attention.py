@@ -51,11 +51,18 @@ def _allowed(context: int, stride: int) -> tuple[np.ndarray, np.ndarray]:
     return distance >= 0, np.maximum(distance, 0)
 
 
-def _softmax(logits: np.ndarray) -> np.ndarray:
-    logits -= logits.max(axis=-1, keepdims=True)
+def _exponentials(logits: np.ndarray, bounded: bool) -> np.ndarray:
+    """The logits' exponentials, in place, and their sums [n, 1]; the row's maximum comes off first unless they are bounded."""
+    if not bounded:
+        logits -= logits.max(axis=-1, keepdims=True)
     np.exp(logits, out=logits)
-    logits /= logits.sum(axis=-1, keepdims=True)
-    return logits
+    return logits @ np.ones((logits.shape[-1], 1), logits.dtype)
+
+
+def _low(m: dict) -> bool:
+    """Whether the output's exponentials stay within range: what they weigh lies between -1 and 1."""
+    one = float((np.abs(m["W1"]).sum(axis=0) + np.abs(m["b1"])).max())
+    return max(one, float((np.abs(m["W2"]).sum(axis=1) + np.maximum(m["b2"], 0)).max())) < 60
 
 
 def _tables(m: dict):
@@ -79,10 +86,7 @@ def _attend(tables, ids: np.ndarray, bias: np.ndarray, context: int, pad: int, b
     if gaps.any():
         s += np.where(gaps, s.dtype.type(-1e9), s.dtype.type(0))[:, None, :]
         bounded = False
-    if not bounded:
-        s -= s.max(axis=2, keepdims=True)
-    np.exp(s, out=s)
-    total = s @ np.ones((s.shape[2], 1), s.dtype)
+    total = _exponentials(s, bounded)
     a = s @ v
     a /= total
     return q, k, v, s, total, a
@@ -90,10 +94,11 @@ def _attend(tables, ids: np.ndarray, bias: np.ndarray, context: int, pad: int, b
 
 def _by_group(z: np.ndarray, groups: np.ndarray, w2: np.ndarray, b2: np.ndarray):
     """Order of the rows by group, the slices of the groups that occur, and the rows' logits within their groups, in that order."""
+    groups = groups.astype(np.int16)  # sorted by digits
     order = np.argsort(groups, kind="stable")
-    cut = np.searchsorted(groups[order], np.arange(len(w2) + 1)).tolist()
+    cut = np.concatenate([[0], np.cumsum(np.bincount(groups, minlength=len(w2)))]).tolist()
     held = [(k, cut[k], cut[k + 1]) for k in range(len(w2)) if cut[k + 1] > cut[k]]
-    z = z[order]
+    z = np.take(z, order, axis=0)
     logits = np.empty((len(z), w2.shape[2]), z.dtype)
     for k, a, b in held:
         np.matmul(z[a:b], w2[k], out=logits[a:b])
@@ -102,32 +107,34 @@ def _by_group(z: np.ndarray, groups: np.ndarray, w2: np.ndarray, b2: np.ndarray)
 
 
 def log_probabilities(m: dict, ids: np.ndarray, targets: np.ndarray, context: int, batch: int = 32) -> np.ndarray:
-    """Natural log probability of the target class at every scored place [n * stride]."""
+    """Natural log probability of the target class at every scored place [n * stride]. Attention goes in batches of windows that stay
+    in a core's cache, the output in 16 of them."""
     pad, stride, members = len(m["E"]) - 1, ids.shape[1] - context, m["W2"].shape[2]
-    tables, direct = _tables(m), m["E"] @ m["A"] + m["c"]
+    tables, direct, low = _tables(m), m["E"] @ m["A"] + m["c"], _low(m)
     ok, distance = _allowed(context, stride)
     bias, bounded = np.where(ok, m["R"][distance], m["R"].dtype.type(-1e9)), _bounded(m, tables)
     out = np.empty(len(ids) * stride, m["E"].dtype)
 
     def chosen(logits, at):
-        top = logits.max(axis=1)
-        own = logits[np.arange(len(at)), at] - top
-        logits -= top[:, None]
-        np.exp(logits, out=logits)
-        return own - np.log(logits.sum(axis=1))
-
-    for at in range(0, len(ids), batch):
-        part = ids[at : at + batch]
-        a = _attend(tables, part, bias, context, pad, bounded)[5]
-        z = np.take(direct, part[:, context:].ravel(), axis=0)
+        own = logits[np.arange(len(at)), at] if low else logits[np.arange(len(at)), at] - logits.max(axis=1)
+        return own - np.log(_exponentials(logits, low)[:, 0])
+
+    for start in range(0, len(ids), 16 * batch):
+        many = ids[start : start + 16 * batch]
+        a = np.empty((len(many), stride, m["Wv"].shape[1]), m["E"].dtype)
+        for at in range(0, len(many), batch):
+            a[at : at + batch] = _attend(tables, many[at : at + batch], bias, context, pad, bounded)[5]
+        z = np.take(direct, many[:, context:].ravel(), axis=0)
         z += a.reshape(-1, a.shape[-1]) @ m["B"]
         np.tanh(z, out=z)
-        y = targets[at * stride : (at + len(part)) * stride]
+        y = targets[start * stride : (start + len(many)) * stride]
         group, member = y // members, y % members
-        p = chosen(z @ m["W1"] + m["b1"], group)
+        logits = z @ m["W1"]
+        logits += m["b1"]
+        p = chosen(logits, group)
         order, _, _, logits = _by_group(z, group, m["W2"], m["b2"])
         p[order] += chosen(logits, member[order])
-        out[at * stride : (at + len(part)) * stride] = p
+        out[start * stride : (start + len(many)) * stride] = p
     return out
 
 
@@ -160,15 +167,17 @@ def gradients(m: dict, ids: np.ndarray, targets: np.ndarray, weight: np.ndarray,
     here = np.arange(len(y))
     x, af = np.take(m["E"], now[held], axis=0), flat(a)[held]
     z = np.tanh(x @ m["A"] + af @ m["B"] + m["c"])
-    one = _softmax(z @ m["W1"] + m["b1"])
+    one, low = z @ m["W1"] + m["b1"], _low(m)
+    one /= _exponentials(one, low)
     order, parts, zs, two = _by_group(z, group, m["W2"], m["b2"])
-    two, member = _softmax(two), member[order]
+    two /= _exponentials(two, low)
+    member = member[order]
     loss = -float((np.log(np.maximum(one[here, group], 1e-30)) * share[:, 0]).sum() + (np.log(np.maximum(two[here, member], 1e-30)) * share[order, 0]).sum())
     one[here, group] -= 1
     one *= share
     two[here, member] -= 1
     two *= share[order]
-    g = {"W1": z.T @ one, "b1": one.sum(axis=0), "W2": np.zeros_like(m["W2"]), "b2": np.zeros_like(m["b2"])}
+    g = {"W1": z.T @ one, "b1": np.ones(len(one), one.dtype) @ one, "W2": np.zeros_like(m["W2"]), "b2": np.zeros_like(m["b2"])}
     dzs = np.empty_like(zs)
     for group_id, i, j in parts:
         g["W2"][group_id], g["b2"][group_id] = zs[i:j].T @ two[i:j], two[i:j].sum(axis=0)
@@ -186,8 +195,10 @@ def gradients(m: dict, ids: np.ndarray, targets: np.ndarray, weight: np.ndarray,
     g["R"] = np.bincount(distance.ravel(), ds.sum(axis=0).ravel(), len(m["R"])).astype(m["R"].dtype)
     back = ds.transpose(0, 2, 1)
     to_all = _scatter(ids.ravel(), np.concatenate([flat(back @ q), flat(e.transpose(0, 2, 1) @ da)], axis=1), len(m["E"]))
-    to_now = _scatter(now, flat(ds @ k), len(m["E"])) * dtype(width**-0.5)
-    direct = _scatter(now[held], dh @ m["A"].T, len(m["E"]))
+    here = np.zeros((len(now), 2 * width), m["E"].dtype)
+    here[:, :width], here[held, width:] = flat(ds @ k), dh @ m["A"].T
+    here = _scatter(now, here, len(m["E"]))
+    to_now, direct = here[:, :width] * dtype(width**-0.5), here[:, width:]
     keys, values = to_all[:, :width], to_all[:, width:]
     g["Wq"], g["Wk"], g["Wv"] = m["E"].T @ to_now, m["E"].T @ keys, m["E"].T @ values
     g["E"] = to_now @ m["Wq"].T + keys @ m["Wk"].T + values @ m["Wv"].T + direct

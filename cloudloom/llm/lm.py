@@ -3,8 +3,8 @@
 P(text) is the product, over its words and one end, of
 
     P(s | the first subwords of the words before)     s: the word's first subword id; the stream model
-    x P(word | s)                                     a frequent word: its count among the words that begin with s
-                                                      another: the share of such words x the spelling model's
+    x P(word | s)                                     a word of the training rows: its share of the words that begin with s
+                                                      another: the mass of words never seen x the spelling model's
                                                       probability of the subwords that follow s, up to the word's end
 
 mixed with a copying head that attends to the word after the latest earlier occurrence of the word before; its weight
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import attention
-from .common import as_text, materialise, parts_of_batch, release_memory, split_words, stable_hash, text_bytes
+from .common import as_text, hash_words, materialise, parts_of_batch, release_memory, split_words, text_bytes
 
 END = b""  # no word is empty, so the end can share the words' table
 CONTEXT, STRIDE = 16, 32
@@ -45,29 +46,35 @@ def _tokenizer(path: str):
     return t
 
 
+@lru_cache(maxsize=2)
+def _begins(path: str) -> np.ndarray:
+    """Which subword ids begin with a space."""
+    vocabulary = _tokenizer(path).get_vocab()
+    out = np.zeros(max(vocabulary.values()) + 1, bool)
+    out[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
+    return out
+
+
 def spell(path: str, words: list[bytes]) -> list[list[int]]:
-    """The subword ids of each word, as it stands after a space. Byte-level: different words have different ids."""
-    tok, out = _tokenizer(path), []
+    """The subword ids of each word, as it stands after a space. Byte-level: different words have different ids, and only a word's
+    first id begins with a space."""
+    tok, begins, out = _tokenizer(path), _begins(path), []
     for at in range(0, len(words), 2000):
         part = [w.decode() for w in words[at : at + 2000]]
         if any(not w.isascii() and (w.split() != [w]) for w in part):  # white space beyond ASCII inside a word
             out += [tok.encode(" " + w, add_special_tokens=False).ids for w in part]
             continue
-        enc = tok.encode(" " + " ".join(part), add_special_tokens=False)
-        first = np.array(enc.offsets, dtype=np.int64).reshape(-1, 2)[:, 0]
-        starts = np.cumsum([0] + [len(w) + 1 for w in part])
-        cut, ids = np.searchsorted(first, starts).tolist(), enc.ids
+        ids = tok.encode(" " + " ".join(part), add_special_tokens=False).ids
+        cut = [*np.flatnonzero(begins[ids]).tolist(), len(ids)]
+        if len(cut) != len(part) + 1:
+            raise ValueError("the tokenizer is not byte-level: words can't be told apart")
         out += [ids[cut[k] : cut[k + 1]] for k in range(len(part))]
     return out
 
 
-def _signed(h: int) -> int:
-    return h - (1 << 64) if h >= 1 << 63 else h
-
-
 def count_words(train: DataFrame, path: str, vocabulary: int) -> DataFrame:
-    """Rows (kind, key, first, n, ids). kind 0: hash and first subword id of each distinct word, its count, and the ids of a word
-    seen once or twice; kind 1: a later subword id (key), and in how many distinct words it stands, in parts.
+    """Rows (kind, key, first, n, ids). kind 0: hash and first subword id of each distinct word, its count, and the ids of a rare
+    word; kind 1: a later subword id (key), and in how many distinct words it stands, in parts.
 
     Words are counted by parts of a task, then by Spark, and each is spelled once.
     """
@@ -93,7 +100,7 @@ def count_words(train: DataFrame, path: str, vocabulary: int) -> DataFrame:
                 later = np.bincount(np.array([i for s in spelled for i in s[1:]], np.int64), minlength=1)
                 seen = np.flatnonzero(later)
                 kind = np.repeat(np.array([0, 1], np.int32), [len(words), len(seen)])
-                keys = np.concatenate([hashes(words).view(np.int64), seen])
+                keys = np.concatenate([hash_words(words).view(np.int64), seen])
                 cols = [kind, keys, np.concatenate([np.array(first), np.zeros(len(seen))]).astype(np.int32), np.concatenate([n.to_numpy(), later[seen]]), pa.concat_arrays([rare, pa.nulls(len(seen), pa.binary())])]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["kind", "key", "first", "n", "ids"])
 
@@ -101,8 +108,8 @@ def count_words(train: DataFrame, path: str, vocabulary: int) -> DataFrame:
     return counted.mapInArrow(rows, "kind int, key bigint, first int, n bigint, ids binary")
 
 
-#: Words of so few occurrences are what the spelling model learns from: they are like the words that it has to spell.
-RARE = 2
+#: Words of at most so many occurrences meet their counts in a shuffle, at every size of the corpus; the spelling model learns from them.
+RARE = 1
 
 
 def folded_words(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
@@ -110,29 +117,22 @@ def folded_words(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     return split_words(pc.ascii_lower(as_text(texts)))
 
 
-def hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(stable_hash, words), np.uint64, len(words))
-
-
 class Lexicon:
     """What the executors need besides the networks; every part is bounded by the vocabulary or the word limit."""
 
     def __init__(self, words: pd.DataFrame, firsts: pd.DataFrame, later: pd.DataFrame, vocabulary: int):
         size = vocabulary + 2
-        total = np.zeros(size)
+        total, single = np.zeros(size), np.zeros(size)
         total[firsts["first"].to_numpy()] = firsts["n"].to_numpy()
-        known = np.zeros(size)
-        np.add.at(known, words["first"].to_numpy(), words["n"].to_numpy().astype(float))
-        single = np.zeros(size)  # words seen once stand for the mass of those never seen
-        np.add.at(single, words["first"].to_numpy(), (words["n"].to_numpy() == 1).astype(float))
-        other = np.maximum(total - known, 0) + single
-        self.escape = np.where(known > 0, (other + 0.5) / (total + 1), 1.0)
+        single[firsts["first"].to_numpy()] = firsts["single"].to_numpy()  # words seen once stand for the mass of those never seen
+        self.escape = np.where(total > 0, (single + 0.5) / (total + 1), 1.0)
         self.escape[vocabulary] = 0.0  # the end has no other words
+        self.share = np.log(np.maximum(1 - self.escape, 1e-12) / np.maximum(total, 1))  # of a word's every occurrence
         order = np.argsort(words["key"].to_numpy(np.int64).view(np.uint64))
         self.keys = words["key"].to_numpy(np.int64).view(np.uint64)[order]
         self.counts = words["n"].to_numpy(np.int64)[order]
         self.first = first = words["first"].to_numpy()[order].astype(np.int32)
-        self.within = np.log(np.maximum(1 - self.escape[first], 1e-12) * self.counts / np.maximum(known[first], 1))
+        self.within = self.share[first] + np.log(np.maximum(self.counts, 1))
         self.first_index, self.first_class, self.first_share, self.first_counts = self._classes(total + 1e-3, STREAM_INPUTS, STREAM_CLASSES, vocabulary)
         counts = np.zeros(size)
         counts[later["key"].to_numpy()] = later["n"].to_numpy()
@@ -181,44 +181,72 @@ def stream_windows(lex: Lexicon, firsts: np.ndarray, bounds: np.ndarray):
     return ids, target, weight, place, lex.first_share[nxt], lengths
 
 
+class Seen:
+    """First subword id and log P(word | first) of words by their hashes, in sorted runs whose sizes grow, 20 bytes a word; starts anew
+    beyond ``limit`` words."""
+
+    def __init__(self, limit: int = 3_000_000):
+        self.limit, self.runs = limit, []
+
+    def find(self, keys: np.ndarray):
+        """Which of the hashes are known, and their first ids and log probabilities."""
+        known, first, fixed = np.zeros(len(keys), bool), np.zeros(len(keys), np.int32), np.zeros(len(keys))
+        for own, f, x in self.runs:
+            at = np.minimum(np.searchsorted(own, keys), len(own) - 1)
+            hit = own[at] == keys
+            known |= hit
+            first[hit], fixed[hit] = f[at[hit]], x[at[hit]]
+        return known, first, fixed
+
+    def add(self, keys: np.ndarray, first: np.ndarray, fixed: np.ndarray) -> None:
+        run = keys, first, fixed
+        while True:
+            order = np.argsort(run[0], kind="stable")
+            run = tuple(c[order] for c in run)
+            if not self.runs or len(self.runs[-1][0]) > 2 * len(run[0]):
+                break
+            run = tuple(np.concatenate(c) for c in zip(self.runs.pop(), run))
+        if sum(len(r[0]) for r in self.runs) + len(run[0]) > self.limit:
+            self.runs.clear()
+        self.runs.append(run)
+
+
 class Words:
     """What is known of distinct words: of the frequent ones from the lexicon; the others are spelled, each once as long as it is
-    remembered (up to ``limit`` words)."""
+    remembered."""
 
-    def __init__(self, lex: Lexicon, path: str, spelling: dict | None = None, limit: int = 400_000):
-        self.lex, self.path, self.spelling, self.limit = lex, path, spelling, limit
-        self.seen: dict[bytes, tuple[int, float]] = {}
+    def __init__(self, lex: Lexicon, path: str, spelling: dict | None = None, seen: Seen | None = None):
+        self.lex, self.path, self.spelling, self.seen = lex, path, spelling, Seen() if seen is None else seen
 
     def look_up(self, words: list[bytes]):
         """Hashes of the words, their places in the lexicon (or -1), first subword ids, and log P(word | first)."""
-        keys = hashes(words)
+        keys = hash_words(words)
         at = self.lex.look_up(keys)
         known = at >= 0
         first, fixed = np.zeros(len(words), np.int32), np.zeros(len(words))
         if known.any():
             first[known], fixed[known] = self.lex.first[at[known]], self.lex.within[at[known]]
-        rare = np.flatnonzero(~known).tolist()
-        new = [words[k] for k in rare if words[k] not in self.seen]
-        if len(self.seen) + len(new) > self.limit:
-            self.seen.clear()
-            new = [words[k] for k in rare]
-        self._learn(new)
-        for k in rare:
-            first[k], fixed[k] = self.seen[words[k]]
+        rare = np.flatnonzero(~known)
+        if len(rare):
+            found, first[rare], fixed[rare] = self.seen.find(keys[rare])
+            new = rare[~found]
+            if len(new):
+                first[new], fixed[new] = self._spelled([words[k] for k in new.tolist()])
+                self.seen.add(keys[new], first[new], fixed[new])
         return keys, at, first, fixed
 
-    def _learn(self, new: list[bytes]) -> None:
+    def _spelled(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        first, fixed = np.zeros(len(new), np.int32), np.zeros(len(new))
         for at in range(0, len(new), 8000):
-            part = new[at : at + 8000]
-            spelled = spell(self.path, part)
-            first = [s[0] for s in spelled]
-            fixed = np.zeros(len(part))
+            part = slice(at, at + 8000)
+            spelled = spell(self.path, new[part])
+            first[part] = [s[0] for s in spelled]
             if self.spelling is not None:
-                lengths = np.array([len(s) for s in spelled], np.int64)
-                ids, target, _, place, share = spelling_windows(self.lex, np.array([i for s in spelled for i in s], np.int64), lengths)
-                p = attention.log_probabilities(self.spelling, ids, target, SPELL_CONTEXT)[place] + share
-                fixed = np.log(np.maximum(self.lex.escape[first], 1e-12)) + np.add.reduceat(p, np.cumsum(lengths) - lengths)
-            self.seen.update(zip(part, zip(first, fixed.tolist())))
+                lengths = np.fromiter(map(len, spelled), np.int64, len(spelled))
+                ids, target, _, place, share = spelling_windows(self.lex, np.fromiter(chain.from_iterable(spelled), np.int64, int(lengths.sum())), lengths)
+                p = attention.log_probabilities(self.spelling, ids, target, SPELL_CONTEXT, 128)[place] + share
+                fixed[part] = np.log(np.maximum(self.lex.escape[first[part]], 1e-12)) + np.add.reduceat(p, np.cumsum(lengths) - lengths)
+        return first, fixed
 
 
 class Scorer:
@@ -229,8 +257,9 @@ class Scorer:
         self.words = Words(self.lex, model["path"], model["spelling"])
 
     def score(self, texts: pa.Array):
-        """log10 probability of each document, and what its base score is made of: tokens without the end, known ones among
-        the frequent words, the sum of their log10 (count + 1), and hashes and times of the other words, with bounds."""
+        """log10 probability of each document, were all words outside the lexicon never seen; tokens without the end; known ones among
+        the lexicon's words and the sum of their log10 (count + 1); and of the other words, with bounds: hashes, times, how often
+        the copying head didn't name them, and what log P gains there if the word was seen, but for the log of its count."""
         places, words, bounds = folded_words(texts)
         keys, at, first, fixed = self.words.look_up(words)
         n = len(texts)
@@ -247,10 +276,13 @@ class Scorer:
         count = np.where(at >= 0, self.lex.counts[at] if len(self.lex.counts) else 0, -1)[places] if len(words) else np.zeros(0, np.int64)
         known = count >= 0
         logs = np.bincount(doc[known], np.log10(count[known] + 1.0), n).astype(float)
-        pairs, times = np.unique(doc[~known] * np.int64(max(1, len(words))) + places[~known], return_counts=True)
-        owner, which = np.divmod(pairs, max(1, len(words)))
+        wide = max(1, len(words))
+        pairs, back, times = np.unique(doc[~known] * np.int64(wide) + places[~known], return_inverse=True, return_counts=True)
+        free = np.bincount(back, ~hit[seq >= 0][~known], len(pairs)).astype(np.int64)
+        owner, which = np.divmod(pairs, wide)
+        gain = (self.lex.share[first] - fixed)[which] if len(words) else np.zeros(0)
         cut = np.searchsorted(owner, np.arange(n + 1))
-        return score, lengths - 1, np.bincount(doc[known], minlength=n), logs, keys[which].view(np.int64) if len(words) else np.zeros(0, np.int64), times, cut
+        return score, lengths - 1, np.bincount(doc[known], minlength=n), logs, keys[which].view(np.int64) if len(words) else np.zeros(0, np.int64), times, free, gain, cut
 
 
 def copying(seq: np.ndarray, doc: np.ndarray, span: int = 16) -> tuple[np.ndarray, np.ndarray]:
@@ -294,6 +326,9 @@ def _unpack(raw: bytes, like: dict) -> dict:
     return out
 
 
+_seen: dict[str, Seen] = {}  # first subword ids that this worker has met, kept from task to task
+
+
 def _average(batches):
     """Parameters averaged by the number of positions behind them."""
     total, sums = 0.0, 0.0
@@ -312,8 +347,9 @@ def _train_round(rows: DataFrame, model: dict, name: str, tasks: int, epochs: in
 
     def run(batches):
         m = sent.value
-        lex, words = m["lexicon"], Words(m["lexicon"], m["path"])
-        trainer = attention.Trainer(m[name], CONTEXT if name == "stream" else SPELL_CONTEXT, rate, 64 if name == "stream" else 256)
+        lex = m["lexicon"]
+        words = Words(lex, m["path"], seen=_seen.setdefault(m["path"], Seen()))
+        trainer = attention.Trainer(m[name], CONTEXT if name == "stream" else SPELL_CONTEXT, rate, 128 if name == "stream" else 256)
         done = 0
 
         def learn(column: pa.Array) -> int:
@@ -353,13 +389,13 @@ def _train_round(rows: DataFrame, model: dict, name: str, tasks: int, epochs: in
 
 
 #: Positions (words and ends) of the common start, about; of a task of the round over all; bytes of a part.
-START, TASK, PART = 500_000, 2_000_000, 400_000
+START, TASK, PART = 500_000, 2_000_000, 2_000_000
 
 
 def fit(train: DataFrame, path: str, words: int = 1 << 20) -> tuple[dict, DataFrame, int, int]:
     """The model, the exact counts of all training words (key, n), and the number of tokens and of distinct tokens.
 
-    The stream model learns from every training row, the spelling model from every distinct word seen once or twice. For each,
+    The stream model learns from every training row, the spelling model from every distinct word seen once. For each,
     one task first makes the parameters that all tasks start from, of about START positions; then all rows, these too, are
     dealt by a hash of the row, so that copies of a text are learned from as often as they stand there and lie in many tasks.
     """
@@ -367,8 +403,8 @@ def fit(train: DataFrame, path: str, words: int = 1 << 20) -> tuple[dict, DataFr
     tallies = materialise(count_words(train, path, vocabulary))
     counts = tallies.where("kind = 0").select("key", "first", "n")
     n_tokens, distinct, rare = tallies.where("kind = 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count("ids")).first()
-    top = counts.where(F.col("first") < vocabulary).orderBy(F.desc("n"), "key").limit(words).toArrow().to_pandas()  # at most ``words`` rows
-    firsts = counts.groupBy("first").agg(F.sum("n").alias("n")).toArrow().to_pandas()  # at most the tokenizer's vocabulary
+    top = counts.where((F.col("first") < vocabulary) & (F.col("n") > RARE)).orderBy(F.desc("n"), "key").limit(words).toArrow().to_pandas()  # at most ``words`` rows
+    firsts = counts.groupBy("first").agg(F.sum("n").alias("n"), F.count_if(F.col("n") == 1).alias("single")).toArrow().to_pandas()  # at most the tokenizer's vocabulary
     later = tallies.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     lex = Lexicon(top, firsts, later, vocabulary)
     model = {
@@ -404,24 +440,27 @@ def score(docs: DataFrame, train: DataFrame, path: str, words: int = 1 << 20) ->
         scorer = _scorers[id(sent)]
         for b in batches:
             for part in parts_of_batch(b, 2, PART):
-                score, n, known, logs, keys, times, cut = scorer.score(part.column(2))
-                listed = lambda values: pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(values, pa.int64()))  # noqa: B023, E731
-                cols = [part.column(0), part.column(1), pa.array(n + 1, pa.int64()), pa.array(known, pa.int64()), pa.array(logs), listed(keys), listed(times), pa.array(score)]
+                score, n, known, logs, keys, times, free, gain, cut = scorer.score(part.column(2))
+                others = pa.StructArray.from_arrays([pa.array(keys), pa.array(times), pa.array(free), pa.array(gain, pa.float64())], ["key", "times", "free", "gain"])
+                others = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), others)
+                cols = [part.column(0), part.column(1), pa.array(n + 1, pa.int64()), pa.array(known, pa.int64()), pa.array(logs), others, pa.array(score)]
                 yield pa.RecordBatch.from_arrays(cols, _SCORED)
         release_memory()
 
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), text_bytes())
-    scored = materialise(source.mapInArrow(run, "row bigint, doc_id bigint, n_tokens bigint, known bigint, logs double, keys array<bigint>, times array<bigint>, score double"))
-    # rare words meet their exact counts in a shuffle; the frequent ones and the end are already in
-    rare = scored.select("row", F.explode(F.arrays_zip("keys", "times")).alias("w")).select("row", F.col("w.keys").alias("key"), F.col("w.times").alias("times"))
-    met = rare.join(counts, "key").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_logs"))
-    ends = int(counts.where(F.col("key") == _signed(stable_hash(END))).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    scored = materialise(source.mapInArrow(run, "row bigint, doc_id bigint, n_tokens bigint, known bigint, logs double, others array<struct<key:bigint,times:bigint,free:bigint,gain:double>>, score double"))
+    # rare words meet their exact counts in a shuffle, for both scores; the frequent ones and the end are already in
+    rare = scored.select("row", F.explode("others").alias("w")).select("row", "w.*")
+    met = rare.join(counts, "key").groupBy("row").agg(
+        F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_logs"), F.sum(F.col("free") * (F.col("gain") + F.ln("n")) / math.log(10)).alias("more_score")
+    )
+    ends = int(counts.where(F.col("key") == int(hash_words([END]).view(np.int64)[0])).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     per_token = math.log10(total + distinct + 1)
     logs = F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) + math.log10(ends + 1)
-    return scored.drop("keys", "times").join(met, "row", "left").select(
+    return scored.drop("others").join(met, "row", "left").select(
         "doc_id", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0)) + int(ends > 0)).alias("n_known"), F.lit(total).cast("bigint").alias("train_tokens"),
-        (logs - F.col("n_tokens") * per_token).alias("base_score"), "score",
+        (logs - F.col("n_tokens") * per_token).alias("base_score"), (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
     )
 
 
-_SCORED = ["row", "doc_id", "n_tokens", "known", "logs", "keys", "times", "score"]
+_SCORED = ["row", "doc_id", "n_tokens", "known", "logs", "others", "score"]

@@ -12,8 +12,8 @@ def lexicon(firsts: int) -> lm.Lexicon:
     """Words 0.. of as many first subwords, the more frequent the smaller."""
     at = np.arange(firsts)
     words = pd.DataFrame({"key": at + 1, "first": at, "n": 1000 - at})
-    ends = pd.DataFrame({"first": [firsts], "n": [50]})
-    return lm.Lexicon(words, pd.concat([words[["first", "n"]], ends]), pd.DataFrame({"key": at, "n": 1}), firsts)
+    ends = pd.DataFrame({"first": [firsts], "n": [50], "single": [0]})
+    return lm.Lexicon(words, pd.concat([words[["first", "n"]].assign(single=0), ends]), pd.DataFrame({"key": at, "n": 1}), firsts)
 
 
 def test_op7_frequent_first_subwords_have_classes_of_their_own():
@@ -31,7 +31,7 @@ def test_op7_long_words_cost_all_their_subwords():
     lex.vocabulary = lm._tokenizer(path).get_vocab_size()
     size = lex.vocabulary + 2
     wide = {k: np.zeros(size, np.int64) for k in ("first_index", "first_class", "later_index", "later_class")}
-    wide |= {k: np.full(size, -1.0) for k in ("first_share", "later_share", "escape")}
+    wide |= {k: np.full(size, -1.0) for k in ("first_share", "later_share", "escape", "share")}
     wide["escape"] = np.full(size, 0.5)
     lex.__dict__.update(wide)
     scorer = lm.Scorer({
