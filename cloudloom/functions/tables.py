@@ -22,4 +22,13 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back; cuts the lineage."""
     path = new_folder(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what materialise wrote for df, once nothing is read from it any more."""
+    spark, path = df.sparkSession, df._written
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cloudloom.functions.tables import materialise
+from cloudloom.functions.tables import discard, materialise
 from cloudloom.operators.neighbors import radius_edges
 
 AXES = ["x", "y", "z"]
@@ -21,7 +21,7 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 40) -> Data
     Each round takes the least root among the neighbours and then jumps to that root's root, so the number of rounds
     grows with the logarithm of a component's length. Rounds are written to the shared folder.
     """
-    state = materialise(nodes.select("cloud_id", "point_id", F.col("point_id").alias("root")))
+    written = state = materialise(nodes.select("cloud_id", "point_id", F.col("point_id").alias("root")))
     edges = materialise(edges.select("cloud_id", "src", "dst").where("src <> dst"))
     for _ in range(max_rounds):
         near = edges.join(state.withColumnRenamed("point_id", "dst"), ["cloud_id", "dst"]).groupBy("cloud_id", F.col("src").alias("point_id")).agg(F.min("root").alias("_near"))
@@ -32,7 +32,8 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 40) -> Data
         jump = moved.select("cloud_id", F.col("point_id").alias("root"), F.col("root").alias("_next"))
         new = materialise(moved.join(jump, ["cloud_id", "root"], "left").select("cloud_id", "point_id", "_old", F.least("root", F.coalesce("_next", "root")).alias("root")))
         changed = not new.where("_old <> root").isEmpty()
-        state = new.drop("_old")
+        discard(written)
+        written, state = new, new.drop("_old")
         if not changed:
             return state
     raise RuntimeError(f"components: not settled after {max_rounds} rounds")
@@ -257,25 +258,26 @@ def average_precision(guesses: DataFrame, truth: DataFrame, overlaps: DataFrame,
     at = pairs.select("*", thr)
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken, rows = set(), []
-        for _, own in pdf.sort_values(["gt", "inst"]).groupby("gt", sort=True):
-            best = None
-            for inst, score in zip(own["inst"], own["score"]):
-                if inst in taken:
+        pdf = pdf.sort_values(["class", "gt", "inst"])
+        close = list(zip(pdf["class"].tolist(), pdf["gt"].tolist(), pdf["inst"].tolist(), pdf["score"].tolist(), pdf["iou"].tolist()))
+        rows = []
+        for t in thresholds:
+            taken, best = set(), {}
+            for kind, truth_id, inst, score, iou in close:
+                if iou <= t or (kind, inst) in taken:
                     continue
-                if best is None:
-                    best = score
-                    taken.add(inst)
+                if (kind, truth_id) in best:
+                    rows.append((t, kind, 0, min(best[kind, truth_id], score)))
+                    best[kind, truth_id] = max(best[kind, truth_id], score)
                 else:
-                    rows.append((0, min(best, score)))
-                    best = max(best, score)
-            if best is not None:
-                rows.append((1, best))
-        out = pd.DataFrame(rows, columns=["hit", "score"])
-        return out.assign(threshold=pdf["threshold"].iloc[0], **{"class": pdf["class"].iloc[0]})[["threshold", "class", "hit", "score"]]
-
-    # a group is the close pairs of one class of one cloud: a guess overlaps few truths by more than the least threshold
-    matched = at.where(big & hit).select("cloud_id", "class", "threshold", "gt", "inst", "score").groupBy("cloud_id", "class", "threshold").applyInPandas(greedy, "threshold double, class int, hit int, score double")
+                    best[kind, truth_id] = score
+                    taken.add((kind, inst))
+            rows += [(t, kind, 1, score) for (kind, _), score in best.items()]
+        return pd.DataFrame(rows, columns=["threshold", "class", "hit", "score"])
+
+    # a group is the close pairs of a cloud: a guess overlaps few truths by more than the least threshold
+    near = pairs.where(big & (F.col("iou") > min(thresholds))).select("cloud_id", "class", "gt", "inst", "score", "iou")
+    matched = near.groupBy("cloud_id").applyInPandas(greedy, "threshold double, class int, hit int, score double")
     excused = at.groupBy("cloud_id", "inst", "threshold").agg(F.max(hit.cast("int")).alias("_hit"), F.sum(F.when(~big, F.col("inter")).otherwise(0)).alias("_small"))
     false = guesses.select("*", thr).join(excused, ["cloud_id", "inst", "threshold"], "left").na.fill(0, ["_hit", "_small"])
     false = false.where((F.col("_hit") == 0) & ((F.col("void") + F.col("_small")) / F.col("size") <= F.col("threshold")))

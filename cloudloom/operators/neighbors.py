@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Points of a cloud up to which a task may hold all its distances (blocks of 512 rows, so at most 12 MB at once).
+#: Points of a cloud up to which a task may hold all its distances (blocks of 128 rows, so a few MB at once).
 SMALL = 3_000
 AXES = ("x", "y", "z")
 EDGES = "cloud_id bigint, src bigint, dst bigint, d2 double, rank int"
@@ -72,6 +72,14 @@ def random_ball_query(queries: DataFrame, points: DataFrame, samples: int, radiu
 def nearest_rows(d2: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The places of the k least values of each row, in order, ties to the smaller place, and the values."""
     k = min(k, d2.shape[1])
+    if k <= 16:  # the first of equal least values is the one of the smaller place
+        rows, d2 = np.arange(len(d2)), d2.copy()
+        order, value = np.empty((len(d2), k), np.int64), np.empty((len(d2), k))
+        for n in range(k):
+            order[:, n] = d2.argmin(axis=1)
+            value[:, n] = d2[rows, order[:, n]]
+            d2[rows, order[:, n]] = np.inf
+        return order, value
     if k == d2.shape[1]:
         order = np.argsort(d2, axis=1, kind="stable")
         return order, np.take_along_axis(d2, order, axis=1)
@@ -93,10 +101,13 @@ def _knn_numpy(k: int):
             return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32())], names)
         a, b = ([t[prefix + c].to_numpy() for c in AXES] for t, prefix in ((q, "q_"), (p, "")))
         ids, n, out = p["point_id"].to_numpy(), min(k, len(p)), []
-        for at in range(0, len(q), 512):
-            d2 = np.zeros((min(512, len(q) - at), len(p)))
+        for at in range(0, len(q), 128):  # a block stays in a core's cache
+            d2 = np.zeros((min(128, len(q) - at), len(p)))
+            one = np.empty_like(d2)
             for x, y in zip(a, b):
-                d2 += (x[at : at + 512, None] - y[None, :]) ** 2
+                np.subtract(x[at : at + 128, None], y[None, :], out=one)
+                one *= one
+                d2 += one
             out.append(nearest_rows(d2, n))
         order, d2 = np.vstack([o for o, _ in out]), np.vstack([d for _, d in out])
         cloud = np.full(order.size, q["q_cloud_id"][0].as_py(), np.int64)
@@ -140,7 +151,7 @@ def knn_grid(queries: DataFrame, points: DataFrame, k: int, cell: float, rounds:
     """J1 for large clouds: search 27 cells; a query whose kth neighbour is no farther than the searched block reaches is
     proven, the rest search cells of twice the size, until the block covers the query's own cloud. Raises if queries
     are left after so many rounds."""
-    from cloudloom.functions.tables import materialise
+    from cloudloom.functions.tables import discard, materialise
 
     placed = " and ".join(f"{a} is not null" for a in AXES)  # a row without a place has no distances
     points, queries = points.where(placed), queries.where(placed)
@@ -156,7 +167,9 @@ def knn_grid(queries: DataFrame, points: DataFrame, k: int, cell: float, rounds:
         proven = proof.where(done).select("cloud_id", "src")
         part = edges.join(proven, ["cloud_id", "src"], "left_semi")
         found = part if found is None else found.unionByName(part)
-        left = materialise(left.join(proven.withColumnRenamed("src", "point_id"), ["cloud_id", "point_id"], "left_anti"))
+        asked, left = left, materialise(left.join(proven.withColumnRenamed("src", "point_id"), ["cloud_id", "point_id"], "left_anti"))
+        if hasattr(asked, "_written"):
+            discard(asked)
         if left.isEmpty():
             return found
         size *= 2

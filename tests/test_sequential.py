@@ -84,7 +84,7 @@ def test_feature_knn_in_small_blocks(spark):
 
 def test_nearest_rows_with_ties():
     rng = np.random.default_rng(2)
-    for n, k in ((1, 1), (7, 3), (40, 4), (5, 9)):
+    for n, k in ((1, 1), (7, 3), (40, 4), (5, 9), (60, 20), (18, 18)):
         d2 = rng.integers(0, 5, (30, n)).astype(float)
         order, value = neighbors.nearest_rows(d2, k)
         want = np.argsort(d2, axis=1, kind="stable")[:, :k]
