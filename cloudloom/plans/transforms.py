@@ -334,10 +334,10 @@ def _(spark, d):
 @query("s4_text_points", "SELECT cloud_id::varchar AS room, rib AS instance, x, y, z FROM pts")
 def _(spark, d):
     path = new_folder(spark)
-    lines = points(spark, d).selectExpr("cloud_id", "rib", "concat_ws(' ', x, y, z) value")
-    lines.write.partitionBy("cloud_id", "rib").text(path)
-    rows = spark.read.schema("x double, y double, z double, cloud_id bigint, rib int").option("sep", " ").csv(path)
-    return rows.select(F.col("cloud_id").cast("string").alias("room"), F.col("rib").alias("instance"), "x", "y", "z")
+    lines = points(spark, d).selectExpr("rib", "concat_ws(' ', cloud_id, x, y, z) value")
+    lines.repartition("rib").write.partitionBy("rib").text(path)
+    rows = spark.read.schema("room string, x double, y double, z double, rib int").option("sep", " ").csv(path)
+    return rows.select("room", F.col("rib").alias("instance"), "x", "y", "z")
 
 
 @query("s5_mesh_tables", f"WITH {FACES} SELECT f.cloud_id, face_id, v0, v1, v2 FROM f JOIN pts a ON a.cloud_id = f.cloud_id AND a.point_id = v0 AND a.rib < 24 JOIN pts b ON b.cloud_id = f.cloud_id AND b.point_id = v1 AND b.rib < 24 JOIN pts c ON c.cloud_id = f.cloud_id AND c.point_id = v2 AND c.rib < 24")
