@@ -159,49 +159,55 @@ def gradients(m: dict, ids: np.ndarray, targets: np.ndarray, weight: np.ndarray,
     tables = _tables(m)
     q, k, v, e, sums, a = _attend(tables, ids, np.where(ok, m["R"][distance], dtype(-1e9)), context, pad, _bounded(m, tables))
     flat = lambda t: t.reshape(-1, t.shape[-1])
-    held = np.flatnonzero(weight)  # places without weight have no loss
-    y, now = targets[held], ids[:, context:].ravel()
-    group, member = y // members, y % members
-    total = max(1.0, float(weight.sum()))
-    share = (weight[held] / total)[:, None].astype(m["E"].dtype)
-    here = np.arange(len(y))
-    x, af = np.take(m["E"], now[held], axis=0), flat(a)[held]
-    z = np.tanh(x @ m["A"] + af @ m["B"] + m["c"])
-    one, low = z @ m["W1"] + m["b1"], _low(m)
+    now = ids[:, context:].ravel()
+    group, member = np.divmod(targets, members)
+    share = (weight / max(1.0, float(weight.sum())))[:, None].astype(m["E"].dtype)  # places without weight add nothing
+    here = np.arange(len(targets))
+    x, af, low = np.take(m["E"], now, axis=0), flat(a), _low(m)
+    z = x @ m["A"]
+    z += af @ m["B"]
+    z += m["c"]
+    np.tanh(z, out=z)
+    one = z @ m["W1"]
+    one += m["b1"]
     one /= _exponentials(one, low)
     order, parts, zs, two = _by_group(z, group, m["W2"], m["b2"])
     two /= _exponentials(two, low)
-    member = member[order]
-    loss = -float((np.log(np.maximum(one[here, group], 1e-30)) * share[:, 0]).sum() + (np.log(np.maximum(two[here, member], 1e-30)) * share[order, 0]).sum())
+    member, sorted_share = member[order], share[order]
+    loss = -float((np.log(np.maximum(one[here, group], 1e-30)) * share[:, 0]).sum() + (np.log(np.maximum(two[here, member], 1e-30)) * sorted_share[:, 0]).sum())
     one[here, group] -= 1
     one *= share
     two[here, member] -= 1
-    two *= share[order]
+    two *= sorted_share
     g = {"W1": z.T @ one, "b1": np.ones(len(one), one.dtype) @ one, "W2": np.zeros_like(m["W2"]), "b2": np.zeros_like(m["b2"])}
     dzs = np.empty_like(zs)
-    for group_id, i, j in parts:
-        g["W2"][group_id], g["b2"][group_id] = zs[i:j].T @ two[i:j], two[i:j].sum(axis=0)
-        np.matmul(two[i:j], m["W2"][group_id].T, out=dzs[i:j])
-    dz = one @ m["W1"].T
-    dz[order] += dzs
-    dh = dz * (1 - z * z)
-    g["A"], g["B"], g["c"] = x.T @ dh, af.T @ dh, dh.sum(axis=0)
-    da = np.zeros_like(a)
-    flat(da)[held] = dh @ m["B"].T
+    for k_, i, j in parts:
+        g["W2"][k_], g["b2"][k_] = zs[i:j].T @ two[i:j], two[i:j].sum(axis=0)
+        np.matmul(two[i:j], m["W2"][k_].T, out=dzs[i:j])
+    dh = one @ m["W1"].T
+    dh[order] += dzs
+    z *= z
+    np.subtract(1, z, out=z)
+    dh *= z
+    g["A"], g["B"], g["c"] = x.T @ dh, af.T @ dh, np.ones(len(dh), dh.dtype) @ dh
+    da = (dh @ m["B"].T).reshape(a.shape)
     da /= sums
     ds = da @ v.transpose(0, 2, 1)
     ds -= (da * a).sum(axis=2, keepdims=True)  # the mean of a row's gradient under its weights
     ds *= e
     g["R"] = np.bincount(distance.ravel(), ds.sum(axis=0).ravel(), len(m["R"])).astype(m["R"].dtype)
-    back = ds.transpose(0, 2, 1)
-    to_all = _scatter(ids.ravel(), np.concatenate([flat(back @ q), flat(e.transpose(0, 2, 1) @ da)], axis=1), len(m["E"]))
-    here = np.zeros((len(now), 2 * width), m["E"].dtype)
-    here[:, :width], here[held, width:] = flat(ds @ k), dh @ m["A"].T
-    here = _scatter(now, here, len(m["E"]))
-    to_now, direct = here[:, :width] * dtype(width**-0.5), here[:, width:]
+    to_all = np.empty((*ids.shape, 2 * width), m["E"].dtype)
+    np.matmul(ds.transpose(0, 2, 1), q, out=to_all[:, :, :width])
+    np.matmul(e.transpose(0, 2, 1), da, out=to_all[:, :, width:])
+    to_all = _scatter(ids.ravel(), flat(to_all), len(m["E"]))
+    to_now = np.empty((*a.shape[:2], 2 * width), m["E"].dtype)
+    np.matmul(ds, k, out=to_now[:, :, :width])
+    np.matmul(dh, m["A"].T, out=flat(to_now)[:, width:])
+    to_now = _scatter(now, flat(to_now), len(m["E"]))
+    queries, direct = to_now[:, :width] * dtype(width**-0.5), to_now[:, width:]
     keys, values = to_all[:, :width], to_all[:, width:]
-    g["Wq"], g["Wk"], g["Wv"] = m["E"].T @ to_now, m["E"].T @ keys, m["E"].T @ values
-    g["E"] = to_now @ m["Wq"].T + keys @ m["Wk"].T + values @ m["Wv"].T + direct
+    g["Wq"], g["Wk"], g["Wv"] = m["E"].T @ queries, m["E"].T @ keys, m["E"].T @ values
+    g["E"] = queries @ m["Wq"].T + keys @ m["Wk"].T + values @ m["Wv"].T + direct
     g["E"][-1] = 0
     return loss, g
 
