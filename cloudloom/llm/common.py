@@ -48,6 +48,21 @@ def discard(df: DataFrame) -> None:
     where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
+class Scratch:
+    """Tables written on the way to a result, deleted together once the result is written."""
+
+    def __init__(self):
+        self.held: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.held.append(materialise(df))
+        return self.held[-1]
+
+    def clear(self) -> None:
+        while self.held:
+            discard(self.held.pop())
+
+
 def text_bytes(name: str = "text"):
     """UTF-8 bytes of a text column, null as empty."""
     return F.coalesce(F.col(name), F.lit("")).cast("binary").alias(name)

@@ -45,4 +45,29 @@ WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0
 SELECT s.doc_id, len(sh)::bigint AS n_shingles, m.c AS component_id FROM s JOIN (SELECT doc, min(c) AS c FROM r GROUP BY 1) m ON m.doc = s.doc_id
 """
 
-ORACLE_SQL = {"op1_chat_formatting": OP1, "op5_benchmark_decontamination": OP5, "op8_topk_search": OP8, "op10_ngram_jaccard_join": OP10}
+_F = lambda c: f"coalesce(strlen({c}::varchar)::varchar || ':' || {c}::varchar, '-')"
+_ROW = lambda n: " || ".join(_F(c) for c in ("doc_id", "source", "lang", n, "text"))
+OP13 = rf"""
+WITH RECURSIVE x AS (SELECT *, doc_id::varchar AS s FROM documents),
+  crc AS (SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, length(s) + 1), lambda k: ascii(s[k])::bigint)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda y, z: xor(y >> 1, 3988292384 * (y & 1))))) AS crc FROM x),
+  leaf AS (SELECT doc_id, coalesce('=' || lang, '-') AS t, sha256({_ROW("n_chars")}) AS h,
+    CASE WHEN crc % 7 = 0 AND n_chars IS NOT NULL THEN sha256({_ROW("(n_chars + 1)")}) END AS bad FROM crc),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY t) AS m FROM leaf),
+  n AS (SELECT t, 0 AS lev, i, m, h FROM placed
+    UNION ALL SELECT t, lev + 1, i // 2, (m + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM n WHERE m > 1 GROUP BY t, lev, i // 2, m),
+  sub AS (SELECT t, h, row_number() OVER (ORDER BY t) - 1 AS i, count(*) OVER () AS m FROM n WHERE m = 1),
+  u AS (SELECT 0 AS lev, i, m, h FROM sub
+    UNION ALL SELECT lev + 1, i // 2, (m + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM u WHERE m > 1 GROUP BY lev, i // 2, m),
+  c AS (SELECT doc_id, h AS leaf, t, 0 AS lev, i, m, coalesce(bad, h) AS f, '' AS p FROM placed
+    UNION ALL SELECT c.doc_id, c.leaf, c.t, c.lev + 1, c.i // 2, (c.m + 1) // 2,
+      sha256(CASE WHEN c.i % 2 = 1 THEN s.h || c.f ELSE c.f || coalesce(s.h, '') END), c.p || coalesce(s.h, '')
+    FROM c LEFT JOIN n s ON s.t = c.t AND s.lev = c.lev AND s.i = xor(c.i, 1) WHERE c.m > 1),
+  d AS (SELECT c.doc_id, c.leaf, sub.h AS subroot, 0 AS lev, sub.i, sub.m, c.f, c.p FROM c JOIN sub ON sub.t = c.t WHERE c.m = 1
+    UNION ALL SELECT d.doc_id, d.leaf, d.subroot, d.lev + 1, d.i // 2, (d.m + 1) // 2,
+      sha256(CASE WHEN d.i % 2 = 1 THEN s.h || d.f ELSE d.f || coalesce(s.h, '') END), d.p || coalesce(s.h, '')
+    FROM d LEFT JOIN u s ON s.lev = d.lev AND s.i = xor(d.i, 1) WHERE d.m > 1)
+SELECT doc_id, leaf, subroot, r.h AS root, sha256(p) AS proof_sha256, f AS folded_root, f = r.h AS verified FROM d, (SELECT h FROM u WHERE m = 1) r WHERE d.m = 1
+"""
+
+ORACLE_SQL = {"op1_chat_formatting": OP1, "op5_benchmark_decontamination": OP5, "op8_topk_search": OP8, "op10_ngram_jaccard_join": OP10, "op13_merkle_manifest": OP13}
