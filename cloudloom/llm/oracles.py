@@ -45,6 +45,18 @@ WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0
 SELECT s.doc_id, len(sh)::bigint AS n_shingles, m.c AS component_id FROM s JOIN (SELECT doc, min(c) AS c FROM r GROUP BY 1) m ON m.doc = s.doc_id
 """
 
+OP12 = rf"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL), n AS (SELECT doc_id, len(w) AS n FROM d WHERE len(w) > 0),
+  al AS (SELECT count(*) AS nn, sum(n)::bigint AS ll FROM n),
+  q AS (SELECT DISTINCT item_id, unnest({_WORDS}) AS t FROM benchmark WHERE text IS NOT NULL),
+  tf AS (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS t FROM d) GROUP BY 1, 2),
+  w AS (SELECT t, floor(1000 * ln((2 * nn + 2)::double / (2 * count(*) + 1)::double))::bigint AS w FROM tf, al GROUP BY t, nn),
+  p AS (SELECT tf.doc_id, tf.t, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nn) // ll))) AS s FROM tf JOIN w USING (t) JOIN n USING (doc_id), al),
+  s AS (SELECT item_id, doc_id, sum(s)::bigint AS score FROM q JOIN p USING (t) GROUP BY 1, 2 HAVING sum(s) > 0),
+  r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s)
+SELECT item_id, rank::int AS rank, doc_id, score FROM r WHERE rank <= 50
+"""
+
 _F = lambda c: f"coalesce(strlen({c}::varchar)::varchar || ':' || {c}::varchar, '-')"
 _ROW = lambda n: " || ".join(_F(c) for c in ("doc_id", "source", "lang", n, "text"))
 OP13 = rf"""
@@ -70,4 +82,4 @@ WITH RECURSIVE x AS (SELECT *, doc_id::varchar AS s FROM documents),
 SELECT doc_id, leaf, subroot, r.h AS root, sha256(p) AS proof_sha256, f AS folded_root, f = r.h AS verified FROM d, (SELECT h FROM u WHERE m = 1) r WHERE d.m = 1
 """
 
-ORACLE_SQL = {"op1_chat_formatting": OP1, "op5_benchmark_decontamination": OP5, "op8_topk_search": OP8, "op10_ngram_jaccard_join": OP10, "op13_merkle_manifest": OP13}
+ORACLE_SQL = {"op1_chat_formatting": OP1, "op5_benchmark_decontamination": OP5, "op8_topk_search": OP8, "op10_ngram_jaccard_join": OP10, "op12_ranked_search": OP12, "op13_merkle_manifest": OP13}
