@@ -45,6 +45,19 @@ WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0
 SELECT s.doc_id, len(sh)::bigint AS n_shingles, m.c AS component_id FROM s JOIN (SELECT doc, min(c) AS c FROM r GROUP BY 1) m ON m.doc = s.doc_id
 """
 
+OP11 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+  s AS (SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS sh FROM d),
+  e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s), c AS (SELECT x, count(*) AS c FROM e GROUP BY 1),
+  o AS (SELECT doc_id, n, x, row_number() OVER (PARTITION BY doc_id ORDER BY c, x) AS k FROM e JOIN c USING (x)),
+  p AS (SELECT * FROM o WHERE k <= n - (80 * n + 99) // 100 + 1),
+  q AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM p a JOIN p b ON a.x = b.x AND a.doc_id < b.doc_id AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n),
+  v AS (SELECT q.a, q.b FROM q JOIN e x ON x.doc_id = q.a JOIN e y ON y.doc_id = q.b AND y.x = x.x GROUP BY 1, 2 HAVING 100 * count(*) >= 80 * (any_value(x.n) + any_value(y.n) - count(*))),
+  l AS (SELECT a, b FROM v UNION ALL SELECT b, a FROM v),
+  r AS (SELECT doc_id AS doc, doc_id AS c FROM d UNION SELECT r.doc, l.b FROM r JOIN l ON r.c = l.a)
+SELECT s.doc_id, len(sh)::bigint AS n_shingles, m.c AS component_id, s.doc_id = m.c AS kept FROM s JOIN (SELECT doc, min(c) AS c FROM r GROUP BY 1) m ON m.doc = s.doc_id
+"""
+
 OP12 = rf"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL), n AS (SELECT doc_id, len(w) AS n FROM d WHERE len(w) > 0),
   al AS (SELECT count(*) AS nn, sum(n)::bigint AS ll FROM n),
@@ -82,4 +95,4 @@ WITH RECURSIVE x AS (SELECT *, doc_id::varchar AS s FROM documents),
 SELECT doc_id, leaf, subroot, r.h AS root, sha256(p) AS proof_sha256, f AS folded_root, f = r.h AS verified FROM d, (SELECT h FROM u WHERE m = 1) r WHERE d.m = 1
 """
 
-ORACLE_SQL = {"op1_chat_formatting": OP1, "op5_benchmark_decontamination": OP5, "op8_topk_search": OP8, "op10_ngram_jaccard_join": OP10, "op12_ranked_search": OP12, "op13_merkle_manifest": OP13}
+ORACLE_SQL = {"op1_chat_formatting": OP1, "op5_benchmark_decontamination": OP5, "op8_topk_search": OP8, "op10_ngram_jaccard_join": OP10, "op11_minhash_near_dedup": OP11, "op12_ranked_search": OP12, "op13_merkle_manifest": OP13}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, jaccard, language, licenses, lm, merkle, packing, quality, ranking, tokencount, topk
+from . import chat, decontamination, jaccard, language, licenses, lm, merkle, minhash, packing, quality, ranking, tokencount, topk
 from .common import crc_mod, table
 from .oracles import ORACLE_SQL  # noqa: F401
 
@@ -82,6 +82,11 @@ def op10_ngram_jaccard_join(spark, sf_dir):
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op11_minhash_near_dedup(spark, sf_dir):
+    """The component of each document under links of a similarity of 0.80 of two-word shingles, and whether it is kept."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op12_ranked_search(spark, sf_dir):
     """The 50 best documents of each benchmark item."""
     return ranking.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -97,6 +102,6 @@ QUERIES = {
     for f in (
         op1_chat_formatting, op2_language_id, op3_token_counts, op4_best_fit_packing, op5_benchmark_decontamination,
         op6_license_scan, op7_lm_scoring, op8_topk_search, op9_quality_classifier, op10_ngram_jaccard_join,
-        op12_ranked_search, op13_merkle_manifest,
+        op11_minhash_near_dedup, op12_ranked_search, op13_merkle_manifest,
     )
 }
