@@ -5,15 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_FACTORS = (73856093, 19349663, 83492791)
+#: A prime, and factors for the lower 31 bits and for the rest of each key.
+PRIME = 2147483647
+_LOW = (1540483477, 1812433253, 1566083941, 1181783497)
+_HIGH = (668265263, 374761393, 1103515245, 974711)
 
 
 def draw_sql(seed: int, *keys: str) -> str:
-    """A draw from [0, 1) as SQL: a multiplicative hash of up to three integer keys, then two congruential steps."""
-    mixed = " + ".join(f"(({k}) % 1048576) * {_FACTORS[i]}" for i, k in enumerate(keys))
-    one = f"(({mixed} + {seed % 1048576} * 2654435761) % 4294967296)"
-    two = f"(({one} * 1103515245 + 12345) % 2147483648)"
-    return f"(((({two} % 65536) * 32768 + floor({two} / 65536)) * 69069 + 1) % 2147483648 / 2147483648.0)"
+    """A draw from [0, 1) as SQL of up to four integer keys, all of whose bits count.
+
+    Keys and seed are added up as multiples modulo a prime and raised to the fifth power, which maps residues one to one: the
+    ids 0 to 2^31 - 2 of a cloud have a draw each. No step leaves 64 bits.
+    """
+    parts = [f"({k} & {PRIME}) * {_LOW[i]} % {PRIME} + ((({k} >> 31) % {PRIME}) + {PRIME}) * {_HIGH[i]} % {PRIME}" for i, k in enumerate(f"cast({k} as bigint)" for k in keys)]
+    x = f"(({' + '.join(parts)} + {(seed + 1) * 1299709 % PRIME}) % {PRIME})"
+    square = f"({x} * {x} % {PRIME})"
+    return f"(({square} * {square} % {PRIME}) * {x} % {PRIME} / {PRIME}.0)"
 
 
 def draw(seed: int, *keys: str) -> Column:

@@ -139,9 +139,8 @@ def elastic(df: DataFrame, granularity: float, magnitude: float, seed: int) -> D
     for a in "xyz":  # how many nodes of the grid lie within one of both ends, in ninths
         near = F.least(F.col(f"_n{a}") + 1, F.col(f"_s{a}") + 1, F.col(f"_d{a}") - 1) - F.greatest(F.col(f"_n{a}") - 1, F.col(f"_s{a}") - 1, F.lit(0)) + 1
         around = around.withColumn(f"_o{a}", step).withColumn(f"_s{a}", F.col(f"_n{a}") + F.col(f"_o{a}")).where(F.col(f"_s{a}").between(0, F.col(f"_d{a}") - 1)).withColumn(f"_b{a}", near / 9.0)
-    around = around.withColumn("_node", (F.col("_sx") * 1024 + F.col("_sy")) * 1024 + F.col("_sz"))
     weight = F.col("_bx") * F.col("_by") * F.col("_bz")
-    field = around.groupBy(*key).agg(*[F.sum(weight * normal_draw(seed + k, "cloud_id", "_node")).alias(f"_f{a}") for k, a in enumerate("xyz")])
+    field = around.groupBy(*key).agg(*[F.sum(weight * normal_draw(seed + k, "cloud_id", "_sx", "_sy", "_sz")).alias(f"_f{a}") for k, a in enumerate("xyz")])
     moves = at.join(field, key).groupBy("cloud_id", "point_id").agg(*[F.sum(F.col("_w") * F.col(f"_f{a}")).alias(f"_m{a}") for a in "xyz"])
     return df.join(moves, ["cloud_id", "point_id"]).withColumns({a: F.col(a) + F.col(f"_m{a}") * magnitude for a in "xyz"}).select(df.columns)
 

@@ -194,7 +194,7 @@ def _(spark, d):
     return rounded(ev.vote(probs(spark, d).withColumn("p", F.round("p", 9))), "score")
 
 
-@query("k4_top3_classes", f"WITH {PROBS}, s AS (SELECT cloud_id, point_id, class, round(sum(p), 9) AS p FROM pr WHERE cloud_id % 10 = cloud_id % 10 GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY cloud_id, point_id ORDER BY p DESC, class) AS rk FROM s) SELECT cloud_id, point_id, rk AS rank, class FROM k WHERE rk <= 3")
+@query("k4_top3_classes", f"WITH {PROBS}, s AS (SELECT cloud_id, point_id, class, round(sum(p), 9) AS p FROM pr GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY cloud_id, point_id ORDER BY p DESC, class) AS rk FROM s) SELECT cloud_id, point_id, rk AS rank, class FROM k WHERE rk <= 3")
 def _(spark, d):
     from pyspark.sql import Window
 
