@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cloudloom.functions.random import draw_sql
@@ -17,7 +18,7 @@ from cloudloom.plans.labels import FACES, faces
 from cloudloom.plans.matching import BALL, D2, farthest_sql
 from cloudloom.plans.meshes import coloured
 from cloudloom.plans.series import PR
-from cloudloom.sources import io
+from cloudloom.sources import formats, io
 from cloudloom.sources.fixtures import points, read
 from cloudloom.streaming import metrics as stream
 
@@ -333,13 +334,41 @@ def _(spark, d):
 # ---------------------------------------------------------------- sources and sinks, through files written from the tables
 
 
-@query("s4_text_points", "SELECT cloud_id::varchar AS room, rib AS instance, x, y, z FROM pts")
+def _filed(spark, d, columns: dict[str, str] | None = None):
+    """The points as clouds of files: named, numbered from 0, with some columns renamed."""
+    rows = points(spark, d).withColumns({"cloud": F.concat(F.lit("s"), "cloud_id"), "point_id": F.col("point_id") - 1, "label": F.col("label").cast("int"), "instance": F.col("instance").cast("int")})
+    return rows.withColumns({k: F.expr(v) for k, v in (columns or {}).items()})
+
+
+@query("s1_scene_arrays", "SELECT 's' || cloud_id AS cloud, point_id - 1 AS point_id, x, y, z, intensity::float::double AS intensity, label::int AS label, instance::int AS instance FROM pts")
+def _(spark, d):
+    path = new_folder(spark)
+    formats.write_clouds(_filed(spark, d).select("cloud", "point_id", "x", "y", "z", "intensity", "label", "instance"), path, "cloud_npy", points_per_part="1000")
+    return formats.read_clouds(spark, path, "cloud_npy").select("cloud", "point_id", "x", "y", "z", "intensity", "label", "instance")
+
+
+@query("s2_npz_clouds", "SELECT 's' || cloud_id AS cloud, point_id - 1 AS point_id, x, y, z, intensity, rib::int AS label FROM pts")
+def _(spark, d):
+    path, keys = new_folder(spark), '{"semantic": "label", "hu": "intensity"}'
+    formats.write_clouds(_filed(spark, d).select("cloud", "point_id", "x", "y", "z", "intensity", F.col("rib").alias("label")), path, "cloud_npz", keys=keys, points_per_part="1000")
+    return formats.read_clouds(spark, path, "cloud_npz", keys=keys).select("cloud", "point_id", "x", "y", "z", "intensity", "label")
+
+
+@query("s3_lidar_frames", "SELECT 's' || cloud_id AS cloud, point_id - 1 AS point_id, x, y, z, ((intensity * 255)::float::double / 255)::float AS intensity, label::int AS label, (instance + 1)::int AS instance FROM pts")
+def _(spark, d):
+    path, form = new_folder(spark), {"fields": "5", "strength_scale": "255"}
+    rows = _filed(spark, d, {"instance": "instance + 1"}).select("cloud", "point_id", "x", "y", "z", "intensity", "label", "instance")
+    formats.write_clouds(rows, path, "cloud_bin", **form, points_per_part="1000")
+    return formats.read_clouds(spark, path, "cloud_bin", **form).select("cloud", "point_id", "x", "y", "z", F.col("intensity").cast("float").alias("intensity"), "label", "instance")
+
+
+@query("s4_text_points", "SELECT 'room' || cloud_id AS cloud, CASE WHEN rib < 9 THEN 'chair' ELSE 'lamp' END AS class, dense_rank() OVER (PARTITION BY cloud_id ORDER BY CASE WHEN rib < 9 THEN 'chair_' ELSE 'lamp_' END || rib % 2) - 1 AS instance, x, y, z FROM pts")
 def _(spark, d):
     path = new_folder(spark)
-    lines = points(spark, d).selectExpr("rib", "concat_ws(' ', cloud_id, x, y, z) value")
-    lines.repartition("rib").write.partitionBy("rib").text(path)
-    rows = spark.read.schema("room string, x double, y double, z double, rib int").option("sep", " ").csv(path)
-    return rows.select("room", F.col("rib").alias("instance"), "x", "y", "z")
+    named = points(spark, d).withColumn("cloud", F.expr("concat('room', cloud_id, '/', if(rib < 9, 'chair_', 'lamp_'), rib % 2)"))
+    place = F.row_number().over(Window.partitionBy("cloud").orderBy("point_id")).cast("bigint") - 1
+    formats.write_clouds(named.select("cloud", place.alias("point_id"), "x", "y", "z"), path, "cloud_txt")
+    return io.text_points(spark, f"{path}/*/*.txt", ["x", "y", "z"]).select("cloud", "class", F.col("instance").cast("bigint").alias("instance"), "x", "y", "z")
 
 
 @query("s5_mesh_tables", f"WITH {FACES} SELECT f.cloud_id, face_id, v0, v1, v2 FROM f JOIN pts a ON a.cloud_id = f.cloud_id AND a.point_id = v0 AND a.rib < 24 JOIN pts b ON b.cloud_id = f.cloud_id AND b.point_id = v1 AND b.rib < 24 JOIN pts c ON c.cloud_id = f.cloud_id AND c.point_id = v2 AND c.rib < 24")
