@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -19,8 +21,8 @@ from cloudloom.plans.matching import BALL, D2, farthest_sql
 from cloudloom.plans.meshes import coloured
 from cloudloom.plans.series import PR
 from cloudloom.sources import formats, io
-from cloudloom.sources.fixtures import points, read
-from cloudloom.streaming import metrics as stream
+from cloudloom.sources.fixtures import metrics, points, read
+from cloudloom.streaming import stateful
 
 
 def normal_sql(seed: int, *keys: str) -> str:
@@ -383,12 +385,44 @@ def _(spark, d):
     return spark.read.parquet(path)
 
 
+def _arriving(spark, source: str, schema, per_batch: int = 1):
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).parquet(source)
+
+
 @query("t4_incremental_build", "SELECT cloud_id, count(*) AS n, sum(point_id)::bigint AS ids FROM pts GROUP BY 1")
 def _(spark, d):
     source, target, done = new_folder(spark), new_folder(spark), new_folder(spark)
     p = points(spark, d).select("cloud_id", "point_id")
     build = lambda df: df.groupBy("cloud_id").agg(F.count("*").alias("n"), F.sum("point_id").alias("ids"))
-    for half in (0, 1):  # the second run sees only what has arrived since the first
-        p.where(F.col("cloud_id") % 2 == half).write.mode("append").parquet(source)
-        stream.incremental_build(spark.readStream.schema(p.schema).parquet(source), build, target, done).awaitTermination()
-    return spark.read.parquet(target)
+    for part in ("cloud_id % 3 = 0", "cloud_id % 3 = 1 and point_id % 2 = 0", "cloud_id % 3 = 1 and point_id % 2 = 1 or cloud_id % 3 = 2"):  # a run for each; the last amends clouds of the one before
+        p.where(part).write.mode("append").parquet(source)
+        stateful.incremental_build(_arriving(spark, source, p.schema, 1000), build, target, done).awaitTermination()
+    return stateful.newest(spark, target, "cloud_id bigint, n bigint, ids bigint", ["cloud_id"])
+
+
+@query("t1_confusion_stream", "SELECT label::int AS label, pred::int AS pred, count(*)::bigint AS n FROM pts GROUP BY 1, 2")
+def _(spark, d):
+    source, target, done = new_folder(spark), new_folder(spark), new_folder(spark)
+    counts = evaluate.confusion(points(spark, d)).select("cloud_id", F.col("label").cast("int").alias("label"), F.col("pred").cast("int").alias("pred"), "n", F.lit("2026-01-01").cast("timestamp").alias("ts"))
+    for half in (0, 1):  # every cell of the second half arrives twice
+        rows = counts.where(F.col("cloud_id") % 2 == half)
+        (rows.unionByName(rows) if half else rows).coalesce(2).write.mode("append").parquet(source)
+    stateful.running_totals(_arriving(spark, source, counts.schema), target, done).awaitTermination()
+    return stateful.newest(spark, target, "label int, pred int, n bigint", ["label", "pred"])
+
+
+@query("t2_t3_series_stream", """SELECT run, name, event_id, iter, round(avg(value) OVER w, 8) AS mean, round(median(value) OVER w, 8) AS median, greatest(value, coalesce(max(value) OVER b, value)) AS best, coalesce(value > max(value) OVER b, true) AS new_best
+ FROM metrics WINDOW w AS (PARTITION BY run, name ORDER BY iter ROWS 19 PRECEDING), b AS (PARTITION BY run, name ORDER BY iter ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+def _(spark, d):
+    source, target, done = new_folder(spark), new_folder(spark), new_folder(spark)
+    rows = metrics(spark, d).select("run", "name", "event_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+    first, last = rows.agg(F.min("ts"), F.max("ts")).first()
+    step = (last - first).total_seconds() / 4 + 1
+    # four files in the order of time, but every third event comes up to a third of a file late; a closing mark lets the last rows through
+    late = (F.unix_micros("ts") - F.unix_micros(F.lit(first))) / 1e6 + F.when(F.col("event_id") % 3 == 0, step / 3).otherwise(0)
+    for k in range(4):
+        rows.where(F.least(F.floor(late / step), F.lit(3)) == k).coalesce(1).write.mode("append").parquet(source)
+    rows.limit(1).withColumns({"run": F.lit(-1).cast("bigint"), "ts": F.lit(last + (last - first) * 2 + timedelta(days=1))}).coalesce(1).write.mode("append").parquet(source)
+    smooth = stateful.series_stream(_arriving(spark, source, rows.schema), 20, f"{int(step / 2) + 1} seconds")
+    stateful.start(smooth, target, done).awaitTermination()
+    return rounded(stateful.all_batches(spark, target, stateful.SERIES).drop("batch"), "mean", "median", digits=8)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,8 +53,3 @@ def smoothed_stream(metrics: DataFrame, size: int) -> DataFrame:
         yield pd.DataFrame(found, columns=["run", "name", "iter", "value", "mean", "median", "global"])
 
     return metrics.select("run", "name", "iter", "value").groupBy("run", "name").applyInPandasWithState(step, out, "tail array<double>, total double, n long", "append", "NoTimeout")
-
-
-def incremental_build(files: DataFrame, build: Callable[[DataFrame], DataFrame], target: str, checkpoint: str):
-    """T4: a running query that appends what ``build`` makes of newly arrived rows; the checkpoint remembers what's done."""
-    return files.writeStream.foreachBatch(lambda df, _: build(df).write.mode("append").parquet(target)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -112,6 +112,7 @@ def test_run_lengths(spark):
 
 def test_streams_equal_batch(spark, tmp_path):
     from cloudloom.streaming import metrics as m
+    from cloudloom.streaming import stateful
 
     rows = [(1, "a", i, float(v)) for i, v in enumerate([3, 1, 4, 1, 5])]
     src = str(tmp_path / "in")
@@ -121,7 +122,7 @@ def test_streams_equal_batch(spark, tmp_path):
     q.awaitTermination(60)
     got = {(r.iter, r.mean, r.median) for r in spark.sql("select * from smoothed").collect()}
     assert got == {(r.iter, r.mean, r.median) for r in m.smoothed(df, 3).collect()}
-    q = m.incremental_build(spark.readStream.schema(df.schema).parquet(src), lambda d: d.where("value > 1"), str(tmp_path / "out"), str(tmp_path / "cp2"))
+    q = stateful.incremental_build(spark.readStream.schema(df.schema).parquet(src), lambda d: d.where("value > 1"), str(tmp_path / "out"), str(tmp_path / "cp2"))
     q.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
 
