@@ -1,8 +1,8 @@
 """Neighbourhoods (J1-J19, R19): spatial joins as equi-joins on cells, or numpy within one small cloud at a time.
 
-A cloud of at most SMALL points is one task's work in the grouped form. Larger clouds go through the grid form, whose
-rows carry (cloud, cell) keys; a radius search needs one pass, a ranked search widens the ring for the queries that
-aren't proven yet.
+Ranked edges of a cloud of at most SMALL points are one task's work. Larger clouds are searched by leaves of an adaptive partition
+(spacetree), whose leaves hold equally many points wherever they lie; neighbour lists take that way for all clouds. A radius search is one
+join on (cloud, cell) keys.
 """
 
 from __future__ import annotations
@@ -15,6 +15,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cloudloom.functions.tables import materialise
+from cloudloom.operators.spacetree import neighbour_lists
+
 #: Points of a cloud up to which a task may hold all its distances (blocks of 128 rows, so a few MB at once).
 SMALL = 3_000
 AXES = ("x", "y", "z")
@@ -118,7 +121,7 @@ def _knn_numpy(k: int):
 
 def knn(queries: DataFrame, points: DataFrame, k: int, cell: float | None = None) -> DataFrame:
     """The k nearest points of the same cloud for every query: (cloud_id, src, dst, d2, rank), ties to the
-    smaller id. Clouds of more than SMALL points take the grid form with cells of ``cell`` (guessed from the density).
+    smaller id. Clouds of more than SMALL points are searched by leaves of an adaptive partition, or by cells of ``cell`` if that is given.
     The sides are written to the shared folder first, so that what they are made of is worked out once."""
     from cloudloom.functions.tables import materialise
 
@@ -139,12 +142,15 @@ def knn(queries: DataFrame, points: DataFrame, k: int, cell: float | None = None
     if not any_big:
         return out
     keep_p, keep_q = (df.select(*columns).join(big.select("cloud_id"), "cloud_id", "left_semi") for df in (points, queries))
-    return out.unionByName(knn_grid(keep_q, keep_p, k, cell or _guess_cell(big, k)).select("cloud_id", "src", "dst", "d2", "rank"))
+    if cell is not None:
+        return out.unionByName(knn_grid(keep_q, keep_p, k, cell).select("cloud_id", "src", "dst", "d2", "rank"))
+    return out.unionByName(exploded(neighbour_lists(keep_q, keep_q if same else keep_p, k)))
 
 
-def _guess_cell(sizes: DataFrame, k: int) -> float:
-    volume = F.greatest(F.col("_ex"), F.lit(1e-3)) * F.greatest(F.col("_ey"), F.lit(1e-3)) * F.greatest(F.col("_ez"), F.lit(1e-3))
-    return float(sizes.agg(F.median(F.pow(volume * k / F.col("_n"), F.lit(1 / 3)))).first()[0])
+def exploded(lists: DataFrame) -> DataFrame:
+    """Neighbour lists as edges."""
+    out = lists.select("cloud_id", "src", F.posexplode(F.arrays_zip("dst", "d2")).alias("rank", "e"))
+    return out.select("cloud_id", "src", "e.dst", "e.d2", (F.col("rank") + 1).alias("rank"))
 
 
 def knn_grid(queries: DataFrame, points: DataFrame, k: int, cell: float, rounds: int = 64) -> DataFrame:
@@ -261,9 +267,19 @@ def statistical_outliers(points: DataFrame, edges: DataFrame, ratio: float) -> D
     """Keep points whose mean distance to their neighbours (self included) is above 0 and below the cloud's mean by
     ratio sample deviations; edges are those of a kNN of the cloud in itself."""
     mean = edges.groupBy("cloud_id", F.col("src").alias("point_id")).agg(F.avg(F.sqrt("d2")).alias("_d"))
+    return points.join(_inliers(mean, ratio), ["cloud_id", "point_id"], "left_semi")
+
+
+def outliers_by_lists(points: DataFrame, k: int, ratio: float) -> DataFrame:
+    """R19 straight from neighbour lists, a row for each point instead of one for each edge: for clouds of any size."""
+    total = F.aggregate("d2", F.lit(0.0), lambda s, v: s + F.sqrt(v))
+    mean = materialise(neighbour_lists(points, points, k).select("cloud_id", F.col("src").alias("point_id"), (total / F.size("d2")).alias("_d")))
+    return points.join(_inliers(mean, ratio), ["cloud_id", "point_id"], "left_semi")
+
+
+def _inliers(mean: DataFrame, ratio: float) -> DataFrame:
     limit = mean.groupBy("cloud_id").agg((F.avg("_d") + ratio * F.coalesce(F.stddev_samp("_d"), F.lit(0.0))).alias("_limit"))
-    keep = mean.join(limit, "cloud_id").where((F.col("_d") > 0) & (F.col("_d") < F.col("_limit"))).select("cloud_id", "point_id")
-    return points.join(keep, ["cloud_id", "point_id"], "left_semi")
+    return mean.join(limit, "cloud_id").where((F.col("_d") > 0) & (F.col("_d") < F.col("_limit"))).select("cloud_id", "point_id")
 
 
 def distance_partitions(edges: DataFrame, near: float, far: float, height: Column) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cloudloom.functions.random import draw_sql
 from cloudloom.operators import cluster
 from cloudloom.operators import neighbors as nb
+from cloudloom.operators.spacetree import neighbour_lists
 from cloudloom.plans.catalog import query
 from cloudloom.plans.geometry import rounded
 from cloudloom.sources.fixtures import points
@@ -93,6 +94,12 @@ def _(spark, d):
     return rounded(nb.attention(e, p.withColumn("q", F.col("y") / 10), "q", "z", "x"), "fused", digits=5)
 
 
+@query("j1_r19_leaves", f"WITH {KNN} SELECT cloud_id, src, dst, d2, rank::int AS rank FROM k4")
+def _(spark, d):
+    p = points(spark, d)
+    return nb.exploded(neighbour_lists(p, p, 4, leaf=64))
+
+
 @query("r19_outliers", f"WITH {KNN}, m AS (SELECT cloud_id, src, avg(sqrt(d2)) AS dm FROM k4 GROUP BY 1, 2), l AS (SELECT cloud_id, avg(dm) + 1.0*stddev_samp(dm) AS lim FROM m GROUP BY 1) SELECT m.cloud_id, src AS point_id FROM m JOIN l ON m.cloud_id = l.cloud_id WHERE dm > 0 AND dm < lim")
 def _(spark, d):
     p, e = knn4(spark, d)
