@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, keep_matching, materialise, mix64, parts_of_batch, release_memory, text_bytes
-from .jaccard import LONG, Shingler, _block_search, _dealt, _search_blocks, _verify, connected_components
+from .jaccard import BLOCK, LONG, BlockIndex, Shingler, _dealt, _pairs_batch, connected_components, divide_skip
 
 BANDS, ROWS = 80, 8
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -105,6 +105,99 @@ def _lists(nodes_bands: DataFrame, keep: Scratch) -> DataFrame:
     return keep_matching(rows, lists, "key", lists.count()).select(F.col("key").alias("list"), "node", "n")
 
 
+class _Forest:
+    """Which nodes are connected so far; join says whether a link is news."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        at = x
+        while (y := self.up.get(at, at)) != at:
+            at = y
+        while (y := self.up.get(x, x)) != at:
+            self.up[x], x = at, y
+        return at
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.root(a), self.root(b)
+        self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _search(members: DataFrame, queries: DataFrame, keys: list[str], sets: DataFrame, percent: int, among: bool, most: int = 512, tokens_held: int = 4_000_000) -> DataFrame:
+    """Links (a, b) of queries (keys, node) with members (keys, node) of the same group, on whole sets by inverted lists.
+
+    Of the links found in a group only those that connect what wasn't connected there are given, so a group of k nodes
+    gives fewer than k. With ``among``, a group has one query; its members come in parts of ``most``, and those that it doesn't
+    reach are searched for among themselves. Otherwise a group's members are held while its queries, any number, pass by.
+    """
+    rows = queries.select(*keys, "node", F.lit(0 if among else 2).alias("kind")).unionByName(members.select(*keys, "node", F.lit(1).alias("kind")))
+    rows = rows.join(sets, "node").select(*keys, "kind", "node", "tokens")
+
+    def run(batches):
+        now, query, ids, own, index, forest, out = None, None, [], [], None, _Forest(), []
+
+        def reach(node, tokens):
+            found = [k for k, _ in divide_skip(tokens, index, percent)]
+            out.extend((node, ids[k]) for k in found if ids[k] != node and forest.join(node, ids[k]))
+            return found
+
+        def part():
+            nonlocal index
+            if own:
+                index = BlockIndex(own)
+                reached = set(reach(*query)) if query else ()
+                for k in range(len(own)) if len(own) > 1 else ():
+                    if k not in reached:
+                        reach(ids[k], own[k])
+
+        for b in batches:
+            for *key, kind, node, tokens in zip(*(c.to_pylist() for c in b.columns)):
+                tokens = np.frombuffer(tokens, "<u8")
+                full = among and (len(own) >= most or held > tokens_held) if key == now else True
+                if full:
+                    if among:
+                        part()
+                    ids, own, index, held = [], [], None, 0
+                if key != now:
+                    now, query, forest = key, None, _Forest()
+                if kind == 0:
+                    query = (node, tokens)
+                elif kind == 1:
+                    ids.append(node)
+                    own.append(tokens)
+                    held += len(tokens)
+                else:
+                    index = index or BlockIndex(own)
+                    reach(node, tokens)
+            yield _pairs_batch(out)
+            out.clear()
+        if among:
+            part()
+        yield _pairs_batch(out)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "kind").mapInArrow(run, "a bigint, b bigint")
+
+
+def _blocks(members: DataFrame, spread, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Which nodes of long lists are searched for in which blocks: asks and blocks, both (node, home, band, chunk).
+
+    A node's home is the longest of its lists; bands of sizes keep out what can't be similar, and chunks bound a block. The
+    nodes outside a list's largest group ask the blocks of the homes and bands that its nodes have; homes and bands are made
+    distinct before chunks are counted out, so a block is asked for once however many lists lead to it.
+    """
+    group = members.groupBy("list", "group").agg(F.count("*").alias("k")).groupBy("list").agg(F.max(F.struct("k", "group")).alias("g")).select("list", F.col("g.group").alias("largest"))
+    band = F.floor(F.ln("n") / F.ln(F.lit(100.0 / percent)))
+    home = members.groupBy("node").agg(F.max(F.struct("nodes", "list")).alias("h"), F.max("n").alias("n"))
+    blocks = home.select("node", F.col("h.list").alias("home"), band.alias("band"), F.greatest(F.ceil(F.col("h.nodes") / BLOCK), F.lit(1)).alias("chunks"))
+    held = members.select("list", "node").join(blocks, "node").select("list", "home", "band", "chunks").distinct()
+    queries = members.join(spread(group), ["list", "salt"]).where("group <> largest").select("list", "salt", "node", band.alias("own"))
+    asks = queries.join(spread(held), ["list", "salt"]).where(F.abs(F.col("own") - F.col("band")) <= 1).select("node", "home", "band", "chunks").distinct()
+    asks = asks.select("node", "home", "band", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("chunk"))
+    return asks, blocks.select("node", "home", "band", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk"))
+
+
 def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """For each row: doc_id, n_shingles, component_id (the smallest doc_id that it reaches by links) and kept.
 
@@ -120,8 +213,7 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, bands: in
     copies = keep(member.where("row <> node").select("row"))
     firsts = keep_matching(described.where("n > 0").select("row", "n", "bands"), copies, "row", copies.count(), "left_anti")
     plain = keep(_lists(firsts.withColumnRenamed("row", "node"), keep))
-    comps = connected_components(_links(docs, nodes, plain, size, percent, keep))
-    groups = nodes.join(comps, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("group"))
+    groups = _grouped(docs, nodes, plain, size, percent, keep)
     named = groups.groupBy("group").agg(F.min("doc_id").alias("component_id")).join(groups.select("node", "group"), "group")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     out = member.join(named.select("node", "component_id"), "node", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
@@ -130,8 +222,8 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, bands: in
     return out
 
 
-def _links(docs: DataFrame, nodes: DataFrame, plain: DataFrame, size: int, percent: int, keep: Scratch) -> DataFrame:
-    """Exact links that connect all nodes of the lists which reach the similarity; links within a component may be left out."""
+def _grouped(docs: DataFrame, nodes: DataFrame, plain: DataFrame, size: int, percent: int, keep: Scratch) -> DataFrame:
+    """node, doc_id and group of each node: connected by links between nodes of the lists that reach the similarity."""
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_bytes())
     alike = lambda x, y: (100 * F.col(x) >= percent * F.col(y)) & (100 * F.col(y) >= percent * F.col(x))
 
@@ -147,25 +239,39 @@ def _links(docs: DataFrame, nodes: DataFrame, plain: DataFrame, size: int, perce
         return sets.dropDuplicates(["node"]) if sets.count() > n else sets
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = keep(pairs)
-        return keep(_verify(pairs, sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b"))), percent))
+        """Links among pairs (a, b, parts to which a's partners are dealt)."""
+        dealt = keep(pairs.select("a", F.col("b").alias("node"), F.pmod(F.xxhash64("b"), F.col("parts")).alias("part")))
+        queries = dealt.select("a", "part", F.col("a").alias("node")).distinct()
+        sets = sets_of(dealt.select("node").union(dealt.select("a")))
+        return keep(_search(dealt, queries, ["a", "part"], sets, percent, among=True).distinct())
+
+    def regrouped(groups: DataFrame, links: DataFrame) -> DataFrame:
+        """groups after links (a, b): the links' groups are connected, not their nodes."""
+        name = groups.select("node", "group")
+        ends = links.join(name.toDF("a", "x"), "a").join(name.toDF("b", "y"), "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        comps = connected_components(ends).toDF("group", "to")
+        return keep(groups.join(comps, "group", "left").select("node", "doc_id", F.coalesce("to", "group").alias("group")))
 
     spread, salted = _dealt(plain)
     lists = keep(salted)
-    leads = lists.groupBy("list").agg(F.min("node").alias("a")).join(nodes.select(F.col("node").alias("a"), F.col("n").alias("m")), "a")
+    leads = lists.groupBy("list").agg(F.min("node").alias("a"), F.max("nodes").alias("size"))
+    sizes = leads.groupBy("a").agg(F.ceil(F.sum("size") / (4 * BLOCK)).cast("int").alias("parts"))  # at most a row for each band and lead
+    leads = leads.join(sizes, "a").join(nodes.select(F.col("node").alias("a"), F.col("n").alias("m")), "a").drop("size")
     star = lists.join(spread(leads), ["list", "salt"]).where((F.col("node") != F.col("a")) & alike("m", "n"))
-    links = verified(star.select("a", F.col("node").alias("b")).distinct())
-    comps = keep(connected_components(links))
+    star = star.select("a", F.col("node").alias("b"), "parts").distinct()
+    groups = regrouped(nodes.select("node", "doc_id", F.col("node").alias("group")), verified(star))
 
-    tagged = lists.join(comps, "node", "left").select("list", "salt", "nodes", "node", "n", F.coalesce("component", "node").alias("group"))
+    tagged = lists.join(groups.select("node", "group"), "node")
     mixed = tagged.groupBy("list").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("list")
     left = keep(tagged.join(spread(mixed), ["list", "salt"], "left_semi"))
     x, y = (left.where(F.col("nodes") <= LONG).alias(k) for k in "xy")
     pairs = x.join(y, (F.col("x.list") == F.col("y.list")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.group") != F.col("y.group")) & alike("x.n", "y.n"))
-    pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(star.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), ["a", "b"], "left_anti")
-    links = links.unionByName(verified(pairs))
+    pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.lit(1).alias("parts")).distinct()
+    links = verified(pairs.join(star.select("a", "b"), ["a", "b"], "left_anti"))  # a list's lead is its smallest node
     long = left.where(F.col("nodes") > LONG)
-    if long.isEmpty():
-        return links
-    asks, blocks = (keep(f) for f in _block_search(long, spread, percent))
-    return links.unionByName(keep(_search_blocks(asks, blocks, sets_of(long.select("node")), percent)))
+    if not long.isEmpty():
+        asks, blocks = (keep(f) for f in _blocks(long, spread, percent))
+        key = ["home", "band", "chunk"]
+        asked = blocks.join(asks.select(*key).distinct(), key, "left_semi")
+        links = links.unionByName(keep(_search(asked, asks, key, sets_of(long.select("node")), percent, among=False)))
+    return groups if links.isEmpty() else regrouped(groups, links)
