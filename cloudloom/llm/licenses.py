@@ -29,6 +29,8 @@ TEMPLATES = {
     "ISC-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
 }
 GRAM, WINDOW = 3, 4
+#: Templates of fewer words are found by all their grams: winnowing may keep none of a piece of up to five words at an end.
+SHORT = 30
 
 
 class Fingerprinter:
@@ -77,24 +79,36 @@ def align(template: list[bytes], words: list[bytes], diagonal: int, band: int) -
     return matches, first, last
 
 
-def _chained(anchors: list[tuple[int, int]], length: int, band: int):
-    """Ranges (lowest, highest) of diagonals of one occurrence each, from anchors (text place, template place) in text order.
+def _chained(anchors: list[tuple[int, int]], length: int, drift: int) -> list[tuple[int, int]]:
+    """Ranges (lowest, highest) of diagonals, one for each occurrence, from anchors (text place, template place) in text order.
 
-    An anchor continues the occurrence before it where it lies farther on in the template and its diagonal is off by no more than
-    a quarter of the template (or the band): words put in or left out shift what follows. Else another occurrence begins.
+    An anchor's best chain is the longest of anchors that rise in the text and in the template and whose diagonals differ by no
+    more than ``drift``; of equally long ones the one with the least drift. The longest chain is an occurrence, the anchors within
+    its stretch of the text go, and so on: a stray anchor of a repeated phrase neither moves nor ends an occurrence.
     """
-    low = high = place = last = None
-    for t, p in anchors:
-        d = t - p
-        near = low is not None and (low - band <= d <= high + band or (p > place and abs(d - last) <= max(band, length // 4)))
-        if near and max(high, d) - min(low, d) <= max(2 * band, length // 2):
-            low, high, place, last = min(low, d), max(high, d), max(place, p), d
+    t, p = np.array(anchors, np.int64).T
+    d = t - p
+    n = len(t)
+    count, low, high, back = np.ones(n, np.int64), d.copy(), d.copy(), np.full(n, -1)
+    since = np.searchsorted(t, t - length - drift)  # a chain's stretch of the text is no longer
+    for i in range(1, n):
+        s = slice(since[i], i)
+        spread = np.maximum(high[s], d[i]) - np.minimum(low[s], d[i])
+        worth = np.where((t[s] < t[i]) & (p[s] < p[i]) & (spread <= drift), count[s] * (drift + 1) - spread, -1)
+        if len(worth) and worth.max() >= 0:
+            j = since[i] + len(worth) - 1 - int(worth[::-1].argmax())  # the nearest of equals
+            count[i], back[i], low[i], high[i] = count[j] + 1, j, min(low[j], d[i]), max(high[j], d[i])
+    taken, found = np.zeros(n, bool), []
+    for i in np.lexsort((t, high - low, -count)).tolist():
+        if taken[i]:
             continue
-        if low is not None:
-            yield low, high
-        low, high, place, last = d, d, p, d
-    if low is not None:
-        yield low, high
+        own, j = [i], int(back[i])
+        while j >= 0 and not taken[j]:
+            own.append(j)
+            j = int(back[j])
+        taken |= (t >= t[own[-1]]) & (t <= t[i])
+        found.append((int(t[own[-1]]), int(d[own].min()), int(d[own].max())))
+    return [(lo, hi) for _, lo, hi in sorted(found)]
 
 
 class Scanner:
@@ -105,7 +119,7 @@ class Scanner:
         self.short: dict[int, list] = defaultdict(list)  # templates too short for winnowing have all their grams here
         for name, words in sorted(self.words.items()):
             grams = self.finger.grams(words)
-            short = len(words) < GRAM + WINDOW - 1 + 4
+            short = len(words) < SHORT
             for p in range(len(grams)) if short else self.finger.winnow(grams).tolist():
                 (self.short if short else self.long)[int(grams[p])].append((name, p))
         self.keys = {kind: np.array(sorted(own), np.uint64) for kind, own in (("long", self.long), ("short", self.short))}
@@ -133,7 +147,7 @@ class Scanner:
             template, last_end = self.words[name], -1
             band = min(self.band, max(1, len(template) // 4))  # so that short templates close together stay apart
             bag = Counter(template)
-            for low, high in _chained(sorted(own), len(template), band):
+            for low, high in _chained(sorted(own), len(template), max(2 * band, len(template) // 2)):
                 # words in common bound the alignment from above
                 window = words[max(0, low - band) : high + len(template) + band]
                 if sum((bag & Counter(window)).values()) < self.coverage * len(template):
@@ -158,8 +172,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, band: int = 6
     """doc_id and matches (template, matched words, coverage, start, end) of every whole text.
 
     A match needs ``coverage`` of the template's words in order, within ``band`` words (a quarter of a short template) of the
-    diagonals that shared fingerprints set; fingerprints are chained over words put in or left out, up to half the template's
-    length in all. Occurrences of one template don't overlap: of those that would, the first in the text stays, and of equal
+    diagonals that shared fingerprints set; the longest chains of fingerprints, by dynamic programming, reach over words put in or
+    left out at any places, up to half the template's length in all. Occurrences of one template don't overlap: of those that would, the first in the text stays, and of equal
     alignments the one with fewer gaps. Whole texts are scanned, however long; a text that repeats a template's phrase is aligned
     there once for each repetition whose words could cover enough. Null and empty texts match nothing; repeated rows and null ids
     are scanned like others; columns besides doc_id and text are not read. Templates of fewer than three words never match.
