@@ -134,7 +134,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, id_column: str = "vec_id", vec
     asks = quantise(queries, id_column, vector_column, scale).groupBy("id").agg(F.min_by(F.struct("n", "q"), F.struct("n", "q")).alias("x")).select("id", "x.n", "x.q")
     n_rows, n_asks = vectors.count(), queries.count()
     blocks, parts = max(1, round(n_rows / BLOCK_ROWS)), max(1, -(-n_asks // QUERY_PART))
-    own = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int")
+    own = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int")  # by row: a repeated id is dealt too
     part = F.pmod(F.xxhash64("id", F.lit(2)), F.lit(parts)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     cells = rows.select(own.alias("block"), every(parts).alias("part"), F.lit(0).alias("kind"), "id", "n", "q").unionByName(
