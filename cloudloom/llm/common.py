@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 #: A side of at most this many rows of a few bytes each may be broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 1_000_000
@@ -68,11 +69,27 @@ def text_bytes(name: str = "text"):
     return F.coalesce(F.col(name), F.lit("")).cast("binary").alias(name)
 
 
+def keyed(docs: DataFrame, key: str) -> DataFrame:
+    """The key, doc_id as a long and any other column as it is, and the text's bytes: what the operators on single rows read."""
+    return docs.select(F.col(key).cast("bigint").alias(key) if key == "doc_id" else F.col(key), text_bytes())
+
+
+def keyed_schema(docs: DataFrame, key: str, others: str) -> StructType:
+    """The key's field of ``keyed``, then others."""
+    own = StructField(key, LongType() if key == "doc_id" else docs.schema[key].dataType)
+    return StructType([own, *StructType.fromDDL(others).fields])
+
+
 def crc_mod(column: str, n: int):
     """crc32 of a column as text, modulo n; null counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
 
 
+def drawn(rows: DataFrame, key: str, rate) -> DataFrame:
+    """The rows whose hash of ``key`` falls below a rate (a number or a column), drawn to 53 bits: a rate of 1e-12 still draws."""
+    return rows.where(F.shiftrightunsigned(F.xxhash64(key), 11) < F.lit(2.0**53) * rate)
+
+
 def keep_matching(df: DataFrame, keys: DataFrame, on: str, rows: int, how: str = "left_semi") -> DataFrame:
     """Semi or anti join; keys are broadcast only when their known row count is small."""
     return df.join(F.broadcast(keys) if rows <= BROADCAST_ROWS else keys, on, how)

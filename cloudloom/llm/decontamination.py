@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import materialise, text_bytes
+from .common import keyed, keyed_schema, materialise, text_bytes
 
 #: ASCII letters fold to lower case, other ASCII than digits and letters becomes a space, bytes beyond ASCII stay.
 _NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -82,10 +83,10 @@ def scan_text(raw: bytes, automaton, n_windows: int) -> tuple[int, int, list[str
     return len(words), int(covered.sum()), sorted(spans), [(i, int(starts[a]), int(ends[b - 1])) for i in sorted(spans) for a, b in spans[i]]
 
 
-_RESULT = "doc_id bigint, n_words bigint, n_hit bigint, items array<string>, spans array<struct<item_id:string,start:bigint,end:bigint>>"
+_RESULT = "n_words bigint, n_hit bigint, items array<string>, spans array<struct<item_id:string,start:bigint,end:bigint>>"
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_benchmark_bytes: int = 8_000_000) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_benchmark_bytes: int = 8_000_000, key: str = "doc_id") -> DataFrame:
     """Find the benchmark items in every whole text: words, words hit, item ids and spans in the original text.
 
     The automaton is sent to the executors, so the benchmark's size is measured first; one of over max_benchmark_bytes
@@ -93,30 +94,29 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_benchmark_
     what was found, are written to the shared folder.
     Null texts have no words. Items whose text or id is null take no part; several rows of an item count as one item.
     Rows with a null or repeated doc_id are scanned like others. Other columns are not read. Words hit by several parts
-    count once.
+    count once. Another ``key`` than doc_id comes back as it is, such as a struct of all columns.
     """
     sc = docs.sparkSession.sparkContext
     usable = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), text_bytes())
     size = usable.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     parts = max(1, -(-size // max_benchmark_bytes))
-    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_bytes())
-    found = source
+    found, schema = keyed(docs, key), keyed_schema(docs, key, _RESULT)
     for part in range(parts):
         own = usable.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part) if parts > 1 else usable
         items = sorted((r[0], bytes(r[1])) for r in own.collect())  # at most about max_benchmark_bytes
         if part:
             found = materialise(found)  # one automaton at a time in a worker
-        found = _scan_part(found, sc.broadcast(items), hashlib.sha256(repr((window, items)).encode()).hexdigest(), window, first=part == 0, last=part == parts - 1)
+        found = _scan_part(found, schema, sc.broadcast(items), hashlib.sha256(repr((window, items)).encode()).hexdigest(), window, first=part == 0, last=part == parts - 1)
     return found
 
 
-def _scan_part(source: DataFrame, sent, key: str, window: int, first: bool, last: bool) -> DataFrame:
+def _scan_part(source: DataFrame, schema: StructType, sent, digest: str, window: int, first: bool, last: bool) -> DataFrame:
     """Scan by one automaton; between parts the text and what was found travel on in the same row."""
     span = pa.struct([("item_id", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
-    carried = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(span))]
+    carried = schema.names
 
     def run(batches):
-        automaton, n = _automaton(key, sent.value, window)
+        automaton, n = _automaton(digest, sent.value, window)
         for b in batches:
             raws = b.column("text").to_pylist()
             rows = [scan_text(r, automaton, n) for r in raws]
@@ -126,13 +126,13 @@ def _scan_part(source: DataFrame, sent, key: str, window: int, first: bool, last
                 items = [sorted({*a, *c}) for a, c in zip(items, b.column("items").to_pylist())]
                 spans = [a + c for a, c in zip(spans, b.column("spans").to_pylist())]
                 hit = [count_hit(r, s) for r, s in zip(raws, spans)]
-            cols = [b.column("doc_id"), pa.array([r[0] for r in rows], pa.int64()), pa.array(hit, pa.int64()), pa.array(items, carried[3][1]), pa.array(spans, carried[4][1])]
-            names = [n for n, _ in carried]
+            cols = [b.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array(hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(span))]
+            names = carried
             if not last:
                 cols, names = [*cols, b.column("text")], [*names, "text"]
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return source.mapInArrow(run, _RESULT + ("" if last else ", text binary"))
+    return source.mapInArrow(run, schema if last else StructType([*schema.fields, StructField("text", BinaryType())]))
 
 
 def count_hit(raw: bytes, spans: list[dict]) -> int:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import drawn, keyed, keyed_schema, text_bytes
 
 DIMENSIONS = 4096
 #: ASCII letters fold to lower case, other ASCII becomes a space; bytes beyond ASCII stay as they are.
@@ -66,8 +66,8 @@ def fit(labelled: DataFrame, centroids: int = 4, sample: int = 6000, reject_quan
     if not counts:
         return {"langs": [], "idf": np.ones(DIMENSIONS, np.float32), "centroids": np.zeros((0, DIMENSIONS), np.float32), "owner": np.zeros(0, np.int64), "limits": np.zeros(0)}
     share = max(1, sample // len(counts))
-    rate = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1_000_000, share * 1_000_000 // n))))
-    drawn = rows.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < rate[F.col("lang")])
+    rate = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, share / n)))
+    taken = drawn(rows, "key", rate[F.col("lang")])
 
     def features(batches):
         for b in batches:
@@ -78,7 +78,7 @@ def fit(labelled: DataFrame, centroids: int = 4, sample: int = 6000, reject_quan
                 cols = [pa.array([k.astype("<u2").tobytes() for k in held], pa.binary()), pa.array([r[k].astype("<f2").tobytes() for r, k in zip(x, held)], pa.binary())]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 256), *cols], ["lang", "ids", "x"])
 
-    got = drawn.select("lang", text_bytes()).mapInArrow(features, "lang string, ids binary, x binary").toArrow()  # about ``sample`` rows
+    got = taken.select("lang", text_bytes()).mapInArrow(features, "lang string, ids binary, x binary").toArrow()  # about ``sample`` rows
     names = got["lang"].to_pylist()
     places = np.zeros(DIMENSIONS)
     for raw in got["ids"]:
@@ -101,12 +101,13 @@ def fit(labelled: DataFrame, centroids: int = 4, sample: int = 6000, reject_quan
     return {"langs": langs, "idf": idf, "centroids": np.vstack(cents).astype(np.float32), "owner": np.array(owner), "limits": np.array(limits)}
 
 
-def predict(docs: DataFrame, model: dict) -> DataFrame:
+def predict(docs: DataFrame, model: dict, key: str = "doc_id") -> DataFrame:
     """doc_id, lang_pred, score (cosine with the nearest centroid, 0 to 1) and rejected, for every whole text.
 
     ``und`` with score 0 and rejected: a null text or one without a letter. A text farther from every centroid than its
     language's limit is rejected but keeps its nearest language. Ties go to the language first by name. Without any
-    labelled row all predictions are ``und``. Repeated rows and null ids are predicted like others.
+    labelled row all predictions are ``und``. Repeated rows and null ids are predicted like others. Another ``key`` than doc_id
+    comes back as it is: a struct of all columns carries whole rows through.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: languages x centroids x dimensions
 
@@ -126,6 +127,6 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
                     rejected = ~known | (score < m["limits"][lang])
                 else:
                     score, names, rejected = np.zeros(len(part)), ["und"] * len(part), np.ones(len(part), bool)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 256), pa.array(names), pa.array(score), pa.array(rejected)], ["doc_id", "lang_pred", "score", "rejected"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(part)), pa.array(names), pa.array(score), pa.array(rejected)], [key, "lang_pred", "score", "rejected"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_bytes()).mapInArrow(run, "doc_id bigint, lang_pred string, score double, rejected boolean")
+    return keyed(docs, key).mapInArrow(run, keyed_schema(docs, key, "lang_pred string, score double, rejected boolean"))

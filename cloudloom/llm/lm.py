@@ -17,6 +17,7 @@ from the same parameters and whose results are averaged.
 from __future__ import annotations
 
 import math
+import uuid
 from functools import lru_cache
 from itertools import chain
 
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import attention
-from .common import as_text, hash_words, materialise, parts_of_batch, release_memory, split_words, text_bytes
+from .common import as_text, drawn, hash_words, materialise, parts_of_batch, release_memory, split_words, text_bytes
 
 END = b""  # no word is empty, so the end can share the words' table
 CONTEXT, STRIDE = 16, 32
@@ -414,13 +415,13 @@ def fit(train: DataFrame, path: str, words: int = 1 << 20) -> tuple[dict, DataFr
     texts = train.select(text_bytes(), F.xxhash64(F.monotonically_increasing_id()).alias("deal"))
     spelled = tallies.where("ids is not null").select("ids", F.xxhash64("key").alias("deal"))
     for name, rows, n in (("stream", texts, n_tokens), ("spelling", spelled, rare * 5)):  # a word has about five subwords
-        begin = rows.where(F.pmod(F.xxhash64("deal"), F.lit(1_000_000)) < min(1_000_000, START * 1_000_000 // max(1, n)))
+        begin = drawn(rows, "deal", START / max(1, n))
         model = _train_round(begin, model, name, 1, epochs=4, rate=0.01, expected=min(START, n))
         model = _train_round(rows, model, name, max(1, -(-n // TASK)), epochs=1, rate=0.003, expected=min(TASK, n))
     return model, counts.select("key", "n"), int(n_tokens), int(distinct)
 
 
-_scorers: dict[int, Scorer] = {}
+_scorers: dict[str, Scorer] = {}
 
 
 def score(docs: DataFrame, train: DataFrame, path: str, words: int = 1 << 20) -> DataFrame:
@@ -431,13 +432,13 @@ def score(docs: DataFrame, train: DataFrame, path: str, words: int = 1 << 20) ->
     documents N = V = 0 and the untrained model scores.
     """
     model, counts, total, distinct = fit(train, path, words)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex  # a worker keeps the last scorer by this name
 
     def run(batches):
-        if id(sent) not in _scorers:
+        if name not in _scorers:
             _scorers.clear()
-            _scorers[id(sent)] = Scorer(sent.value)
-        scorer = _scorers[id(sent)]
+            _scorers[name] = Scorer(sent.value)
+        scorer = _scorers[name]
         for b in batches:
             for part in parts_of_batch(b, 2, PART):
                 score, n, known, logs, keys, times, free, gain, cut = scorer.score(part.column(2))

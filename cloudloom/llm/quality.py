@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, stable_hash, text_bytes
+from .common import Memo, drawn, keyed, keyed_schema, stable_hash, text_bytes
 
 WORD_BUCKETS = 1 << 14
 STATS, BINS = 12, 10
@@ -111,7 +111,7 @@ def fit(labelled: DataFrame, threshold: float = 0.7, sample: int = 8000) -> dict
     """
     rows = labelled.where("quality in (0, 1)")
     n = rows.count()
-    drawn = rows.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < min(1_000_000, sample * 1_000_000 // max(1, n)))
+    taken = drawn(rows, "key", sample / max(1, n))
 
     def features(batches):
         make = Featuriser()
@@ -120,7 +120,7 @@ def fit(labelled: DataFrame, threshold: float = 0.7, sample: int = 8000) -> dict
             cols = [b.column(0), b.column(2), pa.array([i.astype("<i4").tobytes() for i, _ in got], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in got], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, ["key", "quality", "ids", "x"])
 
-    got = drawn.select("key", text_bytes(), F.col("quality").cast("int")).mapInArrow(features, "key string, quality int, ids binary, x binary").toArrow().to_pandas()
+    got = taken.select("key", text_bytes(), F.col("quality").cast("int")).mapInArrow(features, "key string, quality int, ids binary, x binary").toArrow().to_pandas()
     got = got.sort_values(["key", "ids"], kind="stable")
     data = [(np.frombuffer(i, "<i4"), np.frombuffer(v, "<f4")) for i, v in zip(got["ids"], got["x"])]  # views, no copies
     y = got["quality"].to_numpy(float)
@@ -143,11 +143,12 @@ def fit(labelled: DataFrame, threshold: float = 0.7, sample: int = 8000) -> dict
     return model | {"threshold": threshold}
 
 
-def score(docs: DataFrame, model: dict) -> DataFrame:
+def score(docs: DataFrame, model: dict, key: str = "doc_id") -> DataFrame:
     """doc_id, score (0 to 1) and predicted (1 from the threshold on) of every whole text.
 
     Null counts as the empty text, whose statistics alone are scored. Repeated rows and null ids are scored like
-    others; columns besides doc_id and text are not read.
+    others; columns besides doc_id and text are not read. Another ``key`` than doc_id comes back as it is, such as a struct of
+    all columns.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: FEATURES x rank
 
@@ -158,6 +159,6 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             for at in range(0, len(raws), 256):
                 z = logits(m, *stacked([make(r) for r in raws[at : at + 256]]))
                 s = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 256), pa.array(s), pa.array((s >= m["threshold"]).astype(np.int32))], ["doc_id", "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 256), pa.array(s), pa.array((s >= m["threshold"]).astype(np.int32))], [key, "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_bytes()).mapInArrow(run, "doc_id bigint, score double, predicted int")
+    return keyed(docs, key).mapInArrow(run, keyed_schema(docs, key, "score double, predicted int"))
