@@ -233,3 +233,89 @@ def test_settings_are_as_before(spark):
     before = spark.conf.get("spark.sql.cteRecursionRowLimit")
     queries.op13_merkle_manifest(spark, SMALL)
     assert spark.conf.get("spark.sql.cteRecursionRowLimit") == before
+
+
+# ---------------------------------------------------------------- samples, workers, rows carried through, licenses
+
+
+def test_a_rate_far_below_a_millionth_still_draws(spark):
+    """As where a table of 1e10 rows gives a sample of 5,000: of 40 million rows about 20 are drawn."""
+    from cloudloom.llm.common import drawn
+
+    assert 5 < drawn(spark.range(40_000_000), "id", 5_000 / 10_000_000_000).count() < 45
+    assert drawn(spark.range(1_000), "id", 6_000 / 1_000).count() == 1_000
+
+
+def test_each_model_scores_by_itself_in_reused_workers(spark):
+    """Two scorings of one session, planned before either runs, don't meet each other's model."""
+    from cloudloom.llm import lm
+
+    docs = spark.createDataFrame([(1, "a b c a b c"), (2, "x y z")], "doc_id bigint, text string")
+    other = spark.createDataFrame([(k, "x y z x y z") for k in range(30)], "doc_id bigint, text string")
+    path = queries.tokenizer("byte_bpe_50k.json")
+    alone = {r.doc_id: r.score for r in lm.score(docs, other, path).collect()}
+    between = {r.doc_id: r.score for r in lm.score(docs, docs, path).collect()}
+    again = {r.doc_id: r.score for r in lm.score(docs, other, path).collect()}
+    assert alone == pytest.approx(again) and abs(alone[2] - between[2]) > 0.1
+
+
+def test_row_stages_carry_whole_rows_through(spark):
+    """Nulls, repeated rows, nested and oddly named columns come back as they were, but for the rows that go."""
+    import corpus_pipeline
+
+    text = "the quick brown fox jumps over the lazy dog while seven wizards mix a potion tonight"
+    rows = [(1, text, "en", {"k": [1, None]}, 1), (1, text, "en", {"k": [1, None]}, 1), (None, text, None, None, None), (4, None, "en", {}, 2), (5, "", "en", None, 3), (6, text + " indeed", "en", None, 4)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, `a.b c` map<string,array<int>>, doc int")
+    first = corpus_pipeline.language_id(spark, docs, SMALL)
+    assert first.schema.names == docs.schema.names
+    assert sorted(map(repr, first.collect())) == sorted(repr(r) for r in docs.collect() if r.text)
+    clean = corpus_pipeline.benchmark_decontamination(spark, docs, SMALL)
+    assert sorted(map(repr, clean.collect())) == sorted(map(repr, docs.collect()))
+    kept = corpus_pipeline.near_duplicates(spark, docs, SMALL)
+    assert [f.dataType for f in kept.schema] == [f.dataType for f in docs.schema]
+    assert sorted((r.doc_id is None, r.doc_id) for r in kept.collect() if r.text and not r.text.endswith("indeed"))[:1] == [(False, 1)]
+
+
+@pytest.mark.parametrize("name", ["MIT-text", "BSD-2-text", "ISC-text", "GPL", "MIT"])
+def test_a_template_is_found_whatever_place_words_are_put_in(name):
+    from cloudloom.llm import licenses
+
+    scanner = licenses.Scanner({name: licenses.TEMPLATES[name]}, 6, 0.8)
+    words = licenses.TEMPLATES[name].split()
+    before = [f"lead{i}" for i in range(40)]
+    for more in (1, 5, 12, 20, 30, len(words) // 2):
+        if more > len(words) // 2:
+            continue
+        for at in range(1, len(words)):
+            text = before + words[:at] + [f"in{i}" for i in range(more)] + words[at:] + before
+            got = scanner(" ".join(text).encode())
+            assert [m[0] for m in got] == [name] and got[0][2] >= 0.8, (name, more, at)
+
+
+def test_license_scan_against_alignment_on_every_diagonal(spark):
+    """Random texts of pieces of templates: what covers 0.8 of a template in one go is found, and nothing else."""
+    import random
+
+    from cloudloom.llm import licenses
+
+    rng, names = random.Random(5), ["MIT", "ISC", "GPL", "BSD-2-text"]
+    scanner = licenses.Scanner({n: licenses.TEMPLATES[n] for n in names}, 6, 0.8)
+
+    def subsequence(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            left, row = row, [0]
+            for j, y in enumerate(b):
+                row.append(left[j] + 1 if x == y else max(row[j], left[j + 1]))
+        return row[-1]
+
+    for case in range(40):
+        name = rng.choice(names)
+        words = licenses.words_of(licenses.TEMPLATES[name].encode())
+        cut = [w for w in words if rng.random() < rng.choice((1.0, 0.97, 0.55))]
+        text = [b"noise%d" % rng.randrange(99) for _ in range(50)] + cut + [b"noise%d" % rng.randrange(99) for _ in range(50)]
+        whole = {n: subsequence(t, text) / len(t) for n, t in scanner.words.items()}
+        got = {m[0]: m[2] for m in scanner(b" ".join(text))}
+        assert set(got) <= {n for n, c in whole.items() if c >= 0.8}, case
+        if len(cut) >= 0.93 * len(words):
+            assert name in got and got[name] <= whole[name], case
