@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloudloom.functions.tables import discard, materialise
-from cloudloom.operators.neighbors import radius_edges
 
 AXES = ["x", "y", "z"]
 
@@ -39,16 +38,93 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 40) -> Data
     raise RuntimeError(f"components: not settled after {max_rounds} rounds")
 
 
-def label_components(points: DataFrame, radius: float, least: int, label: str = "label") -> DataFrame:
+#: Pairs of points up to which two neighbouring cells are compared point by point instead of by halves of the cells.
+DIRECT = 1_024
+CELL = ["cloud_id", "_l", "_cx", "_cy", "_cz"]
+
+
+def _boxes(points: DataFrame, side: float) -> DataFrame:
+    """One row a cell: its number of points, least point id and the box that its points span."""
+    cells = points.withColumns({f"_c{a}": F.floor(F.col(a) / side) for a in AXES})
+    ends = [f(a).alias(f"_{n}{a}") for a in AXES for n, f in (("lo", F.min), ("hi", F.max))]
+    return cells.groupBy(*CELL).agg(F.count("*").alias("_n"), F.min("point_id").alias("_id"), *ends)
+
+
+def _side(boxes: DataFrame, which: str) -> DataFrame:
+    """The columns of one side of a pair of cells, all but the cloud and the label with a prefix."""
+    return boxes.select("cloud_id", "_l", *[F.col(c).alias(which + c) for c in boxes.columns if c not in ("cloud_id", "_l")])
+
+
+def cell_links(points: DataFrame, radius: float, direct: int = DIRECT, max_rounds: int = 40) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Cells (CELL, _id) of a diagonal within the radius and links (cloud_id, src, dst), both ways, between the ids of cells that hold
+    points (cloud_id, _l, point_id, x, y, z) nearer than the radius to each other.
+
+    Points of a cell needn't be compared at all. Two cells are linked at once if even the farthest corners of their boxes are
+    near enough, and parted if the nearest aren't; few points are compared one by one; else halves of the cells are compared
+    in the next round, so crowded cells don't meet point by point. Equal points have a box without extent, which is always
+    near or far; the last round, with cells below a double's precision, compares what is left. Also the tables written on the way.
+    """
+    side, limit = radius / 3**0.5 * (1 - 1e-9), radius * radius
+    boxes = materialise(_boxes(points, side))
+    cells = boxes.select(*CELL, "_id")
+    offsets = [(i, j, k) for i in range(-2, 3) for j in range(-2, 3) for k in range(-2, 3) if (i, j, k) > (0, 0, 0) and min(map(abs, (i, j, k))) < 2]
+    around = F.explode(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip("ijk", o)]) for o in offsets]))
+    first = _side(boxes, "a").withColumn("_o", around).withColumns({f"b_c{a}": F.col(f"a_c{a}") + F.col(f"_o.{k}") for a, k in zip(AXES, "ijk")}).drop("_o")
+    pairs = first.join(_side(boxes, "b"), ["cloud_id", "_l", *[f"b_c{a}" for a in AXES]]).withColumns({"src": F.col("a_id"), "dst": F.col("b_id")})
+    gap = [F.greatest(F.col(f"a_lo{a}") - F.col(f"b_hi{a}"), F.col(f"b_lo{a}") - F.col(f"a_hi{a}"), F.lit(0.0)) for a in AXES]
+    reach = [F.greatest(F.col(f"a_hi{a}") - F.col(f"b_lo{a}"), F.col(f"b_hi{a}") - F.col(f"a_lo{a}")) for a in AXES]
+    square = lambda parts: sum((v**2 for v in parts), F.lit(0.0))
+    way = lambda last: F.when(square(reach) < limit, "linked").when((F.col("a_n") * F.col("b_n") <= direct) | F.lit(last), "few").otherwise("many")
+    keys = ["cloud_id", "_l", "src", "dst", *[f"{w}_c{a}" for w in "ab" for a in AXES]]
+    links, scratch, scale = None, [boxes], 1
+    for turn in range(max_rounds):
+        judged = materialise(pairs.where(square(gap) < limit).select(*keys, way(turn == max_rounds - 1).alias("_way")))
+        scratch.append(judged)
+        own = points.withColumns({f"_c{a}": F.floor(F.col(a) / (side / scale)) for a in AXES}).select(*CELL, *AXES)
+        few = judged.where("_way = 'few'").drop("_way").join(_side(own, "a"), ["cloud_id", "_l", *[f"a_c{a}" for a in AXES]]).join(_side(own, "b"), ["cloud_id", "_l", *[f"b_c{a}" for a in AXES]])
+        near = few.where(square([F.col(f"a{a}") - F.col(f"b{a}") for a in AXES]) < limit).select("cloud_id", "src", "dst")
+        found = materialise(judged.where("_way = 'linked'").select("cloud_id", "src", "dst").unionByName(near).distinct())
+        scratch.append(found)
+        links = found if links is None else links.unionByName(found)
+        many = judged.where("_way = 'many'").drop("_way").join(found, ["cloud_id", "src", "dst"], "left_anti")  # one way to a link is enough
+        if many.isEmpty():
+            break
+        scale *= 2
+        held = [many.select("cloud_id", "_l", *[F.col(f"{w}_c{a}").alias(f"_c{a}") for a in AXES]) for w in "ab"]
+        crowded = points.withColumns({f"_c{a}": F.floor(F.col(a) / (side / (scale // 2))) for a in AXES}).join(held[0].unionByName(held[1]).distinct(), CELL, "left_semi")
+        finer = materialise(_boxes(crowded.drop("_cx", "_cy", "_cz"), side / scale))
+        scratch.append(finer)
+        halves = lambda w: _side(finer, w).withColumns({f"_p{w}{a}": F.shiftright(f"{w}_c{a}", 1) for a in AXES})
+        up = lambda w: [f"_p{w}{a}" for a in AXES]
+        parents = many.withColumnsRenamed({f"{w}_c{a}": f"_p{w}{a}" for w in "ab" for a in AXES})
+        pairs = parents.join(halves("a"), ["cloud_id", "_l", *up("a")]).join(halves("b"), ["cloud_id", "_l", *up("b")])
+    both = links.unionByName(links.select("cloud_id", F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return cells, both, scratch
+
+
+def label_components(points: DataFrame, radius: float, least: int, label: str = "label", direct: int = DIRECT) -> DataFrame:
     """Clusters of points of one label within the radius; those of fewer than ``least`` points go. Clusters of a cloud
-    are numbered by their first points."""
-    near = radius_edges(points, points, radius, include_self=False)
-    labels = points.select("cloud_id", "point_id", F.col(label).alias("_l"))
-    same = near.join(labels.withColumnsRenamed({"point_id": "src", "_l": "_a"}), ["cloud_id", "src"]).join(labels.withColumnsRenamed({"point_id": "dst", "_l": "_b"}), ["cloud_id", "dst"]).where("_a = _b")
-    roots = components(points, same)
-    big = roots.withColumn("_n", F.count("*").over(Window.partitionBy("cloud_id", "root"))).where(F.col("_n") >= least)
-    number = F.dense_rank().over(Window.partitionBy("cloud_id").orderBy("root")) - 1
-    return points.join(big.withColumn("cluster", number).select("cloud_id", "point_id", "cluster"), ["cloud_id", "point_id"])
+    are numbered by their first points. A point with a null label or coordinate, or NaN, is a cluster by itself.
+
+    Cells of a diagonal within the radius are joined by ``cell_links``, so a crowded place costs no pairs of its points.
+    """
+    usable = F.lit(True)
+    for a in AXES:
+        usable = usable & F.col(a).isNotNull() & ~F.isnan(F.col(a).cast("double"))
+    rows = points.select("cloud_id", "point_id", F.col(label).alias("_l"), *[F.col(a).cast("double").alias(a) for a in AXES], F.coalesce(usable & F.col(label).isNotNull(), F.lit(False)).alias("_ok"))
+    placed = rows.where("_ok")
+    cells, links, written = cell_links(placed, radius, direct)
+    groups = components(cells.select("cloud_id", F.col("_id").alias("point_id")), links)
+    for table in written[1:]:  # the first has the cells
+        discard(table)
+    side = radius / 3**0.5 * (1 - 1e-9)
+    of_cell = cells.join(groups.select("cloud_id", F.col("point_id").alias("_id"), "root"), ["cloud_id", "_id"])
+    roots = placed.withColumns({f"_c{a}": F.floor(F.col(a) / side) for a in AXES}).join(of_cell, CELL).select("cloud_id", "point_id", "root")
+    roots = roots.unionByName(rows.where("not _ok").select("cloud_id", "point_id", F.col("point_id").alias("root")))
+    sizes = roots.groupBy("cloud_id", "root").agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
+    number = F.dense_rank().over(Window.partitionBy("cloud_id").orderBy("root")) - 1  # over clusters, not points
+    numbered = sizes.select("cloud_id", "root", number.alias("cluster"))
+    return points.join(roots.join(numbered, ["cloud_id", "root"]).select("cloud_id", "point_id", "cluster"), ["cloud_id", "point_id"])
 
 
 def shifted_centres(df: DataFrame, bias: Sequence[str], size: float) -> DataFrame:
