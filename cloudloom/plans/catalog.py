@@ -41,4 +41,4 @@ def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["e6_miou_after_grid"](spark, sf_dir)
 
 
-from . import evaluation, frames, geometry, grids, labels, matching, meshes, sampling, series, transforms  # noqa: E402, F401  each registers its queries
+from . import evaluation, frames, geometry, grids, labels, matching, meshes, poses, sampling, series, transforms  # noqa: E402, F401  each registers its queries
