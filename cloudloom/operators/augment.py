@@ -86,7 +86,7 @@ def colour_shift(df: DataFrame, p: float, ratio: float, seed: int, channels=("r"
 def colour_jitter(df: DataFrame, brightness: float, contrast: float, saturation: float, channels=("r", "g", "b")) -> DataFrame:
     """Brightness, then contrast (blended with the cloud's mean grey), then saturation (with the point's own grey)."""
     clip = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(255.0))
-    grey = lambda d: sum((F.col(c) * w for c, w in zip(channels, (0.2989, 0.587, 0.114))), F.lit(0.0))
+    grey = lambda d: sum((F.col(c) * w for c, w in zip(channels, GREY)), F.lit(0.0))
     out = df.withColumns({c: clip(F.col(c) * brightness) for c in channels})
     out = out.withColumn("_mean", F.avg(grey(out)).over(per_cloud()))
     out = out.withColumns({c: clip(F.col(c) * contrast + F.col("_mean") * (1 - contrast)) for c in channels})
@@ -94,6 +94,52 @@ def colour_jitter(df: DataFrame, brightness: float, contrast: float, saturation:
     return out.withColumns({c: clip(F.col(c) * saturation + F.col("_grey") * (1 - saturation)) for c in channels}).drop("_mean", "_grey")
 
 
+#: The grey of a colour.
+GREY = (0.2989, 0.587, 0.114)
+
+
+def turn_hue(rgb: Sequence[Column], turn: Column) -> list[Column]:
+    """Colours of 0 to 255 with their hue moved by a share of the circle; greys stay."""
+    r, g, b = rgb
+    top, spread = F.greatest(*rgb), F.greatest(*rgb) - F.least(*rgb)
+    sixth = F.when(top == r, (g - b) / spread).when(top == g, 2 + (b - r) / spread).otherwise(4 + (r - g) / spread)
+    sixth = F.when(spread > 0, sixth).otherwise(0.0) + 6 * turn + 12  # above 0 for turns of up to one
+
+    def channel(n: int) -> Column:
+        k = (sixth + n) % 6
+        return top - spread * F.greatest(F.least(k, 4 - k, F.lit(1.0)), F.lit(0.0))
+
+    return [channel(n) for n in (5, 3, 1)]
+
+
+def random_colour_jitter(df: DataFrame, seed: int, brightness: tuple[float, float] | None = None, contrast: tuple[float, float] | None = None, saturation: tuple[float, float] | None = None, hue: tuple[float, float] | None = None, p: float = 0.95, channels=("r", "g", "b")) -> DataFrame:
+    """Brightness, contrast (against the cloud's mean grey), saturation (against the point's grey) and hue, in an order that each
+    cloud draws, each with probability p and by an amount drawn for the cloud from its range; a step without a range is left out.
+
+    Colours go from 0 to 255 and are cut to it. The mean grey is that of the colours as the steps before left them. All steps
+    share the exchange by cloud. A null colour stays null and doesn't count for the mean; hue makes all three null then.
+    """
+    ranges = {k: r for k, r in enumerate((brightness, contrast, saturation, hue)) if r is not None}
+    for k, (low, high) in ranges.items():
+        if not (-0.5 <= low <= high <= 0.5 if k == 3 else 0 <= low <= high):
+            raise ValueError("a range runs upwards, from -0.5 to 0.5 for hue and from 0 for the others")
+    clip = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(255.0))
+    rgb = [F.col(c) for c in channels]
+    grey = sum((c * w for c, w in zip(rgb, GREY)), F.lit(0.0))
+    order = F.transform(F.array_sort(F.array(*[F.struct(draw(seed + k, "cloud_id").alias("at"), F.lit(k).alias("step")) for k in ranges])), lambda s: s.step) if ranges else F.array()
+    out = df.withColumn("_order", order)
+    for place in range(len(ranges)):
+        step = F.get("_order", F.lit(place))
+        out = out.withColumns({"_step": F.when(F.element_at(F.array(*[draw(seed + 4 + k, "cloud_id") < p for k in range(4)]), step + 1), step), "_grey": grey})
+        out = out.withColumn("_amount", F.element_at(F.array(*[lo + draw(seed + 8 + k, "cloud_id") * (hi - lo) for k, (lo, hi) in ((k, ranges.get(k, (0.0, 0.0))) for k in range(4))]), F.col("_step") + 1))
+        out = out.withColumn("_mean", F.avg("_grey").over(per_cloud()))
+        a = F.col("_amount")
+        against = F.when(F.col("_step") == 0, 0.0).when(F.col("_step") == 1, F.col("_mean")).when(F.col("_step") == 2, F.col("_grey"))
+        hued = turn_hue(rgb, a)
+        out = out.withColumns({c: F.when(F.col("_step").isNull(), rgb[i]).when(F.col("_step") == 3, hued[i]).otherwise(clip(a * rgb[i] + (1 - a) * against)) for i, c in enumerate(channels)})
+    return out.select(df.columns)
+
+
 def drop_ribs_randomly(df: DataFrame, most: int, seed: int, min_points: int = 0, label: str = "rib") -> DataFrame:
     """Drop a drawn number of rib pairs (up to most, and up to the pairs present) from a drawn end of each cloud."""
     number = F.when(F.col(label) > 12, F.col(label) - 12).when(F.col(label) > 0, F.col(label))
@@ -117,18 +163,19 @@ def align_rooms(df: DataFrame, rooms: DataFrame) -> DataFrame:
     return rotate_clouds(out, "z", F.coalesce((2 - F.col("_angle") / 180) * F.pi(), F.lit(0.0))).drop("_angle")
 
 
-def elastic(df: DataFrame, granularity: float, magnitude: float, seed: int) -> DataFrame:
+def elastic(df: DataFrame, granularity: float, magnitude: float, seed: int, gate: Column | None = None) -> DataFrame:
     """Move points by a smooth noise field: normal draws at the nodes of a grid, blurred twice by a box of three nodes along each
     axis (zero outside the grid), and interpolated trilinearly.
 
     Only nodes next to points are worked out, each from the draws of the up to 125 nodes around it, so the work goes with the
-    occupied cells and no grid is built.
+    occupied cells and no grid is built. Clouds whose ``gate`` doesn't hold stay as they are.
     """
     low = {f"_{a}": F.min(a).over(per_cloud()) for a in "xyz"}
     size = {f"_d{a}": F.floor((F.max(a).over(per_cloud()) - F.min(a).over(per_cloud())) / granularity).cast("bigint") + 3 for a in "xyz"}
     out = df.withColumns(low | size).withColumns({f"_u{a}": (F.col(a) - F.col(f"_{a}")) / granularity + 1 for a in "xyz"})
     corner = F.explode(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip("ijk", c)]) for c in ((i, j, k) for i in (0, 1) for j in (0, 1) for k in (0, 1))])).alias("_c")
-    at = out.select("cloud_id", "point_id", *size, *[f"_u{a}" for a in "xyz"], corner)
+    moving = out if gate is None else out.where(gate)
+    at = moving.select("cloud_id", "point_id", *size, *[f"_u{a}" for a in "xyz"], corner)
     at = at.withColumns({f"_n{a}": F.floor(f"_u{a}").cast("bigint") + F.col(f"_c.{k}") for a, k in zip("xyz", "ijk")})
     share = lambda a, k: F.when(F.col(f"_c.{k}") == 1, F.col(f"_u{a}") - F.floor(f"_u{a}")).otherwise(1 - (F.col(f"_u{a}") - F.floor(f"_u{a}")))
     at = at.withColumn("_w", share("x", "i") * share("y", "j") * share("z", "k"))
@@ -142,7 +189,16 @@ def elastic(df: DataFrame, granularity: float, magnitude: float, seed: int) -> D
     weight = F.col("_bx") * F.col("_by") * F.col("_bz")
     field = around.groupBy(*key).agg(*[F.sum(weight * normal_draw(seed + k, "cloud_id", "_sx", "_sy", "_sz")).alias(f"_f{a}") for k, a in enumerate("xyz")])
     moves = at.join(field, key).groupBy("cloud_id", "point_id").agg(*[F.sum(F.col("_w") * F.col(f"_f{a}")).alias(f"_m{a}") for a in "xyz"])
-    return df.join(moves, ["cloud_id", "point_id"]).withColumns({a: F.col(a) + F.col(f"_m{a}") * magnitude for a in "xyz"}).select(df.columns)
+    return df.join(moves, ["cloud_id", "point_id"], "left").withColumns({a: F.col(a) + F.coalesce(F.col(f"_m{a}"), F.lit(0.0)) * magnitude for a in "xyz"}).select(df.columns)
+
+
+def elastic_rounds(df: DataFrame, rounds: Sequence[tuple[float, float]] = ((0.2, 0.4), (0.8, 1.6)), p: float = 0.95, seed: int = 0) -> DataFrame:
+    """With probability p a cloud goes through one distortion after the other, each of a granularity and a magnitude, in which
+    the later ones start from the points that the earlier ones moved."""
+    out, gate = df, draw(seed, "cloud_id") < p
+    for k, (granularity, magnitude) in enumerate(rounds):
+        out = elastic(out, granularity, magnitude, seed + 1 + 3 * k, gate)
+    return out
 
 
 def views(df: DataFrame, seed: int, global_views: int = 2, global_scale=(0.4, 1.0), local_views: int = 4, local_scale=(0.1, 0.4), most: int = 65536, height=(0.0, 1.0)) -> DataFrame:

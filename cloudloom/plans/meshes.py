@@ -27,6 +27,29 @@ def _(spark, d):
     return rounded(augment.colour_jitter(coloured(spark, d), 1.2, 0.8, 1.5).select("cloud_id", "point_id", "r", "b"), "r", "b", digits=4)
 
 
+def jittered_sql(ranges, p, seed):
+    """Common tables up to j4: the steps in a drawn order, hue by the six sectors of the colour circle."""
+    at = lambda k: draw_sql(seed + k, "cloud_id")
+    drawn = [f"{' + '.join(f'({at(o)} < {at(k)})::int' for o in range(4) if o != k)} AS p{k}, {at(4 + k)} < {p} AS on{k}, {lo} + {at(8 + k)} * ({hi} - {lo}) AS a{k}" for k, (lo, hi) in enumerate(ranges)]
+    tables = [f"j0 AS (SELECT cloud_id, point_id, x*5 AS r, y*25 AS g, z*30 AS b, {', '.join(drawn)} FROM pts)"]
+    for n in range(4):
+        on = lambda k: f"p{k} = {n} AND on{k}"  # noqa: E731, B023
+        tables.append(f"g{n} AS (SELECT *, avg(gr) OVER (PARTITION BY cloud_id) AS mg, CASE WHEN mx = mn THEN 0 WHEN mx = r THEN (g - b)/(mx - mn) WHEN mx = g THEN 2 + (b - r)/(mx - mn) ELSE 4 + (r - g)/(mx - mn) END/6 + a3 AS hx FROM (SELECT *, 0.2989*r + 0.587*g + 0.114*b AS gr, greatest(r, g, b)::double AS mx, least(r, g, b)::double AS mn FROM j{n}))")
+        tables.append(f"h{n} AS (SELECT *, floor(h6)::int AS sector, mx - (mx - mn)*(h6 - floor(h6)) AS fall, mx - (mx - mn)*(1 - h6 + floor(h6)) AS rise FROM (SELECT *, 6*(hx - floor(hx)) AS h6 FROM g{n}))")
+        sectors = {"r": ("mx", "fall", "mn", "mn", "rise", "mx"), "g": ("rise", "mx", "mx", "fall", "mn", "mn"), "b": ("mn", "mn", "rise", "mx", "mx", "fall")}
+        step = lambda c: f"CASE WHEN {on(0)} THEN least(greatest(a0*{c}, 0), 255) WHEN {on(1)} THEN least(greatest(a1*{c} + (1 - a1)*mg, 0), 255) WHEN {on(2)} THEN least(greatest(a2*{c} + (1 - a2)*gr, 0), 255) WHEN {on(3)} THEN CASE sector {' '.join(f'WHEN {i} THEN {v}' for i, v in enumerate(sectors[c]))} ELSE {sectors[c][0]} END ELSE {c} END"  # noqa: E731, B023
+        tables.append(f"j{n + 1} AS (SELECT cloud_id, point_id, {', '.join(f'{step(c)} AS {c}' for c in 'rgb')}, {', '.join(f'p{k}, on{k}, a{k}' for k in range(4))} FROM h{n})")
+    return ", ".join(tables)
+
+
+JITTER = ((0.6, 1.4), (0.6, 1.4), (0.5, 1.5), (-0.3, 0.3))
+
+
+@query("p44_random_colour_jitter", f"WITH {jittered_sql(JITTER, 0.7, 440)} SELECT cloud_id, point_id, {', '.join(f'round({c}, 4) + 0.0 AS {c}' for c in 'rgb')} FROM j4")
+def _(spark, d):
+    return rounded(augment.random_colour_jitter(coloured(spark, d), 440, *JITTER, p=0.7), "r", "g", "b", digits=4)
+
+
 @query("p66_box_edges", """WITH bx AS (SELECT cloud_id AS id, min(x)::bigint x0, min(y)::bigint y0, min(z)::bigint z0, max(x)::bigint x1, max(y)::bigint y1, max(z)::bigint z1 FROM pts WHERE instance = 3 GROUP BY 1),
  g AS (SELECT id, x, y, z, (x IN (x0,x1))::int + (y IN (y0,y1))::int + (z IN (z0,z1))::int AS k FROM bx, range(0, 60) a(x), range(0, 12) b(y), range(0, 12) c(z) WHERE x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 AND z BETWEEN z0 AND z1) SELECT id, x, y, z FROM g WHERE k >= 2""")
 def _(spark, d):

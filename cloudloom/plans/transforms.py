@@ -190,6 +190,27 @@ def _(spark, d):
     return rounded(augment.elastic(points(spark, d), 4.0, 8.0, 70).select("cloud_id", "point_id", "x", "y", "z"), "x", "y", "z", digits=5)
 
 
+def elastic_sql(source: str, granularity: float, magnitude: float, seed: int, n: int, gate: str = "true") -> str:
+    """Common tables up to el{n}: source's cloud_id, point_id, x, y, z after a distortion; a cloud outside the gate stays."""
+    t = lambda name: f"{name}{n}"
+    size = lambda c: f"floor((max({c}) OVER w - min({c}) OVER w)/{granularity})::bigint + 3 AS d{c}"
+    share = " * ".join(f"abs(1 - {k} - (u{c} - floor(u{c})))" for c, k in zip("xyz", "ijk"))
+    near = " * ".join(f"(least(n{c}+1, s{c}+1, d{c}-1) - greatest(n{c}-1, s{c}-1, 0) + 1)/9.0::double" for c in "xyz")
+    field = ", ".join(f"sum(wt * {normal_sql(seed + k, 'cloud_id', 'sx', 'sy', 'sz')}) AS f{c}" for k, c in enumerate("xyz"))
+    return f"""{t("u")} AS (SELECT *, {", ".join(f"({c} - min({c}) OVER w)/{granularity} + 1 AS u{c}, {size(c)}" for c in "xyz")} FROM {source} WINDOW w AS (PARTITION BY cloud_id)),
+ {t("a")} AS (SELECT cloud_id, point_id, dx, dy, dz, {", ".join(f"floor(u{c})::bigint + {k} AS n{c}" for c, k in zip("xyz", "ijk"))}, {share} AS wt FROM {t("u")}, range(2) t1(i), range(2) t2(j), range(2) t3(k) WHERE {gate}),
+ {t("nd")} AS (SELECT DISTINCT cloud_id, nx, ny, nz, dx, dy, dz FROM {t("a")}),
+ {t("sr")} AS (SELECT cloud_id, nx, ny, nz, sx, sy, sz, {near} AS wt FROM (SELECT *, nx + i AS sx, ny + j AS sy, nz + k AS sz FROM {t("nd")}, range(-2, 3) t1(i), range(-2, 3) t2(j), range(-2, 3) t3(k)) WHERE {" AND ".join(f"s{c} BETWEEN 0 AND d{c}-1" for c in "xyz")}),
+ {t("f")} AS (SELECT cloud_id, nx, ny, nz, {field} FROM {t("sr")} GROUP BY 1, 2, 3, 4),
+ {t("m")} AS (SELECT a.cloud_id, point_id, {", ".join(f"sum(wt * f{c}) AS m{c}" for c in "xyz")} FROM {t("a")} a JOIN {t("f")} f ON f.cloud_id = a.cloud_id AND f.nx = a.nx AND f.ny = a.ny AND f.nz = a.nz GROUP BY 1, 2),
+ {t("el")} AS (SELECT p.cloud_id, p.point_id, {", ".join(f"{c} + coalesce(m{c}, 0) * {magnitude} AS {c}" for c in "xyz")} FROM {source} p LEFT JOIN {t("m")} m ON m.cloud_id = p.cloud_id AND m.point_id = p.point_id)"""
+
+
+@query("r29_elastic_rounds", f"WITH {elastic_sql('pts', 4.0, 2.0, 292, 0, draw_sql(291, 'cloud_id') + ' < 0.6')}, {elastic_sql('el0', 16.0, 6.0, 295, 1, draw_sql(291, 'cloud_id') + ' < 0.6')} SELECT cloud_id, point_id, {', '.join(f'round({c}, 5) + 0.0 AS {c}' for c in 'xyz')} FROM el1")
+def _(spark, d):
+    return rounded(augment.elastic_rounds(points(spark, d), ((4.0, 2.0), (16.0, 6.0)), 0.6, 291).select("cloud_id", "point_id", "x", "y", "z"), "x", "y", "z", digits=5)
+
+
 @query("u5_protected", "WITH c AS (SELECT *, row_number() OVER (PARTITION BY cloud_id, floor(x/8), floor(y/8), floor(z/8) ORDER BY point_id) AS r FROM pts) SELECT cloud_id, point_id FROM c WHERE r = 1 OR rib = 5")
 def _(spark, d):
     return grid.representatives(grid.cells(points(spark, d), 8.0), protected=F.col("rib") == 5).select("cloud_id", "point_id")

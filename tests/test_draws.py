@@ -30,3 +30,34 @@ def test_elastic_noise_varies_along_each_axis(spark, axis):
     before = {a: 8.0 * np.arange(12) if a == axis else np.zeros(12) for a in "xyz"}
     for a in "xyz":
         assert np.std(moved[a] - before[a]) > 0.05, a
+
+
+@pytest.mark.parametrize("turn", [-0.5, -0.2, 0.0, 0.31, 0.5])
+def test_hue_as_the_standard_library_has_it(spark, turn):
+    import colorsys
+
+    colours = [(255.0, 0.0, 0.0), (0.0, 255.0, 0.0), (12.0, 200.0, 201.0), (40.0, 40.0, 40.0), (0.0, 0.0, 0.0), (90.0, 3.0, 90.0), (7.0, 7.0, 250.0)]
+    df = spark.createDataFrame(colours, "r double, g double, b double")
+    got = df.select("r", "g", "b", *[c.alias(f"new_{n}") for n, c in zip("rgb", augment.turn_hue([F.col(c) for c in "rgb"], F.lit(turn)))]).collect()
+    for r in got:
+        h, s, v = colorsys.rgb_to_hsv(r.r / 255, r.g / 255, r.b / 255)
+        assert (r.new_r, r.new_g, r.new_b) == pytest.approx(tuple(255 * c for c in colorsys.hsv_to_rgb((h + turn) % 1.0, s, v)), abs=1e-6)
+
+
+def test_jitter_draws_every_order_and_leaves_out_steps(spark):
+    rows = spark.range(2000).select(F.col("id").alias("cloud_id"), F.lit(1).alias("point_id"), F.lit(200.0).alias("r"), F.lit(90.0).alias("g"), F.lit(20.0).alias("b"))
+    assert augment.random_colour_jitter(rows, 5).exceptAll(rows).isEmpty()
+    assert augment.random_colour_jitter(rows, 5, (0.5, 0.6), p=0.0).exceptAll(rows).isEmpty()
+    # brightness cuts to 255 before or after saturation: both orders occur
+    two = augment.random_colour_jitter(rows, 5, brightness=(2.0, 2.0), saturation=(0.0, 0.0), p=1.0).groupBy(F.round("r").alias("r")).count().collect()
+    first, last = 0.2989 * 255 + 0.587 * 180 + 0.114 * 40, 2 * (0.2989 * 200 + 0.587 * 90 + 0.114 * 20)
+    assert {r.r for r in two} == {round(first), round(last)} and min(r["count"] for r in two) > 900
+    with pytest.raises(ValueError):
+        augment.random_colour_jitter(rows, 5, hue=(-0.6, 0.1))
+
+
+def test_elastic_rounds_leave_closed_clouds_alone(spark):
+    rows = spark.range(400).select((F.col("id") % 40).alias("cloud_id"), F.col("id").alias("point_id"), *[(F.col("id") * k % 7).cast("double").alias(a) for k, a in ((1, "x"), (3, "y"), (5, "z"))])
+    assert augment.elastic_rounds(rows, ((2.0, 1.0),), 0.0, 3).exceptAll(rows).isEmpty()
+    moved = augment.elastic_rounds(rows, ((2.0, 1.0),), 0.5, 3).join(rows.withColumnRenamed("x", "old"), ["cloud_id", "point_id"]).groupBy("cloud_id").agg(F.max(F.abs(F.col("x") - F.col("old"))).alias("d")).collect()
+    assert len(moved) == 40 and 8 < sum(r.d > 0 for r in moved) < 32
