@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloudloom.functions.random import draw
+from cloudloom.functions.ranking import rank_within
 
 
 def per_cloud():
@@ -22,6 +23,18 @@ def ranked(*order) -> Column:
     return F.row_number().over(per_cloud().orderBy(*order))
 
 
+def numbered(df: DataFrame, name: str, order: Sequence[Column | str], large: bool = False) -> DataFrame:
+    """df with each row's number in its cloud, from 1; ``large``: by ranges of the order, for clouds that no task should sort whole."""
+    return rank_within(df, "cloud_id", list(order), name) if large else df.withColumn(name, ranked(*order))
+
+
+def sized(df: DataFrame, name: str, large: bool = False) -> DataFrame:
+    """df with the size of each row's cloud; ``large``: counted before the shuffle and joined."""
+    if not large:
+        return df.withColumn(name, F.count("*").over(per_cloud()))
+    return df.join(df.groupBy("cloud_id").agg(F.count("*").alias(name)), "cloud_id")
+
+
 def centre_shift(df: DataFrame, apply_z: bool = True) -> DataFrame:
     """A1: x and y from the box's centre; z from its bottom, if asked for."""
     moved = {a: F.col(a) - (F.min(a).over(per_cloud()) + F.max(a).over(per_cloud())) / 2 for a in "xy"}
@@ -197,14 +210,15 @@ def dropout(df: DataFrame, ratio: float, seed: int, protected: Column | None = N
     return out.where(keep if protected is None else keep | protected).select(df.columns)
 
 
-def limit_points(df: DataFrame, most: int, seed: int) -> DataFrame:
-    """At most so many points of each cloud, by draw."""
-    return df.withColumn("_rank", ranked(draw(seed, "cloud_id", "point_id"), "point_id")).where(F.col("_rank") <= most).drop("_rank")
+def limit_points(df: DataFrame, most: int, seed: int, large: bool = False) -> DataFrame:
+    """At most so many points of each cloud, by draw. See ``numbered`` for ``large``."""
+    return numbered(df, "_rank", [draw(seed, "cloud_id", "point_id"), "point_id"], large).where(F.col("_rank") <= most).drop("_rank")
 
 
-def sample_points(df: DataFrame, n: int, seed: int) -> DataFrame:
-    """Exactly n rows of each cloud: by draw without replacement, after that with replacement. ``slot`` numbers them."""
-    order = df.withColumn("_rank", ranked(draw(seed, "cloud_id", "point_id"), "point_id")).withColumn("_n", F.count("*").over(per_cloud()))
+def sample_points(df: DataFrame, n: int, seed: int, large: bool = False) -> DataFrame:
+    """Exactly n rows of each cloud: by draw without replacement, after that with replacement. ``slot`` numbers them. See
+    ``numbered`` for ``large``."""
+    order = sized(numbered(df, "_rank", [draw(seed, "cloud_id", "point_id"), "point_id"], large), "_n", large).withColumn("_rank", F.col("_rank").cast("int"))
     first = order.where(F.col("_rank") <= n).withColumn("slot", F.col("_rank"))
     sizes = order.groupBy("cloud_id").agg(F.count("*").alias("_n")).where(F.col("_n") < n)
     more = sizes.select("cloud_id", "_n", F.explode(F.sequence(F.col("_n") + 1, F.lit(n))).alias("slot"))

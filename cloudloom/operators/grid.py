@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloudloom.functions.random import draw
-from cloudloom.operators.cloud import per_cloud
+from cloudloom.operators.cloud import numbered, per_cloud, sized
 from cloudloom.operators.scalar import morton
 
 CELL = ["cloud_id", "cx", "cy", "cz"]
@@ -128,10 +128,10 @@ def octree_levels(df: DataFrame, depth: int, columns: Sequence[str] = ("cx", "cy
     return coded.select("cloud_id", levels.alias("level", "node")).distinct().groupBy("cloud_id", "level").agg(F.count("*").alias("nodes"))
 
 
-def serialise(df: DataFrame, columns: Sequence[str] = ("cx", "cy", "cz"), bits: int = 10) -> DataFrame:
-    """Z-order code and rank of each point along the curve of its cloud, ties by id."""
+def serialise(df: DataFrame, columns: Sequence[str] = ("cx", "cy", "cz"), bits: int = 10, large: bool = False) -> DataFrame:
+    """Z-order code and rank of each point along the curve of its cloud, ties by id. See ``cloud.numbered`` for ``large``."""
     coded = df.withColumn("code", morton(*[F.col(c) for c in columns], bits=bits))
-    return coded.withColumn("ord", F.row_number().over(per_cloud().orderBy("code", "point_id")) - 1)
+    return numbered(coded, "ord", ["code", "point_id"], large).withColumn("ord", F.col("ord") - 1)
 
 
 def serial_pool(serialised: DataFrame, depth: int) -> DataFrame:
@@ -139,10 +139,10 @@ def serial_pool(serialised: DataFrame, depth: int) -> DataFrame:
     return serialised.groupBy("cloud_id", F.shiftright("code", 3 * depth).alias("cell")).agg(*[F.avg(a).alias(a) for a in "xyz"], F.min_by("point_id", "ord").alias("head"), F.count("*").alias("n"))
 
 
-def patches(serialised: DataFrame, size: int) -> DataFrame:
+def patches(serialised: DataFrame, size: int, large: bool = False) -> DataFrame:
     """Patches of ``size`` along the curve. The last one of a cloud borrows from the one before it, so that all are
     full where the cloud has more than a patch; borrowed rows are marked."""
-    n = serialised.withColumn("_n", F.count("*").over(per_cloud()))
+    n = sized(serialised, "_n", large)
     own = n.withColumns({"patch": F.floor(F.col("ord") / size), "borrowed": F.lit(False)})
     last = F.floor((F.col("_n") - 1) / size)
     more = n.where((F.col("_n") > size) & (F.col("_n") % size > 0) & (F.col("ord") >= F.col("_n") - size) & (F.col("ord") < last * size))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +21,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         QUERIES[name] = f
         if sql is not None:
             body = sql.strip()
-            views = [text for view, text in (("pts", POINTS_SQL), ("frames", FRAMES_SQL), ("metrics", METRICS_SQL)) if _uses(body, view)]
+            done = re.match(r"WITH (base_rows|frames|metrics) AS", body)  # SQL of another query, with its views
+            views = [] if done else [text for view, text in (("pts", POINTS_SQL), ("frames", FRAMES_SQL), ("metrics", METRICS_SQL)) if _uses(body, view)]
             if views and body[:5].upper() == "WITH ":
                 body = body[5:]
                 ORACLE_SQL[name] = f"WITH {', '.join(views)}, {body}"
@@ -32,8 +34,6 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _uses(sql: str, view: str) -> bool:
-    import re
-
     return bool(re.search(rf"\b{view}\b", sql))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cloudloom.functions.random import draw_sql
 from cloudloom.operators import grid
-from cloudloom.plans.catalog import query
+from cloudloom.plans.catalog import ORACLE_SQL, query
 from cloudloom.plans.geometry import rounded
 from cloudloom.sources.fixtures import points
 
@@ -139,6 +139,12 @@ def _(spark, d):
     return grid.patches(serialised(spark, d), 128).select("cloud_id", "point_id", "patch", "borrowed")
 
 
+@query("g17_g18_range_patches", ORACLE_SQL["g18_patches"])
+def _(spark, d):
+    s = grid.serialise(points(spark, d).withColumns({f"c{a}": F.col(a).cast("bigint") for a in "xyz"}), large=True)
+    return grid.patches(s, 128, large=True).select("cloud_id", "point_id", "patch", "borrowed")
+
+
 @query("g20_windows", "WITH b AS (SELECT *, floor((x - min(x) OVER w + 4)/8)::bigint AS wx, floor((y - min(y) OVER w + 4)/8)::bigint AS wy, floor((z - min(z) OVER w + 4)/8)::bigint AS wz FROM pts WINDOW w AS (PARTITION BY cloud_id)) SELECT cloud_id, point_id, wx, wy, wz, (row_number() OVER (PARTITION BY cloud_id, wx, wy, wz ORDER BY point_id) - 1)::int AS ord FROM b")
 def _(spark, d):
     return grid.windows(points(spark, d), 8.0, shifted=True).select("cloud_id", "point_id", "wx", "wy", "wz", "ord")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cloudloom.functions.random import draw_sql
 from cloudloom.operators import augment, cloud, fuse
-from cloudloom.plans.catalog import query
+from cloudloom.plans.catalog import ORACLE_SQL, query
 from cloudloom.plans.geometry import rounded
 from cloudloom.sources.fixtures import points
 
@@ -84,6 +84,11 @@ def _(spark, d):
     return cloud.sample_points(points(spark, d), 620, 7).select("cloud_id", "slot", "point_id")
 
 
+@query("r10_r11_range_samples", ORACLE_SQL["r11_sample"])
+def _(spark, d):
+    return cloud.sample_points(points(spark, d), 620, 7, large=True).select("cloud_id", "slot", "point_id")
+
+
 @query("r12_shuffle", f"WITH {RANK} SELECT cloud_id, point_id, r::int AS ord FROM k")
 def _(spark, d):
     return cloud.shuffle_points(points(spark, d), 7).select("cloud_id", "point_id", "ord")
