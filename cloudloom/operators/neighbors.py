@@ -15,8 +15,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cloudloom.functions.ranking import global_rank
 from cloudloom.functions.tables import materialise
-from cloudloom.operators.spacetree import neighbour_lists
+from cloudloom.operators.spacetree import FEW, LEAF, neighbour_lists, partition
 
 #: Points of a cloud up to which a task may hold all its distances (blocks of 128 rows, so a few MB at once).
 SMALL = 3_000
@@ -216,6 +217,17 @@ def nearest_skeleton(points: DataFrame, skeleton: DataFrame) -> DataFrame:
     return points.select("cloud_id", "point_id").join(best, ["cloud_id", "point_id"], "left").select("cloud_id", "point_id", F.coalesce("b.skeleton_id", F.lit(-1)).alias("skeleton_id"))
 
 
+def nearest_skeleton_by_leaves(points: DataFrame, skeleton: DataFrame) -> DataFrame:
+    """J8, as ``nearest_skeleton`` gives it, for large instances: each is searched as a cloud of its own, by leaves. Points without a
+    place have no skeleton point."""
+    groups = materialise(global_rank(skeleton.where("instance >= 0").select("cloud_id", "instance").distinct(), ["cloud_id", "instance"], "_group"))
+    few = groups.limit(FEW + 1).count() <= FEW
+    alone = lambda df: df.join(F.broadcast(groups) if few else groups, ["cloud_id", "instance"]).select(F.col("_group").alias("cloud_id"), "point_id", *AXES)
+    lists = neighbour_lists(alone(points.where("instance >= 0")), alone(skeleton), 1)
+    best = lists.select(F.col("cloud_id").alias("_group"), F.col("src").alias("point_id"), F.get("dst", F.lit(0)).alias("skeleton_id")).join(groups, "_group").drop("_group", "instance")
+    return points.select("cloud_id", "point_id").join(best, ["cloud_id", "point_id"], "left").select("cloud_id", "point_id", F.coalesce("skeleton_id", F.lit(-1)).alias("skeleton_id"))
+
+
 def gather(edges: DataFrame, points: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The neighbours' columns on the edges."""
     return edges.join(points.select("cloud_id", F.col("point_id").alias("dst"), *columns), ["cloud_id", "dst"])
@@ -299,11 +311,62 @@ def drawn_anchors(points: DataFrame, n: int, seed: int, label: str = "label") ->
 
 def mine_pairs(points: DataFrame, anchors: DataFrame, k: int, label: str = "label") -> DataFrame:
     """For each anchor its k farthest points of the same class and its k nearest of others; anchors need both."""
-    a = anchors.select("cloud_id", F.col("point_id").alias("anchor"), F.col(label).alias("_l"), *[F.col(c).alias(f"_{c}") for c in AXES])
+    return _of_both_kinds(_best_pairs(_pairs(points.join(_anchors(anchors, label), "cloud_id"), label), k))
+
+
+def mine_pairs_by_boxes(points: DataFrame, anchors: DataFrame, k: int, label: str = "label", leaf: int = LEAF) -> DataFrame:
+    """J31, as ``mine_pairs`` gives it, for large clouds: an anchor reads only the boxes that may hold one of its pairs.
+
+    Points are parted into leaves, and a leaf's points of a class share a box. Points and anchors without place or class take no part.
+    """
+    whole = " and ".join(f"{c} is not null" for c in (*AXES, label))
+    placed, _ = partition(materialise(points.where(whole).select("cloud_id", "point_id", label, *AXES)), None, leaf)
+    best, more = promising_boxes(placed, _anchors(anchors.where(whole), label), k, label)
+    rest = _pairs(placed.join(more.drop("n"), ["cloud_id", "leaf", label]), label)
+    return _of_both_kinds(_best_pairs(best.drop("rank").unionByName(rest), k))
+
+
+def promising_boxes(placed: DataFrame, anchors: DataFrame, k: int, label: str) -> tuple[DataFrame, DataFrame]:
+    """The best pairs among each anchor's foremost boxes, and the other boxes (cloud_id, leaf, class, with n points) that may hold better
+    ones, with the anchor.
+
+    Foremost are the boxes that surely hold k points of a kind at the best distance (the most for farthest, the least for nearest).
+    The kth distance really found there is the limit that another box must be able to reach.
+    """
+    boxes = placed.groupBy("cloud_id", "leaf", label).agg(F.count("*").alias("n"), *[f(a).alias(f"{m}_{a}") for a in AXES for m, f in (("low", F.min), ("high", F.max))])
+    side = lambda a: F.greatest(F.col(f"low_{a}") - F.col(f"_{a}"), F.col(f"_{a}") - F.col(f"high_{a}"), F.lit(0.0))
+    reach = lambda a: F.greatest(F.abs(F.col(f"low_{a}") - F.col(f"_{a}")), F.abs(F.col(f"high_{a}") - F.col(f"_{a}")))
+    near, far = (sum((f(a) * f(a) for a in AXES), F.lit(0.0)) for f in (side, reach))
+    small = anchors.limit(FEW + 1).count() <= FEW
+    met = boxes.join(F.broadcast(anchors) if small else anchors, "cloud_id").withColumn("positive", F.col(label) == F.col("_l"))
+    # the smaller the better for both kinds
+    met = met.withColumns({"_sure": F.when(F.col("positive"), -near).otherwise(far), "_hoped": F.when(F.col("positive"), -far).otherwise(near)})
+    before = Window.partitionBy("cloud_id", "anchor", "positive").orderBy("_sure", "leaf", label).rowsBetween(Window.unboundedPreceding, -1)
+    need = k + F.col("positive").cast("int")  # the anchor itself is in a box of its class
+    met = met.withColumn("_foremost", F.coalesce(F.sum("n").over(before), F.lit(0)) < need)
+    met = materialise(met.select("cloud_id", "leaf", label, "n", "anchor", "_l", *[f"_{a}" for a in AXES], "positive", "_hoped", "_foremost"))
+    best = materialise(_best_pairs(_pairs(placed.join(met.where("_foremost").drop("n", "positive"), ["cloud_id", "leaf", label]), label), k))
+    limit = F.when(F.col("positive"), -F.col("d2")).otherwise(F.col("d2"))
+    limits = best.where(F.col("rank") == k).select("cloud_id", "anchor", "positive", (limit + F.abs(limit) * 1e-9).alias("_limit"))  # for rounding
+    more = met.where("not _foremost").join(limits, ["cloud_id", "anchor", "positive"]).where(F.col("_hoped") <= F.col("_limit"))
+    return best, more.select("cloud_id", "leaf", label, "n", "anchor", "_l", *[f"_{a}" for a in AXES])
+
+
+def _anchors(anchors: DataFrame, label: str) -> DataFrame:
+    return anchors.select("cloud_id", F.col("point_id").alias("anchor"), F.col(label).alias("_l"), *[F.col(c).alias(f"_{c}") for c in AXES])
+
+
+def _pairs(met: DataFrame, label: str) -> DataFrame:
     d2 = sum(((F.col(c) - F.col(f"_{c}")) ** 2 for c in AXES), F.lit(0.0))
-    pairs = points.join(a, "cloud_id").where("point_id <> anchor").withColumns({"d2": d2, "positive": F.col(label) == F.col("_l")})
+    return met.where("point_id <> anchor").select("cloud_id", "anchor", "point_id", (F.col(label) == F.col("_l")).alias("positive"), d2.alias("d2"))
+
+
+def _best_pairs(pairs: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("cloud_id", "anchor", "positive").orderBy(F.when(F.col("positive"), -F.col("d2")).otherwise(F.col("d2")), "point_id")
-    top = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("cloud_id", "anchor", "point_id", "positive", "d2", "rank")
+    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _of_both_kinds(top: DataFrame) -> DataFrame:
     both = top.groupBy("cloud_id", "anchor").agg(F.countDistinct("positive").alias("_k")).where("_k = 2").drop("_k")
     return top.join(both, ["cloud_id", "anchor"], "left_semi")
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cloudloom.functions.random import draw_sql
-from cloudloom.operators import cluster
+from cloudloom.operators import cluster, farthest
 from cloudloom.operators import neighbors as nb
 from cloudloom.operators.spacetree import neighbour_lists
-from cloudloom.plans.catalog import query
+from cloudloom.plans.catalog import ORACLE_SQL, query
 from cloudloom.plans.geometry import rounded
 from cloudloom.sources.fixtures import points
 
@@ -120,6 +120,18 @@ def _(spark, d):
     return nb.mine_pairs(p, nb.drawn_anchors(p, 2, 31), 3)
 
 
+@query("j31_mining_by_boxes", ORACLE_SQL["j31_pair_mining"])
+def _(spark, d):
+    p = points(spark, d)
+    return nb.mine_pairs_by_boxes(p, nb.drawn_anchors(p, 2, 31), 3, leaf=64)
+
+
+@query("j8_skeleton_by_leaves", ORACLE_SQL["j8_skeleton"])
+def _(spark, d):
+    p = points(spark, d)
+    return nb.nearest_skeleton_by_leaves(p, p.where("point_id % 20 = 0 and instance >= 0"))
+
+
 @query("j28_j29_overlap", """WITH v AS (SELECT cloud_id // 5 AS scene, cloud_id AS frame, floor(x/4) vx, floor(y/4) vy, floor(z/4) vz, avg(x) x, avg(y) y, avg(z) z FROM pts GROUP BY ALL), n AS (SELECT scene, frame, count(*) n FROM v GROUP BY ALL),
  h AS (SELECT a.scene, a.frame fa, b.frame fb, count(DISTINCT (a.vx, a.vy, a.vz)) h FROM v a JOIN v b ON a.scene = b.scene AND a.frame <> b.frame AND (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z) < 4 GROUP BY ALL)
  SELECT h.scene, least(fa, fb) AS a, greatest(fa, fb) AS b, round(max(h/n), 6) AS overlap FROM h JOIN n ON h.scene = n.scene AND h.fa = n.frame GROUP BY ALL""")
@@ -195,6 +207,11 @@ def _(spark, d):
     return cluster.farthest_points(points(spark, d), 16)
 
 
+@query("r17_farthest_by_leaves", f"WITH {farthest_sql(6)} SELECT p.cloud_id, fp.point_id, rank FROM fp JOIN pts p ON p.cloud_id = fp.cloud_id AND p.point_id = fp.point_id")
+def _(spark, d):
+    return farthest.farthest_points(points(spark, d), 6, leaf=64, top=8)
+
+
 @query("e24_associations", "WITH v AS (SELECT cloud_id, instance, count(*) AS size, arg_min(label, point_id) AS class FROM pts WHERE instance >= 0 GROUP BY 1, 2), g AS (SELECT cloud_id, rib AS gt, count(*) AS gt_size FROM pts WHERE rib > 0 GROUP BY 1, 2), x AS (SELECT cloud_id, instance, rib AS gt, count(*) AS inter FROM pts WHERE instance >= 0 AND rib > 0 GROUP BY ALL) SELECT x.cloud_id, x.instance AS inst, x.gt, inter, size, gt_size, class, round(inter/(size+gt_size-inter), 6) AS iou FROM x JOIN v USING (cloud_id, instance) JOIN g USING (cloud_id, gt)")
 def _(spark, d):
     return rounded(cluster.associate(points(spark, d), "instance", "rib"), "iou")
