@@ -126,17 +126,16 @@ def random_colour_jitter(df: DataFrame, seed: int, brightness: tuple[float, floa
     clip = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(255.0))
     rgb = [F.col(c) for c in channels]
     grey = sum((c * w for c, w in zip(rgb, GREY)), F.lit(0.0))
-    order = F.transform(F.array_sort(F.array(*[F.struct(draw(seed + k, "cloud_id").alias("at"), F.lit(k).alias("step")) for k in ranges])), lambda s: s.step) if ranges else F.array()
-    out = df.withColumn("_order", order)
+    steps = [F.struct(draw(seed + k, "cloud_id").alias("at"), F.when(draw(seed + 4 + k, "cloud_id") < p, k).alias("step"), (lo + draw(seed + 8 + k, "cloud_id") * (hi - lo)).alias("amount")) for k, (lo, hi) in ranges.items()]
+    out = df.withColumn("_steps", F.array_sort(F.array(*steps))) if steps else df
     for place in range(len(ranges)):
-        step = F.get("_order", F.lit(place))
-        out = out.withColumns({"_step": F.when(F.element_at(F.array(*[draw(seed + 4 + k, "cloud_id") < p for k in range(4)]), step + 1), step), "_grey": grey})
-        out = out.withColumn("_amount", F.element_at(F.array(*[lo + draw(seed + 8 + k, "cloud_id") * (hi - lo) for k, (lo, hi) in ((k, ranges.get(k, (0.0, 0.0))) for k in range(4))]), F.col("_step") + 1))
-        out = out.withColumn("_mean", F.avg("_grey").over(per_cloud()))
-        a = F.col("_amount")
-        against = F.when(F.col("_step") == 0, 0.0).when(F.col("_step") == 1, F.col("_mean")).when(F.col("_step") == 2, F.col("_grey"))
+        # the window parts the drawing of steps from their use, so that they are drawn once
+        out = out.withColumn("_grey", grey).withColumn("_mean", F.avg("_grey").over(per_cloud()))
+        now = F.get("_steps", F.lit(place))
+        step, a = now["step"], now["amount"]
+        against = F.when(step == 0, 0.0).when(step == 1, F.col("_mean")).otherwise(F.col("_grey"))
         hued = turn_hue(rgb, a)
-        out = out.withColumns({c: F.when(F.col("_step").isNull(), rgb[i]).when(F.col("_step") == 3, hued[i]).otherwise(clip(a * rgb[i] + (1 - a) * against)) for i, c in enumerate(channels)})
+        out = out.withColumns({c: F.when(step.isNull(), rgb[i]).when(step == 3, hued[i]).otherwise(clip(a * rgb[i] + (1 - a) * against)) for i, c in enumerate(channels)})
     return out.select(df.columns)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,13 +18,23 @@ def quaternion_matrix(q: Sequence[Column]) -> list[Column]:
     return [diagonal(y, z), s * (x * y - z * w), s * (x * z + y * w), s * (x * y + z * w), diagonal(x, z), s * (y * z - x * w), s * (x * z - y * w), s * (y * z + x * w), diagonal(x, y)]
 
 
+def _let(values: Sequence[Column], f: Callable[..., Column]) -> Column:
+    """f of the values, each worked out once however often f names it."""
+    held = F.struct(*[v.alias(f"_{i}") for i, v in enumerate(values)])
+    return F.get(F.transform(F.array(held), lambda s: f(*[s[f"_{i}"] for i in range(len(values))])), F.lit(0))
+
+
 def pose(q: Sequence[Column], move: Sequence[Column]) -> Column:
     """A pose as an array: nine numbers of the rotation, row by row, then the translation. Null where any of its parts is."""
-    parts = [*quaternion_matrix(q), *(m.cast("double") for m in move)]
-    whole = parts[0].isNotNull()
-    for p in parts[9:]:
-        whole = whole & p.isNotNull()
-    return F.when(whole, F.array(*parts))
+
+    def parts(w, x, y, z, *t):
+        all_of = [*quaternion_matrix([w, x, y, z]), *t]
+        whole = all_of[0].isNotNull()
+        for m in t:
+            whole = whole & m.isNotNull()
+        return F.when(whole, F.array(*all_of))
+
+    return _let([c.cast("double") for c in (*q, *move)], parts)
 
 
 def _parts(p: Column) -> tuple[list[Column], list[Column]]:
@@ -43,14 +53,21 @@ def apply_inverse(p: Column, point: Sequence[Column]) -> list[Column]:
 
 def compose(outer: Column, inner: Column) -> Column:
     """First inner, then outer. Associative, so a chain may be grouped in any way."""
-    r, t = _parts(inner)
-    turned = [compose_rigid(_parts(outer)[0], [F.lit(0.0)] * 3, [r[c], r[3 + c], r[6 + c]]) for c in range(3)]
-    return F.when(outer.isNotNull() & inner.isNotNull(), F.array(*[turned[c][row] for row in range(3) for c in range(3)], *apply(outer, t)))
+
+    def product(a, b):
+        r, t = _parts(b)
+        turned = [compose_rigid(_parts(a)[0], [F.lit(0.0)] * 3, [r[c], r[3 + c], r[6 + c]]) for c in range(3)]
+        return F.when(a.isNotNull() & b.isNotNull(), F.array(*[turned[c][row] for row in range(3) for c in range(3)], *apply(a, t)))
+
+    return _let([outer, inner], product)
 
 
 def inverse(p: Column) -> Column:
-    r, _ = _parts(p)
-    return F.when(p.isNotNull(), F.array(*[r[3 * c + row] for row in range(3) for c in range(3)], *apply_inverse(p, [F.lit(0.0)] * 3)))
+    def turned_back(a):
+        r, _ = _parts(a)
+        return F.when(a.isNotNull(), F.array(*[r[3 * c + row] for row in range(3) for c in range(3)], *apply_inverse(a, [F.lit(0.0)] * 3)))
+
+    return _let([p], turned_back)
 
 
 def as_of(rows: DataFrame, history: DataFrame, by: Sequence[str], time: str, values: Sequence[str], tie: str | None = None) -> DataFrame:

@@ -82,7 +82,8 @@ def _(spark, d):
   JOIN ego ON sample = l_orderkey JOIN cal ON sensor = 1, range(3) r(axis)),
  {_step('s1', 'b', 'e', ('px', 'py', 'pz'), True)}, {_step('s2', '(SELECT * REPLACE (CASE axis WHEN 0 THEN tx ELSE 0 END AS tx, CASE axis WHEN 0 THEN ty ELSE 0 END AS ty, CASE axis WHEN 0 THEN tz ELSE 0 END AS tz) FROM s1)', 'c', ('tx', 'ty', 'tz'), True)}
  SELECT sample, part, line, round(max(u) FILTER (axis = 0), 5) + 0.0 AS cx, round(max(v) FILTER (axis = 0), 5) + 0.0 AS cy, round(max(w) FILTER (axis = 0), 5) + 0.0 AS cz, any_value(bl)::double AS dx, any_value(bw)::double AS dy, any_value(bh) AS dz,
-  round(atan2(max(v) FILTER (axis = 1), max(u) FILTER (axis = 1)), 5) + 0.0 AS yaw, round(max(u) FILTER (axis = 2), 5) + 0.0 AS vx, round(max(v) FILTER (axis = 2), 5) + 0.0 AS vy FROM s2 GROUP BY rid, sample, part, line""")
+  round(CASE WHEN atan2(max(v) FILTER (axis = 1), max(u) FILTER (axis = 1)) < 1e-9 - pi() THEN pi() ELSE atan2(max(v) FILTER (axis = 1), max(u) FILTER (axis = 1)) END, 5) + 0.0 AS yaw,
+  round(max(u) FILTER (axis = 2), 8) + 0.0 AS vx, round(max(v) FILTER (axis = 2), 8) + 0.0 AS vy FROM s2 GROUP BY rid, sample, part, line""")
 def _(spark, d):
     rows = read(spark, d, "lineitem").selectExpr(
         *ITEMS.split(", "), "cast(l_quantity as double) x", "cast(l_discount as double) * 100 y", "cast(l_tax as double) * 100 z", "cast(unix_date(cast(l_shipdate as date)) as double) t",
@@ -91,5 +92,6 @@ def _(spark, d):
     )
     boxes = poses.box_velocity(rows, "part", ["l_shipdate", *ITEMS.split(", ")], "t", 100.0)
     out = poses.boxes_in_sensor(boxes.drop("l_linenumber"), samples(spark, d), calibrations(spark, d))
-    numbers = ["cx", "cy", "cz", "yaw", "vx", "vy"]
-    return rounded(out.select("sample", "part", "line", "dx", "dy", "dz", *numbers), *numbers, digits=5)
+    numbers = ["cx", "cy", "cz", "yaw"]
+    out = rounded(out.select("sample", "part", "line", "dx", "dy", "dz", *numbers, "vx", "vy"), *numbers, digits=5)
+    return rounded(out, "vx", "vy", digits=8)
