@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cloudloom.functions.tables import materialise
+
 BACKGROUND = 0
 FIRST, LAST = 1, 24
 #: The last rib of one side and the first of the other: neighbours by number, far apart in the body.
@@ -227,21 +229,26 @@ def distribution(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame
     return df.groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("least"), F.max(v).alias("most"), F.median(v).alias("median"), p(0.05).alias("p5"), p(0.95).alias("p95"))
 
 
-def bootstrap_mean(df: DataFrame, value: Column | str, n_resamples: int, alpha: float, seed: int, key: str = "cloud_id") -> DataFrame:
+def bootstrap_mean(df: DataFrame, value: Column | str, n_resamples: int, alpha: float, seed: int, key: str = "cloud_id", chunk: int = 8_192) -> DataFrame:
     """The mean of a value, such as the difference of two metrics, and its bootstrap interval; a resample draws n of the n
     rows with replacement.
 
-    Without rows the mean is null; with one there are no bounds. The values should be one for each cloud or record, not one for
-    each point: the rows are numbered by ``key`` in a single task, and n * n_resamples draws meet them in a join.
+    Without rows the mean is null; with one there are no bounds. The rows are numbered by ``key`` over ranges, and their
+    n * n_resamples draws, made ``chunk`` at a time, meet them by a shuffled join.
     """
     from cloudloom.functions.random import draw
+    from cloudloom.functions.ranking import global_rank
 
     held = df.select(F.col(key).alias("_key"), (F.col(value) if isinstance(value, str) else value).alias("value")).where("value is not null")
-    rows = held.withColumn("at", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_key", "value")) - 1)
-    whole = held.agg(F.avg("value").alias("mean"), F.count("*").alias("n"))
+    rows = materialise(global_rank(held, ["_key", "value"], "at").select((F.col("at") - 1).alias("at"), "value"))
+    whole = rows.agg(F.avg("value").alias("mean"), F.count("*").alias("n"))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed number: small rows of chunks become many draws
     resamples = df.sparkSession.range(n_resamples).select(F.col("id").alias("b")).crossJoin(F.broadcast(whole.where("n > 1").select("n")))  # one row
-    draws = resamples.select("b", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i")).select("b", F.floor(draw(seed, "b", "i") * F.col("n")).cast("int").alias("at"))
-    means = draws.join(rows, "at").groupBy("b").agg(F.avg("value").alias("m"))
+    chunks = resamples.select("b", "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / chunk))).alias("_c")).repartition(tasks, "b", "_c")
+    places = F.sequence(F.col("_c") * chunk, F.least((F.col("_c") + 1) * chunk, F.col("n")) - 1)
+    draws = chunks.select("b", "n", F.explode(places).alias("i")).select("b", F.floor(draw(seed, "b", "i") * F.col("n")).alias("at"))
+    # the planner takes the draws for as few rows as there are resamples and would broadcast them
+    means = draws.hint("merge").join(rows, "at").groupBy("b").agg(F.avg("value").alias("m"))
     bounds = means.agg(F.percentile("m", alpha / 2).alias("low"), F.percentile("m", 1 - alpha / 2).alias("high"))
     return whole.select("mean").crossJoin(F.broadcast(bounds))  # one row each
 
