@@ -80,14 +80,14 @@ def lidar_frames(spark: SparkSession, folder: str, fields: int = 4, strength_sca
 
 def text_points(spark: SparkSession, pattern: str, columns: list[str], separator: str = " ") -> DataFrame:
     """Delimited text, a file for each object: the class is the file name up to its number, the instance the order of
-    the file's name in its folder."""
+    the file's name in its folder. Parts of an object ("chair_1@300.txt", as ``formats`` writes them) are one object."""
     from pyspark.sql import Window
 
     schema = ", ".join(f"{c} double" for c in columns)
     rows = spark.read.schema(schema).option("sep", separator).csv(pattern).withColumn("_file", F.col("_metadata.file_path"))
-    names = rows.select("_file").distinct().withColumn("cloud", F.element_at(F.split("_file", "/"), -2))
-    names = names.withColumns({"class": F.regexp_extract("_file", r"([^/]+?)_?\d*\.[^./]+$", 1), "instance": F.dense_rank().over(Window.partitionBy("cloud").orderBy("_file")) - 1})
-    return rows.join(names, "_file").drop("_file")
+    names = rows.select("_file").distinct().withColumn("cloud", F.element_at(F.split("_file", "/"), -2)).withColumn("_object", F.regexp_replace("_file", r"@\d+(\.[^./]+)$", "$1"))
+    names = names.withColumns({"class": F.regexp_extract("_object", r"([^/]+?)_?\d*\.[^./]+$", 1), "instance": F.dense_rank().over(Window.partitionBy("cloud").orderBy("_object")) - 1})
+    return rows.join(names, "_file").drop("_file", "_object")
 
 
 def mesh_tables(vertices: DataFrame, faces: DataFrame) -> tuple[DataFrame, DataFrame]:
