@@ -6,8 +6,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from cloudloom.functions.tables import discard, materialise
 
@@ -55,6 +57,74 @@ def _side(boxes: DataFrame, which: str) -> DataFrame:
     return boxes.select("cloud_id", "_l", *[F.col(c).alias(which + c) for c in boxes.columns if c not in ("cloud_id", "_l")])
 
 
+#: Cells along an edge of a block of cells, a power of two: a task compares the cells of whole blocks.
+BLOCK = 16
+
+
+def _neighbour_cells(boxes: DataFrame, limit: float, rows: int = 1 << 18) -> DataFrame:
+    """Pairs (src, dst, and the columns of both with a_ and b_) of cells up to two apart whose boxes are nearer than the root of limit, each once.
+
+    A cell is dealt to its block and to those before that may ask for it, so it is shuffled about twice and not once for each of the
+    62 places around. A block has a cell once at most, which bounds it; a task takes blocks in turns of about ``rows`` cells.
+    """
+    bits, wide = BLOCK.bit_length() - 1, BLOCK + 4
+    offsets = [(i, j, k) for i in range(3) for j in range(-2, 3) for k in range(-2, 3) if (i, j, k) > (0, 0, 0) and min(map(abs, (i, j, k))) < 2]
+    dealt = boxes.where("cloud_id is not null")
+    for a, after in zip(AXES, (0, 2, 2)):
+        dealt = dealt.withColumn(f"_b{a}", F.explode(F.sequence(F.shiftright(F.col(f"_c{a}") - 2, bits), F.shiftright(F.col(f"_c{a}") + after, bits))))
+    block = ["cloud_id", "_l", *[f"_b{a}" for a in AXES]]
+    dealt = dealt.repartition(*block).sortWithinPartitions(*block)
+    own = [c for c in boxes.columns if c not in ("cloud_id", "_l")]
+
+    def compare(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        c = {a: table[f"_c{a}"].to_numpy() - (table[f"_b{a}"].to_numpy() << bits) for a in AXES}
+        mine = np.flatnonzero(np.logical_and.reduce([(v >= 0) & (v < BLOCK) for v in c.values()]))
+        key = ((np.cumsum(starts) * wide + c["x"]) * wide + c["y"] + 2) * wide + c["z"] + 2
+        order = np.argsort(key)
+        ranked = key[order]
+        mine = mine[np.argsort(key[mine])]
+        lo, hi = (np.stack([table[f"_{n}{a}"].to_numpy() for a in AXES], axis=1) for n in ("lo", "hi"))
+        found = []
+        for i, j, k in offsets:
+            want = key[mine] + (i * wide + j) * wide + k
+            at = np.minimum(np.searchsorted(ranked, want), len(ranked) - 1)
+            hit = ranked[at] == want
+            a, b = mine[hit], order[at[hit]]
+            gap = np.maximum(np.maximum(lo[a] - hi[b], lo[b] - hi[a]), 0.0)
+            near = (gap * gap).sum(axis=1) <= limit * (1 + 1e-9)  # the caller tests again, exactly
+            found.append((a[near], b[near]))
+        a, b = (np.concatenate([f[n] for f in found]) for n in (0, 1))
+        left, right = table.take(pa.array(a)), table.take(pa.array(b))
+        sides = {"cloud_id": left["cloud_id"], "_l": left["_l"]} | {f"{w}{c}": t[c] for w, t in (("a", left), ("b", right)) for c in own}
+        return pa.table(sides | {"src": left["_id"], "dst": right["_id"]})
+
+    def changes(table: pa.Table) -> np.ndarray:
+        out = np.zeros(len(table), bool)
+        for c in block:
+            codes = table[c].combine_chunks().dictionary_encode().indices.to_numpy()
+            out[1:] |= codes[1:] != codes[:-1]
+        return out
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(map(len, held)) >= rows:
+                table = pa.Table.from_batches(held).combine_chunks()
+                starts = changes(table)
+                last = int(np.flatnonzero(starts)[-1]) if starts.any() else 0  # a block may go on in the next batch
+                if last:
+                    yield from compare(table.slice(0, last), starts[:last]).to_batches(65_536)
+                held = table.slice(last).to_batches()
+        if sum(map(len, held)):
+            table = pa.Table.from_batches(held).combine_chunks()
+            yield from compare(table, changes(table)).to_batches(65_536)
+
+    names = {f.name: f.dataType for f in boxes.schema}
+    schema = StructType([StructField(c, names[c]) for c in ("cloud_id", "_l")] + [StructField(f"{w}{c}", names[c]) for w in "ab" for c in own] + [StructField(c, names["_id"]) for c in ("src", "dst")])
+    return dealt.mapInArrow(run, schema)
+
+
 def cell_links(points: DataFrame, radius: float, direct: int = DIRECT, max_rounds: int = 40) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """Cells (CELL, _id) of a diagonal within the radius and links (cloud_id, src, dst), both ways, between the ids of cells that hold
     points (cloud_id, _l, point_id, x, y, z) nearer than the radius to each other.
@@ -67,25 +137,25 @@ def cell_links(points: DataFrame, radius: float, direct: int = DIRECT, max_round
     side, limit = radius / 3**0.5 * (1 - 1e-9), radius * radius
     boxes = materialise(_boxes(points, side))
     cells = boxes.select(*CELL, "_id")
-    offsets = [(i, j, k) for i in range(-2, 3) for j in range(-2, 3) for k in range(-2, 3) if (i, j, k) > (0, 0, 0) and min(map(abs, (i, j, k))) < 2]
-    around = F.explode(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip("ijk", o)]) for o in offsets]))
-    first = _side(boxes, "a").withColumn("_o", around).withColumns({f"b_c{a}": F.col(f"a_c{a}") + F.col(f"_o.{k}") for a, k in zip(AXES, "ijk")}).drop("_o")
-    pairs = first.join(_side(boxes, "b"), ["cloud_id", "_l", *[f"b_c{a}" for a in AXES]]).withColumns({"src": F.col("a_id"), "dst": F.col("b_id")})
     gap = [F.greatest(F.col(f"a_lo{a}") - F.col(f"b_hi{a}"), F.col(f"b_lo{a}") - F.col(f"a_hi{a}"), F.lit(0.0)) for a in AXES]
     reach = [F.greatest(F.col(f"a_hi{a}") - F.col(f"b_lo{a}"), F.col(f"b_hi{a}") - F.col(f"a_lo{a}")) for a in AXES]
     square = lambda parts: sum((v**2 for v in parts), F.lit(0.0))
     way = lambda last: F.when(square(reach) < limit, "linked").when((F.col("a_n") * F.col("b_n") <= direct) | F.lit(last), "few").otherwise("many")
     keys = ["cloud_id", "_l", "src", "dst", *[f"{w}_c{a}" for w in "ab" for a in AXES]]
-    links, scratch, scale = None, [boxes], 1
+    links, scratch, scale, pairs = None, [boxes], 1, _neighbour_cells(boxes, limit)
     for turn in range(max_rounds):
         judged = materialise(pairs.where(square(gap) < limit).select(*keys, way(turn == max_rounds - 1).alias("_way")))
         scratch.append(judged)
+        ways = {r["_way"] for r in judged.select("_way").distinct().collect()}
         own = points.withColumns({f"_c{a}": F.floor(F.col(a) / (side / scale)) for a in AXES}).select(*CELL, *AXES)
         few = judged.where("_way = 'few'").drop("_way").join(_side(own, "a"), ["cloud_id", "_l", *[f"a_c{a}" for a in AXES]]).join(_side(own, "b"), ["cloud_id", "_l", *[f"b_c{a}" for a in AXES]])
         near = few.where(square([F.col(f"a{a}") - F.col(f"b{a}") for a in AXES]) < limit).select("cloud_id", "src", "dst")
-        found = materialise(judged.where("_way = 'linked'").select("cloud_id", "src", "dst").unionByName(near).distinct())
+        linked = judged.where("_way = 'linked'").select("cloud_id", "src", "dst")
+        found = materialise((linked.unionByName(near) if "few" in ways else linked).distinct())  # without few pairs, no point is read
         scratch.append(found)
         links = found if links is None else links.unionByName(found)
+        if "many" not in ways:
+            break
         many = judged.where("_way = 'many'").drop("_way").join(found, ["cloud_id", "src", "dst"], "left_anti")  # one way to a link is enough
         if many.isEmpty():
             break
@@ -112,15 +182,18 @@ def label_components(points: DataFrame, radius: float, least: int, label: str =
     for a in AXES:
         usable = usable & F.col(a).isNotNull() & ~F.isnan(F.col(a).cast("double"))
     rows = points.select("cloud_id", "point_id", F.col(label).alias("_l"), *[F.col(a).cast("double").alias(a) for a in AXES], F.coalesce(usable & F.col(label).isNotNull(), F.lit(False)).alias("_ok"))
+    rows = materialise(rows)
     placed = rows.where("_ok")
     cells, links, written = cell_links(placed, radius, direct)
-    groups = components(cells.select("cloud_id", F.col("_id").alias("point_id")), links)
-    for table in written[1:]:  # the first has the cells
+    groups = components(links.select("cloud_id", F.col("src").alias("point_id")).distinct(), links)  # the other cells are clusters by themselves
+    for table in written[1:]:  # the first has the cells, read below
         discard(table)
     side = radius / 3**0.5 * (1 - 1e-9)
-    of_cell = cells.join(groups.select("cloud_id", F.col("point_id").alias("_id"), "root"), ["cloud_id", "_id"])
+    of_cell = cells.join(groups.select("cloud_id", F.col("point_id").alias("_id"), "root"), ["cloud_id", "_id"], "left").withColumn("root", F.coalesce("root", "_id"))
     roots = placed.withColumns({f"_c{a}": F.floor(F.col(a) / side) for a in AXES}).join(of_cell, CELL).select("cloud_id", "point_id", "root")
-    roots = roots.unionByName(rows.where("not _ok").select("cloud_id", "point_id", F.col("point_id").alias("root")))
+    roots = materialise(roots.unionByName(rows.where("not _ok").select("cloud_id", "point_id", F.col("point_id").alias("root"))))
+    discard(rows)
+    discard(written[0])
     sizes = roots.groupBy("cloud_id", "root").agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
     number = F.dense_rank().over(Window.partitionBy("cloud_id").orderBy("root")) - 1  # over clusters, not points
     numbered = sizes.select("cloud_id", "root", number.alias("cluster"))

@@ -1,8 +1,9 @@
 """Forms for tables much larger than those of the other tests: what a plan broadcasts, parts of files, growth of pairs."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from cloudloom.operators import evaluate
+from cloudloom.operators import cluster, evaluate
 from cloudloom.sources import formats, io
 
 
@@ -21,3 +22,16 @@ def test_parts_of_a_text_object_are_one_object(spark, tmp_path):
     formats.write_clouds(rows, str(tmp_path / "out"), "cloud_txt", points_per_part="4")
     got = io.text_points(spark, str(tmp_path / "out/*/*.txt"), ["x", "y", "z"]).collect()
     assert sorted((int(r.x), r["class"], r.instance) for r in got) == [(i, "chair" if i < 30 else "lamp", i // 15) for i in range(60)]
+
+
+def test_cells_meet_their_neighbours_across_blocks(spark):
+    """Every pair of near cells once, over borders of blocks, negative places and turns of a task; no row for each of the 62 places around."""
+    rng = np.random.default_rng(5)
+    rows = [(c, lab, *map(int, v)) for c in (1, 2) for lab in (0, 1) for v in np.unique(rng.integers(-20, 20, (400, 3)) // (2, 4, 3) * (1, 1, 2), axis=0)]
+    boxes = spark.createDataFrame([(c, lab, x, y, z, 1, n, float(x), float(x), float(y), float(y), float(z), float(z)) for n, (c, lab, x, y, z) in enumerate(rows)], "cloud_id bigint, _l int, _cx bigint, _cy bigint, _cz bigint, _n bigint, _id bigint, _lox double, _hix double, _loy double, _hiy double, _loz double, _hiz double")
+    want = {(i, j) for i, a in enumerate(rows) for j, b in enumerate(rows) if i < j and a[:2] == b[:2] and sum((p - q) ** 2 for p, q in zip(a[2:], b[2:])) <= 5}
+    for rows_of_a_turn in (1, 1 << 18):
+        pairs = cluster._neighbour_cells(boxes, 5.0, rows_of_a_turn)
+        got = [tuple(sorted((r.src, r.dst))) for r in pairs.collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert "Join" not in pairs._jdf.queryExecution().executedPlan().toString()
