@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from cloudloom.operators import cluster, evaluate
 from cloudloom.sources import formats, io
+from cloudloom.streaming import stateful
 
 
 def test_draws_of_a_bootstrap_are_not_broadcast(spark):
@@ -35,3 +36,21 @@ def test_cells_meet_their_neighbours_across_blocks(spark):
         got = [tuple(sorted((r.src, r.dst))) for r in pairs.collect()]
         assert len(got) == len(set(got)) and set(got) == want
     assert "Join" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
+def test_series_share_their_calls(spark, tmp_path):
+    """2,000 series in two buckets of state: a call for each bucket and not for each series, and the same rows as series by series."""
+    schema = "run bigint, name string, event_id bigint, ts timestamp, value double"
+    rows = spark.range(4000).selectExpr("id % 2000 run", "'a' name", "id event_id", "timestamp_seconds(1704067200 + id) ts", "double(id * 37 % 101) value")
+    end = spark.range(1).selectExpr("-1L run", "'end' name", "-1L event_id", "timestamp_seconds(1904067200) ts", "0D value")
+    for part in (rows.where("event_id < 2000"), rows.where("event_id >= 2000"), end):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    stateful.start(stateful.series_stream(arriving, 5, "9 seconds", buckets=2), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    got = {r.event_id: r for r in stateful.all_batches(spark, str(tmp_path / "out"), stateful.SERIES).collect()}
+    value = lambda i: float(i * 37 % 101)
+    assert len(got) == 4000
+    for i in range(2000):
+        one, two = got[i], got[i + 2000]
+        assert (one.iter, one.mean, one.best, one.new_best) == (0, value(i), value(i), True)
+        assert (two.iter, two.mean, two.best, two.new_best) == (1, (value(i) + value(i + 2000)) / 2, max(value(i), value(i + 2000)), value(i + 2000) > value(i))
