@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloudloom.functions.random import draw
+from cloudloom.functions.tables import materialise
 from cloudloom.operators.cloud import per_cloud
 from cloudloom.operators.scalar import rotate
 
@@ -166,9 +167,11 @@ def elastic(df: DataFrame, granularity: float, magnitude: float, seed: int, gate
     """Move points by a smooth noise field: normal draws at the nodes of a grid, blurred twice by a box of three nodes along each
     axis (zero outside the grid), and interpolated trilinearly.
 
-    Only nodes next to points are worked out, each from the draws of the up to 125 nodes around it, so the work goes with the
-    occupied cells and no grid is built. Clouds whose ``gate`` doesn't hold stay as they are.
+    Only nodes up to two from those next to points are drawn, each once, and blurred axis by axis, so the work goes with the occupied
+    cells and no grid is built. Clouds whose ``gate`` doesn't hold stay as they are. The points are written once, as they are read
+    several times.
     """
+    df = materialise(df)
     low = {f"_{a}": F.min(a).over(per_cloud()) for a in "xyz"}
     size = {f"_d{a}": F.floor((F.max(a).over(per_cloud()) - F.min(a).over(per_cloud())) / granularity).cast("bigint") + 3 for a in "xyz"}
     out = df.withColumns(low | size).withColumns({f"_u{a}": (F.col(a) - F.col(f"_{a}")) / granularity + 1 for a in "xyz"})
@@ -181,12 +184,14 @@ def elastic(df: DataFrame, granularity: float, magnitude: float, seed: int, gate
     key = ["cloud_id", "_nx", "_ny", "_nz"]
     nodes = at.select(*key, *size).distinct()
     step = F.explode(F.sequence(F.lit(-2), F.lit(2)))
-    around = nodes
-    for a in "xyz":  # how many nodes of the grid lie within one of both ends, in ninths
-        near = F.least(F.col(f"_n{a}") + 1, F.col(f"_s{a}") + 1, F.col(f"_d{a}") - 1) - F.greatest(F.col(f"_n{a}") - 1, F.col(f"_s{a}") - 1, F.lit(0)) + 1
-        around = around.withColumn(f"_o{a}", step).withColumn(f"_s{a}", F.col(f"_n{a}") + F.col(f"_o{a}")).where(F.col(f"_s{a}").between(0, F.col(f"_d{a}") - 1)).withColumn(f"_b{a}", near / 9.0)
-    weight = F.col("_bx") * F.col("_by") * F.col("_bz")
-    field = around.groupBy(*key).agg(*[F.sum(weight * normal_draw(seed + k, "cloud_id", "_sx", "_sy", "_sz")).alias(f"_f{a}") for k, a in enumerate("xyz")])
+    towards = lambda rows, a: rows.withColumn("_s", F.col(f"_n{a}")).withColumn("_o", step).withColumn(f"_n{a}", F.col("_s") + F.col("_o")).where(F.col(f"_n{a}").between(0, F.col(f"_d{a}") - 1))
+    for a in "xyz":  # the nodes that are drawn, each once
+        nodes = towards(nodes, a).select(*key, *size).distinct()
+    field = nodes.select("*", *[normal_draw(seed + k, "cloud_id", "_nx", "_ny", "_nz").alias(f"_f{a}") for k, a in enumerate("xyz")])
+    for a in "zyx":  # how many nodes of the grid lie within one of both ends, in ninths
+        near = F.least(F.col(f"_n{a}") + 1, F.col("_s") + 1, F.col(f"_d{a}") - 1) - F.greatest(F.col(f"_n{a}") - 1, F.col("_s") - 1, F.lit(0)) + 1
+        field = towards(field, a).groupBy(*key, *size).agg(*[F.sum(near / 9.0 * F.col(f"_f{c}")).alias(f"_f{c}") for c in "xyz"])
+    field = field.drop(*size)
     moves = at.join(field, key).groupBy("cloud_id", "point_id").agg(*[F.sum(F.col("_w") * F.col(f"_f{a}")).alias(f"_m{a}") for a in "xyz"])
     return df.join(moves, ["cloud_id", "point_id"], "left").withColumns({a: F.col(a) + F.coalesce(F.col(f"_m{a}"), F.lit(0.0)) * magnitude for a in "xyz"}).select(df.columns)
 

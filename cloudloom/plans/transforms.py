@@ -187,7 +187,7 @@ def _(spark, d):
  f AS (SELECT cloud_id, nx, ny, nz, {', '.join(f'sum(wt * {normal_sql(70 + k, "cloud_id", "sx", "sy", "sz")}) AS f{c}' for k, c in enumerate('xyz'))} FROM sr GROUP BY 1, 2, 3, 4), m AS (SELECT a.cloud_id, point_id, sum(wt * fx) AS mx, sum(wt * fy) AS my, sum(wt * fz) AS mz FROM a JOIN f ON f.cloud_id = a.cloud_id AND f.nx = a.nx AND f.ny = a.ny AND f.nz = a.nz GROUP BY 1, 2)
  SELECT p.cloud_id, p.point_id, round(x + mx * 8, 5) AS x, round(y + my * 8, 5) AS y, round(z + mz * 8, 5) AS z FROM pts p JOIN m ON m.cloud_id = p.cloud_id AND m.point_id = p.point_id""")
 def _(spark, d):
-    return rounded(augment.elastic(points(spark, d), 4.0, 8.0, 70).select("cloud_id", "point_id", "x", "y", "z"), "x", "y", "z", digits=5)
+    return rounded(augment.elastic(points(spark, d).select("cloud_id", "point_id", "x", "y", "z"), 4.0, 8.0, 70).select("cloud_id", "point_id", "x", "y", "z"), "x", "y", "z", digits=5)
 
 
 def elastic_sql(source: str, granularity: float, magnitude: float, seed: int, n: int, gate: str = "true") -> str:
@@ -208,7 +208,7 @@ def elastic_sql(source: str, granularity: float, magnitude: float, seed: int, n:
 
 @query("r29_elastic_rounds", f"WITH {elastic_sql('pts', 4.0, 2.0, 292, 0, draw_sql(291, 'cloud_id') + ' < 0.6')}, {elastic_sql('el0', 16.0, 6.0, 295, 1, draw_sql(291, 'cloud_id') + ' < 0.6')} SELECT cloud_id, point_id, {', '.join(f'round({c}, 5) + 0.0 AS {c}' for c in 'xyz')} FROM el1")
 def _(spark, d):
-    return rounded(augment.elastic_rounds(points(spark, d), ((4.0, 2.0), (16.0, 6.0)), 0.6, 291).select("cloud_id", "point_id", "x", "y", "z"), "x", "y", "z", digits=5)
+    return rounded(augment.elastic_rounds(points(spark, d).select("cloud_id", "point_id", "x", "y", "z"), ((4.0, 2.0), (16.0, 6.0)), 0.6, 291).select("cloud_id", "point_id", "x", "y", "z"), "x", "y", "z", digits=5)
 
 
 @query("u5_protected", "WITH c AS (SELECT *, row_number() OVER (PARTITION BY cloud_id, floor(x/8), floor(y/8), floor(z/8) ORDER BY point_id) AS r FROM pts) SELECT cloud_id, point_id FROM c WHERE r = 1 OR rib = 5")
