@@ -3,10 +3,14 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from cloudloom.functions import tables
 from cloudloom.operators import cluster, evaluate
-from cloudloom.sources import formats, io
+from cloudloom.plans import catalog
+from cloudloom.sources import fixtures, formats, io
 from cloudloom.streaming import stateful
 
+from tests.conftest import SMALL
+
 
 def test_draws_of_a_bootstrap_are_not_broadcast(spark):
     """The planner takes the draws for as few rows as there are resamples; chunks don't change the draws."""
@@ -54,3 +58,15 @@ def test_series_share_their_calls(spark, tmp_path):
         one, two = got[i], got[i + 2000]
         assert (one.iter, one.mean, one.best, one.new_best) == (0, value(i), value(i), True)
         assert (two.iter, two.mean, two.best, two.new_best) == (1, (value(i) + value(i + 2000)) / 2, max(value(i), value(i + 2000)), value(i + 2000) > value(i))
+
+
+def test_points_are_dealt_in_parts_that_follow_the_table(spark, monkeypatch):
+    """However many points there are, a task sorts and adds up what about DEALT of them give; results stay."""
+    names = ("l10_sinkhorn", "e27_vote", "k4_top3_classes")
+    want = {n: sorted(map(tuple, catalog.QUERIES[n](spark, SMALL).collect())) for n in names}
+    monkeypatch.setattr(tables, "DEALT", 300)
+    p = fixtures.points(spark, SMALL)
+    parts = p.groupBy(F.spark_partition_id()).count().collect()
+    assert p.rdd.getNumPartitions() == -(-p.count() // 300) and max(r["count"] for r in parts) < p.count() / 4
+    for n in names:
+        assert sorted(map(tuple, catalog.QUERIES[n](spark, SMALL).collect())) == want[n]
