@@ -25,27 +25,40 @@ AXES = ("x", "y", "z")
 EDGES = "cloud_id bigint, src bigint, dst bigint, d2 double, rank int"
 
 
-def radius_edges(queries: DataFrame, points: DataFrame, radius: float, include_self: bool = True, closed: bool = False) -> DataFrame:
-    """All (src, dst, d2) of a cloud nearer than the radius, by cells of that size. Of a cloud with itself only half of the
-    27 cells around a point are searched, and what is found there goes both ways."""
-    same = queries is points
-    offsets = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
-    if same:
-        offsets = [o for o in offsets if o >= (0, 0, 0)]
-    cell = {f"c{a}": F.floor(F.col(a) / radius) for a in AXES}
-    near = points.select("cloud_id", F.col("point_id").alias("dst"), *[F.col(a).alias(f"_{a}") for a in AXES], *[v.alias(k) for k, v in cell.items()])
-    around = F.explode(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip("ijk", o)]) for o in offsets]))
-    asked = queries.select("cloud_id", F.col("point_id").alias("src"), *AXES, *[v.alias(f"_{k}") for k, v in cell.items()]).withColumn("o", around)
-    own = (F.col("o.i") == 0) & (F.col("o.j") == 0) & (F.col("o.k") == 0)
-    asked = asked.select("cloud_id", "src", *AXES, own.alias("_own"), *[(F.col(f"_c{a}") + F.col(f"o.{k}")).alias(f"c{a}") for a, k in zip(AXES, "ijk")])
+def _cell(radius: float) -> dict[str, Column]:
+    return {f"c{a}": F.floor(F.col(a) / (2.0 * radius)) for a in AXES}
+
+
+def asked_cells(queries: DataFrame, radius: float, carry: Sequence[str], same: bool) -> DataFrame:
+    """Queries with each cell that their ball reaches, about eight; of a cloud with itself (``same``) its own cell and later ones."""
+    own = {f"_{k}": v for k, v in _cell(radius).items()}
+    out = queries.select("cloud_id", F.col("point_id").alias("src"), *AXES, *[F.col(c).alias(f"src_{c}") for c in carry], *[v.alias(k) for k, v in own.items()])
+    for a in AXES:
+        first = F.col("_cx") if same and a == "x" else F.floor((F.col(a) - radius) / (2.0 * radius))
+        out = out.withColumn(f"c{a}", F.explode(F.sequence(first, F.floor((F.col(a) + radius) / (2.0 * radius)))))
+    at, home = F.struct(*[f"c{a}" for a in AXES]), F.struct(*own)
+    out = out.where(at >= home) if same else out
+    return out.withColumn("_own", at == home).drop(*own)
+
+
+def radius_edges(queries: DataFrame, points: DataFrame, radius: float, include_self: bool = True, closed: bool = False, carry: Sequence[str] = ()) -> DataFrame:
+    """All (src, dst, d2) of a cloud nearer than the radius, by cells of twice that size. Of a cloud with itself a point asks
+    its own cell and later ones only, and what is found in those goes both ways.
+
+    Columns to ``carry`` come along from both ends, as src_ and dst_ and their name; they spare joins of the edges with the points.
+    """
+    same, cell = queries is points, _cell(radius)
+    near = points.select("cloud_id", F.col("point_id").alias("dst"), *[F.col(a).alias(f"_{a}") for a in AXES], *[F.col(c).alias(f"dst_{c}") for c in carry], *[v.alias(k) for k, v in cell.items()])
     d2 = sum(((F.col(a) - F.col(f"_{a}")) ** 2 for a in AXES), F.lit(0.0))
-    out = asked.join(near, ["cloud_id", "cx", "cy", "cz"]).withColumn("d2", d2)
+    out = asked_cells(queries, radius, carry, same).join(near, ["cloud_id", *cell]).withColumn("d2", d2)
     out = out.where(F.col("d2") <= radius * radius if closed else F.col("d2") < radius * radius)
+    found = ["src", "dst", *[f"{e}_{c}" for e in ("src", "dst") for c in carry]]
     if same:
-        one, other = F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        back = ["dst", "src", *[f"{e}_{c}" for e in ("dst", "src") for c in carry]]
+        one, other = F.struct(*found), F.struct(*[F.col(b).alias(f) for b, f in zip(back, found)])
         both = F.when(F.col("_own"), F.array(one)).otherwise(F.array(one, other))  # within a cell both orders meet anyway
-        out = out.select("cloud_id", "d2", F.explode(both).alias("e")).select("cloud_id", "e.src", "e.dst", "d2")
-    return (out if include_self else out.where("src <> dst")).select("cloud_id", "src", "dst", "d2")
+        out = out.select("cloud_id", "d2", F.explode(both).alias("e")).select("cloud_id", "e.*", "d2")
+    return (out if include_self else out.where("src <> dst")).select("cloud_id", "src", "dst", "d2", *found[2:])
 
 
 def ranked(edges: DataFrame, k: int) -> DataFrame:
@@ -65,12 +78,18 @@ def ball_query(queries: DataFrame, points: DataFrame, samples: int, radius: floa
     return out.withColumn("rank", slot.cast("int") + 1).where(chosen).drop("_r", "_n")
 
 
-def random_ball_query(queries: DataFrame, points: DataFrame, samples: int, radius: float, seed: int) -> DataFrame:
-    """Neighbours within the radius in a drawn order, the first of them."""
+def random_ball_query(queries: DataFrame, points: DataFrame, samples: int, radius: float, seed: int, carry: Sequence[str] = ()) -> DataFrame:
+    """Neighbours within the radius in a drawn order, the first of them; columns to ``carry`` as in radius_edges."""
     from cloudloom.functions.random import draw
 
     w = Window.partitionBy("cloud_id", "src").orderBy(draw(seed, "cloud_id", "src", "dst"), "dst")
-    return radius_edges(queries, points, radius).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= samples)
+    return radius_edges(queries, points, radius, carry=carry).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= samples)
+
+
+def ball_group(queries: DataFrame, points: DataFrame, samples: int, radius: float, seed: int, columns: Sequence[str]) -> DataFrame:
+    """The neighbours of random_ball_query with their place relative to the query (dx, dy, dz) and their columns."""
+    e = random_ball_query(queries, points, samples, radius, seed, [*AXES, *columns])
+    return e.select("cloud_id", "src", "dst", "d2", "rank", *[(F.col(f"dst_{a}") - F.col(f"src_{a}")).alias(f"d{a}") for a in AXES], *[F.col(f"dst_{c}").alias(c) for c in columns])
 
 
 def nearest_rows(d2: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -240,8 +240,7 @@ def _(spark, d):
 @query("j11_ball_group", f"WITH {BALL}, r AS (SELECT *, row_number() OVER (PARTITION BY cloud_id, src ORDER BY {draw_sql(4, 'cloud_id', 'src', 'dst')}, dst) AS rank FROM ba) SELECT r.cloud_id, src, dst, b.x - a.x AS dx, b.intensity AS intensity FROM r JOIN pts a ON a.cloud_id = r.cloud_id AND a.point_id = src JOIN pts b ON b.cloud_id = r.cloud_id AND b.point_id = dst WHERE rank <= 3")
 def _(spark, d):
     p = points(spark, d)
-    e = nb.random_ball_query(p, p, 3, 1.5, 4)
-    return nb.gather(nb.relative(e, p, p), p, ["intensity"]).select("cloud_id", "src", "dst", "dx", "intensity")
+    return nb.ball_group(p, p, 3, 1.5, 4, ["intensity"]).select("cloud_id", "src", "dst", "dx", "intensity")
 
 
 @query("j18_edge_features", "WITH e AS (SELECT vec_id % 10 AS cloud_id, vec_id AS v, embedding::double[] AS f FROM embeddings), k AS (SELECT a.cloud_id, a.v AS src, b.v AS dst, a.f AS af, b.f AS bf, row_number() OVER (PARTITION BY a.v ORDER BY round(list_sum(list_transform(list_zip(a.f, b.f), lambda p: (p[1]-p[2])*(p[1]-p[2]))), 9), b.v) AS rank FROM e a JOIN e b ON a.cloud_id = b.cloud_id) SELECT cloud_id, src, dst, round(list_sum(bf) - list_sum(af), 4) + 0.0 AS moved, round(af[1], 6) + 0.0 AS own FROM k WHERE rank <= 3")
@@ -278,10 +277,8 @@ def _(spark, d):
 @query("c4_c10_graph_segments")
 def _(spark, d):
     p = points(spark, d)
-    e = nb.radius_edges(p, p, 1.5, include_self=False).where("src < dst")
-    level = p.select("cloud_id", "point_id", "intensity")
-    e = e.join(level.toDF("cloud_id", "src", "_a"), ["cloud_id", "src"]).join(level.toDF("cloud_id", "dst", "_b"), ["cloud_id", "dst"])
-    edges = e.select("cloud_id", F.col("src").alias("a"), F.col("dst").alias("b"), F.abs(F.col("_a") - F.col("_b")).alias("weight"))
+    e = nb.radius_edges(p, p, 1.5, include_self=False, carry=["intensity"]).where("src < dst")
+    edges = e.select("cloud_id", F.col("src").alias("a"), F.col("dst").alias("b"), F.abs(F.col("src_intensity") - F.col("dst_intensity")).alias("weight"))
     return cluster.attach_segments(p, cluster.segment_graph(edges, 200.0, 3)).select("cloud_id", "point_id", "segment")
 
 
@@ -333,10 +330,8 @@ _PAIRS = f"WITH {BALL}, p AS (SELECT ba.cloud_id, src AS anchor, a.label AS clas
 def contrast_pairs(spark, d):
     """Every point as an anchor with its neighbours; those of its class are its positives."""
     p = points(spark, d)
-    level = p.select("cloud_id", "point_id", "label", "intensity")
-    e = nb.radius_edges(p, p, 1.5, include_self=False)
-    e = e.join(level.toDF("cloud_id", "src", "_la", "_a"), ["cloud_id", "src"]).join(level.toDF("cloud_id", "dst", "_lb", "_b"), ["cloud_id", "dst"])
-    return e.select("cloud_id", F.col("src").alias("anchor"), F.col("_la").alias("class"), (F.col("_la") == F.col("_lb")).alias("positive"), (-F.abs(F.col("_a") - F.col("_b")) / 100).alias("s"))
+    e = nb.radius_edges(p, p, 1.5, include_self=False, carry=["label", "intensity"])
+    return e.select("cloud_id", F.col("src").alias("anchor"), F.col("src_label").alias("class"), (F.col("src_label") == F.col("dst_label")).alias("positive"), (-F.abs(F.col("src_intensity") - F.col("dst_intensity")) / 100).alias("s"))
 
 
 @query("l8_info_nce", f"{_PAIRS} SELECT cloud_id, round(avg(-ln(pp/al)), 5) AS loss FROM k WHERE pp > 0 GROUP BY 1")

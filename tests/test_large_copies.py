@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from cloudloom.functions import tables
-from cloudloom.operators import cluster, evaluate
+from cloudloom.operators import cluster, evaluate, neighbors
 from cloudloom.plans import catalog
 from cloudloom.sources import fixtures, formats, io
 from cloudloom.streaming import stateful
@@ -70,3 +70,22 @@ def test_points_are_dealt_in_parts_that_follow_the_table(spark, monkeypatch):
     assert p.rdd.getNumPartitions() == -(-p.count() // 300) and max(r["count"] for r in parts) < p.count() / 4
     for n in names:
         assert sorted(map(tuple, catalog.QUERIES[n](spark, SMALL).collect())) == want[n]
+
+
+def test_radius_search_asks_few_cells_and_carries_columns(spark):
+    """Every pair once, over borders of cells, with columns of both ends; a point among others of its cloud asks five cells at most on average."""
+    rng = np.random.default_rng(9)
+    v = np.concatenate([rng.uniform(-6, 6, (300, 3)), rng.integers(-4, 5, (200, 3)) * 0.75, np.nextafter(rng.integers(-2, 3, (60, 3)) * 1.5, np.inf)])
+    p = spark.createDataFrame([(i % 2, i, *map(float, x), i * 10) for i, x in enumerate(v)], "cloud_id bigint, point_id bigint, x double, y double, z double, own int")
+    gap = lambda i, j: (v[i][0] - v[j][0]) ** 2 + (v[i][1] - v[j][1]) ** 2 + (v[i][2] - v[j][2]) ** 2
+    for closed in (False, True):
+        want = {(i, j) for i in range(len(v)) for j in range(len(v)) if i % 2 == j % 2 and (gap(i, j) <= 2.25 if closed else gap(i, j) < 2.25)}
+        for other in (p, p.select("*")):  # a cloud with itself, and two clouds
+            edges = neighbors.radius_edges(p, other, 1.5, closed=closed, carry=["own"])
+            got = [tuple(r) for r in edges.select("src", "dst", "src_own", "dst_own").collect()]
+            assert sorted(got) == sorted((i, j, i * 10, j * 10) for i, j in want)
+    asked = neighbors.asked_cells(p, 1.5, [], True)
+    assert asked.count() <= 5 * len(v)
+    for name in ("l8_info_nce", "l9_instance_info_nce", "j11_ball_group"):
+        plan = catalog.QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join") == 1, name
