@@ -319,3 +319,24 @@ def test_license_scan_against_alignment_on_every_diagonal(spark):
         assert set(got) <= {n for n, c in whole.items() if c >= 0.8}, case
         if len(cut) >= 0.93 * len(words):
             assert name in got and got[name] <= whole[name], case
+
+
+def test_few_groups_shuffle_the_sets_once(spark):
+    """Sets go straight to their groups when the groups' rows can be broadcast; a band has one hash beside its key."""
+    tokens = np.arange(10, dtype="<u8")
+    sets = spark.createDataFrame([(1, tokens.tobytes()), (2, tokens[:9].tobytes()), (3, tokens[5:].tobytes())], "node bigint, tokens binary")
+    members = spark.createDataFrame([(1, 0, 2), (1, 0, 3)], "a bigint, part bigint, node bigint")
+    ask = spark.createDataFrame([(1, 0, 1)], "a bigint, part bigint, node bigint")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        links = minhash._search(members, ask, ["a", "part"], sets, 80, among=True)
+        assert links._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert [tuple(r) for r in links.collect()] == [(1, 2)]
+    kept = []
+    bands = spark.createDataFrame([(1, 9, [5, 6]), (2, 9, [5, 6]), (3, 9, [7, 8]), (4, 9, [8, 5])], "node bigint, n bigint, bands array<bigint>")
+    lists = minhash._lists(bands, lambda df: kept.append(df) or df)
+    assert sorted((r.list, r.node) for r in lists.collect()) == [(5, 1), (5, 2), (5, 4), (6, 1), (6, 2), (8, 3), (8, 4)]
+    assert kept[0]._jdf.queryExecution().optimizedPlan().toString().count("xxhash64(") == 1
