@@ -77,15 +77,14 @@ def _bounded(m: dict, tables) -> bool:
 
 
 def _attend(tables, ids: np.ndarray, bias: np.ndarray, context: int, pad: int, bounded: bool):
-    """Queries, keys, values, unnormalised attention weights, their sums and the weighted mean of the values; a padded place sees
-    padding alone."""
+    """Queries, keys, values, unnormalised attention weights, their sums and the weighted mean of the values. Padding before a sequence
+    is not seen; that after it comes later than all its places."""
     q, k, v = np.take(tables[0], ids[:, context:], axis=0), np.take(tables[1], ids, axis=0), np.take(tables[2], ids, axis=0)
     s = q @ k.transpose(0, 2, 1)
     s += bias
-    gaps = ids == pad
-    if gaps.any():
-        s += np.where(gaps, s.dtype.type(-1e9), s.dtype.type(0))[:, None, :]
-        bounded = False
+    gaps = ids[:, :context] == pad
+    first = np.flatnonzero(gaps.any(axis=1))
+    s[first, :, :context] += np.where(gaps[first], s.dtype.type(-1e9), s.dtype.type(0))[:, None, :]
     total = _exponentials(s, bounded)
     a = s @ v
     a /= total
@@ -163,10 +162,9 @@ def gradients(m: dict, ids: np.ndarray, targets: np.ndarray, weight: np.ndarray,
     group, member = np.divmod(targets, members)
     share = (weight / max(1.0, float(weight.sum())))[:, None].astype(m["E"].dtype)  # places without weight add nothing
     here = np.arange(len(targets))
-    x, af, low = np.take(m["E"], now, axis=0), flat(a), _low(m)
-    z = x @ m["A"]
+    af, low = flat(a), _low(m)
+    z = np.take(m["E"] @ m["A"] + m["c"], now, axis=0)
     z += af @ m["B"]
-    z += m["c"]
     np.tanh(z, out=z)
     one = z @ m["W1"]
     one += m["b1"]
@@ -189,7 +187,7 @@ def gradients(m: dict, ids: np.ndarray, targets: np.ndarray, weight: np.ndarray,
     z *= z
     np.subtract(1, z, out=z)
     dh *= z
-    g["A"], g["B"], g["c"] = x.T @ dh, af.T @ dh, np.ones(len(dh), dh.dtype) @ dh
+    g["B"], g["c"] = af.T @ dh, np.ones(len(dh), dh.dtype) @ dh
     da = (dh @ m["B"].T).reshape(a.shape)
     da /= sums
     ds = da @ v.transpose(0, 2, 1)
@@ -200,14 +198,14 @@ def gradients(m: dict, ids: np.ndarray, targets: np.ndarray, weight: np.ndarray,
     np.matmul(ds.transpose(0, 2, 1), q, out=to_all[:, :, :width])
     np.matmul(e.transpose(0, 2, 1), da, out=to_all[:, :, width:])
     to_all = _scatter(ids.ravel(), flat(to_all), len(m["E"]))
-    to_now = np.empty((*a.shape[:2], 2 * width), m["E"].dtype)
+    to_now = np.empty((*a.shape[:2], width + dh.shape[1]), m["E"].dtype)
     np.matmul(ds, k, out=to_now[:, :, :width])
-    np.matmul(dh, m["A"].T, out=flat(to_now)[:, width:])
+    flat(to_now)[:, width:] = dh
     to_now = _scatter(now, flat(to_now), len(m["E"]))
     queries, direct = to_now[:, :width] * dtype(width**-0.5), to_now[:, width:]
     keys, values = to_all[:, :width], to_all[:, width:]
-    g["Wq"], g["Wk"], g["Wv"] = m["E"].T @ queries, m["E"].T @ keys, m["E"].T @ values
-    g["E"] = queries @ m["Wq"].T + keys @ m["Wk"].T + values @ m["Wv"].T + direct
+    g["Wq"], g["Wk"], g["Wv"], g["A"] = (m["E"].T @ d for d in (queries, keys, values, direct))
+    g["E"] = queries @ m["Wq"].T + keys @ m["Wk"].T + values @ m["Wv"].T + direct @ m["A"].T
     g["E"][-1] = 0
     return loss, g
 

@@ -60,8 +60,8 @@ def spell(path: str, words: list[bytes]) -> list[list[int]]:
     """The subword ids of each word, as it stands after a space. Byte-level: different words have different ids, and only a word's
     first id begins with a space."""
     tok, begins, out = _tokenizer(path), _begins(path), []
-    for at in range(0, len(words), 2000):
-        part = [w.decode() for w in words[at : at + 2000]]
+    for at in range(0, len(words), 250):
+        part = [w.decode() for w in words[at : at + 250]]
         if any(not w.isascii() and (w.split() != [w]) for w in part):  # white space beyond ASCII inside a word
             out += [tok.encode(" " + w, add_special_tokens=False).ids for w in part]
             continue

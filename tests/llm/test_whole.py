@@ -130,3 +130,21 @@ def test_pipeline_decides_row_by_row(spark, tmp_path):
     spark.createDataFrame([(None, "one two three four five six"), (None, "one two three four five six"), (5, "a b c d e f g"), (4, "a b c d e f g"), (None, "a b c d e f g")], "doc_id bigint, text string").write.parquet(two)
     left = corpus_pipeline.near_duplicates(spark, spark.read.parquet(two), SMALL)
     assert sorted((str(r.doc_id), r.text) for r in left.collect()) == [("4", "a b c d e f g"), ("None", "one two three four five six")]
+
+
+def test_op7_padding_before_a_text_keeps_the_cheap_exponentials(monkeypatch):
+    from cloudloom.llm import attention
+
+    lengths, flat = np.array([3, 9]), np.arange(12) % 9
+    ids, place = attention.windows(lengths, flat, 9, 3, 4)
+    m = attention.initial(9, np.ones(5), 3, 4, width=4, hidden=6)
+    target, weight = np.zeros(len(ids) * 4, np.int64), np.zeros(len(ids) * 4)
+    target[place], weight[place] = flat % 5, 1
+    apart = np.concatenate([attention.log_probabilities(m, ids[:1], target[:4], 3), attention.log_probabilities(m, ids[1:], target[4:], 3)])
+    flags, plain = [], attention._exponentials
+    monkeypatch.setattr(attention, "_exponentials", lambda logits, bounded: flags.append(bounded) or plain(logits, bounded))
+    p = attention.log_probabilities(m, ids, target, 3)
+    attention.gradients(m, ids, target, weight, 3)
+    assert flags and all(flags)
+    monkeypatch.setattr(attention, "_bounded", lambda *a: False)  # with the row's maximum taken off
+    assert np.abs(attention.log_probabilities(m, ids, target, 3) - p)[place].max() < 1e-5 and np.abs(apart - p)[place].max() < 1e-5
