@@ -340,3 +340,16 @@ def test_few_groups_shuffle_the_sets_once(spark):
     lists = minhash._lists(bands, lambda df: kept.append(df) or df)
     assert sorted((r.list, r.node) for r in lists.collect()) == [(5, 1), (5, 2), (5, 4), (6, 1), (6, 2), (8, 3), (8, 4)]
     assert kept[0]._jdf.queryExecution().optimizedPlan().toString().count("xxhash64(") == 1
+
+
+def test_op11_no_join_multiplies_a_nodes_lists(spark):
+    from cloudloom.llm.minhash import _blocks, _dealt
+
+    lists = spark.createDataFrame([(k, n, 100) for k in range(3) for n in range(40 + k)], "list bigint, node bigint, n bigint")
+    spread, salted = _dealt(lists)
+    members = salted.withColumn("group", (lists["node"] == 0).cast("bigint"))
+    asks, blocks = _blocks(members, spread, 80)
+    joins = [line for line in asks._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+    assert joins and not any("(node#" in line for line in joins)
+    assert {(r.node, r.home) for r in blocks.collect()} == {(n, 2) for n in range(42)}
+    assert {(r.node, r.home) for r in asks.collect()} == {(0, 2)}
