@@ -387,6 +387,11 @@ def associate(points: DataFrame, pred: str, truth: str) -> DataFrame:
     return out.withColumn("iou", F.col("inter") / (F.col("size") + F.col("gt_size") - F.col("inter")))
 
 
+def _examples(rows: list) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.float64(), pa.int32(), pa.int32(), pa.float64()))], ["threshold", "class", "hit", "score"])
+
+
 def average_precision(guesses: DataFrame, truth: DataFrame, overlaps: DataFrame, thresholds: Sequence[float], least: int = 0) -> DataFrame:
     """Average precision of each class and overlap threshold.
 
@@ -406,9 +411,7 @@ def average_precision(guesses: DataFrame, truth: DataFrame, overlaps: DataFrame,
     big, hit = F.col("_gs") >= least, F.col("iou") > F.col("threshold")
     at = pairs.select("*", thr)
 
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["class", "gt", "inst"])
-        close = list(zip(pdf["class"].tolist(), pdf["gt"].tolist(), pdf["inst"].tolist(), pdf["score"].tolist(), pdf["iou"].tolist()))
+    def greedy(close: list) -> list:
         rows = []
         for t in thresholds:
             taken, best = set(), {}
@@ -422,11 +425,24 @@ def average_precision(guesses: DataFrame, truth: DataFrame, overlaps: DataFrame,
                     best[kind, truth_id] = score
                     taken.add((kind, inst))
             rows += [(t, kind, 1, score) for (kind, _), score in best.items()]
-        return pd.DataFrame(rows, columns=["threshold", "class", "hit", "score"])
+        return rows
+
+    def run(batches):
+        now, close = None, []
+        for b in batches:
+            found = []
+            for cloud, *pair in zip(*(c.to_pylist() for c in b.columns)):
+                if cloud != now:
+                    found += greedy(close)
+                    now, close = cloud, []
+                close.append(pair)
+            yield _examples(found)
+        yield _examples(greedy(close))
 
     # a group is the close pairs of a cloud: a guess overlaps few truths by more than the least threshold
     near = pairs.where(big & (F.col("iou") > min(thresholds))).select("cloud_id", "class", "gt", "inst", "score", "iou")
-    matched = near.groupBy("cloud_id").applyInPandas(greedy, "threshold double, class int, hit int, score double")
+    near = near.repartition("cloud_id").sortWithinPartitions("cloud_id", "class", "gt", "inst")  # many clouds a batch, a few rows each
+    matched = near.mapInArrow(run, "threshold double, class int, hit int, score double")
     excused = at.groupBy("cloud_id", "inst", "threshold").agg(F.max(hit.cast("int")).alias("_hit"), F.sum(F.when(~big, F.col("inter")).otherwise(0)).alias("_small"))
     false = guesses.select("*", thr).join(excused, ["cloud_id", "inst", "threshold"], "left").na.fill(0, ["_hit", "_small"])
     false = false.where((F.col("_hit") == 0) & ((F.col("void") + F.col("_small")) / F.col("size") <= F.col("threshold")))

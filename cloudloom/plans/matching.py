@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cloudloom.functions.random import draw_sql
+from cloudloom.functions.tables import materialise
 from cloudloom.operators import cluster, farthest
 from cloudloom.operators import neighbors as nb
 from cloudloom.operators.spacetree import neighbour_lists
@@ -224,7 +225,8 @@ def _(spark, d):
  SELECT t.threshold, cl.class, round(CASE WHEN truth > 0 THEN coalesce(ap, 0) END, 6) AS ap FROM cl CROSS JOIN t LEFT JOIN tot ON tot.class = cl.class LEFT JOIN a ON a.class = cl.class AND a.threshold = t.threshold""")
 def _(spark, d):
     p = points(spark, d).withColumn("guess", F.when(F.col("z") > 1, F.col("rib")).otherwise(F.lit(0)))
-    one = lambda name: p.where(f"{name} > 0").groupBy("cloud_id", name).agg(F.min_by("label", "point_id").alias("class"), F.count("*").alias("size"))
+    met = materialise(p.groupBy("cloud_id", "guess", "rib").agg(F.min(F.struct("point_id", "label")).alias("first"), F.count("*").alias("n")))  # the points are read once
+    one = lambda name: met.where(f"{name} > 0").groupBy("cloud_id", name).agg(F.min("first")["label"].alias("class"), F.sum("n").alias("size"))
     guesses = one("guess").withColumnRenamed("guess", "inst").withColumns({"score": 1.0 / (1 + F.col("inst")), "void": F.lit(0)})
-    overlaps = p.where("guess > 0 and rib > 0").groupBy("cloud_id", F.col("guess").alias("inst"), F.col("rib").alias("gt")).agg(F.count("*").alias("inter"))
+    overlaps = met.where("guess > 0 and rib > 0").select("cloud_id", F.col("guess").alias("inst"), F.col("rib").alias("gt"), F.col("n").alias("inter"))
     return rounded(cluster.average_precision(guesses, one("rib").withColumnRenamed("rib", "gt"), overlaps, [0.25, 0.5, 0.75]), "ap")

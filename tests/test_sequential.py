@@ -89,3 +89,11 @@ def test_nearest_rows_with_ties():
         order, value = neighbors.nearest_rows(d2, k)
         want = np.argsort(d2, axis=1, kind="stable")[:, :k]
         assert np.array_equal(order, want) and np.array_equal(value, np.take_along_axis(d2, want, axis=1))
+
+
+def test_e25_reads_points_once_and_calls_python_by_batches(spark):
+    from cloudloom.plans.catalog import QUERIES
+    from tests.conftest import SMALL
+
+    plan = QUERIES["e25_average_precision"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "lineitem" not in plan and "l_suppkey" not in plan
