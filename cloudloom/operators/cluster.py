@@ -389,7 +389,7 @@ def associate(points: DataFrame, pred: str, truth: str) -> DataFrame:
 
 def _examples(rows: list) -> pa.RecordBatch:
     columns = list(zip(*rows)) or [()] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.float64(), pa.int32(), pa.int32(), pa.float64()))], ["threshold", "class", "hit", "score"])
+    return pa.RecordBatch.from_arrays([pa.array(c, t, from_pandas=True) for c, t in zip(columns, (pa.float64(), pa.int32(), pa.int32(), pa.float64()))], ["threshold", "class", "hit", "score"])
 
 
 def average_precision(guesses: DataFrame, truth: DataFrame, overlaps: DataFrame, thresholds: Sequence[float], least: int = 0) -> DataFrame:
@@ -440,7 +440,7 @@ def average_precision(guesses: DataFrame, truth: DataFrame, overlaps: DataFrame,
         yield _examples(greedy(close))
 
     # a group is the close pairs of a cloud: a guess overlaps few truths by more than the least threshold
-    near = pairs.where(big & (F.col("iou") > min(thresholds))).select("cloud_id", "class", "gt", "inst", "score", "iou")
+    near = pairs.where(big & (F.col("iou") > min(thresholds))).select("cloud_id", "class", "gt", "inst", F.coalesce(F.col("score").cast("double"), F.lit(float("nan"))), "iou")
     near = near.repartition("cloud_id").sortWithinPartitions("cloud_id", "class", "gt", "inst")  # many clouds a batch, a few rows each
     matched = near.mapInArrow(run, "threshold double, class int, hit int, score double")
     excused = at.groupBy("cloud_id", "inst", "threshold").agg(F.max(hit.cast("int")).alias("_hit"), F.sum(F.when(~big, F.col("inter")).otherwise(0)).alias("_small"))
