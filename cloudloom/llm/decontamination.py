@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import keyed, keyed_schema, materialise, text_bytes
+from .common import keyed, keyed_schema, materialise, release_memory, text_bytes
 
 #: ASCII letters fold to lower case, other ASCII than digits and letters becomes a space, bytes beyond ASCII stay.
 _NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -131,6 +131,7 @@ def _scan_part(source: DataFrame, schema: StructType, sent, digest: str, window:
             if not last:
                 cols, names = [*cols, b.column("text")], [*names, "text"]
             yield pa.RecordBatch.from_arrays(cols, names)
+        release_memory()
 
     return source.mapInArrow(run, schema if last else StructType([*schema.fields, StructField("text", BinaryType())]))
 

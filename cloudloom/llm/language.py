@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drawn, keyed, keyed_schema, text_bytes
+from .common import drawn, keyed, keyed_schema, release_memory, text_bytes
 
 DIMENSIONS = 4096
 #: ASCII letters fold to lower case, other ASCII becomes a space; bytes beyond ASCII stay as they are.
@@ -128,5 +128,6 @@ def predict(docs: DataFrame, model: dict, key: str = "doc_id") -> DataFrame:
                 else:
                     score, names, rejected = np.zeros(len(part)), ["und"] * len(part), np.ones(len(part), bool)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(part)), pa.array(names), pa.array(score), pa.array(rejected)], [key, "lang_pred", "score", "rejected"])
+        release_memory()
 
     return keyed(docs, key).mapInArrow(run, keyed_schema(docs, key, "lang_pred string, score double, rejected boolean"))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, drawn, keyed, keyed_schema, stable_hash, text_bytes
+from .common import Memo, drawn, keyed, keyed_schema, release_memory, stable_hash, text_bytes
 
 WORD_BUCKETS = 1 << 14
 STATS, BINS = 12, 10
@@ -160,5 +160,7 @@ def score(docs: DataFrame, model: dict, key: str = "doc_id") -> DataFrame:
                 z = logits(m, *stacked([make(r) for r in raws[at : at + 256]]))
                 s = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 256), pa.array(s), pa.array((s >= m["threshold"]).astype(np.int32))], [key, "score", "predicted"])
+        make = None
+        release_memory()
 
     return keyed(docs, key).mapInArrow(run, keyed_schema(docs, key, "score double, predicted int"))
