@@ -13,15 +13,19 @@ Points at one and the same place can't be split: of those only the k of the smal
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cloudloom.functions.tables import discard, materialise
+from cloudloom.functions.tables import deal, discard, materialise
 
 AXES = ("x", "y", "z")
 LEAF, WAYS, PART = 768, 16, 4_096
+#: Rows of several leaves that one call of Python takes: a call for each leaf costs more than a small leaf's search.
+CALL = 32_768
 #: Rows of cuts, of about 200 bytes each, up to which they are broadcast.
 FEW = 100_000
 LISTS = "cloud_id bigint, src bigint, x double, y double, z double, leaf bigint, dst array<bigint>, d2 array<double>"
@@ -111,40 +115,69 @@ def _within(q: list[np.ndarray], p: list[np.ndarray], ids: np.ndarray, k: int, b
     return counts, np.concatenate(dst), np.concatenate(out)
 
 
-def _lists(queries: pa.Table, points: pa.Table, k: int) -> pa.Table:
-    """The queries with dst and d2; where they have a bound, only points within it."""
-    points = points.sort_by("point_id")
+def groups(rows: pa.Table, keys: Sequence[str]) -> dict[tuple, tuple[int, int]]:
+    """Where the rows of each combination of keys begin and end; rows are sorted by them."""
+    columns = [x for c in keys for x in (rows[c].fill_null(0).to_numpy(), rows[c].is_null().to_numpy())]
+    new = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    first = np.concatenate([[0], np.flatnonzero(new) + 1]) if len(rows) else np.zeros(0, np.int64)
+    return dict(zip(zip(*(c[first].tolist() for c in columns)), zip(first.tolist(), [*first[1:].tolist(), len(rows)])))
+
+
+def _lists(queries: pa.Table, points: pa.Table, k: int, own: Sequence[str], other: Sequence[str]) -> pa.Table:
+    """The queries with dst and d2 from the points of the same leaf, whose keys are ``own`` and ``other``; where they have a bound, only
+    points within it. Leaves without points answer nothing."""
+    queries = queries.sort_by([(c, "ascending") for c in own])
+    points = points.sort_by([(c, "ascending") for c in (*other, "point_id")])
     q, p, ids = [queries[a].to_numpy() for a in AXES], [points[f"p{a}"].to_numpy() for a in AXES], points["point_id"].to_numpy()
-    if "bound" in queries.column_names:
-        counts, dst, d2 = _within(q, p, ids, k, queries["bound"].to_numpy())
-    else:
-        dst, d2 = _nearest(q, p, ids, k)
-        counts, dst, d2 = np.full(len(dst), dst.shape[1]), dst.ravel(), d2.ravel()
-    ends = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+    bound = queries["bound"].to_numpy() if "bound" in queries.column_names else None
+    held, found, asked = groups(points, other), [], []
+    for key, (a, b) in groups(queries, own).items():
+        if key not in held:
+            continue
+        c, d = held[key]
+        mine, theirs = [x[a:b] for x in q], [x[c:d] for x in p]
+        if bound is None:
+            dst, d2 = _nearest(mine, theirs, ids[c:d], k)
+            found.append((np.full(b - a, dst.shape[1]), dst.ravel(), d2.ravel()))
+        else:
+            found.append(_within(mine, theirs, ids[c:d], k, bound[a:b]))
+        asked.append((a, b))
     columns = [queries[c] for c in ("cloud_id", "src", *AXES, "leaf")]
+    if sum(b - a for a, b in asked) < len(queries):
+        at = np.concatenate([np.arange(a, b) for a, b in asked] or [np.zeros(0, np.int64)])
+        columns = [c.take(pa.array(at)) for c in columns]
+    counts, dst, d2 = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    ends = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
     return pa.table([*columns, *(pa.ListArray.from_arrays(ends, pa.array(x)) for x in (dst, d2))], ["cloud_id", "src", *AXES, "leaf", "dst", "d2"])
 
 
+def call_number(rows: int, *keys: Column | str) -> Column:
+    """A number for some keys that about CALL of the rows share: they go to Python in one call."""
+    return F.pmod(F.xxhash64(*keys), F.lit(max(1, -(-rows // CALL)))).cast("int")
+
+
 def _answers(queries: DataFrame, points: DataFrame, target: str, k: int) -> DataFrame:
-    """The k nearest points of the leaf ``target`` for each query; queries of a leaf in parts of about PART."""
+    """The k nearest points of the leaf ``target`` for each query; queries of a leaf in parts of about PART. Both sides are written tables."""
+    rows = queries.count() + points.count()  # a leaf's copies for its parts are no more than its queries
     sizes = queries.groupBy("cloud_id", F.col(target).alias("_leaf")).agg(F.ceil(F.count("*") / PART).cast("int").alias("_parts"))
     asked = queries.join(sizes.withColumnRenamed("_leaf", target), ["cloud_id", target])
     asked = asked.select(F.col("cloud_id").alias("_cloud"), F.col(target).alias("_leaf"), F.pmod(F.xxhash64("src"), F.col("_parts")).cast("int").alias("_part"), "cloud_id", "src", *AXES, "leaf", *(["bound"] if "bound" in queries.columns else []))
     held = points.join(sizes.withColumnRenamed("_leaf", "leaf"), ["cloud_id", "leaf"])
     held = held.select(F.col("cloud_id").alias("_pcloud"), F.col("leaf").alias("_pleaf"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_ppart"), "point_id", *[F.col(a).alias(f"p{a}") for a in AXES])
-    empty = pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64()))], ["cloud_id", "src", *AXES, "leaf", "dst", "d2"])
-    run = lambda q, p: _lists(q, p, k) if len(q) and len(p) else empty
-    return asked.groupBy("_cloud", "_leaf", "_part").cogroup(held.groupBy("_pcloud", "_pleaf", "_ppart")).applyInArrow(run, LISTS)
+    own, other = ("_cloud", "_leaf", "_part"), ("_pcloud", "_pleaf", "_ppart")
+    one, two = (df.withColumn(name, call_number(rows, *keys)).groupBy(name) for df, name, keys in ((asked, "_call", own), (held, "_pcall", other)))
+    return one.cogroup(two).applyInArrow(lambda q, p: _lists(q, p, k, own, other), LISTS)
 
 
 def _own_answers(points: DataFrame, k: int) -> DataFrame:
-    """The k nearest points of its leaf for each point of it."""
+    """The k nearest points of its leaf for each point of it. points is a written table."""
+    keys = ("cloud_id", "leaf")
 
     def run(rows: pa.Table) -> pa.Table:
         queries = rows.rename_columns([{"point_id": "src"}.get(c, c) for c in rows.column_names])
-        return _lists(queries, rows.rename_columns([{a: f"p{a}" for a in AXES}.get(c, c) for c in rows.column_names]), k)
+        return _lists(queries, rows.rename_columns([{a: f"p{a}" for a in AXES}.get(c, c) for c in rows.column_names]), k, keys, keys)
 
-    return points.select("cloud_id", "leaf", "point_id", *AXES).groupBy("cloud_id", "leaf").applyInArrow(run, LISTS)
+    return points.select("cloud_id", "leaf", "point_id", *AXES, call_number(points.count(), *keys).alias("_call")).groupBy("_call").applyInArrow(run, LISTS)
 
 
 def _gap(one: str, other: str) -> Column:
@@ -206,7 +239,8 @@ def neighbour_lists(queries: DataFrame, points: DataFrame, k: int, leaf: int = L
     more = first.join(near, ["cloud_id", "leaf"]).where(_gap("", "") <= _reach(k)).select("cloud_id", "src", *AXES, "leaf", "target", _reach(k).alias("bound"))
     more = materialise(more)
     again = more.select("cloud_id", "src").distinct()
+    first = deal(first, first.count(), "cloud_id", "src")
     found = first.join(again, ["cloud_id", "src"], "left_semi").unionByName(_answers(more, placed, "target", k))
-    merged = found.groupBy("cloud_id", "src").agg(F.slice(F.array_sort(F.flatten(F.collect_list(F.arrays_zip("d2", "dst")))), 1, k).alias("all"))
+    merged = deal(found, 2 * more.count(), "cloud_id", "src").groupBy("cloud_id", "src").agg(F.slice(F.array_sort(F.flatten(F.collect_list(F.arrays_zip("d2", "dst")))), 1, k).alias("all"))
     merged = merged.select("cloud_id", "src", F.col("all.dst").alias("dst"), F.col("all.d2").alias("d2"))
     return first.join(again, ["cloud_id", "src"], "left_anti").select("cloud_id", "src", "dst", "d2").unionByName(merged)

@@ -1,8 +1,11 @@
 """Nearest neighbours by leaves against all distances: even, dense, flat and coincident clouds, and queries in one place."""
 
+import tempfile
+
 import numpy as np
 import pytest
 
+from cloudloom.operators import spacetree
 from cloudloom.operators.spacetree import neighbour_lists, partition
 
 
@@ -65,3 +68,22 @@ def test_leaves_are_bounded_and_empty_tables_work(spark):
     leaves = partition(df, None, 100)[0].groupBy("leaf").count().collect()
     assert max(r["count"] for r in leaves) <= 100 and len(leaves) < 400
     assert neighbour_lists(df.limit(0), df, 3).count() == 0 and neighbour_lists(df, df.limit(0), 3).count() == 0
+
+
+def test_small_leaves_share_their_calls(spark, tmp_path, monkeypatch):
+    """300 clouds in leaves of 8 points: a call of Python takes many leaves (j1_r19_leaves, j8_skeleton_by_leaves)."""
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    whole = spacetree._lists
+
+    def counted(*args):
+        tempfile.mkstemp(dir=calls)
+        return whole(*args)
+
+    monkeypatch.setattr(spacetree, "_lists", counted)
+    rng = np.random.default_rng(3)
+    rows = [(c, rng.random((20, 3))) for c in range(300)]
+    df = frame(spark, rows)
+    got = {(r.cloud_id, r.src): (r.dst, r.d2) for r in neighbour_lists(df, df, 3, 8).collect()}
+    assert got == {(c, i): v for c, own in rows for i, v in plain(own, own, 3).items()}
+    assert 0 < len(list(calls.iterdir())) <= 8
