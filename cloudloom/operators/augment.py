@@ -99,18 +99,22 @@ def colour_jitter(df: DataFrame, brightness: float, contrast: float, saturation:
 GREY = (0.2989, 0.587, 0.114)
 
 
-def turn_hue(rgb: Sequence[Column], turn: Column) -> list[Column]:
-    """Colours of 0 to 255 with their hue moved by a share of the circle; greys stay."""
+def _sixths(rgb: Sequence[Column], top: Column, spread: Column, turn: Column) -> Column:
+    """The place on the circle in sixths, moved by a share of the circle."""
     r, g, b = rgb
-    top, spread = F.greatest(*rgb), F.greatest(*rgb) - F.least(*rgb)
     sixth = F.when(top == r, (g - b) / spread).when(top == g, 2 + (b - r) / spread).otherwise(4 + (r - g) / spread)
-    sixth = F.when(spread > 0, sixth).otherwise(0.0) + 6 * turn + 12  # above 0 for turns of up to one
+    return F.when(spread > 0, sixth).otherwise(0.0) + 6 * turn + 12  # above 0 for turns of up to one
+
 
-    def channel(n: int) -> Column:
-        k = (sixth + n) % 6
-        return top - spread * F.greatest(F.least(k, 4 - k, F.lit(1.0)), F.lit(0.0))
+def _channels(top: Column, spread: Column, sixth: Column) -> list[Column]:
+    ks = [(sixth + n) % 6 for n in (5, 3, 1)]
+    return [top - spread * F.greatest(F.least(k, 4 - k, F.lit(1.0)), F.lit(0.0)) for k in ks]
 
-    return [channel(n) for n in (5, 3, 1)]
+
+def turn_hue(rgb: Sequence[Column], turn: Column) -> list[Column]:
+    """Colours of 0 to 255 with their hue moved by a share of the circle; greys stay."""
+    top, spread = F.greatest(*rgb), F.greatest(*rgb) - F.least(*rgb)
+    return _channels(top, spread, _sixths(rgb, top, spread, turn))
 
 
 def random_colour_jitter(df: DataFrame, seed: int, brightness: tuple[float, float] | None = None, contrast: tuple[float, float] | None = None, saturation: tuple[float, float] | None = None, hue: tuple[float, float] | None = None, p: float = 0.95, channels=("r", "g", "b")) -> DataFrame:
@@ -128,15 +132,19 @@ def random_colour_jitter(df: DataFrame, seed: int, brightness: tuple[float, floa
     rgb = [F.col(c) for c in channels]
     grey = sum((c * w for c, w in zip(rgb, GREY)), F.lit(0.0))
     steps = [F.struct(draw(seed + k, "cloud_id").alias("at"), F.when(draw(seed + 4 + k, "cloud_id") < p, k).alias("step"), (lo + draw(seed + 8 + k, "cloud_id") * (hi - lo)).alias("amount")) for k, (lo, hi) in ranges.items()]
-    out = df.withColumn("_steps", F.array_sort(F.array(*steps))) if steps else df
+    out = df.withColumn("_steps", F.sort_array(F.array(*steps))) if steps else df
     for place in range(len(ranges)):
         # the window parts the drawing of steps from their use, so that they are drawn once
         out = out.withColumn("_grey", grey).withColumn("_mean", F.avg("_grey").over(per_cloud()))
         now = F.get("_steps", F.lit(place))
-        step, a = now["step"], now["amount"]
-        against = F.when(step == 0, 0.0).when(step == 1, F.col("_mean")).otherwise(F.col("_grey"))
-        hued = turn_hue(rgb, a)
-        out = out.withColumns({c: F.when(step.isNull(), rgb[i]).when(step == 3, hued[i]).otherwise(clip(a * rgb[i] + (1 - a) * against)) for i, c in enumerate(channels)})
+        out = out.withColumns({"_step": now["step"], "_amount": now["amount"]})
+        step, a = F.col("_step"), F.col("_amount")
+        out = out.withColumn("_against", F.when(step == 0, 0.0).when(step == 1, F.col("_mean")).otherwise(F.col("_grey")))
+        # what the channels share are columns of their own: written out in each of them it makes code too long to be compiled
+        out = out.withColumns({"_top": F.greatest(*rgb), "_spread": F.greatest(*rgb) - F.least(*rgb)})
+        out = out.withColumn("_sixth", _sixths(rgb, F.col("_top"), F.col("_spread"), a))
+        hued = _channels(F.col("_top"), F.col("_spread"), F.col("_sixth"))
+        out = out.withColumns({c: F.when(step.isNull(), rgb[i]).when(step == 3, hued[i]).otherwise(clip(a * rgb[i] + (1 - a) * F.col("_against"))) for i, c in enumerate(channels)})
     return out.select(df.columns)
 
 

@@ -61,3 +61,13 @@ def test_elastic_rounds_leave_closed_clouds_alone(spark):
     assert augment.elastic_rounds(rows, ((2.0, 1.0),), 0.0, 3).exceptAll(rows).isEmpty()
     moved = augment.elastic_rounds(rows, ((2.0, 1.0),), 0.5, 3).join(rows.withColumnRenamed("x", "old"), ["cloud_id", "point_id"]).groupBy("cloud_id").agg(F.max(F.abs(F.col("x") - F.col("old"))).alias("d")).collect()
     assert len(moved) == 40 and 8 < sum(r.d > 0 for r in moved) < 32
+
+
+def test_colour_steps_share_their_parts(spark):
+    """Hue's place on the circle is worked out once a step and not in each channel (p44_random_colour_jitter)."""
+    df = spark.range(9).selectExpr("id % 2 cloud_id", "id point_id", "double(id * 20) r", "double(id * id) g", "double(7 * id) b")
+    out = augment.random_colour_jitter(df, 440, (0.6, 1.4), (0.6, 1.4), (0.5, 1.5), (-0.3, 0.3), p=0.7)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan  # a sort by a lambda isn't compiled
+    assert max(line.count("CASE WHEN ((") for line in plan.splitlines()) <= 3
+    assert 0 < plan.count("AS _sixth") <= 4
