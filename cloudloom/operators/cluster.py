@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from cloudloom.functions.tables import discard, materialise
+from cloudloom.operators.spacetree import groups
 
 AXES = ["x", "y", "z"]
 
@@ -323,20 +324,42 @@ def anatomical_labels(instances: DataFrame, side: str, height: str, right_is_hig
 def farthest_points(points: DataFrame, n: int) -> DataFrame:
     """From the first point on, again and again the point farthest from those chosen, ties to the smaller id.
 
-    One cloud is one task's work, clouds run in parallel; a task holds its cloud's coordinates.
+    One cloud is one task's work, clouds run in parallel; a task holds its cloud's coordinates, and a batch of rows beside it.
     """
+    names = ["cloud_id", "point_id", *AXES]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("point_id")
-        x, ids = pdf[AXES].to_numpy(float), pdf["point_id"].to_numpy()
-        chosen, d2 = [0], ((x - x[0]) ** 2).sum(axis=1)
-        while len(chosen) < min(n, len(x)):
+    def chosen(cloud: pa.Table) -> pa.Table:
+        x = np.column_stack([cloud[a].to_numpy() for a in AXES])
+        picks, d2 = [0], ((x - x[0]) ** 2).sum(axis=1)
+        while len(picks) < min(n, len(x)):
             k = int(np.argmax(d2))
-            chosen.append(k)
+            picks.append(k)
             d2 = np.minimum(d2, ((x - x[k]) ** 2).sum(axis=1))
-        return pd.DataFrame({"cloud_id": pdf["cloud_id"].iloc[0], "point_id": ids[chosen], "rank": np.arange(1, len(chosen) + 1)})
+        rows = cloud.select(names[:2]).take(pa.array(picks))
+        return rows.append_column("rank", pa.array(np.arange(1, len(picks) + 1, dtype=np.int32)))
 
-    return points.select("cloud_id", "point_id", *AXES).groupBy("cloud_id").applyInPandas(run, "cloud_id bigint, point_id bigint, rank int")
+    def run(batches):
+        parts = []  # of the cloud that goes on
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if parts and b["cloud_id"][0] != parts[0]["cloud_id"][0]:
+                yield from chosen(pa.Table.from_batches(parts).combine_chunks()).to_batches()
+                parts = []
+            *whole, last = groups(pa.Table.from_batches([b]), ["cloud_id"]).values()
+            found = []
+            for start, end in whole:
+                found.append(chosen(pa.Table.from_batches([*parts, b.slice(start, end - start)]).combine_chunks()))
+                parts = []
+            parts.append(b.slice(last[0], last[1] - last[0]))
+            if found:
+                yield from pa.concat_tables(found).combine_chunks().to_batches()
+        if parts:
+            yield from chosen(pa.Table.from_batches(parts).combine_chunks()).to_batches()
+
+    # many clouds a batch, in the order of their points
+    whole = points.select(*[F.col(c).cast("bigint").alias(c) for c in names[:2]], *[F.col(a).cast("double").alias(a) for a in AXES])
+    return whole.repartition("cloud_id").sortWithinPartitions("cloud_id", "point_id").mapInArrow(run, "cloud_id bigint, point_id bigint, rank int")
 
 
 def segment_graph(edges: DataFrame, k: float, least: int) -> DataFrame:

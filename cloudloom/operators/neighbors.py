@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from cloudloom.functions.ranking import global_rank
 from cloudloom.functions.tables import materialise
-from cloudloom.operators.spacetree import FEW, LEAF, neighbour_lists, partition
+from cloudloom.operators.spacetree import FEW, LEAF, call_number, groups, neighbour_lists, partition
 
 #: Points of a cloud up to which a task may hold all its distances (blocks of 128 rows, so a few MB at once).
 SMALL = 3_000
@@ -117,24 +117,30 @@ def nearest_rows(d2: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _knn_numpy(k: int):
+    """The edges of the clouds of a call."""
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        q, p = left.sort_by("q_point_id"), right.sort_by("point_id")
-        names = ["cloud_id", "src", "dst", "d2", "rank"]
-        if not len(q) or not len(p):
-            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32())], names)
-        a, b = ([t[prefix + c].to_numpy() for c in AXES] for t, prefix in ((q, "q_"), (p, "")))
-        ids, n, out = p["point_id"].to_numpy(), min(k, len(p)), []
-        for at in range(0, len(q), 128):  # a block stays in a core's cache
-            d2 = np.zeros((min(128, len(q) - at), len(p)))
-            one = np.empty_like(d2)
-            for x, y in zip(a, b):
-                np.subtract(x[at : at + 128, None], y[None, :], out=one)
-                one *= one
-                d2 += one
-            out.append(nearest_rows(d2, n))
-        order, d2 = np.vstack([o for o, _ in out]), np.vstack([d for _, d in out])
-        cloud = np.full(order.size, q["q_cloud_id"][0].as_py(), np.int64)
-        return pa.table([cloud, np.repeat(q["q_point_id"].to_numpy(), n), ids[order.ravel()], d2.ravel(), np.tile(np.arange(1, n + 1, dtype=np.int32), len(q))], names)
+        q, p = (t.sort_by([(c, "ascending") for c in names]) for t, names in ((left, ("q_cloud_id", "q_point_id")), (right, ("cloud_id", "point_id"))))
+        x, y = ([t[prefix + c].to_numpy() for c in AXES] for t, prefix in ((q, "q_"), (p, "")))
+        ids, held, found = p["point_id"].to_numpy(), groups(p, ["cloud_id"]), []
+        for cloud, (start, end) in groups(q, ["q_cloud_id"]).items():
+            if cloud not in held:
+                continue
+            of = slice(*held[cloud])
+            for at in range(start, end, 128):  # a block stays in a core's cache
+                to = min(at + 128, end)
+                d2 = np.zeros((to - at, of.stop - of.start))
+                one = np.empty_like(d2)
+                for a, b in zip(x, y):
+                    np.subtract(a[at:to, None], b[None, of], out=one)
+                    one *= one
+                    d2 += one
+                order, d2 = nearest_rows(d2, k)
+                n = order.shape[1]
+                found.append((np.repeat(np.arange(at, to), n), ids[of][order.ravel()], d2.ravel(), np.tile(np.arange(1, n + 1, dtype=np.int32), to - at)))
+        src, dst, d2, rank = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, t) for t in (np.int64, np.int64, np.float64, np.int32))
+        asked = q.select(["q_cloud_id", "q_point_id"]).take(pa.array(src))
+        return pa.table([asked["q_cloud_id"], asked["q_point_id"], dst, d2, rank], ["cloud_id", "src", "dst", "d2", "rank"])
 
     return run
 
@@ -157,8 +163,10 @@ def knn(queries: DataFrame, points: DataFrame, k: int, cell: float | None = None
     small_p, small_q = points.where(placed), queries.where(placed)
     if any_big:
         small_p, small_q = (df.join(big.select("cloud_id"), "cloud_id", "left_anti") for df in (small_p, small_q))
-    asked = small_q.select(*[F.col(c).alias(f"q_{c}") for c in columns])  # other names, as both may come from one frame
-    out = asked.groupBy("q_cloud_id").cogroup(small_p.groupBy("cloud_id")).applyInArrow(_knn_numpy(k), EDGES)
+    rows = points.count() if same else points.count() + queries.count()
+    asked = small_q.select(*[F.col(c).alias(f"q_{c}") for c in columns], call_number(rows, "cloud_id").alias("_q_call"))  # other names, as both may come from one frame
+    held = small_p.withColumn("_call", call_number(rows, "cloud_id"))
+    out = asked.groupBy("_q_call").cogroup(held.groupBy("_call")).applyInArrow(_knn_numpy(k), EDGES)
     if not any_big:
         return out
     keep_p, keep_q = (df.select(*columns).join(big.select("cloud_id"), "cloud_id", "left_semi") for df in (points, queries))

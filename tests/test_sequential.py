@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import tempfile
 
 import numpy as np
 import pytest
@@ -97,3 +98,43 @@ def test_e25_reads_points_once_and_calls_python_by_batches(spark):
 
     plan = QUERIES["e25_average_precision"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapGroupsInPandas" not in plan and "lineitem" not in plan and "l_suppkey" not in plan
+
+
+def test_many_small_clouds_share_their_calls(spark, tmp_path, monkeypatch):
+    """Farthest points of clouds that begin and end within batches, and kNN with many clouds a call (j17_anchor_patches)."""
+    rng = np.random.default_rng(8)
+    own = {c: rng.random((n, 3)) for c, n in enumerate([*rng.integers(1, 12, 60).tolist(), 40])}
+    df = spark.createDataFrame([(c, i, *map(float, x)) for c, xs in own.items() for i, x in enumerate(xs)], "cloud_id bigint, point_id bigint, x double, y double, z double")
+    want = set()
+    for c, xs in own.items():
+        d2, pick = np.full(len(xs), np.inf), 0
+        for rank in range(1, min(4, len(xs)) + 1):
+            want.add((c, pick, rank))
+            d2 = np.minimum(d2, ((xs - xs[pick]) ** 2).sum(axis=1))
+            pick = int(np.argmax(d2))
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for rows in ("7", before):
+            spark.conf.set(name, rows)
+            assert {tuple(r) for r in cluster.farthest_points(df, 4).collect()} == want
+    finally:
+        spark.conf.set(name, before)
+    whole = neighbors._knn_numpy
+
+    def counted(k):
+        run = whole(k)
+
+        def call(left, right):
+            tempfile.mkstemp(dir=tmp_path)
+            return run(left, right)
+
+        return call
+
+    monkeypatch.setattr(neighbors, "_knn_numpy", counted)
+    got = {(r.cloud_id, r.src, r["rank"]): r.dst for r in neighbors.knn(df, df, 2).collect()}
+    for c, xs in own.items():
+        for i, x in enumerate(xs):
+            order = np.lexsort((np.arange(len(xs)), ((xs - x) ** 2).sum(axis=1)))[:2]
+            assert [got.get((c, i, r)) for r in range(1, len(order) + 1)] == order.tolist()
+    assert len(list(tmp_path.iterdir())) == 1
