@@ -1,6 +1,7 @@
 """Whole jobs: cases in which an operator once did less than asked."""
 
 import inspect
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -148,3 +149,43 @@ def test_op7_padding_before_a_text_keeps_the_cheap_exponentials(monkeypatch):
     assert flags and all(flags)
     monkeypatch.setattr(attention, "_bounded", lambda *a: False)  # with the row's maximum taken off
     assert np.abs(attention.log_probabilities(m, ids, target, 3) - p)[place].max() < 1e-5 and np.abs(apart - p)[place].max() < 1e-5
+
+
+def _written(spark):
+    import os
+
+    from cloudloom.llm.common import shared_folder
+
+    return {x for x in os.listdir(shared_folder(spark).removeprefix("file:")) if x.startswith("llm-")}
+
+
+def test_op10_tables_and_shuffle_files_go_when_read(spark):
+    import time
+
+    from cloudloom.llm import common, jaccard
+
+    base = [f"w{k}" for k in range(60)]
+    rows = [(n, " ".join(base[:n] + ["other"] + base[n + 1 :])) for n in range(40)] + [(100 + n, f"single {n} with words of its own {n * n}") for n in range(20)]
+    df, before = spark.createDataFrame(rows, "doc_id bigint, text string"), _written(spark)
+    found = jaccard.jaccard_components(df)
+    assert len(_written(spark) - before) <= 2  # the described rows and the last round of components
+    assert {r.component_id for r in found.where("doc_id < 100").collect()} == {0} and found.count() == 60  # read twice
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files, setting = disk.getAllFiles().size(), spark.conf.get(common.CLEANUP)
+    assert common.materialise(spark.range(1000).repartition(5).groupBy("id").count()).count() == 1000
+    for _ in range(50):
+        if disk.getAllFiles().size() <= files + 4:  # the count's own
+            break
+        time.sleep(0.1)
+    else:
+        raise AssertionError("shuffle files stayed")
+    assert spark.conf.get(common.CLEANUP) == setting
+
+
+def test_op10_packed_entries_come_back():
+    from cloudloom.llm import jaccard
+
+    e = np.empty(300, jaccard._ENTRY)
+    e["token"], e["node"], e["n"], e["rank"] = np.arange(300) * 7919 << 40, -np.arange(300) ** 5, np.arange(300) * 1000, np.arange(300)
+    assert set(jaccard._unpacked([jaccard._packed(e[:1]), jaccard._packed(e[1:200]), jaccard._packed(e[200:])]).tolist()) == set(e.tolist())
+    assert len(zlib.compress(jaccard._packed(e))) < len(zlib.compress(e.tobytes()))
