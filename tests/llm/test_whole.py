@@ -189,3 +189,20 @@ def test_op10_packed_entries_come_back():
     e["token"], e["node"], e["n"], e["rank"] = np.arange(300) * 7919 << 40, -np.arange(300) ** 5, np.arange(300) * 1000, np.arange(300)
     assert set(jaccard._unpacked([jaccard._packed(e[:1]), jaccard._packed(e[1:200]), jaccard._packed(e[200:])]).tolist()) == set(e.tolist())
     assert len(zlib.compress(jaccard._packed(e))) < len(zlib.compress(e.tobytes()))
+
+
+def test_pipeline_duplicates_go_without_a_shuffle_of_whole_rows(spark):
+    import corpus_pipeline
+    from tests.conftest import SMALL
+
+    limit, before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), _written(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        rows = [(k, f"words of row {k // 2} and {k // 2 * k // 2} more of them") for k in range(30)]
+        out = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), SMALL)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert len(_written(spark) - before) <= 2  # the numbered rows and the numbers of those that go
+    assert sorted(r.doc_id for r in out.collect()) == sorted(k for k, t in rows if t not in {u for _, u in rows[:k]})
