@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,3 +26,13 @@ def draw_sql(seed: int, *keys: str) -> str:
 
 def draw(seed: int, *keys: str) -> Column:
     return F.expr(f"cast({draw_sql(seed, *keys)} as double)")
+
+
+def drawn(seed: int, *keys: np.ndarray) -> np.ndarray:
+    """The draws of draw_sql for arrays of integer keys."""
+    x = np.full(len(keys[0]), (seed + 1) * 1299709 % PRIME, np.int64)
+    for i, k in enumerate(keys):
+        x += (k & PRIME) * _LOW[i] % PRIME + (np.fmod(k >> 31, PRIME) + PRIME) * _HIGH[i] % PRIME
+    x %= PRIME
+    square = x * x % PRIME
+    return square * square % PRIME * x % PRIME / float(PRIME)

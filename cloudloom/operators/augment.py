@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloudloom.functions.random import draw
-from cloudloom.functions.tables import materialise
+from cloudloom.functions.random import draw, drawn
 from cloudloom.operators.cloud import per_cloud
 from cloudloom.operators.scalar import rotate
 
@@ -171,37 +173,90 @@ def align_rooms(df: DataFrame, rooms: DataFrame) -> DataFrame:
     return rotate_clouds(out, "z", F.coalesce((2 - F.col("_angle") / 180) * F.pi(), F.lit(0.0))).drop("_angle")
 
 
+#: Points whose nodes a Python call holds at once: up to 216 nodes each, where they lie scattered.
+ELASTIC_POINTS = 4096
+
+
+def _distinct(nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct columns of nodes, and for each column its place among them."""
+    low = nodes.min(axis=1, initial=0)
+    spans = [int(x) for x in nodes.max(axis=1, initial=0) - low + 1]
+    if math.prod(spans) < 1 << 62:
+        key = np.zeros(nodes.shape[1], np.int64)
+        for row, at, span in zip(nodes, low, spans):
+            key = key * span + (row - at)
+        _, first, place = np.unique(key, return_index=True, return_inverse=True)
+        return nodes[:, first], place
+    order = np.lexsort(nodes)
+    new = np.concatenate([[True], (np.diff(nodes[:, order], axis=1) != 0).any(axis=0)])
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return nodes[:, order[new]], place
+
+
+def _noise(nodes: np.ndarray, cloud_ids: np.ndarray, sizes: np.ndarray, seed: int) -> np.ndarray:
+    """The three blurred normal draws at distinct nodes (rows: place among cloud_ids, and along each axis), blurred axis by axis."""
+    steps = []
+    for a in range(3):
+        size = sizes[a][nodes[0]]
+        towards = np.repeat(nodes[:, None], 5, axis=1)
+        towards[a + 1] += np.arange(-2, 3)[:, None]
+        near, own = towards[a + 1], nodes[a + 1]
+        # how many nodes of the grid lie within one of both ends, in ninths
+        weight = (np.minimum(np.minimum(near, own) + 1, size - 1) - np.maximum(np.maximum(near, own) - 1, 0) + 1) / 9.0
+        inside = (near >= 0) & (near < size)
+        nodes, place = _distinct(towards[:, inside])
+        steps.append((weight[inside], np.nonzero(inside)[1], place, len(own)))
+    keys = (cloud_ids[nodes[0]], *nodes[1:])
+    field = [np.sqrt(-2 * np.log(1 - drawn(seed + k, *keys))) * np.cos(2 * math.pi * drawn(seed + k + 1000, *keys)) for k in range(3)]
+    for weight, to, place, n in reversed(steps):
+        field = [np.bincount(to, weight * f[place], n) for f in field]
+    return np.stack(field)
+
+
+def _elastic_moves(cloud_ids: np.ndarray, at: np.ndarray, sizes: np.ndarray, seed: int) -> np.ndarray:
+    """The noise at points: at and sizes hold a row for each axis, places in nodes and the number of nodes of the point's cloud."""
+    ids, first, cloud = np.unique(cloud_ids, return_index=True, return_inverse=True)
+    below = np.floor(at)
+    part = at - below
+    node = np.where(np.isfinite(below), below, 0).astype(np.int64)
+    corners = [(i, j, k) for i in (0, 1) for j in (0, 1) for k in (0, 1)]
+    nodes, place = _distinct(np.concatenate([np.stack([cloud, *(row + c for row, c in zip(node, corner))]) for corner in corners], axis=1))
+    noise = _noise(nodes, ids, sizes[:, first], seed)
+    moves = np.zeros((3, len(cloud)))
+    for corner, own in zip(corners, place.reshape(8, -1)):
+        moves += math.prod(p if c else 1 - p for c, p in zip(corner, part)) * noise[:, own]
+    return moves
+
+
 def elastic(df: DataFrame, granularity: float, magnitude: float, seed: int, gate: Column | None = None) -> DataFrame:
     """Move points by a smooth noise field: normal draws at the nodes of a grid, blurred twice by a box of three nodes along each
     axis (zero outside the grid), and interpolated trilinearly.
 
-    Only nodes up to two from those next to points are drawn, each once, and blurred axis by axis, so the work goes with the occupied
-    cells and no grid is built. Clouds whose ``gate`` doesn't hold stay as they are. The points are written once, as they are read
-    several times.
+    A draw depends on its node alone, so whoever needs a node draws it: the points of a batch share theirs, no grid is built and
+    neither nodes nor corners are shuffled. Clouds whose ``gate`` doesn't hold stay as they are, as do points that lack a key or a
+    coordinate.
     """
-    df = materialise(df)
     low = {f"_{a}": F.min(a).over(per_cloud()) for a in "xyz"}
     size = {f"_d{a}": F.floor((F.max(a).over(per_cloud()) - F.min(a).over(per_cloud())) / granularity).cast("bigint") + 3 for a in "xyz"}
-    out = df.withColumns(low | size).withColumns({f"_u{a}": (F.col(a) - F.col(f"_{a}")) / granularity + 1 for a in "xyz"})
-    corner = F.explode(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip("ijk", c)]) for c in ((i, j, k) for i in (0, 1) for j in (0, 1) for k in (0, 1))])).alias("_c")
-    moving = out if gate is None else out.where(gate)
-    at = moving.select("cloud_id", "point_id", *size, *[f"_u{a}" for a in "xyz"], corner)
-    at = at.withColumns({f"_n{a}": F.floor(f"_u{a}").cast("bigint") + F.col(f"_c.{k}") for a, k in zip("xyz", "ijk")})
-    share = lambda a, k: F.when(F.col(f"_c.{k}") == 1, F.col(f"_u{a}") - F.floor(f"_u{a}")).otherwise(1 - (F.col(f"_u{a}") - F.floor(f"_u{a}")))
-    at = at.withColumn("_w", share("x", "i") * share("y", "j") * share("z", "k"))
-    key = ["cloud_id", "_nx", "_ny", "_nz"]
-    nodes = at.select(*key, *size).distinct()
-    step = F.explode(F.sequence(F.lit(-2), F.lit(2)))
-    towards = lambda rows, a: rows.withColumn("_s", F.col(f"_n{a}")).withColumn("_o", step).withColumn(f"_n{a}", F.col("_s") + F.col("_o")).where(F.col(f"_n{a}").between(0, F.col(f"_d{a}") - 1))
-    for a in "xyz":  # the nodes that are drawn, each once
-        nodes = towards(nodes, a).select(*key, *size).distinct()
-    field = nodes.select("*", *[normal_draw(seed + k, "cloud_id", "_nx", "_ny", "_nz").alias(f"_f{a}") for k, a in enumerate("xyz")])
-    for a in "zyx":  # how many nodes of the grid lie within one of both ends, in ninths
-        near = F.least(F.col(f"_n{a}") + 1, F.col("_s") + 1, F.col(f"_d{a}") - 1) - F.greatest(F.col(f"_n{a}") - 1, F.col("_s") - 1, F.lit(0)) + 1
-        field = towards(field, a).groupBy(*key, *size).agg(*[F.sum(near / 9.0 * F.col(f"_f{c}")).alias(f"_f{c}") for c in "xyz"])
-    field = field.drop(*size)
-    moves = at.join(field, key).groupBy("cloud_id", "point_id").agg(*[F.sum(F.col("_w") * F.col(f"_f{a}")).alias(f"_m{a}") for a in "xyz"])
-    return df.join(moves, ["cloud_id", "point_id"], "left").withColumns({a: F.col(a) + F.coalesce(F.col(f"_m{a}"), F.lit(0.0)) * magnitude for a in "xyz"}).select(df.columns)
+    moving = F.lit(True) if gate is None else F.coalesce(gate, F.lit(False))
+    for c in ("cloud_id", "point_id", *"xyz"):
+        moving = moving & F.col(c).isNotNull()
+    places = [((F.col(a) - F.col(f"_{a}")) / granularity + 1).cast("double") for a in "xyz"]
+
+    def moves(cloud_id, moving, ux, uy, uz, dx, dy, dz):
+        rows = np.flatnonzero(moving.to_numpy(zero_copy_only=False))
+        ids, *columns = (c.take(pa.array(rows)).to_numpy(zero_copy_only=False) for c in (cloud_id, ux, uy, uz, dx, dy, dz))
+        found = np.zeros((3, len(moving)))
+        for k in range(0, len(rows), ELASTIC_POINTS):
+            part = slice(k, k + ELASTIC_POINTS)
+            found[:, rows[part]] = _elastic_moves(ids[part], np.stack([c[part] for c in columns[:3]]), np.stack([c[part] for c in columns[3:]]), seed)
+        return pa.StructArray.from_arrays([pa.array(f) for f in found], ["x", "y", "z"])
+
+    move = F.arrow_udf(moves, "x double, y double, z double")
+    out = df.withColumns(low | size)
+    out = out.withColumn("_move", move(F.col("cloud_id").cast("bigint"), moving, *places, *size))
+    return out.withColumns({a: F.col(a) + F.col(f"_move.{a}") * magnitude for a in "xyz"}).select(df.columns)
 
 
 def elastic_rounds(df: DataFrame, rounds: Sequence[tuple[float, float]] = ((0.2, 0.4), (0.8, 1.6)), p: float = 0.95, seed: int = 0) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cloudloom.functions.random import draw
+from cloudloom.functions.random import draw, drawn
 from cloudloom.operators import augment
 
 
@@ -71,3 +71,41 @@ def test_colour_steps_share_their_parts(spark):
     assert "lambda" not in plan  # a sort by a lambda isn't compiled
     assert max(line.count("CASE WHEN ((") for line in plan.splitlines()) <= 3
     assert 0 < plan.count("AS _sixth") <= 4
+
+
+def test_drawn_as_the_expression_has_it(spark):
+    keys = [0, 1, 5, 2147483646, 2147483647, 1 << 31, (1 << 62) + 3, -1, -(1 << 40)]
+    rows = spark.createDataFrame([(k, j) for j, k in enumerate(keys)], "a bigint, b bigint")
+    got = rows.select(draw(7, "a", "b", "a", "b").alias("d"), "a", "b").toPandas()
+    assert np.abs(got.d - drawn(7, *(got[c].to_numpy() for c in "abab"))).max() < 1e-11  # the expression divides decimals
+
+
+def test_elastic_shuffles_points_alone(spark):
+    """r29_elastic: neither corners nor nodes are shuffled, and no table is written."""
+    import os
+
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    rows, before = spark.range(400).selectExpr("id % 4 cloud_id", "id point_id", "double(id % 50) x", "double(id % 11) y", "double(id % 9) z"), set(os.listdir(folder))
+    plan = augment.elastic(rows, 4.0, 8.0, 70)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and "Generate" not in plan
+    assert plan.count("ArrowEvalPython") == 1
+    assert set(os.listdir(folder)) == before
+
+
+def test_elastic_moves_by_parts_and_far_apart():
+    rng = np.random.default_rng(5)
+    clouds, at = np.sort(rng.integers(-2, 3, 300)), rng.integers(0, 40, (3, 300)) / 4 + 1
+    sizes = np.full((3, 300), 13)
+    whole = augment._elastic_moves(clouds, at, sizes, 70)
+    parts = [augment._elastic_moves(clouds[k : k + 7], at[:, k : k + 7], sizes[:, k : k + 7], 70) for k in range(0, 300, 7)]
+    assert np.array_equal(whole, np.concatenate(parts, axis=1)) and np.abs(whole).max() > 0.1
+    far = rng.integers(0, 1 << 50, (4, 50)) * np.array([[0], [1], [1], [1]])  # too far apart for one number
+    for nodes in (far, np.concatenate([far, far[:, :9]], axis=1), far[:, :0]):
+        kept, place = augment._distinct(nodes)
+        assert np.array_equal(kept[:, place], nodes) and kept.shape[1] == len({*map(tuple, nodes.T.tolist())})
+
+
+def test_elastic_leaves_points_without_a_coordinate(spark):
+    rows = spark.createDataFrame([(1, 1, 0.0, 0.0, 0.0), (1, 2, 9.0, 9.0, 9.0), (1, 3, None, 5.0, 5.0), (None, 4, 1.0, 1.0, 1.0)], "cloud_id bigint, point_id bigint, x double, y double, z double")
+    got = {r.point_id: r for r in augment.elastic(rows, 4.0, 8.0, 70).collect()}
+    assert (got[3].x, got[3].y, got[3].z) == (None, 5.0, 5.0) and got[4].x == 1.0 and got[1].x != 0.0
