@@ -109,3 +109,11 @@ def test_elastic_leaves_points_without_a_coordinate(spark):
     rows = spark.createDataFrame([(1, 1, 0.0, 0.0, 0.0), (1, 2, 9.0, 9.0, 9.0), (1, 3, None, 5.0, 5.0), (None, 4, 1.0, 1.0, 1.0)], "cloud_id bigint, point_id bigint, x double, y double, z double")
     got = {r.point_id: r for r in augment.elastic(rows, 4.0, 8.0, 70).collect()}
     assert (got[3].x, got[3].y, got[3].z) == (None, 5.0, 5.0) and got[4].x == 1.0 and got[1].x != 0.0
+
+
+def test_elastic_rounds_shuffle_points_once_a_round(spark):
+    """r29_elastic_rounds: a later round reads the earlier one's points as they come, without a table or a join."""
+    rows = spark.range(400).selectExpr("id % 4 cloud_id", "id point_id", "double(id % 50) x", "double(id % 11) y", "double(id % 9) z")
+    plan = augment.elastic_rounds(rows, ((4.0, 2.0), (16.0, 6.0)), 0.6, 291)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 2 and "Join" not in plan and "Generate" not in plan
+    assert plan.count("ArrowEvalPython") == 2
